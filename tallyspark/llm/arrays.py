@@ -45,6 +45,11 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def as_lower_bytes(column: pa.Array) -> list[bytes | None]:
+    """UTF-8 of the texts in lower case, letters beyond ASCII included."""
+    return [None if t is None else t.lower().encode() for t in column.to_pylist()]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, _blocks, as_bytes, batches, mix, small_batches, slices
+from .arrays import LETTERS, _blocks, as_lower_bytes, batches, mix, small_batches, slices
 from .logfreq import held_out
 
 BUCKETS = 1 << 13
@@ -158,7 +158,7 @@ def train(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2
 
     def features(iterator):
         for b in batches(iterator, ["lang", "text"]):
-            texts = as_bytes(b["text"])
+            texts = as_lower_bytes(b["text"])
             for s in slices(texts, 1 << 20):
                 for lang, row in zip(b["lang"][s].to_pylist(), frequencies(texts[s]), strict=True):
                     at = np.flatnonzero(row).astype(np.uint16)
@@ -178,7 +178,7 @@ def language_column(model: Model, spark):
 
     @F.arrow_udf("struct<lang_pred: string, score: double, ambiguous: boolean>")
     def predict(text: pa.Array) -> pa.Array:
-        texts = as_bytes(text)
+        texts = as_lower_bytes(text)
         parts = []
         for s in slices(texts):
             lang, score, ambiguous = sent.value.predict(texts[s])

@@ -30,6 +30,8 @@ WINDOW = 8
 #: Documents of the sample, about; twice as many at most.
 SAMPLE_ROWS = 512
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Further statistics that rules may ask for.
+MORE_STATS = ("n_stutter_words",)
 
 
 class TextStats:
@@ -52,7 +54,7 @@ class TextStats:
         return out
 
     def __getattr__(self, name: str) -> np.ndarray:
-        if name.startswith("_") or name not in STATS:
+        if name.startswith("_") or name not in STATS + MORE_STATS:
             raise AttributeError(name)
         if name not in self._known:
             getattr(self, f"_find_{'words' if name in ('n_words', 'word_chars') else name[2:]}")()
@@ -82,6 +84,14 @@ class TextStats:
             out[k] = len(lines) - len(set(lines))
         self._known["n_dup_lines"] = out
 
+    def _find_stutter_words(self) -> None:
+        """Words that equal the word before them."""
+        if self._words is None:
+            self._find_words()
+        hashes, of = self._words
+        same = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
+        self._known["n_stutter_words"] = np.bincount(of[1:][same], minlength=self.n).astype(np.int64)
+
     def _find_repeat_words(self) -> None:
         """Words that lie in an 8-word window whose text occurs twice or more in the document."""
         if self._words is None:
@@ -136,8 +146,12 @@ def odd_word_length(s: TextStats) -> np.ndarray:
     return (s.word_chars < 2 * s.n_words) | (s.word_chars > 15 * s.n_words)
 
 
+def stuttering(s: TextStats) -> np.ndarray:
+    return 10 * s.n_stutter_words > 3 * s.n_words
+
+
 #: Rules of the cascade. The first two decide base_failed.
-RULES = (Rule("few_words", few_words), Rule("repeated_windows", repeated_windows), Rule("repeated_lines", repeated_lines), Rule("symbol_heavy", symbol_heavy), Rule("odd_word_length", odd_word_length))
+RULES = (Rule("few_words", few_words), Rule("repeated_windows", repeated_windows), Rule("repeated_lines", repeated_lines), Rule("symbol_heavy", symbol_heavy), Rule("odd_word_length", odd_word_length), Rule("stuttering", stuttering))
 _PROFILE = pa.schema([("rule", pa.int32()), ("rejected", pa.int64()), ("rows", pa.int64()), ("seconds", pa.float64())])
 
 

@@ -7,7 +7,7 @@ score. A text is cut into windows of WINDOW words, each STRIDE words on from the
 before; its score is the calibrated score of its highest window.
 
 The network is trained in numpy on a bounded sample of labelled rows (``sample_rows``,
-as many of either label as there are up to half, texts up to TRAIN_CHARS); a toxic text
+a third of them toxic where there are as many, texts up to TRAIN_CHARS); a toxic text
 teaches through its highest window, a clean one through its highest and a random one.
 Scores are of whole texts.
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, as_bytes, mix, small_batches, slices, span_hashes, word_blocks
+from .arrays import LETTERS, as_lower_bytes, mix, small_batches, slices, span_hashes, word_blocks
 from .logfreq import held_out
 
 WINDOW, STRIDE = 48, 24
@@ -262,19 +262,19 @@ def _calibrate(net: Network, words: Words, labels: np.ndarray) -> None:
     net.slope, net.offset = float(max(a, 0.1)), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, sample_rows: int = 2400) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, sample_rows: int = 3600) -> Network | None:
     """Fits on at most about ``sample_rows`` labelled texts outside the held-out part; None without both labels."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), of, remainder)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     coin = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(1 << 30)) / float(1 << 30)
-    part = lambda k: min(1.0, sample_rows / 2 / max(n.get(k, 0), 1))
-    sample = own.where(coin < F.when(F.col("label") == 1, part(1)).otherwise(part(0))).limit(2 * sample_rows)
+    part = lambda k, share: min(1.0, share * sample_rows / max(n.get(k, 0), 1))
+    sample = own.where(coin < F.when(F.col("label") == 1, part(1, 1 / 3)).otherwise(part(0, 2 / 3))).limit(2 * sample_rows)
     short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
     rows = short.join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * sample_rows)
     found = sorted({(r.text, r.label) for r in rows.collect()})
     if len({label for _, label in found}) < 2:
         return None
-    return fit([text.encode() for text, _ in found], np.array([label for _, label in found]))
+    return fit([text.lower().encode() for text, _ in found], np.array([label for _, label in found]))
 
 
 def toxicity_column(net: Network | None, spark):
@@ -283,7 +283,7 @@ def toxicity_column(net: Network | None, spark):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        texts = as_bytes(text)
+        texts = as_lower_bytes(text)
         if sent.value is None:
             return pa.array(np.zeros(len(texts)))
         parts = [sent.value.scores(texts[s]) for s in slices(texts, 2 << 20)]
@@ -292,7 +292,7 @@ def toxicity_column(net: Network | None, spark):
     return score
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, sample_rows: int = 2400) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, sample_rows: int = 3600) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of (doc_id, text)."""
     small_batches(docs.sparkSession)
     score = toxicity_column(train(docs, labels, of, remainder, sample_rows), docs.sparkSession)
