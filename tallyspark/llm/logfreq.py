@@ -159,7 +159,8 @@ def build_filter(counts: DataFrame, filter_bytes: int) -> bytes:
 
     whole = bytearray(filter_bytes)
     each = filter_bytes // SHARDS
-    for row in summed.select("h", "n").mapInArrow(build, "k int, bits binary").toLocalIterator():
+    # written first: fetching partition by partition would otherwise also build them one after the other
+    for row in saved(summed.select("h", "n").mapInArrow(build, "k int, bits binary")).toLocalIterator():
         held = np.frombuffer(whole, np.uint8)
         part = held[row.k * each : (row.k + 1) * each]
         part |= np.frombuffer(row.bits, np.uint8)
@@ -189,7 +190,7 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
         filter_, top_h, top_n = sent.value
         for b in batches(iterator, ["row_id", "doc_id", "text", "held_out"]):
             texts = as_bytes(b["text"])
-            for s in slices(texts):
+            for s in slices(texts, 4 << 20):
                 tokens, before, of_text = token_stream(texts[s])
                 n = s.stop - s.start
                 words, at = np.unique(tokens, return_inverse=True)
