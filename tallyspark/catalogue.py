@@ -13,11 +13,13 @@ from .functions import money as M
 from .functions import text as X
 from .operators import documents as docs
 from .operators import filters as flt
+from .operators import laws
 from .operators import mapping as mp
 from .operators import reports as rep
 from .operators import series as ser
 from .operators import validate as val
 from .plans import prompt
+from .plans import registry as reg
 from .plans.facts import fact, fact_sql
 from .session import DEFAULTS, table
 from .sources import prompts as src
@@ -751,3 +753,41 @@ def legacy_category(spark: SparkSession, d: str) -> DataFrame:
     rows = val.ledger(fact(spark, d, "ledger"))
     text = F.when(F.col("category") == "click", "Ofis KİRA bedeli").when(F.col("category") == "view", "reklam gideri").otherwise("")
     return rows.groupBy(mp.legacy_category(text, F.col("side")).alias("category")).agg(F.count("*").alias("n"))
+
+
+# Registry, prompts, laws
+
+
+@query("q95_report_registry", _VAT + f"""SELECT metric, value FROM (UNPIVOT (SELECT {_VAT_M} FROM v) ON sales_base, calculated_vat, purchase_base, deductible_vat, net_vat INTO NAME metric VALUE value)""")
+def report_registry(spark: SparkSession, d: str) -> DataFrame:
+    return reg.metrics(reg.run("vat_summary", fact(spark, d, "vat"))["totals"])
+
+
+@query("q96_suitability", f"WITH f AS ({fact_sql('account')}) SELECT 'date' AS field, true AS has_column, count(date) AS n_filled, count(date) > 0 AS usable FROM f UNION ALL SELECT 'counterparty', true, count(counterparty), count(counterparty) > 0 FROM f UNION ALL SELECT 'amount', true, count(amount), count(amount) > 0 FROM f UNION ALL SELECT 'direction', false, 0, false")
+def suitability(spark: SparkSession, d: str) -> DataFrame:
+    return reg.suitability("current_account", fact(spark, d, "account").drop("direction"))
+
+
+@query("q97_prompt_amounts", "SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction) WHERE o_orderkey % 50 = 4")
+def prompt_amounts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").where("o_orderkey % 50 = 4").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Ocak ayinda gelir "), "o_custkey", F.lit(" bin tl ve gider 1.200,50 tl")).alias("text"))
+    return src.month_amounts(rows, "text", "id")
+
+
+@query("q98_legacy_filter", _LED + "SELECT event_id FROM v WHERE lower(category) IN ('click', 'purchase') AND CAST(date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+def legacy_filter(spark: SparkSession, d: str) -> DataFrame:
+    return _ledger(spark, d).where(flt.legacy_predicate("category", ("Click", "PURCHASE"), "date", date(2024, 1, 5), date(2024, 1, 9))).select("event_id")
+
+
+@query("q99_law_metadata", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents WHERE doc_id < 100".replace("Iş", "İş"))
+def law_metadata(spark: SparkSession, d: str) -> DataFrame:
+    number = F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    heads = table(spark, d, "documents").where("doc_id < 100").select("doc_id", F.concat(F.lit("kanun_"), number).alias("stem"), F.when(F.col("doc_id") % 2 == 0, "İŞ KANUNU").otherwise("Genel hükümler").alias("a"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Kanun Numarası : "), number)).otherwise("metin").alias("b"))
+    pages = heads.select("doc_id", "stem", F.lit(1).alias("page"), F.posexplode(F.array("a", "b")).alias("line_no", "text"))
+    return laws.law_metadata(pages).select("doc_id", "law_no", "law_name")
+
+
+@query("q99b_corpus_report", _LINES + r"SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(t) AS BIGINT) AS n_tokens, max(n) AS most_chunks FROM (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'))) AS t FROM l WHERE text <> '' GROUP BY 1) x")
+def corpus_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs.lines(table(spark, d, "documents")).where("text <> ''")
+    return laws.corpus_report(rows.select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens")))

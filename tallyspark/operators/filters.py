@@ -167,3 +167,11 @@ def top_groups(df: DataFrame, r: Ranking, settings: Settings = DEFAULTS) -> Data
 def multi_sort(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:
     """Several keys at once, each ascending or descending, nulls last."""
     return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in sorts])
+
+
+def legacy_predicate(field_: str, values: tuple[str, ...], day_field: str, start: date | None, end: date | None) -> Column:
+    """The older filter: lower-cased categories, and whole days at both ends."""
+    out = F.lower(F.col(field_)).isin(*[v.lower() for v in values]) if values else F.lit(True)
+    if start:
+        out = out & (F.to_date(day_field) >= F.lit(start))
+    return out & (F.to_date(day_field) <= F.lit(end)) if end else out

@@ -14,12 +14,14 @@ from tallyspark.functions import money as M
 from tallyspark.functions import text as X
 from tallyspark.operators import documents as docs
 from tallyspark.operators import filters as flt
+from tallyspark.operators import laws
 from tallyspark.operators import mapping as mp
 from tallyspark.operators import reports as rep
 from tallyspark.operators import validate as val
-from tallyspark.plans import prompt
+from tallyspark.plans import prompt, registry
+from tallyspark.plans.facts import fact
 from tallyspark.session import Settings
-from tallyspark.sources import xlsx
+from tallyspark.sources import files, xlsx
 from tallyspark.streaming import ledger as stream
 
 
@@ -178,3 +180,38 @@ def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
         q.stop()
     assert spark.table("once").count() == events.count()
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count() + 50
+
+
+def test_retrieval_cascade(spark):
+    chunks = spark.createDataFrame([("a", "193", "GELIR VERGISI KANUNU", "2", ["2", "3"], 1, 1, 1, 0, [1.0, 0.0]), ("b", "193", "GELIR VERGISI KANUNU", "2", ["2"], 2, 2, 2, 0, [0.0, 1.0])], "id string, law_no string, law_name_normalized string, article_no string, included_articles array<string>, page int, chunk_index int, vec_id long, label int, embedding array<double>")
+    ask = spark.createDataFrame([([0.0, 0.9],)], "embedding array<double>")
+    mode, found = laws.retrieve(chunks, None, "GELIR VERGISI KANUNU", "2")
+    assert (mode, [r.id for r in found.collect()]) == ("exact_metadata", ["a", "b"])
+    assert laws.retrieve(chunks, "193", None, "3")[0] == "metadata_filter"
+    mode, found = laws.retrieve(chunks, "193", None, "9", ask)
+    assert (mode, found.first().vec_id) == ("semantic_fallback", 2)
+    assert laws.retrieve(chunks, None, None, None, ask)[0] == "semantic"
+
+
+def test_inputs_and_sinks(spark, tmp_path):
+    for name, rows in (("a", [(1, "x")]), ("b", [(1, "x"), (2, "y")])):
+        spark.createDataFrame(rows, "n int, t string").coalesce(1).write.option("header", True).csv(str(tmp_path / name))
+    both, failed = files.read_all(spark, [str(tmp_path / x) for x in ("a", "b", "missing")], header="true")
+    assert failed == [str(tmp_path / "missing")] and both.count() == 3 and files.without_repeats(both).count() == 2
+    store = str(tmp_path / "store")
+    files.append_new(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), store)
+    files.append_new(spark.createDataFrame([("b", 3), ("c", 4)], "id string, v int"), store)
+    assert sorted((r.id, r.v) for r in spark.read.parquet(store).collect()) == [("a", 1), ("b", 2), ("c", 4)]
+    assert files.rewrite(store, str(tmp_path / "new"), lambda df: df.withColumn("v", F.col("v") + 1), spark).agg(F.sum("v")).first()[0] == 10
+    assert files.sample_rows(spark.range(100), "id").count() <= 15
+    files.write_json(spark.range(3), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 3
+
+
+def test_every_report_runs(spark, sf_dir):
+    views = {"income_expense": "ledger", "cash_flow": "ledger", "profitability": "ledger", "debt_receivable": "account", "current_account": "account", "vat_summary": "vat", "tax_calculation": "vat", "sales_performance": "sales", "payroll_cost": "payroll", "personnel_expense": "payroll", "inventory_cost": "inventory"}
+    assert set(views) == set(registry.REPORTS)
+    for name, view in views.items():
+        tables = registry.run(name, fact(spark, sf_dir, view))
+        assert tables["status"].count() == 1 and all(t.limit(1).count() == 1 for n, t in tables.items() if n != "warnings")
+    assert registry.sanitise(flt.Spec(amounts=(flt.Amount("nope", ">", 1.0),)), ["amount"]) == flt.Spec()
