@@ -624,7 +624,8 @@ def long_articles(spark: SparkSession, d: str) -> DataFrame:
     return docs.long_article_parts(docs.articles(placed), 128, 20)
 
 
-@query("q77_quality_report")
+@query("q77_quality_report", f"""SELECT count(*) AS n_chunks, count(*) FILTER (WHERE kind = 'single_article') AS n_single, count(*) FILTER (WHERE kind = 'multi_article') AS n_multi, count(*) FILTER (WHERE kind = 'single_article_long') AS n_long,
+  max(n_tokens) AS max_tokens, round(avg(n_tokens), 4) AS avg_tokens FROM ({ORACLE_SQL['q75_chunks_greedy']}) x""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return docs.quality_report(_chunks(spark, d))
 

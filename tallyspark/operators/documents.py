@@ -102,16 +102,21 @@ def greedy_chunks(units: DataFrame, target: int = TARGET_TOKENS) -> DataFrame:
 
     A fold over a document's unit sizes: only numbers are held together, not texts.
     """
-    sizes = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit", "n"))).alias("u"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<unit:int,n:long,chunk:int>>").alias("out"))
+    sizes = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit").cast("int").alias("unit"), F.col("n").cast("long").alias("n")))).alias("u"))
+    chunk = "struct<first_unit:int,last_unit:int,n_units:long,n_tokens:long>"
+    make = lambda first, last, n, t: F.struct(first.alias("first_unit"), last.alias("last_unit"), n.cast("long").alias("n_units"), t.cast("long").alias("n_tokens"))
+    none = F.lit(None).cast("int")
+    closed = lambda acc: F.when(acc["now"]["n_units"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
 
     def step(acc, x):
-        fits = (acc["chunk"] > 0) & (acc["sum"] + x["n"] <= target)
-        chunk = F.when(fits, acc["chunk"]).otherwise(acc["chunk"] + 1).cast("int")
-        return F.struct(chunk.alias("chunk"), F.when(fits, acc["sum"] + x["n"]).otherwise(x["n"]).cast("long").alias("sum"), F.concat(acc["out"], F.array(F.struct(x["unit"].cast("int").alias("unit"), x["n"].cast("long").alias("n"), chunk.alias("chunk")))).alias("out"))
-
-    placed = sizes.select("doc_id", F.explode(F.aggregate("u", start, step, lambda acc: acc["out"])).alias("x")).select("doc_id", "x.*")
-    return placed.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_units"), F.sum("n").alias("n_tokens"), F.min("unit").alias("first_unit"), F.max("unit").alias("last_unit"))
+        now = acc["now"]
+        fits = (now["n_units"] > 0) & (now["n_tokens"] + x["n"] <= target)
+        grown = make(now["first_unit"], x["unit"], now["n_units"] + 1, now["n_tokens"] + x["n"])
+        return F.struct(F.when(fits, grown).otherwise(make(x["unit"], x["unit"], F.lit(1), x["n"])).alias("now"), F.when(fits, acc["out"]).otherwise(closed(acc)).alias("out"))
+
+    start = F.struct(make(none, none, F.lit(0), F.lit(0)).alias("now"), F.array().cast(f"array<{chunk}>").alias("out"))
+    packed = sizes.select("doc_id", F.posexplode(F.aggregate("u", start, step, closed)).alias("k", "x"))
+    return packed.select("doc_id", (F.col("k") + 1).alias("chunk"), "x.n_units", "x.n_tokens", "x.first_unit", "x.last_unit")
 
 
 def chunk_kind(n_units: Column, n_tokens: Column, target: int = TARGET_TOKENS) -> Column:
