@@ -145,35 +145,41 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(quantiser: Quantiser, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, missed: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, ids, exact scores) of each query's best in one index block."""
+def search_block(quantiser: Quantiser, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, missed: np.ndarray, k: int, metric: str = "ip") -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query_id, ids, exact scores) of each query's best in one index block.
+
+    The score is the inner product, or for ``l2`` the squared distance below 0; the latter's
+    approximation takes the stored norms of the approximations.
+    """
     tables = quantiser.tables(queries.astype(np.float32))
     approx = np.zeros((len(ids), len(queries)), np.float32)
     for table, code in zip(tables, codes.T, strict=True):
         approx += table[code]
-    approx = approx.T
     size = np.sqrt((queries**2).sum(axis=1))
     spread = missed / np.sqrt(vectors.shape[1])
     out = []
-    for q, query_id, row, norm in zip(queries, query_ids, approx, size, strict=True):
-        likely = row + (DEVIATIONS * norm * spread).astype(np.float32)
+    for q, query_id, row, norm in zip(queries, query_ids, approx.T.astype(np.float64), size, strict=True):
+        if metric == "l2":
+            row = 2 * row - norms**2 - norm**2
+            likely = row + DEVIATIONS * 2 * np.sqrt(np.maximum(-row, 0)) * spread
+            measure = lambda x, q=q: -((x - q) ** 2).sum(axis=1)
+        else:
+            likely = row + DEVIATIONS * norm * spread
+            measure = lambda x, q=q: (x * q).sum(axis=1)
         m = min(max(FIRST, 2 * k), len(row))
         first = np.argpartition(-row, m - 1)[:m]
-        exact = vectors[first] @ q
-        others = ids[first] != query_id
-        exact = np.sort(exact[others])[::-1]
+        exact = np.sort(measure(vectors[first])[ids[first] != query_id])[::-1]
         least = exact[k - 1] if len(exact) >= k else -np.inf
-        chosen = np.flatnonzero(likely >= least)
-        chosen = np.union1d(chosen, first)
+        chosen = np.union1d(np.flatnonzero(likely >= least), first)
         chosen = chosen[ids[chosen] != query_id]
-        exact = (vectors[chosen] * q).sum(axis=1)
+        exact = measure(vectors[chosen])
         best = _top(exact, ids[chosen], k)
         out.append((np.full(len(best), query_id), ids[chosen][best], exact[best]))
     return out
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 8192, books: int = BOOKS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest by inner product of every row whose vec_id ``every`` divides."""
+def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 8192, books: int = BOOKS, metric: str = "ip") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest, by inner product or ``l2``, of every row whose vec_id ``every`` divides."""
     spark = rows.sparkSession
     vectors, dim = usable(rows)
     n = vectors.count()
@@ -192,15 +198,17 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 81
     sent = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.array(*[F.lit(x) for x in numbers])).alias("block"))
     met = sent.join(index, "block")
 
+    columns = ["q_ids", "q_vectors", "ids", "vectors", "codes", "norms", "missed"]
+
     def search(iterator):
-        for b in batches(iterator, ["q_ids", "q_vectors", "ids", "vectors", "codes", "missed"]):
-            for q_ids, q, ids, x, codes, missed in zip(*(b[c].to_pylist() for c in ("q_ids", "q_vectors", "ids", "vectors", "codes", "missed")), strict=True):
+        for b in batches(iterator, columns):
+            for q_ids, q, ids, x, codes, norms, missed in zip(*(b[c].to_pylist() for c in columns), strict=True):
                 ids = np.frombuffer(ids, np.int64)
-                parts = (np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(q_ids, np.int64), ids, np.frombuffer(x, np.float64).reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(missed, np.float64))
-                found = search_block(model.value, *parts, k)
+                parts = (np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(q_ids, np.int64), ids, np.frombuffer(x, np.float64).reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(norms, np.float64), np.frombuffer(missed, np.float64))
+                found = search_block(model.value, *parts, k, metric)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = met.select("q_ids", "q_vectors", "ids", "vectors", "codes", "missed").mapInArrow(search, schema)
+    found = met.select(*columns).mapInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -30,6 +30,8 @@ EPOCHS = 80
 #: Relative distance of the two nearest codewords below which a text counts as ambiguous.
 MARGIN = 0.1
 UNDETERMINED = "und"
+#: Languages that are learned at most, those with the most rows.
+LANGUAGES = 200
 
 
 def ngram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +150,13 @@ def train(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2
     """Fits on at most about ``sample_rows`` labelled rows outside the held-out part; only their feature counts come to the driver."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), of, remainder)).select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"))
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     share = sample_rows / len(n)
     part = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, share / c))])
     coin = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(coin < F.element_at(part, F.col("lang"))).limit(2 * sample_rows)
+    sample = rows.where(coin < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0.0))).limit(2 * sample_rows)
 
     def features(iterator):
         for b in batches(iterator, ["lang", "text"]):

@@ -463,6 +463,12 @@ def test_nearest(spark):
         hits += sum(i in score and score[i] == pytest.approx(s, rel=1e-12, abs=1e-12) for i, s in found)
     assert hits / (20 * len(want)) > 0.95
     assert ann.nearest(table.limit(0)).count() == 0
+    far = defaultdict(set)
+    for r in ann.nearest(table, metric="l2").collect():
+        far[r.query_id].add(round(-r.score, 9))
+    x = {i: np.array(np.float32(v), np.float64) for i, v in rows}
+    close = {q: {round(float(d), 9) for d in sorted(((x[q] - v) ** 2).sum() for i, v in x.items() if i != q)[:20]} for q in far}
+    assert np.mean([len(far[q] & close[q]) / len(close[q]) for q in far]) > 0.9
     few = ann.nearest(table.where("vec_id < 3")).collect()
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
