@@ -296,6 +296,11 @@ def category_totals(spark: SparkSession, d: str) -> DataFrame:
     return rep.category_totals(_ledger(spark, d))
 
 
+@query("q31b_side_categories", _LED + f"SELECT concat_ws('::', side, category) AS bucket, {_t('amount')} AS total FROM v GROUP BY 1")
+def side_categories(spark: SparkSession, d: str) -> DataFrame:
+    return rep.side_categories(_ledger(spark, d))
+
+
 _DAILY = _LED + """, p AS (SELECT CAST(date AS DATE) AS day, coalesce(sum(amount) FILTER (WHERE side = 'income'), 0) AS i, coalesce(sum(amount) FILTER (WHERE side <> 'income'), 0) AS e FROM v GROUP BY 1),
   t AS (SELECT day, CAST(i AS DOUBLE) AS income, CAST(e AS DOUBLE) AS expense, CAST(i - e AS DOUBLE) AS net, CAST(sum(i - e) OVER (ORDER BY day) AS DOUBLE) AS cumulative_net FROM p)"""
 

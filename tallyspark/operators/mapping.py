@@ -12,21 +12,69 @@ from ..functions import money as M
 from ..functions import text as X
 from ..plans.prompt import plain
 
-# Column names that stand for a field.
+# Column names that stand for a field, by field.
 FIELD_ALIASES = {
-    "date": ("date", "tarih", "islem tarihi"), "amount": ("amount", "tutar", "miktar tutar"), "description": ("description", "aciklama"), "direction": ("direction", "yon", "islem turu"),
-    "category": ("category", "kategori"), "customer": ("customer", "musteri"), "counterparty": ("counterparty", "cari", "firma"), "product_name": ("product name", "urun", "urun adi"),
-    "quantity": ("quantity", "miktar", "adet"), "unit_price": ("unit price", "birim fiyat"), "tax_rate": ("tax rate", "kdv orani"), "base_amount": ("base amount", "matrah"),
-    "invoice_no": ("invoice no", "fatura no"), "currency": ("currency", "para birimi"), "due_date": ("due date", "vade", "vade tarihi"), "department": ("department", "departman"),
-}
+    "date": ("tarih", "islem tarihi", "fatura tarihi", "odeme tarihi", "tarih/date", "date"),
+    "description": ("aciklama", "islem aciklamasi", "not", "detay", "notes", "description"),
+    "amount": ("tutar", "amount", "toplam", "islem tutari", "hareket tutari"),
+    "direction": ("yon", "direction", "islem yonu", "gelir gider", "borc alacak", "hareket tipi"),
+    "timezone": ("timezone", "saat dilimi", "time zone", "tz"),
+    "category": ("kategori", "category", "grup", "gider kalemi"),
+    "counterparty": ("cari/firma", "cari", "firma", "musteri", "tedarikci", "unvan", "counterparty", "cari hesap"),
+    "customer": ("musteri", "customer", "cari", "firma"),
+    "invoice_no": ("fatura no", "fatura numarasi", "invoice no", "invoice_no", "belge no"),
+    "transaction_id": ("transaction id", "islem id", "hareket id", "kayit id"),
+    "reference_no": ("reference no", "referans no", "ref no", "belge referansi"),
+    "tax_rate": ("kdv orani", "vergi orani", "vat rate", "tax rate", "oran"),
+    "tax_amount": ("kdv tutari", "vergi tutari", "vat amount", "tax amount"),
+    "quantity": ("miktar", "adet", "quantity", "qty"),
+    "unit_price": ("birim fiyat", "unit price", "fiyat", "birim tutar"),
+    "product_name": ("urun", "urun adi", "hizmet", "product", "product name", "malzeme"),
+    "employee_name": ("personel", "personel adi", "ad soyad", "employee", "employee name", "personel id"),
+    "department": ("departman", "department", "birim"),
+    "due_date": ("vade", "vade tarihi", "due date", "son odeme tarihi"),
+    "payment_status": ("odeme durumu", "payment status", "tahsilat durumu", "durum"),
+    "currency": ("para birimi", "currency", "doviz"),
+    "debt_amount": ("borc tutari", "borc", "debt amount", "debt", "debit", "gider", "cikis"),
+    "receivable_amount": ("alacak tutari", "alacak", "receivable amount", "receivable", "credit", "gelir", "giris"),
+    "transaction_type": ("islem tipi", "transaction type", "alis satis", "satis tipi", "tip"),
+    "return_status": ("iade durumu", "return status", "refund status", "kismi iade durumu", "return state"),
+    "base_amount": ("matrah", "base amount", "kdv haric tutar", "vergi matrahi"),
+    "total_amount": ("genel toplam", "toplam tutar", "total amount", "kdv dahil tutar"),
+    "gross_salary": ("brut maas", "gross salary", "brut ucret"),
+    "net_salary": ("net maas", "net salary", "odeme tutari"),
+    "bonus": ("prim", "bonus", "ikramiye"),
+    "benefits": ("yan hak", "yan haklar", "benefit", "yemek", "yol"),
+    "employer_cost": ("sgk isveren payi", "isveren sgk", "isveren sgk yuku", "isveren yuk", "sgk employer cost", "employer sgk cost", "employer social security"),
+    "employer_extra_cost": ("ek isveren maliyeti", "employer extra cost", "ek sgk maliyeti"),
+    "total_employer_cost": ("isveren toplam maliyeti", "toplam isveren maliyeti", "total employer cost", "isveren maliyeti", "personel toplam maliyeti"),
+    "salesperson": ("satis temsilcisi", "salesperson", "temsilci", "satici"),
+    "region": ("bolge", "region", "sehir"),
+    "discount": ("indirim", "discount"),
+    "total_sales": ("toplam satis", "net satis", "sales total", "total sales"),
+    "counterparty_type": ("cari tipi", "counterparty type", "musteri tedarikci"),
+    "transaction_direction": ("borc alacak yonu", "transaction direction", "islem yonu", "yon"),
+    "product_code": ("stok kodu", "urun kodu", "product code", "stock code"),
+    "unit_cost": ("birim maliyet", "unit cost", "alis maliyeti"),
+    "warehouse": ("depo", "warehouse"),
+    "supplier": ("tedarikci", "supplier", "firma"),
+    "sales_price": ("satis fiyati", "sales price"),
+    "product_category": ("urun kategorisi", "product category", "stok grubu"),
+    "tax_type": ("vergi turu", "tax type", "vergi tipi"),
+    "period": ("donem", "period", "beyanname donemi"),
+}
+# Words that name the two sides of split amount or flag columns.
+LEFT_WORDS = ("gider", "expense", "cikti", "cikis", "borc", "debt", "debit")
+RIGHT_WORDS = ("gelir", "income", "girdi", "giris", "alacak", "receivable", "credit")
+TWO_COLUMN_RULES = ("debit_credit_amount", "debit_credit_direction", "boolean_columns")
 
 
 def match_field(column: str, fields: list[str]) -> str | None:
     """The field whose alias equals the column's plain name, else one that is within it; the first of the best."""
     name, best, score = plain(column), None, 0
     for f in fields:
-        for alias in FIELD_ALIASES.get(f, (f.replace("_", " "),)):
-            s = 10 if name == alias else 5 if alias in name else 0
+        for word in map(plain, FIELD_ALIASES.get(f, (f,))):
+            s = 10 if name == word else 5 if word in name else 0
             if s > score:
                 best, score = f, s
     return best
@@ -51,6 +99,39 @@ def heuristic_mapping(columns: list[str], fields: list[str]) -> dict[str, Rule]:
     return {f: out.get(f, Rule()) for f in fields}
 
 
+def direction_pair(columns: list[str]) -> tuple[str | None, str | None]:
+    """The columns that name the outgoing and the incoming side best."""
+
+    def best(words: tuple[str, ...]) -> str | None:
+        score = {c: sum(10 if plain(c) == w else 5 if w in plain(c) else 0 for w in words) for c in columns}
+        top = max(columns, key=lambda c: score[c], default=None)
+        return top if top and score[top] else None
+
+    return best(LEFT_WORDS), best(RIGHT_WORDS)
+
+
+def mapping_problems(mapping: dict[str, Rule], columns: list[str], required: tuple[str, ...]) -> list[str]:
+    """What keeps a mapping from being used: unknown columns, a rule's missing second column, required fields without a source."""
+    found = [f"{f}: no column {c}" for f, r in mapping.items() for c in r.columns if c not in columns]
+    found += [f"{f}: {r.kind} needs two columns" for f, r in mapping.items() if r.kind in TWO_COLUMN_RULES and len(set(r.columns)) < 2]
+    return found + [f"{f}: required" for f in required if mapping.get(f, Rule()).kind == "missing"]
+
+
+def repair_sales_mapping(mapping: dict[str, Rule], columns: list[str]) -> dict[str, Rule]:
+    """A return-status column that was taken for the transaction type goes to its own field."""
+    rule = mapping.get("transaction_type", Rule())
+    if rule.kind == "column" and match_field(rule.columns[0], ["return_status", "transaction_type"]) == "return_status":
+        other = next((c for c in columns if c != rule.columns[0] and match_field(c, ["return_status", "transaction_type"]) == "transaction_type"), None)
+        return mapping | {"return_status": rule, "transaction_type": Rule("column", (other,)) if other else Rule()}
+    return mapping
+
+
+def both_sides_flagged(df: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: whether each of two flag columns says yes anywhere."""
+    yes = lambda c: F.coalesce(F.bool_or(F.lower(F.trim(F.col(f"`{c}`").cast("string"))).isin(*X.TRUTHY)), F.lit(False))
+    return df.agg(yes(left).alias("left_used"), yes(right).alias("right_used"))
+
+
 def debit_credit_amount(left: Column, right: Column) -> Column:
     return F.when(F.coalesce(right, F.lit(0)) != 0, right).otherwise(left)
 

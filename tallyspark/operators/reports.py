@@ -213,3 +213,8 @@ def activity_totals(df: DataFrame) -> DataFrame:
 
 def positive_expenses(df: DataFrame) -> DataFrame:
     return df.where("side = 'expense'").groupBy("category").agg(total("amount").alias("total")).where("total > 0")
+
+
+def side_categories(df: DataFrame) -> DataFrame:
+    """The older debt report's buckets, named side::category."""
+    return df.groupBy(F.concat_ws("::", "side", F.coalesce(X.blank_to_null(F.col("category")), F.lit("Diğer"))).alias("bucket")).agg(total("amount").alias("total"))

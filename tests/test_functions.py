@@ -215,3 +215,16 @@ def test_every_report_runs(spark, sf_dir):
         tables = registry.run(name, fact(spark, sf_dir, view))
         assert tables["status"].count() == 1 and all(t.limit(1).count() == 1 for n, t in tables.items() if n != "warnings")
     assert registry.sanitise(flt.Spec(amounts=(flt.Amount("nope", ">", 1.0),)), ["amount"]) == flt.Spec()
+
+
+def test_mapping_checks(spark):
+    columns = ["Tarih", "Musteri", "Urun", "Miktar", "Birim Fiyat", "Return Status", "Giriş", "Çıkış"]
+    mapping = mp.heuristic_mapping(columns, ["date", "customer", "product_name", "quantity", "unit_price"])
+    assert [r.columns for r in mapping.values()] == [("Tarih",), ("Musteri",), ("Urun",), ("Miktar",), ("Birim Fiyat",)]
+    assert mp.mapping_problems(mapping, columns, ("date",)) == []
+    assert mp.mapping_problems({"date": mp.Rule("column", ("x",)), "direction": mp.Rule("boolean_columns", ("Tarih",))}, columns, ("amount",)) == ["date: no column x", "direction: boolean_columns needs two columns", "amount: required"]
+    fixed = mp.repair_sales_mapping({"transaction_type": mp.Rule("column", ("Return Status",))}, columns)
+    assert fixed["return_status"].columns == ("Return Status",) and fixed["transaction_type"].kind == "missing"
+    assert mp.direction_pair(columns) == ("Çıkış", "Giriş")
+    used = mp.both_sides_flagged(spark.createDataFrame([("x", ""), (None, "no")], "a string, b string"), "a", "b").first()
+    assert (used.left_used, used.right_used) == (True, False)
