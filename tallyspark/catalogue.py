@@ -284,6 +284,12 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return rep.display_names(_stock(spark, d), ["l_orderkey", "l_linenumber"])
 
 
+@query("q29c_stock_by_currency", _INV + f""", c AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 'TRY' ELSE 'USD' END AS currency FROM v), p AS (SELECT currency, item, sum(CASE kind WHEN 'stock_in' THEN quantity ELSE -quantity END) AS l, {_r("sum(quantity * unit_cost) FILTER (WHERE kind = 'stock_in')", "sum(quantity) FILTER (WHERE kind = 'stock_in')")} AS a FROM c GROUP BY 1, 2)
+  SELECT currency, CAST(sum(round(greatest(CAST(l AS DECIMAL(18,2)), 0) * CAST(coalesce(a, 0) AS DECIMAL(18,2)), 2)) AS DOUBLE) AS stock_value FROM p GROUP BY 1""")
+def stock_by_currency(spark: SparkSession, d: str) -> DataFrame:
+    return rep.stock_by_currency(_stock(spark, d).withColumn("currency", F.when(F.col("l_orderkey") % 2 == 0, "TRY").otherwise("USD")))
+
+
 @query("q30_income_expense_summary", _LED + f""", s AS (SELECT {_t('amount', "side = 'income'")} AS income_total, {_t('amount', "side = 'expense'")} AS expense_total, {_t('signed')} AS net_profit, count(*) AS transaction_count, sum(amount) AS al,
   CAST(coalesce(max(amount) FILTER (WHERE side = 'income'), 0) AS DOUBLE) AS largest_income, CAST(coalesce(max(amount) FILTER (WHERE side = 'expense'), 0) AS DOUBLE) AS largest_expense FROM v)
   SELECT * EXCLUDE (al), {_r('net_profit', 'income_total', 4)} AS profit_margin, {_r('al', 'transaction_count', 4)} AS average_amount FROM s""")

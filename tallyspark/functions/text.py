@@ -144,3 +144,23 @@ def repeated_form(c: Column) -> Column:
 
 def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("||", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
+
+
+def strip_bullets(c: Column) -> Column:
+    """Lines without leading bullets or numbers."""
+    return F.trim(F.regexp_replace(c, r"(?m)^[ \t]*(?:[-*•]|[0-9]+[.)])[ \t]+", ""))
+
+
+def key_points(c: Column, n: int = 5) -> Column:
+    """The first n lines or sentences that say something."""
+    parts = F.transform(F.split(strip_bullets(c), r"\n+|(?<=[.!?])\s+"), lambda p: F.trim(p))
+    return F.slice(F.filter(parts, lambda p: F.length(p) > 0), 1, n)
+
+
+def citation(name: Column, article: Column, page: Column) -> Column:
+    """A source label: law, article and page, as far as they are known."""
+    return F.concat_ws(", ", F.coalesce(blank_to_null(name), F.lit("Kaynak")), F.when(blank_to_null(article).isNotNull(), F.concat(F.lit("Madde "), article)), F.when(page.isNotNull(), F.concat(F.lit("s. "), page.cast("string"))))
+
+
+def looks_like_number(c: Column) -> Column:
+    return F.coalesce(F.trim(c).rlike(r"^[-+(]?[0-9][0-9.,]*\)?-?$"), F.lit(False))

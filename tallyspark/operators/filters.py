@@ -175,3 +175,17 @@ def legacy_predicate(field_: str, values: tuple[str, ...], day_field: str, start
     if start:
         out = out & (F.to_date(day_field) >= F.lit(start))
     return out & (F.to_date(day_field) <= F.lit(end)) if end else out
+
+
+def describe(spec: Spec) -> list[tuple[str, str]]:
+    """(what, value) lines that tell a reader which filters applied."""
+    out = []
+    if spec.dates:
+        out.append(("dates", f"{spec.dates.field}: {spec.dates.start or '...'} to {spec.dates.end or '...'}"))
+    out += [("amount", f"{a.field} between {a.low} and {a.high}" if a.operator == "between" else f"{a.field} {a.operator} {a.value}") for a in spec.amounts]
+    out += [("category", f"{c.field} {'contains' if c.contains else 'is'} {', '.join(c.values)}") for c in spec.categories]
+    out += [("status", ", ".join(spec.statuses))] if spec.statuses else []
+    out += [(name, "only") for name, on in (("unpaid", spec.unpaid), ("overdue", spec.overdue)) if on]
+    if spec.ranking:
+        out.append(("ranking", f"top {spec.ranking.top} {', '.join(spec.ranking.group_by) or 'rows'} by {spec.ranking.aggregate} of {spec.ranking.metric}"))
+    return out

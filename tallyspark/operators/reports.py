@@ -218,3 +218,11 @@ def positive_expenses(df: DataFrame) -> DataFrame:
 def side_categories(df: DataFrame) -> DataFrame:
     """The older debt report's buckets, named side::category."""
     return df.groupBy(F.concat_ws("::", "side", F.coalesce(X.blank_to_null(F.col("category")), F.lit("Diğer"))).alias("bucket")).agg(total("amount").alias("total"))
+
+
+def stock_by_currency(df: DataFrame) -> DataFrame:
+    """The value of what remains, by currency: items are valued within their currency."""
+    in_, out = F.col("kind") == "stock_in", F.col("kind") == "stock_out"
+    per = df.groupBy("currency", "item").agg(F.sum(F.when(in_, F.col("quantity")).when(out, -F.col("quantity"))).alias("left"), M.ratio(F.sum(F.when(in_, F.col("quantity") * F.col("unit_cost"))), F.sum(F.when(in_, F.col("quantity")))).alias("avg"))
+    value = F.greatest(F.col("left"), F.lit(0)) * F.coalesce("avg", F.lit(0.0)).cast(M.MONEY)
+    return per.groupBy("currency").agg(F.sum(F.round(value, 2)).cast("double").alias("stock_value"))

@@ -159,3 +159,8 @@ def currency_summary(df: DataFrame, amount: str, default: str = "TRY") -> DataFr
     """Totals by currency, and whether there is more than one (then no total over all holds)."""
     per = df.groupBy(F.upper(F.coalesce(X.blank_to_null(F.col("currency")), F.lit(default))).alias("currency")).agg(F.sum(amount).alias("total"), F.count("*").alias("n_rows"))
     return per.withColumn("mixed", F.count("*").over(Window.partitionBy()) > 1)
+
+
+def unique_warnings(rows: DataFrame, *keys: str) -> DataFrame:
+    """Warnings once each, whatever number of times they were raised."""
+    return rows.dropDuplicates([*keys, "type", "severity", "field", "action", "input_value", "calculated_value"])

@@ -228,3 +228,15 @@ def test_mapping_checks(spark):
     assert mp.direction_pair(columns) == ("Çıkış", "Giriş")
     used = mp.both_sides_flagged(spark.createDataFrame([("x", ""), (None, "no")], "a string, b string"), "a", "b").first()
     assert (used.left_used, used.right_used) == (True, False)
+
+
+def test_small_text_functions(spark):
+    r = spark.createDataFrame([("- Bir konu.\n2) İkinci konu. Üçüncü!\n", "193 GVK", "2", 7)], "t string, law string, a string, p int").select(X.key_points(F.col("t")).alias("k"), X.citation(F.col("law"), F.col("a"), F.col("p")).alias("c"), X.looks_like_number(F.lit("(1.234,5)")).alias("n")).first()
+    assert r.k == ["Bir konu.", "İkinci konu.", "Üçüncü!"] and r.c == "193 GVK, Madde 2, s. 7" and r.n
+    spec = flt.Spec(dates=flt.DateRange("date", date(2024, 1, 1)), amounts=(flt.Amount("amount", ">", 5.0),), unpaid=True, ranking=flt.Ranking("amount", 3, ("party",)))
+    assert flt.describe(spec) == [("dates", "date: 2024-01-01 to ..."), ("amount", "amount > 5.0"), ("unpaid", "only"), ("ranking", "top 3 party by sum of amount")]
+
+
+def test_unique_warnings(spark):
+    rows = val.warning_rows(val.vat(spark.createDataFrame([(None, Decimal("1.00"), Decimal("120.00"), "?")] * 3, "date timestamp, base_amount decimal(18,2), tax_rate decimal(9,2), transaction_type string")))
+    assert rows.count() == 6 and val.unique_warnings(rows).count() == 2
