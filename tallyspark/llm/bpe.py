@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import batches, mix, slices, small_batches
+from .arrays import batches, mix, release, slices, small_batches
 
 NO_RANK = np.int32(2**31 - 1)
 LONG = 256
 #: Matrix cells worked on at once.
 CELLS = 1 << 19
 #: Pieces that a worker remembers between batches.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -252,6 +252,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     ],
                     schema=_DIGESTS,
                 )
+                release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

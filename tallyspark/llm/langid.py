@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, _blocks, as_lower_bytes, batches, mix, small_batches, slices
+from .arrays import LETTERS, _blocks, as_lower_bytes, batches, mix, release, small_batches, slices
 from .logfreq import held_out
 
 BUCKETS = 1 << 13
@@ -185,6 +185,7 @@ def language_column(model: Model, spark):
         for s in slices(texts):
             lang, score, ambiguous = sent.value.predict(texts[s])
             parts.append(pa.StructArray.from_arrays([pa.array(lang), pa.array(score), pa.array(ambiguous)], fields=list(kind)))
+        release()
         return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     return predict

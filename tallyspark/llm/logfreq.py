@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import as_bytes, batches, mix, small_batches, slices, word_hashes
+from .arrays import as_bytes, batches, mix, release, small_batches, slices, word_hashes
 from .saved import saved
 
 END = np.uint64(0xE17A1B2C3D4E5F61)
@@ -36,7 +36,7 @@ PROBES = 4
 #: Upper end of levels: counts to 2**40.
 LEVELS = 40
 #: Distinct n-grams that a task gathers before it passes them on.
-GATHERED = 3_000_000
+GATHERED = 2_000_000
 
 
 def held_out(doc_id, of: int, remainder: int):
@@ -74,7 +74,7 @@ def ngram_counts(docs: DataFrame, bigrams: bool) -> DataFrame:
         held: list[np.ndarray] = []
         size = 0
 
-        def release():
+        def gathered():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             for at in range(0, len(keys), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000])], schema=_COUNTED)
@@ -89,10 +89,11 @@ def ngram_counts(docs: DataFrame, bigrams: bool) -> DataFrame:
                     held += [bigram_hashes(before, tokens), before[before == BEGIN]]
                     size += len(tokens)
                 if size > GATHERED:
-                    yield from release()
+                    yield from gathered()
                     held, size = [], 0
         if held:
-            yield from release()
+            yield from gathered()
+        release()
 
     return docs.select("text").mapInArrow(gather, "h long, n long")
 
@@ -224,6 +225,7 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
                     ],
                     schema=_SCORED,
                 )
+                release()
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
     scored = saved(numbered.mapInArrow(score, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"))

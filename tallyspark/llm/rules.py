@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import PLAIN, SPACE, as_bytes, batches, mix, small_batches, slices, span_hashes, word_blocks
+from .arrays import PLAIN, SPACE, as_bytes, batches, mix, release, small_batches, slices, span_hashes, word_blocks
 
 #: Fixed set of the symbols that count.
 SYMBOLS = b"#*$%&|<>"
@@ -223,6 +223,7 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, statistic
                         values[lost] = getattr(rest, c)
                         columns.append(pa.array(values))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                release()
 
     kinds = "doc_id long, kept boolean, rejected_by string" + "".join(f", {c} long" for c in STATS if statistics)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, kinds)

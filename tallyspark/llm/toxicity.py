@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, as_lower_bytes, mix, small_batches, slices, span_hashes, word_blocks
+from .arrays import LETTERS, as_lower_bytes, mix, release, small_batches, slices, span_hashes, word_blocks
 from .logfreq import held_out
 
 WINDOW, STRIDE = 48, 24
@@ -287,6 +287,7 @@ def toxicity_column(net: Network | None, spark):
         if sent.value is None:
             return pa.array(np.zeros(len(texts)))
         parts = [sent.value.scores(texts[s]) for s in slices(texts, 2 << 20)]
+        release()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return score

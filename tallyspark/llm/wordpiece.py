@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import as_bytes, batches, mix, slices, small_batches
+from .arrays import as_bytes, batches, mix, release, slices, small_batches
 
 DEAD = -1
 #: Words that a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 CELLS = 1 << 20
 
 
@@ -185,6 +185,7 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                 own.known.update(zip(new, own.counts(new).tolist(), strict=True))
                 found = np.array([own.text_counts(t) for t in texts[s]], np.int64)
                 yield pa.RecordBatch.from_arrays([b["doc_id"][s], *(pa.array(found[:, k]) for k in range(3))], schema=_COUNTS)
+                release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
