@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, as_bytes, batches, fresh, small_batches
+from .arrays import LOWER, as_bytes, batches, fresh, release, small_batches
 from .components import connected_components
 from .saved import saved
 
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for b in batches(iterator, ["doc_id", "text"]):
             fps = np.array([fingerprint(t) for t in as_bytes(b["text"])], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -169,10 +170,12 @@ def one_per_component(docs: DataFrame, radius: int = 2) -> DataFrame:
     """
     found = saved(near_duplicate_components(docs, radius))
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    often = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    rows = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    single = rows.join(often, "doc_id", "left_anti")
-    repeated = rows.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    often = saved(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    # the ids are hashed and the texts stream past them, so no task sorts whole texts
+    single = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    if not often.isEmpty():
+        repeated = single.join(often.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        single = single.join(often.hint("shuffle_hash"), "doc_id", "left_anti").unionByName(repeated)
     nameless = docs.where(F.col("doc_id").isNull())
     fp, root = fresh(docs, "fp"), fresh(docs, "root")
     free = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
@@ -182,4 +185,4 @@ def one_per_component(docs: DataFrame, radius: int = 2) -> DataFrame:
         return pa.array(np.array([fingerprint(t) for t in as_bytes(text)], np.uint64).view(np.int64))
 
     nameless = nameless.withColumn(fp, fingerprint_of(F.col("text").cast("string"))).join(free, fp).dropDuplicates([root])
-    return single.unionByName(repeated).unionByName(nameless.select(*docs.columns)).select(*docs.columns)
+    return single.select(*docs.columns).unionByName(nameless.select(*docs.columns))
