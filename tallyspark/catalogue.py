@@ -187,9 +187,7 @@ def _leader_sql(dimension: str, measure: str) -> str:
 
 @query("q17_sales_leaders", _SALES + " UNION ALL ".join([_leader_sql("product_name", "total"), _leader_sql("customer", "total"), _leader_sql("salesperson", "total"), _leader_sql("region", "signed_quantity")]))
 def sales_leaders(spark: SparkSession, d: str) -> DataFrame:
-    rows = _sales(spark, d)
-    out = [rep.leader(rows, by, F.col("total")) for by in ("product_name", "customer", "salesperson")] + [rep.leader(rows, "region", F.col("signed_quantity"))]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    return rep.leaders(_sales(spark, d), {"product_name": F.col("total"), "customer": F.col("total"), "salesperson": F.col("total"), "region": F.col("signed_quantity")})
 
 
 @query("q18_sales_warnings", _SALES0 + """SELECT severity, type, count(*) AS n FROM (

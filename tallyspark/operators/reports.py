@@ -89,11 +89,18 @@ def sales_months(df: DataFrame) -> DataFrame:
     return sales_by(df.withColumn("month", D.period(F.col("date"))), "month").withColumnRenamed("label", "month")
 
 
-def leader(df: DataFrame, dimension: str, measure: Column) -> DataFrame:
-    """The one label with the most; ties go to the smaller label. Two aggregations, no sort of all."""
-    per = df.where(F.col(dimension).isNotNull()).groupBy(F.col(dimension).alias("label")).agg(F.sum(measure).alias("v"))
-    top = per.agg(F.min_by(F.struct("label", "v"), F.struct((-F.col("v")).alias("o"), "label")).alias("x"))
-    return top.select(F.lit(dimension).alias("dimension"), "x.label", F.col("x.v").cast("double").alias("value"))
+def leaders(df: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """For each dimension the label with the most of its measure, ties to the smaller label.
+
+    One pass: grouping sets expand a row per dimension before partial sums, and the best of
+    each dimension is an aggregate again, so nothing is sorted or scanned twice.
+    """
+    names = list(measures)
+    sums = df.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(*[F.sum(m).alias(f"v{k}") for k, m in enumerate(measures.values())], *[F.grouping(n).alias(f"g{k}") for k, n in enumerate(names)])
+    pick = lambda choose: F.coalesce(*[F.when(F.col(f"g{k}") == 0, choose(k, n)) for k, n in enumerate(names)])
+    rows = sums.select(pick(lambda k, n: F.lit(n)).alias("dimension"), pick(lambda k, n: F.col(n)).alias("label"), pick(lambda k, n: F.col(f"v{k}")).alias("v")).where(F.col("label").isNotNull())
+    top = rows.groupBy("dimension").agg(F.min_by(F.struct("label", "v"), F.struct((-F.col("v")).alias("o"), "label")).alias("x"))
+    return top.select("dimension", "x.label", F.col("x.v").cast("double").alias("value"))
 
 
 def profit(df: DataFrame, monthly: bool = False) -> DataFrame:
