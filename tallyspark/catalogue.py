@@ -404,6 +404,12 @@ def multi_sort(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
 
 
+@query("q45_multi_sort_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+def multi_sort_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return flt.placed(rows, (("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True))).select("o_orderkey", "place")
+
+
 PROMPT = "2000 yili icin 50 bin tl uzeri, odenmemis ve vadesi gecmis alacaklar; en buyuk 12 kayit"
 
 
@@ -686,11 +692,22 @@ def message_history(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("q83_message_history_all", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def message_history_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").orderBy("conv_id", "turn")
+    return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("q84_report_list", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY n_turns DESC, conv_id DESC LIMIT 20")
 def report_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("n_turns"), F.desc("conv_id")).limit(20)
 
 
+@query("q84_report_list_all", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def report_list_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("n_turns"), F.desc("conv_id"))
+
+
 @query("q85_mask", r"""SELECT c_custkey, concat(left(c_name, 1), repeat('*', length(c_name) - 1)) AS employee_name, concat(left(t, 2), repeat('*', length(t) - 4), right(t, 2)) AS tax_id, concat('TR12 **** **** ', right(t, 4)) AS iban FROM (SELECT c_custkey, c_name, CAST(10000000 + c_custkey AS VARCHAR) AS t FROM customer) x""")
 def mask(spark: SparkSession, d: str) -> DataFrame:
     t = (F.col("c_custkey") + 10000000).cast("string")
@@ -721,34 +738,70 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("q90_kv_blocks", "SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f) WHERE o_orderkey % 50 = 1")
-def kv_blocks(spark: SparkSession, d: str) -> DataFrame:
+def _kv_blocks(rows: DataFrame) -> DataFrame:
     block = lambda k: F.concat(F.lit("Tutar: "), F.col("o_orderkey") + k, F.lit("\nOncelik: "), "o_orderpriority")
-    rows = table(spark, d, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("id"), F.concat(block(0), F.lit("\n\n"), block(1)).alias("text"))
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.concat(block(0), F.lit("\n\n"), block(1)).alias("text"))
     return src.key_value_blocks(rows, "text", "id")
 
 
+@query("q90_kv_blocks", "SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f) WHERE o_orderkey % 50 = 1")
+def kv_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _kv_blocks(table(spark, d, "orders").where("o_orderkey % 50 = 1"))
+
+
+@query("q90_kv_blocks_all", "SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f)")
+def kv_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    return _kv_blocks(table(spark, d, "orders"))
+
+
+def _delimited(rows: DataFrame) -> DataFrame:
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Tarih; Tutar; Durum\n"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; "), "o_custkey", F.lit(";"), "o_orderstatus").alias("text"))
+    return src.delimited(rows, "text", "id")
+
+
 @query("q91_delimited", "SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f) WHERE o_orderkey % 50 = 2")
 def delimited(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_orderkey % 50 = 2").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Tarih; Tutar; Durum\n"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; "), "o_custkey", F.lit(";"), "o_orderstatus").alias("text"))
-    return src.delimited(rows, "text", "id")
+    return _delimited(table(spark, d, "orders").where("o_orderkey % 50 = 2"))
 
 
-@query("q91b_json_records", "SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r) WHERE o_orderkey % 50 = 3")
-def json_records(spark: SparkSession, d: str) -> DataFrame:
+@query("q91_delimited_all", "SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f)")
+def delimited_all(spark: SparkSession, d: str) -> DataFrame:
+    return _delimited(table(spark, d, "orders"))
+
+
+def _json_records(rows: DataFrame) -> DataFrame:
     one = lambda k: F.concat(F.lit('{"tutar": '), F.col("o_custkey") + k, F.lit("}"))
-    rows = table(spark, d, "orders").where("o_orderkey % 50 = 3").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"records": ['), one(0), F.lit(","), one(1), F.lit("]}")).alias("text"))
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"records": ['), one(0), F.lit(","), one(1), F.lit("]}")).alias("text"))
     return src.json_records(rows, "text", "id").select("id", "record", F.col("fields").getItem("tutar").alias("amount"))
 
 
-@query("q92_alias_mapping", "SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem WHERE l_linenumber = 1")
-def alias_mapping(spark: SparkSession, d: str) -> DataFrame:
-    sheet = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.date_format("l_shipdate", "dd.MM.yyyy").alias("İşlem Tarihi"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("Tutar"), F.col("l_suppkey").cast("string").alias("Cari"), F.col("l_returnflag").alias("Yön"))
+@query("q91b_json_records", "SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r) WHERE o_orderkey % 50 = 3")
+def json_records(spark: SparkSession, d: str) -> DataFrame:
+    return _json_records(table(spark, d, "orders").where("o_orderkey % 50 = 3"))
+
+
+@query("q91b_json_records_all", "SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r)")
+def json_records_all(spark: SparkSession, d: str) -> DataFrame:
+    return _json_records(table(spark, d, "orders"))
+
+
+def _alias_mapping(rows: DataFrame) -> DataFrame:
+    sheet = rows.select("l_orderkey", F.date_format("l_shipdate", "dd.MM.yyyy").alias("İşlem Tarihi"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("Tutar"), F.col("l_suppkey").cast("string").alias("Cari"), F.col("l_returnflag").alias("Yön"))
     mapping = mp.heuristic_mapping(sheet.columns[1:], ["date", "amount", "counterparty", "direction"])
     out = mp.canonical(sheet, mapping, numbers=("amount",), dates=("date",), enums=("direction",), keep=("l_orderkey",))
     return out.select(F.col("l_orderkey").alias("id"), F.col("date").cast("timestamp_ntz").alias("date"), F.col("amount").cast("double").alias("amount"), "counterparty", "direction")
 
 
+@query("q92_alias_mapping", "SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem WHERE l_linenumber = 1")
+def alias_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return _alias_mapping(table(spark, d, "lineitem").where("l_linenumber = 1"))
+
+
+@query("q92_alias_mapping_all", "SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem")
+def alias_mapping_all(spark: SparkSession, d: str) -> DataFrame:
+    return _alias_mapping(table(spark, d, "lineitem"))
+
+
 @query("q93_debit_credit", """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS l, CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS r FROM events)
   SELECT CASE WHEN coalesce(r, 0) <> 0 THEN 'income' WHEN coalesce(l, 0) <> 0 THEN 'expense' END AS direction, count(*) AS n_rows, """ + _t("CASE WHEN coalesce(r, 0) <> 0 THEN r ELSE l END") + " AS total FROM x GROUP BY 1")
 def debit_credit(spark: SparkSession, d: str) -> DataFrame:
@@ -778,10 +831,19 @@ def suitability(spark: SparkSession, d: str) -> DataFrame:
     return reg.suitability("current_account", fact(spark, d, "account").drop("direction"))
 
 
+def _prompt_amounts(rows: DataFrame) -> DataFrame:
+    rows = rows.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Ocak ayinda gelir "), "o_custkey", F.lit(" bin tl ve gider 1.200,50 tl")).alias("text"))
+    return src.month_amounts(rows, "text", "id")
+
+
 @query("q97_prompt_amounts", "SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction) WHERE o_orderkey % 50 = 4")
 def prompt_amounts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").where("o_orderkey % 50 = 4").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Ocak ayinda gelir "), "o_custkey", F.lit(" bin tl ve gider 1.200,50 tl")).alias("text"))
-    return src.month_amounts(rows, "text", "id")
+    return _prompt_amounts(table(spark, d, "orders").where("o_orderkey % 50 = 4"))
+
+
+@query("q97_prompt_amounts_all", "SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction)")
+def prompt_amounts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _prompt_amounts(table(spark, d, "orders"))
 
 
 @query("q98_legacy_filter", _LED + "SELECT event_id FROM v WHERE lower(category) IN ('click', 'purchase') AND CAST(date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
@@ -789,14 +851,23 @@ def legacy_filter(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d).where(flt.legacy_predicate("category", ("Click", "PURCHASE"), "date", date(2024, 1, 5), date(2024, 1, 9))).select("event_id")
 
 
-@query("q99_law_metadata", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents WHERE doc_id < 100".replace("Iş", "İş"))
-def law_metadata(spark: SparkSession, d: str) -> DataFrame:
+def _law_metadata(rows: DataFrame) -> DataFrame:
     number = F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
-    heads = table(spark, d, "documents").where("doc_id < 100").select("doc_id", F.concat(F.lit("kanun_"), number).alias("stem"), F.when(F.col("doc_id") % 2 == 0, "İŞ KANUNU").otherwise("Genel hükümler").alias("a"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Kanun Numarası : "), number)).otherwise("metin").alias("b"))
+    heads = rows.select("doc_id", F.concat(F.lit("kanun_"), number).alias("stem"), F.when(F.col("doc_id") % 2 == 0, "İŞ KANUNU").otherwise("Genel hükümler").alias("a"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Kanun Numarası : "), number)).otherwise("metin").alias("b"))
     pages = heads.select("doc_id", "stem", F.lit(1).alias("page"), F.posexplode(F.array("a", "b")).alias("line_no", "text"))
     return laws.law_metadata(pages).select("doc_id", "law_no", "law_name")
 
 
+@query("q99_law_metadata", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents WHERE doc_id < 100".replace("Iş", "İş"))
+def law_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return _law_metadata(table(spark, d, "documents").where("doc_id < 100"))
+
+
+@query("q99_law_metadata_all", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents".replace("Iş", "İş"))
+def law_metadata_all(spark: SparkSession, d: str) -> DataFrame:
+    return _law_metadata(table(spark, d, "documents"))
+
+
 @query("q99b_corpus_report", _LINES + r"SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(t) AS BIGINT) AS n_tokens, max(n) AS most_chunks FROM (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'))) AS t FROM l WHERE text <> '' GROUP BY 1) x")
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.lines(table(spark, d, "documents")).where("text <> ''")

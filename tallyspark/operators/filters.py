@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 from ..session import DEFAULTS, Settings
@@ -169,6 +170,12 @@ def multi_sort(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in sorts])
 
 
+def placed(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:
+    """Every row with its ``place`` in that order, from 1: sorted by ranges, which are counted and then numbered each."""
+    found = multi_sort(df, sorts).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
+    return df.sparkSession.createDataFrame(found, StructType([*df.schema.fields, StructField("place", LongType(), False)]))
+
+
 def legacy_predicate(field_: str, values: tuple[str, ...], day_field: str, start: date | None, end: date | None) -> Column:
     """The older filter: lower-cased categories, and whole days at both ends."""
     out = F.lower(F.col(field_)).isin(*[v.lower() for v in values]) if values else F.lit(True)
