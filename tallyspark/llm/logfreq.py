@@ -2,10 +2,16 @@
 
 Counts of word unigrams and bigrams are gathered over all training texts by a shuffle.
 A count c is quantised to level 1 + floor(log2 c); the filter then holds the items
-(n-gram, 1) ... (n-gram, level). It has a fixed size (``filter_bytes``, the proven bound
-of what is broadcast), is built shard by shard on the executors, and a reader recovers a
-level by probing for 1, 2, ... until a probe fails. A full filter answers too high at
-times, never too low; no n-gram is left out of it.
+(n-gram, 1) ... (n-gram, level). It is built shard by shard on the executors, and a reader
+recovers a level by probing for 1, 2, ... until a probe fails. The filter answers too high
+at times, never too low; no n-gram is left out of it.
+
+Its size follows the corpus: at least BITS_EACH bits an item, so that with PROBES probes at
+most 40% of the bits are set and an item not held is found in at most 2.5% of the lookups.
+It consists of groups of shards with ``filter_bytes`` each, which bounds what is broadcast. One group is
+looked up while scoring. With more, each is broadcast in a pass of its own that notes the
+levels of its n-grams beside the text, and scores follow from the levels. Passes over the
+corpus hence grow with its distinct n-grams. The fill is logged.
 
 P(w | v) = (c(v w) + prior * P(w)) / (c(v) + prior), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 with all c read from the filter.
@@ -21,18 +27,24 @@ not arise. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import as_bytes, batches, mix, release, small_batches, slices, word_hashes
-from .saved import saved
+from .saved import drop, saved
+
+LOG = logging.getLogger(__name__)
 
 END = np.uint64(0xE17A1B2C3D4E5F61)
 BEGIN = np.uint64(0xB3617A1B2C3D4E5F)
 SHARDS = 256
 PROBES = 4
+#: Bits of the filter for each (n-gram, level) held.
+BITS_EACH = 8
 #: Upper end of levels: counts to 2**40.
 LEVELS = 40
 #: Distinct n-grams that a task gathers before it passes them on.
@@ -113,59 +125,138 @@ def quantised(n: np.ndarray) -> np.ndarray:
 LEVEL_COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, LEVELS + 1)])
 
 
-def insert(filter_: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int) -> None:
+def insert(filter_: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
+    """``slot``: which of the shards that ``filter_`` holds each of ``h`` belongs to, where these aren't all of a group."""
     level = quantised(n)
     for q in range(1, int(level.max(initial=0)) + 1):
-        keys = h[level >= q]
+        reached = level >= q
+        keys = h[reached]
+        base = None if slot is None else slot[reached] * np.uint64(bits)
         for probe in range(PROBES):
             at = _positions(keys, q, probe, bits)
+            if base is not None:
+                at = (at & np.uint64(bits - 1)) + base
             np.bitwise_or.at(filter_, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
 
 
-def lookup(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """The quantised count of each n-gram, by membership probes from level 1 up."""
+def levels_of(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each n-gram, by membership probes from level 1 up."""
     level = np.zeros(len(h), np.int64)
     alive = np.arange(len(h))
     for q in range(1, LEVELS + 1):
         for probe in range(PROBES):
             if not len(alive):
-                return LEVEL_COUNT[level]
+                return level
             at = _positions(h[alive], q, probe, bits)
             hit = (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
             alive = alive[hit == 1]
         level[alive] = q
-    return LEVEL_COUNT[level]
+    return level
+
+
+def lookup(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """The quantised count of each n-gram."""
+    return LEVEL_COUNT[levels_of(filter_, h, bits)]
+
+
+def groups_for(items: int, filter_bytes: int) -> int:
+    """How many groups of ``filter_bytes`` hold that many items at BITS_EACH: a power of two."""
+    need = -(-items * BITS_EACH // (filter_bytes * 8))
+    return 1 << max(0, need - 1).bit_length()
 
 
-def build_filter(counts: DataFrame, filter_bytes: int) -> bytes:
-    """The filter over all (h, n): built by shard on the executors; only its fixed number of bytes comes to the driver."""
+def group_of(h: np.ndarray, groups: int) -> np.ndarray:
+    return (h % np.uint64(SHARDS * groups)) // np.uint64(SHARDS)
+
+
+def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame:
+    """(group, k, items, bits): shards of the filter over all (h, n), built and written by the executors."""
     bits = filter_bytes * 8 // SHARDS
     if bits & (bits - 1):
         raise ValueError("filter_bytes must be a power of two")
-    spark = counts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_shard = counts.select("h", "n", F.pmod("h", F.lit(SHARDS)).alias("shard")).repartition(min(parts, SHARDS), "shard")
-    summed = by_shard.groupBy("shard", "h").agg(F.sum("n").alias("n"))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(max(min(parts, SHARDS), groups), "slice")
+    summed = by_slice.groupBy("slice", "h").agg(F.sum("n").alias("n"))
+    each = filter_bytes // SHARDS
 
     def build(iterator):
-        own = np.zeros(filter_bytes, np.uint8)
-        seen = np.zeros(SHARDS, bool)
+        own = np.zeros(each, np.uint8)
+        slots: dict[int, int] = {}
+        items: dict[int, int] = {}
         for b in batches(iterator, ["h", "n"]):
-            h = b["h"].to_numpy().view(np.uint64)
-            insert(own, h, b["n"].to_numpy(), bits)
-            seen[(h % np.uint64(SHARDS)).astype(np.int64)] = True
-        each = filter_bytes // SHARDS
-        for k in np.flatnonzero(seen):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([own[k * each : (k + 1) * each].tobytes()], pa.binary())], names=["k", "bits"])
-
-    whole = bytearray(filter_bytes)
-    each = filter_bytes // SHARDS
+            h, n = b["h"].to_numpy().view(np.uint64), b["n"].to_numpy()
+            found, at = np.unique(h % np.uint64(SHARDS * groups), return_inverse=True)
+            held = np.array([slots.setdefault(k, len(slots)) for k in found.tolist()], np.uint64)
+            if len(slots) * each > len(own):
+                own = np.concatenate([own, np.zeros(max(len(own), len(slots) * each - len(own)), np.uint8)])
+            insert(own, h, n, bits, held[at])
+            for k, size in zip(found.tolist(), np.bincount(at, weights=quantised(n)).tolist(), strict=True):
+                items[k] = items.get(k, 0) + int(size)
+        for k, slot in slots.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "bits"])
+
     # written first: fetching partition by partition would otherwise also build them one after the other
-    for row in saved(summed.select("h", "n").mapInArrow(build, "k int, bits binary")).toLocalIterator():
-        held = np.frombuffer(whole, np.uint8)
-        part = held[row.k * each : (row.k + 1) * each]
-        part |= np.frombuffer(row.bits, np.uint8)
-    return bytes(whole)
+    return saved(summed.select("h", "n").mapInArrow(build, "group int, k int, items long, bits binary"))
+
+
+def sized_slices(counts: DataFrame, filter_bytes: int) -> tuple[DataFrame, int]:
+    """The shards and the number of groups: built as one group, and again as more if the items counted then need them."""
+    groups = 1
+    while True:
+        made = build_slices(counts, filter_bytes, groups)
+        items = made.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
+        if groups_for(items, filter_bytes) <= groups:
+            fill = 1 - np.exp(-PROBES * items / (groups * filter_bytes * 8))
+            LOG.info("filter: %d items in %d groups of %d bytes, fill %.3f, false answers %.4f an item", items, groups, filter_bytes, fill, fill**PROBES)
+            return made, groups
+        drop(made)
+        groups = groups_for(items, filter_bytes)
+
+
+def group_filter(made: DataFrame, group: int, filter_bytes: int) -> np.ndarray:
+    """One group's bits: all that comes to the driver at a time."""
+    whole = np.zeros(filter_bytes, np.uint8)
+    each = filter_bytes // SHARDS
+    for row in made.where(F.col("group") == group).select("k", "bits").toLocalIterator():
+        whole[row.k * each : (row.k + 1) * each] = np.frombuffer(row.bits, np.uint8)
+    return whole
+
+
+_LEVELS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_()), ("levels", pa.binary())])
+
+
+def with_levels(rows: DataFrame, made: DataFrame, groups: int, filter_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with ``levels``, two bytes a token (its bigram's level and its own), and the level of BEGIN: a pass for each group."""
+    spark = rows.sparkSession
+    bits = filter_bytes * 8 // SHARDS
+    out = rows.withColumn("levels", F.lit(None).cast("binary"))
+    begin = 0
+    for group in range(groups):
+        filter_ = group_filter(made, group, filter_bytes)
+        if group_of(np.array([BEGIN]), groups)[0] == group:
+            begin = int(levels_of(filter_, np.array([BEGIN]), bits)[0])
+        sent = spark.sparkContext.broadcast(filter_)
+
+        def note(iterator, sent=sent, group=group):
+            for b in batches(iterator, _LEVELS.names):
+                texts = as_bytes(b["text"])
+                for s in slices(texts, 4 << 20):
+                    tokens, before, of_text = token_stream(texts[s])
+                    known = b["levels"][s].to_pylist()
+                    levels = np.zeros((len(tokens), 2), np.uint8) if known[0] is None else np.frombuffer(b"".join(known), np.uint8).reshape(-1, 2).copy()
+                    for c, h in enumerate((bigram_hashes(before, tokens), tokens)):
+                        at = np.flatnonzero(group_of(h, groups) == group)
+                        levels[at, c] = levels_of(sent.value, h[at], bits)
+                    ends = np.searchsorted(of_text, np.arange(s.stop - s.start + 1))
+                    noted = pa.array([levels[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([b["row_id"][s], b["doc_id"][s], b["text"][s].cast(pa.string()), b["held_out"][s], noted], schema=_LEVELS)
+                    release()
+
+        last, out = out, saved(out.mapInArrow(note, "row_id long, doc_id long, text string, held_out boolean, levels binary"))
+        if group:
+            drop(last)
+        sent.destroy()
+    return out, begin
 
 
 _SCORED = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
@@ -183,25 +274,36 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     known = counts.where(F.col("n") * frequent >= total).toArrow()
     order = np.argsort(known_h := known.column("h").to_numpy().view(np.uint64))
     top = (known_h[order], known.column("n").to_numpy()[order])
-    sent = spark.sparkContext.broadcast((np.frombuffer(build_filter(ngram_counts(train, True), filter_bytes), np.uint8), *top))
+    made, groups = sized_slices(ngram_counts(train, True), filter_bytes)
+    numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
+    begin, filter_ = 0, None
+    if groups == 1:
+        filter_ = group_filter(made, 0, filter_bytes)
+        begin = int(levels_of(filter_, np.array([BEGIN]), filter_bytes * 8 // SHARDS)[0])
+    else:
+        numbered, begin = with_levels(numbered, made, groups, filter_bytes)
+    sent = spark.sparkContext.broadcast((filter_, *top))
+    del filter_
     bits = filter_bytes * 8 // SHARDS
     floor = total + 0.5 * (distinct + 1)
+    columns = ["row_id", "doc_id", "text", "held_out"] + ["levels"] * (groups > 1)
 
     def score(iterator):
         filter_, top_h, top_n = sent.value
-        for b in batches(iterator, ["row_id", "doc_id", "text", "held_out"]):
+        for b in batches(iterator, columns):
             texts = as_bytes(b["text"])
             for s in slices(texts, 4 << 20):
                 tokens, before, of_text = token_stream(texts[s])
                 n = s.stop - s.start
                 words, at = np.unique(tokens, return_inverse=True)
-                word_count = lookup(filter_, words, bits)
-                pair = lookup(filter_, bigram_hashes(before, tokens), bits)
-                starts = before == BEGIN
+                if groups == 1:
+                    single = lookup(filter_, words, bits)[at]
+                    pair = lookup(filter_, bigram_hashes(before, tokens), bits)
+                else:
+                    pair, single = LEVEL_COUNT[np.frombuffer(b"".join(b["levels"][s].to_pylist()), np.uint8).reshape(-1, 2).T]
                 left = np.empty(len(tokens))
-                left[1:] = word_count[at[:-1]]
-                left[starts] = lookup(filter_, np.array([BEGIN]), bits)[0]
-                single = word_count[at]
+                left[1:] = single[:-1]
+                left[before == BEGIN] = LEVEL_COUNT[begin]
                 pair = np.minimum(pair, np.minimum(left, single))
                 p = (pair + prior * (single + 0.5) / floor) / (left + prior)
                 scores = np.bincount(of_text, weights=np.log10(p), minlength=n)
@@ -227,7 +329,6 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
                 )
                 release()
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
     scored = saved(numbered.mapInArrow(score, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"))
     pairs = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row_id", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     met = pairs.join(counts.where(F.col("n") * frequent < total), "h", "left")

@@ -27,6 +27,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes one table that ``saved`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes what ``saved`` wrote, once results that read it have been written or are no longer needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tallyspark")

@@ -124,6 +124,35 @@ def test_lm_prefers_seen_text(spark):
     assert found[5001].score > found[5002].score + 1
 
 
+def test_lm_scores_grow_with_the_corpus(spark):
+    """A corpus of many times the items that one group holds scores like a model with exact quantised counts."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"w{x}" for x in (rng.zipf(1.3, 60) % 3000).tolist())) for k in range(1500)]
+    small = 1 << 14
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in logfreq.lm_scores(table, filter_bytes=small).collect()}
+    made, groups = logfreq.sized_slices(logfreq.ngram_counts(table.where(~logfreq.held_out(F.col("doc_id"), 5, 1)), True), small)
+    assert groups >= 4
+    set_ = np.mean([np.unpackbits(logfreq.group_filter(made, g, small)).mean() for g in range(groups)])
+    assert 0.15 < set_ <= 0.4
+    words, pairs = Counter(), Counter()
+    for k, t in rows:
+        if crc(k, 5) != 1:
+            said = ["<", *t.split(), ">"]
+            words.update(said)
+            pairs.update(zip(said, said[1:]))
+    n, v = sum(words.values()) - words["<"], len(words) - 1
+    level = lambda c: logfreq.LEVEL_COUNT[logfreq.quantised(np.array([c]))[0]] if c else 0.0
+    off = []
+    for k, t in rows:
+        said, want = ["<", *t.split(), ">"], 0.0
+        for a, b in zip(said, said[1:]):
+            left, single = level(words[a]), level(words[b])
+            want += math.log10((min(level(pairs[a, b]), left, single) + 64 * (single + 0.5) / (n + 0.5 * (v + 1))) / (left + 64))
+        off.append(abs(found[k].score - want) / abs(want))
+    assert len(found) == len(rows) and np.mean(off) < 0.01 and max(off) < 0.1
+
+
 # op3
 
 
