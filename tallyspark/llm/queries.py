@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
-    return chat.example_digests(chat.prefix_target_examples(turns.unionByName(planted)))
+    return chat.example_digests(chat.prefix_target_examples(turns.unionByName(planted)), whole=True)
 
 
 def lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

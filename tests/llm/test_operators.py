@@ -89,6 +89,28 @@ def test_chat_examples_hold_context_and_reply(spark):
     assert chat.prefix_target_examples(turns.limit(0)).count() == 0
 
 
+def test_chat_contexts_are_whole_beyond_the_limit(spark):
+    rows = [(c, t, "assistant" if t % 3 == 2 else "user", f"{c} {t} <s> " + "é" * 40) for c in (1, 2, None) for t in range(60)]
+    rows += [(3, t, "user", "u" * 80) for t in range(30)] + [(4, t, "user" if t < 20 else "assistant", "v" * 60) for t in range(21)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = chat.prefix_target_examples(turns, 300).cache()
+    assert found.where("base_turns > 0").count() > 20
+    by = defaultdict(list)
+    for c, _, role, text in rows:
+        by[c].append((role, text))
+    whole = chat.read_back(found).collect()
+    for r in whole:
+        assert chat.read_turns(r.text) == by[r.conv_id][: r.n_turns]
+        role, said = by[r.conv_id][r.n_turns - 1]
+        assert (r.loss_start is None) == (role != "assistant")
+        assert r.loss_start is None or chat.unescape(r.text[r.loss_start : r.loss_end]) == said
+    ends = {(c, k) for c, x in by.items() for k in range(1, len(x) + 1) if x[k - 1][0] == "assistant" or k == len(x)}
+    assert len(whole) == len(ends) and {(r.conv_id, r.n_turns) for r in whole} == ends
+    small, large = ({tuple(r) for r in chat.example_digests(chat.prefix_target_examples(turns, n), whole=True).collect()} for n in (300, 1 << 20))
+    assert small == large
+    assert {r[0]: r[5] for r in small} == {c: sum(len(r.text) for r in whole if r.conv_id == c) for c in by}
+
+
 # op2
 
 
