@@ -14,7 +14,8 @@ are reranked; their number has no cap.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from
 most take no part; rows with null vec_id neither. Ties go to the smaller vec_id. Repeated
-rows are candidates each (a query's own vec_id never). An empty table gives no rows.
+rows are candidates each (a query's own vec_id never), but ask once: of different vectors
+with one vec_id the least, component by component, asks. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -191,7 +192,7 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 81
     quantiser = fit(_sorted_rows(np.array([r.vector for r in sample.toLocalIterator()], np.float32).reshape(-1, dim)), books)
     model = spark.sparkContext.broadcast(quantiser)
     index = _blocks(vectors, dim, INDEX_BLOCK, n, model)
-    asked = vectors.where(F.col("vec_id") % every == 0)
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     queries = _blocks(asked, dim, QUERY_BLOCK, max(1, n // every), None)
     numbers = [r.block for r in index.select("block").collect()]
     # The stated queries against all rows, block by block: a query block goes to each index block.

@@ -524,6 +524,21 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_nearest_with_repeated_query_rows(spark):
+    rng = np.random.default_rng(3)
+    data = [[float(np.float32(v)) for v in x] for x in rng.standard_normal((300, 8))]
+    rows = list(enumerate(data)) + [(20, data[20])] * 2 + [(40, data[40])] * 24 + [(60, data[61])]
+    asks = dict(enumerate(data)) | {60: min(data[60], data[61])}
+    by = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)).collect():
+        by[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert by.keys() == set(range(0, 300, 20))
+    for q, found in by.items():
+        near = sorted((-float(np.dot(asks[q], v)), i) for i, v in rows if i != q)[:20]
+        assert [(k, i) for k, i, _ in sorted(found)] == [(k, i) for k, (_, i) in enumerate(near, 1)]
+        assert [x for _, _, x in sorted(found)] == pytest.approx([-x for x, _ in near])
+
+
 # registration
 
 
