@@ -5,12 +5,15 @@ codebooks are fitted one after the other to the residuals of a bounded sample
 (``sample_rows``), and a vector's codes are found by a beam search over all of them. The
 index holds codes, the norm of the approximation and the norm of what it misses.
 
-Queries meet the index in blocks. Lookup tables of query and codeword products give all
-approximate scores. A block's candidates are all vectors whose approximate score is no
-further below the exact score of the ``k``-th best one reranked than DEVIATIONS times the
-error that such a miss usually makes (norms and dimension give it); they are reranked by
-exact products in double precision. Where many vectors are about as near, all of them
-are reranked; their number has no cap.
+Every query block is sent to PARTS parts of the index, whatever the number of rows or
+partitions. A task streams over one part, block by block, and keeps each query's ``k``
+best so far, so it passes on ``k`` rows a query at most. Lookup tables of query and
+codeword products give all approximate scores of a block; its candidates are all vectors
+whose approximate score is no further below the query's ``k``-th best exact score than
+DEVIATIONS times the error that such a miss usually makes (norms and dimension give it);
+they are reranked by exact products in double precision. Where many vectors are about as
+near, all of them are reranked; their number has no cap. A last step takes the ``k`` best
+of PARTS * ``k``.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from
 most take no part; rows with null vec_id neither. Ties go to the smaller vec_id. Repeated
@@ -25,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import batches
-from .saved import saved
+from .arrays import batches, mix
 
 BOOKS, WORDS, BEAM = 12, 256, 4
 DEVIATIONS = 3.0
 FIRST = 64
-INDEX_BLOCK, QUERY_BLOCK = 1 << 12, 1 << 10
+#: Parts of the index, which bound the rows that a query's search passes on.
+PARTS = 8
+#: Vectors that are scored at a time, and queries against them.
+INDEX_BLOCK, QUERY_BLOCK = 1 << 12, 1 << 9
+#: Queries that a task holds, about: each such group reads the index once.
+QUERY_GROUP = 1 << 13
+#: Exact products worked out at a time.
+PAIRS = 1 << 15
 
 
 class Quantiser:
@@ -90,126 +99,171 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return Quantiser(found)
 
 
-def usable(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, vector) rows that take part, and their dimension."""
+def usable(rows: DataFrame, every: int) -> tuple[DataFrame, int, int, int]:
+    """(vec_id, vector) rows that take part, their dimension, their number and the number of those that ask; one count."""
     v = F.col("embedding").cast("array<double>")
     kept = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = kept.where(~bad & F.exists("vector", lambda x: x != 0))
-    common = kept.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = common.d if common else 0
-    return kept.where(F.size("vector") == dim), dim
+    sizes = kept.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("asked"))
+    common = sizes.orderBy(F.desc("n"), "d").first()
+    if not common:
+        return kept, 0, 0, 0
+    return kept.where(F.size("vector") == common.d), common.d, common.n, common.asked
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _blocks(rows: DataFrame, dim: int, size: int, n: int, model) -> DataFrame:
-    """(block, ids, vectors, codes, norms, missed): rows packed by a hash of vec_id, ``size`` or so to a block.
-
-    Vectors of one block stand together in one row of bounded size; a block that a
-    partition ends with may be small.
-    """
-    kind = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary()), ("missed", pa.binary())])
-
-    def pack(iterator):
-        held_ids, held = [], []
-
-        def release():
-            ids, vectors = np.concatenate(held_ids), np.concatenate(held)
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], vectors[order]
-            for at in range(0, len(ids), size):
-                x = vectors[at : at + size]
-                codes, near = model.value.encode(x.astype(np.float32)) if model else (np.zeros(0, np.uint8), x[:0])
-                missed = np.sqrt(((x - near) ** 2).sum(axis=1)) if model else np.zeros(0)
-                norms = np.sqrt((near**2).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids[at : at + size], x, codes, norms.astype(np.float64), missed.astype(np.float64))], schema=kind)
-
-        for b in batches(iterator, ["vec_id", "vector"]):
-            held_ids.append(b["vec_id"].to_numpy())
-            held.append(_matrix(b["vector"], dim))
-            if sum(map(len, held_ids)) >= size:
-                yield from release()
-                held_ids, held = [], []
-        if held_ids:
-            yield from release()
-
-    parts = max(1, -(-n // size))
-    dealt = rows.repartition(parts, F.xxhash64("vec_id"))
-    packed = dealt.mapInArrow(pack, "ids binary, vectors binary, codes binary, norms binary, missed binary")
-    return saved(packed.withColumn("block", F.monotonically_increasing_id()))
+_PACKED = ["part", "ids", "vectors", "codes", "norms", "missed"]
 
 
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _blocks(rows: DataFrame, dim: int, size: int, parts: int, model) -> DataFrame:
+    """(part, ids, vectors, codes, norms, missed): rows where they are, dealt by a hash of vec_id, ``size`` or fewer to a block."""
 
+    def block(part: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        codes, near = model.value.encode(x.astype(np.float32)) if model else (np.zeros(0, np.uint8), x[:0])
+        missed = np.sqrt(((x - near) ** 2).sum(axis=1)) if model else np.zeros(0)
+        norms = np.sqrt((near**2).sum(axis=1)).astype(np.float64)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, norms, missed.astype(np.float64))]], names=_PACKED)
 
-def search_block(quantiser: Quantiser, queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, missed: np.ndarray, k: int, metric: str = "ip") -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query_id, ids, exact scores) of each query's best in one index block.
+    def pack(iterator):
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(parts)]
+        for b in batches(iterator, ["vec_id", "vector"]):
+            ids, x = b["vec_id"].to_numpy(), _matrix(b["vector"], dim)
+            of = (mix(ids.view(np.uint64) + np.uint64(977)) % np.uint64(parts)).astype(np.int64)
+            for part in np.unique(of).tolist():
+                held[part].append((ids[of == part], x[of == part]))
+                if sum(len(i) for i, _ in held[part]) >= size:
+                    ids_, x_ = (np.concatenate(c) for c in zip(*held[part], strict=True))
+                    for at in range(0, len(ids_) - size + 1, size):
+                        yield block(part, ids_[at : at + size], x_[at : at + size])
+                    rest = len(ids_) % size
+                    held[part] = [(ids_[-rest:], x_[-rest:])] if rest else []
+        for part, left in enumerate(held):
+            if left:
+                yield block(part, *(np.concatenate(c) for c in zip(*left, strict=True)))
+
+    return rows.mapInArrow(pack, "part int, ids binary, vectors binary, codes binary, norms binary, missed binary")
+
+
+class Search:
+    """The ``k`` best of some queries over index blocks that come one after the other.
 
     The score is the inner product, or for ``l2`` the squared distance below 0; the latter's
     approximation takes the stored norms of the approximations.
     """
-    tables = quantiser.tables(queries.astype(np.float32))
-    approx = np.zeros((len(ids), len(queries)), np.float32)
-    for table, code in zip(tables, codes.T, strict=True):
-        approx += table[code]
-    size = np.sqrt((queries**2).sum(axis=1))
-    spread = missed / np.sqrt(vectors.shape[1])
-    out = []
-    for q, query_id, row, norm in zip(queries, query_ids, approx.T.astype(np.float64), size, strict=True):
-        if metric == "l2":
-            row = 2 * row - norms**2 - norm**2
-            likely = row + DEVIATIONS * 2 * np.sqrt(np.maximum(-row, 0)) * spread
-            measure = lambda x, q=q: -((x - q) ** 2).sum(axis=1)
-        else:
-            likely = row + DEVIATIONS * norm * spread
-            measure = lambda x, q=q: (x * q).sum(axis=1)
-        m = min(max(FIRST, 2 * k), len(row))
-        first = np.argpartition(-row, m - 1)[:m]
-        exact = np.sort(measure(vectors[first])[ids[first] != query_id])[::-1]
-        least = exact[k - 1] if len(exact) >= k else -np.inf
-        chosen = np.union1d(np.flatnonzero(likely >= least), first)
-        chosen = chosen[ids[chosen] != query_id]
-        exact = measure(vectors[chosen])
-        best = _top(exact, ids[chosen], k)
-        out.append((np.full(len(best), query_id), ids[chosen][best], exact[best]))
-    return out
+
+    def __init__(self, quantiser: Quantiser, queries: np.ndarray, query_ids: np.ndarray, k: int, metric: str = "ip"):
+        order = np.argsort(query_ids, kind="stable")
+        self.quantiser, self.queries, self.query_ids, self.k, self.metric = quantiser, queries[order], query_ids[order], k, metric
+        self.size = np.sqrt((self.queries**2).sum(axis=1))
+        self.score = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, missed: np.ndarray) -> None:
+        """Takes an index block in."""
+        for at in range(0, len(self.queries), QUERY_BLOCK):
+            part = slice(at, at + QUERY_BLOCK)
+            approx, slack = self._approximate(part, codes, norms, missed)
+            own = self.query_ids[part, None] == ids[None, :]
+            approx[own] = -np.inf
+            m = min(max(FIRST, 2 * self.k), len(ids))
+            first = np.argpartition(-approx, m - 1, axis=1)[:, :m]
+            seen = np.zeros(approx.shape, bool)
+            np.put_along_axis(seen, first, True, axis=1)
+            seen &= ~own
+            self._rerank(part, seen, ids, vectors)
+            # then whatever may still be among the best
+            self._rerank(part, (approx + slack >= self.score[part, -1][:, None]) & ~seen & ~own, ids, vectors)
+
+    def _approximate(self, part: slice, codes: np.ndarray, norms: np.ndarray, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        queries, size = self.queries[part], self.size[part, None]
+        approx = np.zeros((len(codes), len(queries)), np.float32)
+        for table, code in zip(self.quantiser.tables(queries.astype(np.float32)), codes.T, strict=True):
+            approx += table[code]
+        approx = np.ascontiguousarray(approx.T)
+        spread = (DEVIATIONS / np.sqrt(queries.shape[1])) * missed[None, :]
+        if self.metric != "l2":
+            return approx, (size * spread).astype(np.float32)
+        approx = 2 * approx - (norms**2)[None, :] - size**2
+        return approx, 2 * np.sqrt(np.maximum(-approx, 0)) * spread
+
+    def _rerank(self, part: slice, chosen: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        of, at = np.nonzero(chosen)
+        for begin in range(0, len(of), PAIRS):
+            q, x = self.queries[part][of[begin : begin + PAIRS]], vectors[at[begin : begin + PAIRS]]
+            exact = -((x - q) ** 2).sum(axis=1) if self.metric == "l2" else (x * q).sum(axis=1)
+            self._merge(part.start + of[begin : begin + PAIRS], exact, ids[at[begin : begin + PAIRS]])
+
+    def _merge(self, of: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        rows = np.unique(of)
+        every = np.concatenate([np.repeat(rows, self.k), of])
+        scores, names = np.concatenate([self.score[rows].ravel(), score]), np.concatenate([self.ids[rows].ravel(), ids])
+        order = np.lexsort((names, -scores, every))
+        begins = np.searchsorted(every[order], rows)
+        best = order[begins[:, None] + np.arange(self.k)]
+        self.score[rows], self.ids[rows] = scores[best], names[best]
+
+    def found(self) -> pa.RecordBatch:
+        some = np.isfinite(self.score)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.query_ids, some.sum(axis=1))), pa.array(self.ids[some]), pa.array(self.score[some])], names=["query_id", "vec_id", "score"])
 
 
 def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 8192, books: int = BOOKS, metric: str = "ip") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest, by inner product or ``l2``, of every row whose vec_id ``every`` divides."""
     spark = rows.sparkSession
-    vectors, dim = usable(rows)
-    n = vectors.count()
-    schema = "query_id long, vec_id long, score double"
+    vectors, dim, n, n_asked = usable(rows, every)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     coin = F.pmod(F.xxhash64("vec_id", F.lit(71)), F.lit(1 << 30)) / float(1 << 30)
     sample = vectors.where(coin < min(1.0, sample_rows / n)).select("vector").limit(2 * sample_rows)
     quantiser = fit(_sorted_rows(np.array([r.vector for r in sample.toLocalIterator()], np.float32).reshape(-1, dim)), books)
     model = spark.sparkContext.broadcast(quantiser)
-    index = _blocks(vectors, dim, INDEX_BLOCK, n, model)
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries = _blocks(asked, dim, QUERY_BLOCK, max(1, n // every), None)
-    numbers = [r.block for r in index.select("block").collect()]
-    # The stated queries against all rows, block by block: a query block goes to each index block.
-    sent = queries.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.array(*[F.lit(x) for x in numbers])).alias("block"))
-    met = sent.join(index, "block")
-
-    columns = ["q_ids", "q_vectors", "ids", "vectors", "codes", "norms", "missed"]
+    groups = max(1, -(-n_asked // QUERY_GROUP))
+    # The stated queries against all rows: a query group goes to each part of the index, a block of the index to each query group.
+    queries = _blocks(asked, dim, INDEX_BLOCK, groups, None).withColumnRenamed("part", "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    index = _blocks(vectors, dim, INDEX_BLOCK, PARTS, model).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    columns = ["group", "part", "late", "ids", "vectors", "codes", "norms", "missed"]
+    met = queries.withColumn("late", F.lit(False)).select(columns).union(index.withColumn("late", F.lit(True)).select(columns))
+    dealt = met.repartition(groups * PARTS, "group", "part").sortWithinPartitions("group", "part", "late")
 
     def search(iterator):
-        for b in batches(iterator, columns):
-            for q_ids, q, ids, x, codes, norms, missed in zip(*(b[c].to_pylist() for c in columns), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                parts = (np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(q_ids, np.int64), ids, np.frombuffer(x, np.float64).reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(norms, np.float64), np.frombuffer(missed, np.float64))
-                found = search_block(model.value, *parts, k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(3)], names=["query_id", "vec_id", "score"])
+        key, state = None, None
+        asked_: list[tuple[np.ndarray, np.ndarray]] = []
+        block: list[tuple[np.ndarray, ...]] = []
+
+        def take_in():
+            nonlocal state
+            if state is None and asked_:
+                ids, x = (np.concatenate(c) for c in zip(*asked_, strict=True))
+                state = Search(model.value, x, ids, k, metric)
+            if block and state is not None:
+                state.add(*(np.concatenate(c) for c in zip(*block, strict=True)))
+            block.clear()
 
-    found = met.select(*columns).mapInArrow(search, schema)
+        for b in batches(iterator, columns):
+            for group, part, late, ids, x, codes, norms, missed in zip(*(b[c] for c in columns), strict=True):
+                if key != (group.as_py(), part.as_py()):
+                    take_in()
+                    if state is not None:
+                        yield state.found()
+                    key, state = (group.as_py(), part.as_py()), None
+                    asked_.clear()
+                ids, x = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(x.as_buffer(), np.float64).reshape(-1, dim)
+                if not late.as_py():
+                    asked_.append((ids, x))
+                    continue
+                block.append((ids, x, np.frombuffer(codes.as_buffer(), np.uint8).reshape(len(ids), -1), np.frombuffer(norms.as_buffer(), np.float64), np.frombuffer(missed.as_buffer(), np.float64)))
+                if sum(len(i) for i, *_ in block) >= INDEX_BLOCK:
+                    take_in()
+        take_in()
+        if state is not None:
+            yield state.found()
+
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
