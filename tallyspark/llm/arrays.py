@@ -90,8 +90,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-    """Blocks of joined texts: the bytes, the texts' numbers and where each begins; a long text is cut at spaces."""
+def text_blocks(texts: list[bytes], gap: bytes = b" ") -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Blocks of texts joined by ``gap``: the bytes, the texts' numbers and where each begins; a long text is cut at spaces."""
     parts: list[bytes] = []
     numbers: list[int] = []
     begins: list[int] = []
@@ -105,15 +105,15 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
                 cut = cut if cut > at else text.find(b" ", at + BLOCK)
                 end = cut + 1 if cut > 0 else end
             if size and size + end - at > BLOCK:
-                yield b" ".join(parts), numbers, begins
+                yield gap.join(parts), numbers, begins
                 parts, numbers, begins, size = [], [], [], 0
             parts.append(text[at:end])
             numbers.append(k)
             begins.append(size)
-            size += end - at + 1
+            size += end - at + len(gap)
             at = max(end, 1)
     if parts:
-        yield b" ".join(parts), numbers, begins
+        yield gap.join(parts), numbers, begins
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_blocks(texts: list[bytes | None], table: bytes = _LOWER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each block: its bytes, the words' starts and ends in it, and the number of each word's text."""
-    for block, numbers, begins in _blocks([(t or b"").translate(table) for t in texts]):
+    for block, numbers, begins in text_blocks([(t or b"").translate(table) for t in texts]):
         data = np.frombuffer(block, np.uint8)
         starts, ends = word_bounds(data)
         yield data, starts, ends, np.asarray(numbers)[np.searchsorted(begins, starts, "right") - 1]

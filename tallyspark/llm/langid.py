@@ -3,13 +3,17 @@
 Each language has a codeword; one binary classifier per bit, logistic in hashed byte
 bigram and trigram frequencies, predicts that bit. A text's language is the codeword of
 least loss, where each bit's logistic loss weighs as much as the bit was right for that
-language in training. A text whose two nearest codewords are about as near is flagged.
-
-Fitting takes a bounded sample (``sample_rows``, evenly over languages) of the labelled
-rows; predictions are of whole texts. Null text or one without a letter: ``und``, score
-0. Null lang isn't learned from. Ties between codewords go to the smaller language name.
-Repeated rows are predicted each; without any labelled row all texts are ``und``; an
-empty table gives no rows.
+language in training. A text whose nearest codeword leads the next by less than MARGIN of
+what texts of that language usually lead by, as one of two languages in like parts, is
+flagged. What is found for a text depends on no other text and on no partitioning.
+
+Fitting takes a bounded sample of the labelled rows: ``sample_rows`` evenly over
+languages, but about LEAST_ROWS and never less than one of each, so a rare language is
+learned too. More than LANGUAGES of them are an error, since the sample and the code come
+to the driver. Predictions are of whole texts. Null text or one without a letter: ``und``,
+score 0. Null lang isn't learned from. Ties between codewords go to the smaller language
+name. Repeated rows are predicted each; without any labelled row all texts are ``und``;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,17 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, _blocks, as_lower_bytes, batches, mix, release, small_batches, slices
+from .arrays import LETTERS, as_lower_bytes, batches, mix, release, small_batches, slices, text_blocks
 from .logfreq import held_out
 
 BUCKETS = 1 << 13
 SCALE = 40.0
 EPOCHS = 80
-#: Relative distance of the two nearest codewords below which a text counts as ambiguous.
-MARGIN = 0.1
+#: Share of a language's usual lead below which a text counts as ambiguous.
+MARGIN = 0.5
 UNDETERMINED = "und"
-#: Languages that are learned at most, those with the most rows.
-LANGUAGES = 200
+#: Languages that can be learned; more raise an error.
+LANGUAGES = 500
+#: Sampled rows of a language, about, however many languages there are.
+LEAST_ROWS = 8
 
 
 def ngram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +51,8 @@ def ngram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _grams(texts: list[bytes | None]):
-    """Blocks of (text number of each letter byte, bigram bucket, trigram bucket)."""
-    for block, numbers, begins in _blocks([(t or b"").translate(LETTERS) for t in texts]):
+    """Blocks of (text number of each letter byte, bigram bucket, trigram bucket); two spaces part texts, so no gram joins two."""
+    for block, numbers, begins in text_blocks([(t or b"").translate(LETTERS) for t in texts], b"  "):
         at, two, three = ngram_buckets(np.frombuffer(block, np.uint8))
         yield np.asarray(numbers)[np.searchsorted(begins, at, "right") - 1], two, three
 
@@ -82,6 +88,7 @@ def codewords(k: int) -> np.ndarray:
 class Model:
     def __init__(self, languages: list[str], code: np.ndarray, weights: np.ndarray, bias: np.ndarray, trust: np.ndarray):
         self.languages, self.code, self.weights, self.bias, self.trust = languages, code, weights, bias, trust
+        self.usual_lead = np.zeros(len(languages))
 
     def margins(self, texts: list[bytes | None]) -> np.ndarray:
         """Each bit's signed score for each text."""
@@ -90,7 +97,7 @@ class Model:
         for of, two, three in _grams(texts):
             if len(of):
                 change = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1])
-                total[of[change]] += np.add.reduceat(self.weights[two] + self.weights[three], change, axis=0)
+                total[of[change]] += np.add.reduceat(self.weights[two] + self.weights[three], change, axis=0, dtype=np.float64)
                 n += np.bincount(of, minlength=len(texts))
         return total * (SCALE / np.maximum(n, 1))[:, None] + self.bias
 
@@ -107,12 +114,19 @@ class Model:
         best = distance.argmin(axis=1)
         p = np.exp(-4 * (distance - distance.min(axis=1, keepdims=True)))
         score = p.max(axis=1) / p.sum(axis=1)
-        two = np.sort(distance, axis=1)[:, :2]
-        ambiguous = (two[:, 1] - two[:, 0] < MARGIN * two[:, 1]) if len(self.languages) > 1 else np.zeros(len(texts), bool)
+        ambiguous = lead(distance) < MARGIN * self.usual_lead[best]
         lettered = np.array([has_letter(t) for t in texts])
         return [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0), ambiguous & lettered
 
 
+def lead(distance: np.ndarray) -> np.ndarray:
+    """How much further away the next codeword is than the nearest one."""
+    if distance.shape[1] < 2:
+        return np.zeros(len(distance))
+    two = np.partition(distance, 1, axis=1)
+    return two[:, 1] - two[:, 0]
+
+
 _ASCII_LETTERS = bytes(k for k in range(128) if chr(k).isalpha())
 
 
@@ -143,20 +157,26 @@ def fit(features: np.ndarray, labels: list[str]) -> Model:
         trust = np.array([right[kind == k].mean(axis=0) for k in range(len(languages))])
     else:
         trust = np.ones((len(languages), bits))
-    return Model(languages, code, weights, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+    model = Model(languages, code, weights, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+    if len(languages) > 1:
+        leads = lead(model.distances(features @ weights + bias))
+        model.usual_lead = np.array([np.median(leads[kind == k]) for k in range(len(languages))])
+    return model
 
 
 def train(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2000) -> Model:
-    """Fits on at most about ``sample_rows`` labelled rows outside the held-out part; only their feature counts come to the driver."""
+    """Fits on about ``sample_rows`` labelled rows outside the held-out part; only their feature counts come to the driver."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), of, remainder)).select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"))
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    coin = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
+    n = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(coin).alias("least")).limit(LANGUAGES + 1).collect()}
+    if len(n) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages; raise langid.LANGUAGES and the driver's memory with it")
     if not n:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
-    share = sample_rows / len(n)
-    part = F.create_map(*[F.lit(x) for k, c in n.items() for x in (k, min(1.0, share / c))])
-    coin = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(coin < F.coalesce(F.try_element_at(part, F.col("lang")), F.lit(0.0))).limit(2 * sample_rows)
+    share = max(sample_rows / len(n), LEAST_ROWS)
+    part = F.create_map(*[F.lit(x) for k, r in n.items() for x in (k, max(share / r.n, r.least))])
+    sample = rows.where(coin <= F.try_element_at(part, F.col("lang"))).limit(int(2 * share * len(n)))
 
     def features(iterator):
         for b in batches(iterator, ["lang", "text"]):

@@ -427,6 +427,75 @@ def test_language_id(spark, none):
     assert {r.lang_pred for r in langid.predict_languages(table.withColumn("lang", F.lit(None).cast("string")).limit(5)).collect()} == {"und"}
 
 
+def sounded(rng, sound, lang, n):
+    return " ".join("".join(rng.choice(sound[lang], 3)) for _ in range(n))
+
+
+SOUND = {"xx": "ka ro mi ta nu".split(), "yy": "the wh ing er sh".split(), "zz": "é où ça eau qu".split()}
+
+
+@pytest.fixture(scope="module")
+def language_model(spark):
+    rng = np.random.default_rng(16)
+    rows = [(k, sounded(rng, SOUND, lang, 30), lang) for k in range(300) for lang in [list(SOUND)[k % 3]]]
+    return langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=200)
+
+
+def decoded(model, text):
+    """Language, score and ambiguity of one text, gram by gram."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, False
+    data = [32, 32] + [c if c > 127 or chr(c).isalpha() else 32 for c in text.lower().encode()]
+    weights, n = np.zeros(model.weights.shape[1]), 0
+    for k in range(2, len(data)):
+        if data[k] != 32:
+            _, two, three = langid.ngram_buckets(np.array(data[k - 2 : k + 1], np.uint8))
+            weights += model.weights[two[-1]].astype(float) + model.weights[three[-1]].astype(float)
+            n += 1
+    margins = weights * langid.SCALE / n + model.bias
+    loss = {lang: sum(t * math.log1p(math.exp(-m * c)) for m, c, t in zip(margins, model.code[k], model.trust[k])) for k, lang in enumerate(model.languages)}
+    near = sorted(model.languages, key=lambda x: (loss[x], x))
+    score = 1 / sum(math.exp(-4 * (d - loss[near[0]])) for d in loss.values())
+    return near[0], score, loss[near[1]] - loss[near[0]] < langid.MARGIN * model.usual_lead[model.languages.index(near[0])]
+
+
+def test_language_like_a_plain_decoder_in_any_company(language_model):
+    rng = np.random.default_rng(17)
+    texts = [sounded(rng, SOUND, list(SOUND)[k % 3], int(rng.integers(1, 40)))[: int(rng.integers(1, 200))] for k in range(120)]
+    texts += [None, "", "12 34", "k", "a", "É", "K a r o", "x" * 300_000, "the " * 90_000, texts[0], texts[0]]
+    want = [decoded(language_model, t) for t in texts if t is None or len(t) < 10_000]
+    order = np.arange(len(texts))
+    for _ in range(3):
+        rng.shuffle(order)
+        lang, score, ambiguous = language_model.predict([None if texts[k] is None else texts[k].lower().encode() for k in order])
+        got = {k: x for k, x in zip(order.tolist(), zip(lang, score.tolist(), ambiguous.tolist()))}
+        alone = [language_model.predict([None if t is None else t.lower().encode()]) for t in texts]
+        assert [got[k] for k in range(len(texts))] == [(a[0], float(b[0]), bool(c[0])) for a, b, c in alone]
+        plain = [got[k] for k, t in enumerate(texts) if t is None or len(t) < 10_000]
+        assert [x[0] for x in plain] == [x[0] for x in want] and [x[2] for x in plain] == [x[2] for x in want]
+        assert [x[1] for x in plain] == pytest.approx([x[1] for x in want], rel=1e-4)
+
+
+def test_texts_in_two_languages_are_ambiguous(language_model):
+    rng = np.random.default_rng(18)
+    pure = [sounded(rng, SOUND, lang, 40).encode() for lang in SOUND for _ in range(20)]
+    mixed = [" ".join(sounded(rng, SOUND, lang, 3) for _ in range(15) for lang in pair).encode() for pair in (("xx", "yy"), ("xx", "zz"), ("yy", "zz")) for _ in range(20)]
+    assert np.mean(language_model.predict(pure)[2]) < 0.05
+    assert np.mean(language_model.predict(mixed)[2]) > 0.3
+
+
+def test_language_samples(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    rows = [(k, sounded(rng, SOUND, "xx" if k % 50 else "yy", 20), "xx" if k % 50 else "yy") for k in range(1000)] + [(1003, sounded(rng, SOUND, "zz", 50), "zz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(table, sample_rows=30).languages == ["xx", "yy", "zz"]
+    a, b = ({tuple(r) for r in langid.predict_languages(t, sample_rows=100).collect()} for t in (table.repartition(3), table.orderBy(F.rand(3)).repartition(7)))
+    assert a == b
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.train(table)
+
+
 # op9
 
 
@@ -524,6 +593,44 @@ def test_nearest(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_nearest_over_many_blocks_and_groups(spark, monkeypatch):
+    """More than five index blocks a part and several query groups, against brute force, and the rows that searches pass on."""
+    for name, value in (("INDEX_BLOCK", 64), ("QUERY_BLOCK", 16), ("QUERY_GROUP", 40)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(12)
+    data = np.float32(rng.standard_normal((4000, 16)) + rng.integers(0, 3, (4000, 1)))
+    rows = [(k, [float(v) for v in x]) for k, x in enumerate(data)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = exact_nearest(rows, 20, 20)
+    by = defaultdict(list)
+    for r in ann.nearest(table).collect():
+        by[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert by.keys() == want.keys()
+    hits = sum(len({i for _, i, _ in by[q]} & {i for _, i in near}) for q, near in want.items())
+    assert hits / (20 * len(want)) > 0.99
+    for q, found in by.items():
+        assert [k for k, *_ in sorted(found)] == list(range(1, 21))
+        assert [s for *_, s in sorted(found)] == sorted((s for *_, s in found), reverse=True)
+
+
+def test_search_keeps_no_more_than_the_best():
+    rng = np.random.default_rng(13)
+    data = rng.standard_normal((3000, 12))
+    quantiser = ann.fit(np.float32(data), 4, 32)
+    codes, near = quantiser.encode(np.float32(data))
+    found = ann.Search(quantiser, data[:50], np.arange(50), 7)
+    for at in range(0, 3000, 250):
+        part = slice(at, at + 250)
+        found.add(np.arange(at, at + 250), data[part], codes[part], np.sqrt((near[part] ** 2).sum(axis=1)), np.sqrt(((data[part] - near[part]) ** 2).sum(axis=1)))
+    out = found.found()
+    assert out.num_rows == 50 * 7
+    got = [set(out["vec_id"].to_pylist()[7 * q : 7 * q + 7]) for q in range(50)]
+    exact = data[:50] @ data.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    want = [set(x) for x in np.argsort(-exact, axis=1)[:, :7].tolist()]
+    assert sum(len(a & b) for a, b in zip(got, want)) > 0.98 * 350
+
+
 def test_nearest_with_repeated_query_rows(spark):
     rng = np.random.default_rng(3)
     data = [[float(np.float32(v)) for v in x] for x in rng.standard_normal((300, 8))]
