@@ -8,7 +8,8 @@ Distinct fingerprints are put in cells by the bit counts of their four 16-bit pa
 Two fingerprints that differ in r bits have part counts that differ by r or less in sum,
 so only cells that near are compared; a cell's fingerprints are dealt into tiles of
 bounded size, and each tile meets each near fingerprint once, by exclusive-or and bit
-counts. A comparison task passes on links that join what it hasn't joined yet, never all
+counts of small blocks. A large tile means that a fingerprint is sent to few of them. A
+comparison task passes on links that join what it hasn't joined yet, never all
 pairs of a group. Components then follow from the links of distinct fingerprints.
 
 Exact copies, ties and repeated rows share a fingerprint and so a component. Rows with
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, as_bytes, batches, fresh, release, small_batches
@@ -31,7 +32,10 @@ from .saved import saved
 SHINGLE = 3
 SEED = 42
 PARTS = 4
-TILE = 2048
+#: Fingerprints of a tile: half a megabyte.
+TILE = 1 << 16
+#: Fingerprints compared with each other at a time.
+NEAR_BLOCK, HOME_BLOCK = 512, 2048
 #: Hashes whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -60,17 +64,23 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells texts apart which share a fingerprint; null and empty text are two."""
+    return F.xxhash64(text.cast("string"), F.lit(83))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the 64-bit fingerprint as a signed long."""
+    """(doc_id, text_key, fp): fp is the 64-bit fingerprint as a signed long."""
     small_batches(docs.sparkSession)
 
     def run(iterator):
-        for b in batches(iterator, ["doc_id", "text"]):
+        for b in batches(iterator, ["doc_id", "text_key", "text"]):
             fps = np.array([fingerprint(t) for t in as_bytes(b["text"])], np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(fps.view(np.int64))], names=["doc_id", "text_key", "fp"])
             release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _cell(fp):
@@ -91,33 +101,41 @@ def near_offsets(radius: int) -> list[int]:
 
 
 class _Tile:
-    """A tile's fingerprints, and which of them the links passed on so far have joined."""
+    """A tile's fingerprints, and which of them the links passed on so far have joined: ``up`` leads each to its group's root."""
 
     def __init__(self):
         self.home = np.empty(0, np.uint64)
-        self.label = np.empty(0, np.int64)
+        self.up = np.empty(0, np.int64)
 
     def add(self, fps: np.ndarray) -> None:
-        self.label = np.concatenate([self.label, np.arange(len(self.home), len(self.home) + len(fps))])
+        self.up = np.concatenate([self.up, np.arange(len(self.home), len(self.home) + len(fps))])
         self.home = np.concatenate([self.home, fps])
 
+    def _roots(self, at: np.ndarray) -> np.ndarray:
+        root = self.up[at]
+        while (higher := self.up[root] != root).any():
+            root[higher] = self.up[root[higher]]
+        self.up[at] = root
+        return root
+
     def links(self, near: np.ndarray, radius: int) -> list[tuple[int, int]]:
         """Links of ``near`` to the tile: one for each that is near any, and those that join parts of the tile."""
         out: list[tuple[int, int]] = []
-        for at in range(0, len(near), 512):
-            block = near[at : at + 512]
-            hit = np.bitwise_count(block[:, None] ^ self.home[None, :]) <= radius
-            hit, block = hit[any_ := hit.any(axis=1)], block[any_]
-            first = hit.argmax(axis=1) if len(block) else np.empty(0, np.int64)
-            out += zip(block.tolist(), self.home[first].tolist(), strict=True)
-            while len(block):
-                low = np.where(hit, self.label, len(self.home)).min(axis=1)
-                open_ = low != np.where(hit, self.label, -1).max(axis=1)
-                hit, block, low = hit[open_], block[open_], low[open_]
-                if len(block):
-                    labels, which = np.unique(self.label[at_ := np.flatnonzero(hit[0])], return_index=True)
-                    out += [(int(block[0]), int(self.home[at_[k]])) for k in which]
-                    self.label[np.isin(self.label, labels)] = low[0]
+        for at in range(0, len(near), NEAR_BLOCK):
+            block = near[at : at + NEAR_BLOCK]
+            hits = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for begin in range(0, len(self.home), HOME_BLOCK):
+                of, home = np.nonzero(np.bitwise_count(block[:, None] ^ self.home[None, begin : begin + HOME_BLOCK]) <= radius)
+                hits.append((of, home + begin))
+            of, home = (np.concatenate(c) for c in zip(*hits, strict=True))
+            order = np.argsort(of, kind="stable")
+            of, home = of[order], home[order]
+            edges = np.flatnonzero(np.diff(of)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(of)], strict=True) if len(of) else ():
+                fp, own = int(block[of[begin]]), home[begin:end]
+                roots, which = np.unique(self._roots(own), return_index=True)
+                out += [(fp, int(self.home[own[k]])) for k in (which if len(roots) > 1 else [0])]
+                self.up[roots] = roots[0]
         return [(a, b) for a, b in out if a != b]
 
 
@@ -151,38 +169,38 @@ def fingerprint_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicate_components(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fp, component_id and root (the component's least fingerprint) for every row of (doc_id, text)."""
+def _rooted(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     prints = saved(fingerprints(docs))
     distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = saved(connected_components(fingerprint_links(distinct.select("fp"), radius)))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id", "root")
+    return prints, rooted.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicate_components(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """doc_id, fp, component_id and root (the component's least fingerprint) for every row of (doc_id, text)."""
+    prints, of = _rooted(docs, radius)
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def one_per_component(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with its least doc_id.
+    """The rows of ``docs`` without near-duplicates: of each component exactly one row.
 
-    Of repeated rows with one doc_id one stays. Rows with null doc_id stay only where
-    their component has no id, one for each such component.
+    It is the row with the least doc_id; of rows that share it, the one of the least
+    fingerprint and then text hash; of equal rows, any. A row without doc_id stays only
+    where its component has no id at all.
     """
-    found = saved(near_duplicate_components(docs, radius))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    often = saved(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    # the ids are hashed and the texts stream past them, so no task sorts whole texts
-    single = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    if not often.isEmpty():
-        repeated = single.join(often.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        single = single.join(often.hint("shuffle_hash"), "doc_id", "left_anti").unionByName(repeated)
-    nameless = docs.where(F.col("doc_id").isNull())
-    fp, root = fresh(docs, "fp"), fresh(docs, "root")
-    free = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
-
-    @F.arrow_udf("long")
-    def fingerprint_of(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t) for t in as_bytes(text)], np.uint64).view(np.int64))
-
-    nameless = nameless.withColumn(fp, fingerprint_of(F.col("text").cast("string"))).join(free, fp).dropDuplicates([root])
-    return single.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    prints, of = _rooted(docs, radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "text_key")
+    each = prints.groupBy("doc_id", "text_key", "fp").agg(F.count("*").alias("n"))
+    best = each.join(of, "fp").groupBy("root").agg(F.min_by(F.struct("doc_id", "text_key", "n"), order).alias("best"))
+    own_id, own_key, rows = fresh(docs, "kept_id"), fresh(docs, "kept_key"), fresh(docs, "kept_rows")
+    kept = saved(best.select(F.col("best.doc_id").alias(own_id), F.col("best.text_key").alias(own_key), F.col("best.n").alias(rows)))
+    # the keys are hashed and the texts stream past them, so no task sorts whole texts
+    met = docs.join(kept.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (text_key(docs["text"]) == F.col(own_key)))
+    if kept.where(F.col(rows) > 1).isEmpty():
+        return met.select(*docs.columns)
+    again = met.where(F.col(rows) > 1).dropDuplicates([own_id, own_key])
+    return met.where(F.col(rows) == 1).select(*docs.columns).unionByName(again.select(*docs.columns))

@@ -292,7 +292,8 @@ def test_simhash_components(docs, none):
 
 
 def test_fingerprint_links_join_all(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 40)
+    for name, value in (("TILE", 300), ("NEAR_BLOCK", 32), ("HOME_BLOCK", 64)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(4)
     fps = set()
     for base in rng.integers(0, 2**63, 60, dtype=np.uint64).tolist():
@@ -327,6 +328,29 @@ def test_one_per_component(docs, none):
     assert simhash.one_per_component(none).count() == 0
 
 
+def test_one_row_stays_of_each_component_in_any_order(spark):
+    """Ids that repeat with other texts: no component loses its row or keeps two."""
+    other = "nothing of all this has anything to do with the first text at all, and it goes on for a while"
+    third = "a third one that is long enough as well to have a fingerprint which is far from those of both others"
+    cases = [
+        [(5, BASE), (5, other), (3, other)],
+        [(5, BASE), (5, other), (3, BASE), (3, other)],
+        [(None, BASE), (None, other), (4, other), (None, third), (None, third)],
+        [(7, BASE), (7, BASE), (7, BASE), (8, other), (8, third), (9, None), (9, ""), (None, None)],
+    ]
+    for rows in cases:
+        for order in (rows, rows[::-1]):
+            kept = [tuple(r) for r in simhash.one_per_component(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+            groups = defaultdict(set)
+            for i, t in rows:
+                groups[fingerprint_of(t)].add((i is None, i or 0, i, t))
+            want = {f: min(x[:3] for x in g) for f, g in groups.items()}
+            got = defaultdict(list)
+            for i, t in kept:
+                got[fingerprint_of(t)].append((i is None, i or 0, i))
+            assert got == {f: [w] for f, w in want.items()}, (rows, kept)
+
+
 # op6
 
 
