@@ -61,44 +61,36 @@ def conversations():
     return rows
 
 
-@pytest.mark.parametrize("inline", [1 << 20, 300])
-def test_chat_round_trip(spark, inline):
-    rows = conversations()
-    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, example_no string").repartition(3)
-    found = {r.conv_id: r for r in chat.example_digests(chat.prefix_target_examples(turns, inline)).collect()}
+def said_by(rows):
+    """The turns of each conversation in order, null role and text as empty."""
     by = defaultdict(list)
     for c, t, role, text in rows:
-        by[c].append(((t is not None, t or 0), (role is not None, role or ""), (text is not None, text or "")))
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    return {c: [x[2:] for x in sorted(turns)] for c, turns in by.items()}
+
+
+def test_chat_round_trip(spark):
+    rows = conversations() + [(40, 3, None, "b"), (40, 3, "", "a"), (40, 3, "", "c"), (40, 3, "assistant", None), (41, 0, "user", "word " * 200_000), (41, 1, "assistant", "<s>" * 50_000)]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, example_no string").repartition(3)
+    found = {r.conv_id: r for r in chat.example_digests(chat.prefix_target_examples(turns)).collect()}
+    by = said_by(rows)
     assert found.keys() == by.keys()
-    for c, turns_ in by.items():
-        said = [(role[1], text[1]) for _, role, text in sorted(turns_)]
+    for c, said in by.items():
         loss = "".join(text for role, text in said if role == "assistant")
         r = found[c]
         assert (r.n_turns, r.loss_chars, r.n_targets) == (len(said), len(loss), sum(role == "assistant" for role, _ in said))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    if inline == 300:
-        assert found[30].formatted_chars < 12 * sum(len(t) for c, _, _, t in rows if c == 30)
 
 
-def test_chat_examples_hold_context_and_reply(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b<s>"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (1, 4, "user", "e")], "conv_id long, turn long, role string, text string")
-    rows = sorted(chat.prefix_target_examples(turns).collect(), key=lambda r: r.example_no)
-    assert [[t for _, t in chat.read_turns(r.text)] for r in rows] == [["a", "b<s>"], ["a", "b<s>", "c", "d"], ["a", "b<s>", "c", "d", "e"]]
-    assert [r.loss_start and chat.unescape(r.text[r.loss_start : r.loss_end]) for r in rows] == ["b<s>", "d", None]
-    assert chat.prefix_target_examples(turns.limit(0)).count() == 0
-
-
-def test_chat_contexts_are_whole_beyond_the_limit(spark):
-    rows = [(c, t, "assistant" if t % 3 == 2 else "user", f"{c} {t} <s> " + "é" * 40) for c in (1, 2, None) for t in range(60)]
-    rows += [(3, t, "user", "u" * 80) for t in range(30)] + [(4, t, "user" if t < 20 else "assistant", "v" * 60) for t in range(21)]
+def test_chat_examples_hold_whole_context_and_reply(spark):
+    rows = [r for r in conversations() if r[0] != 41]
+    rows += [(c, t, "assistant" if t % 3 == 2 else "user", f"{c} {t} <s> " + "é" * 40) for c in (51, 52) for t in range(60)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
-    found = chat.prefix_target_examples(turns, 300).cache()
-    assert found.where("base_turns > 0").count() > 20
-    by = defaultdict(list)
-    for c, _, role, text in rows:
-        by[c].append((role, text))
-    whole = chat.read_back(found).collect()
+    pieces = chat.prefix_target_examples(turns).cache()
+    by = said_by(rows)
+    assert pieces.count() == len(rows)
+    whole = chat.read_back(pieces).collect()
     for r in whole:
         assert chat.read_turns(r.text) == by[r.conv_id][: r.n_turns]
         role, said = by[r.conv_id][r.n_turns - 1]
@@ -106,9 +98,11 @@ def test_chat_contexts_are_whole_beyond_the_limit(spark):
         assert r.loss_start is None or chat.unescape(r.text[r.loss_start : r.loss_end]) == said
     ends = {(c, k) for c, x in by.items() for k in range(1, len(x) + 1) if x[k - 1][0] == "assistant" or k == len(x)}
     assert len(whole) == len(ends) and {(r.conv_id, r.n_turns) for r in whole} == ends
-    small, large = ({tuple(r) for r in chat.example_digests(chat.prefix_target_examples(turns, n), whole=True).collect()} for n in (300, 1 << 20))
-    assert small == large
-    assert {r[0]: r[5] for r in small} == {c: sum(len(r.text) for r in whole if r.conv_id == c) for c in by}
+    sizes = {r.conv_id: r.formatted_chars for r in chat.example_digests(chat.prefix_target_examples(turns)).collect()}
+    assert sizes == {c: sum(len(r.text) for r in whole if r.conv_id == c) for c in by}
+    one = chat.read_back(pieces, pieces.where("conv_id = 51 and turn_no = 60")).collect()
+    assert [(r.n_turns, r.text) for r in one] == [(60, next(x.text for x in whole if (x.conv_id, x.n_turns) == (51, 60)))]
+    assert chat.prefix_target_examples(turns.limit(0)).count() == 0
 
 
 # op2
