@@ -1,20 +1,26 @@
 """N-gram language model whose counts sit in a log-frequency Bloom filter.
 
-Counts of word unigrams and bigrams are gathered over all training texts by a shuffle.
-A count c is quantised to level 1 + floor(log2 c); the filter then holds the items
-(n-gram, 1) ... (n-gram, level). It is built shard by shard on the executors, and a reader
-recovers a level by probing for 1, 2, ... until a probe fails. The filter answers too high
-at times, never too low; no n-gram is left out of it.
+Counts of word unigrams and bigrams are gathered over all training texts by a shuffle;
+tasks merge what they have counted before they pass it on. A count is quantised to a
+level: counts to 8 exactly, then four levels an octave, up or down by a coin that the
+n-gram's hash throws, so that quantised counts are right on average. The filter then holds
+the items (n-gram, 1) ... (n-gram, level). It is built shard by shard on the executors, and
+a reader recovers a level by probing for 1, 2, ... until a probe fails. The filter answers
+too high at times, never too low; no n-gram is left out of it.
 
 Its size follows the corpus: at least BITS_EACH bits an item, so that with PROBES probes at
-most 40% of the bits are set and an item not held is found in at most 2.5% of the lookups.
-It consists of groups of shards with ``filter_bytes`` each, which bounds what is broadcast. One group is
+most 40% of the bits are set and an item not held is found in about 1% of the lookups.
+The items are foretold from all n-grams of a hash class (one of CLASSES) and counted when
+the filter is built; where they are more than foretold, it is built again. It consists of
+groups of shards with ``filter_bytes`` each, which bounds what is broadcast. One group is
 looked up while scoring. With more, each is broadcast in a pass of its own that notes the
 levels of its n-grams beside the text, and scores follow from the levels. Passes over the
 corpus hence grow with its distinct n-grams. The fill is logged.
 
-P(w | v) = (c(v w) + prior * P(w)) / (c(v) + prior), P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-with all c read from the filter.
+P(w | v) = (c(v w) + prior * P(w)) / (C(v) + prior), P(w) = (c(w) + 0.5) / (M + 0.5 (V + 1)).
+c is read from the filter, M is the sum of all c(w); C, the exact count of v, comes with the
+counts of the base score below. As c(v w) sums to C(v) over all w on average, P sums to 1
+but for rounding and for what the filter answers too high.
 
 The exact add-half unigram score stands beside it. Words with at least N / ``frequent``
 occurrences number at most ``frequent``, so their counts are broadcast; occurrences of the
@@ -28,6 +34,7 @@ not arise. Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +49,16 @@ LOG = logging.getLogger(__name__)
 END = np.uint64(0xE17A1B2C3D4E5F61)
 BEGIN = np.uint64(0xB3617A1B2C3D4E5F)
 SHARDS = 256
-PROBES = 4
+PROBES = 5
 #: Bits of the filter for each (n-gram, level) held.
-BITS_EACH = 8
-#: Upper end of levels: counts to 2**40.
-LEVELS = 40
-#: Distinct n-grams that a task gathers before it passes them on.
-GATHERED = 2_000_000
+BITS_EACH = 10
+#: The count that stands for a level: 1 to 8, then four an octave.
+LEVEL_COUNT = np.array([float(x) for x in range(8)] + [2.0**k * (1 + j / 4) for k in range(3, 41) for j in range(4)])
+LEVELS = len(LEVEL_COUNT) - 1
+#: Distinct n-grams that a task gathers before it passes them on, and tokens that it merges into them at a time.
+GATHERED, MERGED = 3_000_000, 1_000_000
+#: Hash classes of n-grams; one of them foretells how many items there are.
+CLASSES = 256
 
 
 def held_out(doc_id, of: int, remainder: int):
@@ -76,38 +86,66 @@ def bigram_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return mix(before * np.uint64(0x9FB21C651E98DF25) + tokens * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7))
 
 
-_COUNTED = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+_COUNTED = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("n", pa.int64())])
+WORD_KIND, PAIR_KIND = 0, 1
 
 
-def ngram_counts(docs: DataFrame, bigrams: bool) -> DataFrame:
-    """(h, n): occurrences of each word (and bigram) hash in ``text``; tasks gather before the shuffle."""
+class _Gathered:
+    """Counts of hashes, merged as they come."""
 
-    def gather(iterator):
-        held: list[np.ndarray] = []
-        size = 0
+    def __init__(self):
+        self.keys, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.held.append(hashes)
+        self.size += len(hashes)
+        if self.size > MERGED:
+            self.merge()
+
+    def merge(self) -> None:
+        keys, n = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        every, counts = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+        order = np.argsort(every, kind="stable")
+        every, counts = every[order], counts[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+        self.keys, self.n = every[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.held, self.size = [], 0
+
+    def taken(self, kind: int) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for at in range(0, len(self.keys), 200_000):
+            keys, n = self.keys[at : at + 200_000], self.n[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n)], schema=_COUNTED)
+        self.__init__()
 
-        def gathered():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(keys), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000])], schema=_COUNTED)
 
+def ngram_counts(docs: DataFrame, words: bool = True, pairs: bool = True, classes: int = 1) -> DataFrame:
+    """(kind, h, n): occurrences of words (and of BEGIN, where bigrams count) and bigrams in ``text``, merged by task.
+
+    Of bigrams only those of one hash class of ``classes``.
+    """
+
+    def gather(iterator):
+        one, two = _Gathered(), _Gathered()
         for b in batches(iterator, ["text"]):
             texts = as_bytes(b["text"])
             for s in slices(texts):
                 tokens, before, _ = token_stream(texts[s])
-                held.append(tokens)
-                size += len(tokens)
-                if bigrams:
-                    held += [bigram_hashes(before, tokens), before[before == BEGIN]]
-                    size += len(tokens)
-                if size > GATHERED:
-                    yield from gathered()
-                    held, size = [], 0
-        if held:
-            yield from gathered()
+                if words:
+                    one.add(np.concatenate([tokens, before[before == BEGIN]]) if pairs and classes == 1 else tokens)
+                if pairs:
+                    h = bigram_hashes(before, tokens)
+                    two.add(h if classes == 1 else h[h % np.uint64(classes) == 0])
+                for held, kind in ((one, WORD_KIND), (two, PAIR_KIND)):
+                    if len(held.keys) > GATHERED:
+                        yield from held.taken(kind)
+        yield from one.taken(WORD_KIND)
+        yield from two.taken(PAIR_KIND)
         release()
 
-    return docs.select("text").mapInArrow(gather, "h long, n long")
+    return docs.select("text").mapInArrow(gather, "kind byte, h long, n long")
 
 
 def _positions(h: np.ndarray, level: int | np.ndarray, probe: int, bits: int) -> np.ndarray:
@@ -117,17 +155,19 @@ def _positions(h: np.ndarray, level: int | np.ndarray, probe: int, bits: int) ->
         return (h % np.uint64(SHARDS)) * np.uint64(bits) + ((first + np.uint64(probe) * step) & np.uint64(bits - 1))
 
 
-def quantised(n: np.ndarray) -> np.ndarray:
-    return np.minimum(1 + np.floor(np.log2(np.maximum(n, 1))).astype(np.int64), LEVELS)
-
-
-#: The count that stands for a level: the mean of those it covers.
-LEVEL_COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range(1, LEVELS + 1)])
+def quantised(n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The level of each n-gram: of the two about its count, either so often that the mean is right."""
+    low = np.minimum(np.searchsorted(LEVEL_COUNT, n, "right") - 1, LEVELS)
+    high = np.minimum(low + 1, LEVELS)
+    with np.errstate(over="ignore"):
+        coin = mix(h + np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
+    gap = LEVEL_COUNT[high] - LEVEL_COUNT[low]
+    return np.where(coin * gap < n - LEVEL_COUNT[low], high, low)
 
 
 def insert(filter_: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
     """``slot``: which of the shards that ``filter_`` holds each of ``h`` belongs to, where these aren't all of a group."""
-    level = quantised(n)
+    level = quantised(n, h)
     for q in range(1, int(level.max(initial=0)) + 1):
         reached = level >= q
         keys = h[reached]
@@ -170,44 +210,57 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
 
 
 def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame:
-    """(group, k, items, bits): shards of the filter over all (h, n), built and written by the executors."""
+    """(group, k, items, mass, bits): shards of the filter over all (kind, h, n), built and written by the executors.
+
+    mass is the sum of the quantised counts of its words, without BEGIN.
+    """
     bits = filter_bytes * 8 // SHARDS
     if bits & (bits - 1):
         raise ValueError("filter_bytes must be a power of two")
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(max(min(parts, SHARDS), groups), "slice")
-    summed = by_slice.groupBy("slice", "h").agg(F.sum("n").alias("n"))
+    by_slice = counts.select("kind", "h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(max(parts, groups), SHARDS * groups), "slice")
+    summed = by_slice.groupBy("slice", "kind", "h").agg(F.sum("n").alias("n"))
     each = filter_bytes // SHARDS
 
     def build(iterator):
         own = np.zeros(each, np.uint8)
         slots: dict[int, int] = {}
         items: dict[int, int] = {}
-        for b in batches(iterator, ["h", "n"]):
+        mass: dict[int, float] = {}
+        for b in batches(iterator, ["kind", "h", "n"]):
             h, n = b["h"].to_numpy().view(np.uint64), b["n"].to_numpy()
+            level = quantised(n, h)
+            of_words = np.where((b["kind"].to_numpy() == WORD_KIND) & (h != BEGIN), LEVEL_COUNT[level], 0.0)
             found, at = np.unique(h % np.uint64(SHARDS * groups), return_inverse=True)
             held = np.array([slots.setdefault(k, len(slots)) for k in found.tolist()], np.uint64)
             if len(slots) * each > len(own):
                 own = np.concatenate([own, np.zeros(max(len(own), len(slots) * each - len(own)), np.uint8)])
             insert(own, h, n, bits, held[at])
-            for k, size in zip(found.tolist(), np.bincount(at, weights=quantised(n)).tolist(), strict=True):
+            for k, size, words in zip(found.tolist(), np.bincount(at, weights=level).tolist(), np.bincount(at, weights=of_words).tolist(), strict=True):
                 items[k] = items.get(k, 0) + int(size)
+                mass[k] = mass.get(k, 0.0) + words
         for k, slot in slots.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([mass[k]], pa.float64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "mass", "bits"])
 
     # written first: fetching partition by partition would otherwise also build them one after the other
-    return saved(summed.select("h", "n").mapInArrow(build, "group int, k int, items long, bits binary"))
+    return saved(summed.select("kind", "h", "n").mapInArrow(build, "group int, k int, items long, mass double, bits binary"))
+
+
+def foretold_items(counts: DataFrame) -> int:
+    """About how many items the filter will hold, from counts with bigrams of one class of CLASSES."""
+    level = F.when(F.col("n") <= 8, F.col("n")).otherwise(4 * F.log2("n") - 3.5)
+    return int(counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == PAIR_KIND, CLASSES * level).otherwise(level)), F.lit(0.0))).first()[0])
 
 
-def sized_slices(counts: DataFrame, filter_bytes: int) -> tuple[DataFrame, int]:
-    """The shards and the number of groups: built as one group, and again as more if the items counted then need them."""
-    groups = 1
+def sized_slices(counts: DataFrame, filter_bytes: int, foretold: int = 0) -> tuple[DataFrame, int]:
+    """The shards and the number of groups: as many as the foretold items need, and built again as more if those counted then do."""
+    groups = groups_for(foretold, filter_bytes)
     while True:
         made = build_slices(counts, filter_bytes, groups)
         items = made.agg(F.coalesce(F.sum("items"), F.lit(0))).first()[0]
         if groups_for(items, filter_bytes) <= groups:
             fill = 1 - np.exp(-PROBES * items / (groups * filter_bytes * 8))
-            LOG.info("filter: %d items in %d groups of %d bytes, fill %.3f, false answers %.4f an item", items, groups, filter_bytes, fill, fill**PROBES)
+            LOG.info("filter: %d items (%d foretold) in %d groups of %d bytes, fill %.3f, false answers %.4f an item", items, foretold, groups, filter_bytes, fill, fill**PROBES)
             return made, groups
         drop(made)
         groups = groups_for(items, filter_bytes)
@@ -269,12 +322,15 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), of, remainder).alias("held_out"))
     train = rows.where(~F.col("held_out"))
 
-    counts = saved(ngram_counts(train, False).groupBy("h").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    gathered = saved(ngram_counts(train, classes=CLASSES).groupBy("kind", "h").agg(F.sum("n").alias("n")))
+    counts = gathered.where(F.col("kind") == WORD_KIND).select("h", "n")
+    end = F.lit(int(END.astype(np.int64)))
+    total, distinct, texts_learned = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
     known = counts.where(F.col("n") * frequent >= total).toArrow()
     order = np.argsort(known_h := known.column("h").to_numpy().view(np.uint64))
     top = (known_h[order], known.column("n").to_numpy()[order])
-    made, groups = sized_slices(ngram_counts(train, True), filter_bytes)
+    made, groups = sized_slices(ngram_counts(train), filter_bytes, foretold_items(gathered))
+    mass = made.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0] + 0.5 * (distinct + 1)
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
     begin, filter_ = 0, None
     if groups == 1:
@@ -297,23 +353,26 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
                 n = s.stop - s.start
                 words, at = np.unique(tokens, return_inverse=True)
                 if groups == 1:
-                    single = lookup(filter_, words, bits)[at]
-                    pair = lookup(filter_, bigram_hashes(before, tokens), bits)
+                    pairs, back = np.unique(bigram_hashes(before, tokens), return_inverse=True)
+                    single, pair = levels_of(filter_, words, bits)[at], levels_of(filter_, pairs, bits)[back]
                 else:
-                    pair, single = LEVEL_COUNT[np.frombuffer(b"".join(b["levels"][s].to_pylist()), np.uint8).reshape(-1, 2).T]
-                left = np.empty(len(tokens))
+                    pair, single = np.frombuffer(b"".join(b["levels"][s].to_pylist()), np.uint8).reshape(-1, 2).T.astype(np.int64)
+                left = np.empty(len(tokens), np.int64)
                 left[1:] = single[:-1]
-                left[before == BEGIN] = LEVEL_COUNT[begin]
-                pair = np.minimum(pair, np.minimum(left, single))
-                p = (pair + prior * (single + 0.5) / floor) / (left + prior)
-                scores = np.bincount(of_text, weights=np.log10(p), minlength=n)
+                left[before == BEGIN] = begin
+                # rounding may put a pair one level above the words in it, no more
+                pair = np.minimum(pair, np.minimum(np.minimum(left, single) + 1, LEVELS))
+                p = LEVEL_COUNT[pair] + prior * (LEVEL_COUNT[single] + 0.5) / mass
+                scores = np.bincount(of_text, weights=np.log10(p), minlength=n) - np.log10(texts_learned + prior)
                 # the exact counts: frequent words here, the others by the join
                 if len(top_h):
                     near = np.minimum(np.searchsorted(top_h, words), len(top_h) - 1)
                     is_top = top_h[near] == words
                     log = np.where(is_top, np.log10((top_n[near] + 0.5) / floor), 0.0)
+                    context = np.where(is_top & (words != END), np.log10(top_n[near] + prior), 0.0)
                 else:
-                    is_top, log = np.zeros(len(words), bool), np.zeros(len(words))
+                    is_top, log, context = np.zeros(len(words), bool), np.zeros(len(words)), np.zeros(len(words))
+                scores -= np.bincount(of_text, weights=context[at], minlength=n)
                 base = np.bincount(of_text, weights=log[at], minlength=n)
                 n_known = np.bincount(of_text, weights=is_top[at], minlength=n).astype(np.int64)
                 other = ~is_top[at]
@@ -335,8 +394,9 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     more = met.groupBy("row_id").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(floor))).alias("more_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(F.col("h") != end, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(prior))).otherwise(0.0)).alias("more_context"),
     )
     return scored.join(more, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") - F.coalesce("more_context", F.lit(0.0))).alias("score"),
     )

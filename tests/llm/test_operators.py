@@ -124,49 +124,99 @@ def test_lm_scores(docs, none):
 
 def test_log_frequency_filter():
     rng = np.random.default_rng(1)
-    h, n = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64)), None
+    h = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
     n = rng.integers(1, 5000, len(h)) // rng.integers(1, 3000, len(h)) + 1
     bits = (1 << 18) * 8 // logfreq.SHARDS
     held = np.zeros(1 << 18, np.uint8)
     logfreq.insert(held, h, n, bits)
-    got, exact = logfreq.lookup(held, h, bits), logfreq.LEVEL_COUNT[logfreq.quantised(n)]
+    got, exact = logfreq.lookup(held, h, bits), logfreq.LEVEL_COUNT[logfreq.quantised(n, h)]
     assert (got >= exact).all() and (got == exact).mean() > 0.97
     assert (logfreq.lookup(held, rng.integers(0, 2**63, 20_000, dtype=np.uint64), bits) > 0).mean() < 0.05
 
 
+def test_quantised_counts_are_right_on_average():
+    h = np.random.default_rng(2).integers(0, 2**63, 40_000, dtype=np.uint64)
+    for n in (1, 2, 3, 4, 5, 7, 11, 100, 12_345, 2**40, 2**41):
+        level = logfreq.quantised(np.full(len(h), n), h)
+        counts = logfreq.LEVEL_COUNT[level]
+        assert counts.mean() == pytest.approx(min(n, 1.75 * 2**40), rel=0.01) and len(set(level.tolist())) <= 2
+        assert n > 8 or set(counts.tolist()) == {n}
+
+
 def test_lm_prefers_seen_text(spark):
     rows = [(k, f"alpha beta gamma delta {k % 5}") for k in range(200)] + [(5001, "alpha beta gamma delta 1"), (5002, "delta gamma beta alpha 1")]
     found = {r.doc_id: r for r in logfreq.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), filter_bytes=1 << 20).collect()}
     assert found[5001].score > found[5002].score + 1
 
 
+def corpus(n=1500):
+    rng = np.random.default_rng(4)
+    return [(k, " ".join(f"w{x}" for x in (rng.zipf(1.3, 60) % 3000).tolist())) for k in range(n)]
+
+
+def learned(rows):
+    """Exact counts of the training texts by hash: words with BEGIN, and bigrams; N and V without BEGIN."""
+    words, pairs = Counter(), Counter()
+    for k, t in rows:
+        if crc(k, 5) != 1:
+            tokens, before, _ = logfreq.token_stream([(t or "").encode()])
+            words.update(tokens.tolist() + [int(logfreq.BEGIN)])
+            pairs.update(logfreq.bigram_hashes(before, tokens).tolist())
+    return words, pairs, sum(words.values()) - words[int(logfreq.BEGIN)], len(words) - 1
+
+
+def held_count(counts, h):
+    """What an exact filter says of a hash."""
+    return logfreq.LEVEL_COUNT[logfreq.quantised(np.array([counts[h]]), np.array([h], np.uint64))[0]] if counts[h] else 0.0
+
+
 def test_lm_scores_grow_with_the_corpus(spark):
     """A corpus of many times the items that one group holds scores like a model with exact quantised counts."""
-    rng = np.random.default_rng(4)
-    rows = [(k, " ".join(f"w{x}" for x in (rng.zipf(1.3, 60) % 3000).tolist())) for k in range(1500)]
+    rows = corpus() + [(9001, None), (9002, ""), (9003, "w1 " * 30_000), (9003, "w1 " * 30_000), (9004, "never seen " * 5)]
     small = 1 << 14
     table = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in logfreq.lm_scores(table, filter_bytes=small).collect()}
-    made, groups = logfreq.sized_slices(logfreq.ngram_counts(table.where(~logfreq.held_out(F.col("doc_id"), 5, 1)), True), small)
+    large = {r.doc_id: r for r in logfreq.lm_scores(table, filter_bytes=1 << 20, frequent=50).collect()}
+    made, groups = logfreq.sized_slices(logfreq.ngram_counts(table.where(~logfreq.held_out(F.col("doc_id"), 5, 1))), small)
     assert groups >= 4
     set_ = np.mean([np.unpackbits(logfreq.group_filter(made, g, small)).mean() for g in range(groups)])
-    assert 0.15 < set_ <= 0.4
-    words, pairs = Counter(), Counter()
-    for k, t in rows:
-        if crc(k, 5) != 1:
-            said = ["<", *t.split(), ">"]
-            words.update(said)
-            pairs.update(zip(said, said[1:]))
-    n, v = sum(words.values()) - words["<"], len(words) - 1
-    level = lambda c: logfreq.LEVEL_COUNT[logfreq.quantised(np.array([c]))[0]] if c else 0.0
-    off = []
+    assert 0.1 < set_ <= 0.4
+    words, pairs, _, v = learned(rows)
+    n = sum(held_count(words, w) for w in words if w != int(logfreq.BEGIN))
+    assert made.agg(F.sum("mass")).first()[0] == pytest.approx(n)
+    off, exact = [], []
     for k, t in rows:
-        said, want = ["<", *t.split(), ">"], 0.0
-        for a, b in zip(said, said[1:]):
-            left, single = level(words[a]), level(words[b])
-            want += math.log10((min(level(pairs[a, b]), left, single) + 64 * (single + 0.5) / (n + 0.5 * (v + 1))) / (left + 64))
+        tokens, before, _ = logfreq.token_stream([(t or "").encode()])
+        want = 0.0
+        for a, b, ab in zip(before.tolist(), tokens.tolist(), logfreq.bigram_hashes(before, tokens).tolist()):
+            want += math.log10((held_count(pairs, ab) + 64 * (held_count(words, b) + 0.5) / (n + 0.5 * (v + 1))) / (words[a] + 64))
         off.append(abs(found[k].score - want) / abs(want))
-    assert len(found) == len(rows) and np.mean(off) < 0.01 and max(off) < 0.1
+        exact.append(abs(large[k].score - want) / abs(want))
+    assert len(found) == len({k for k, _ in rows}) and np.mean(off) < 0.01 and max(off) < 0.1
+    # a filter with room answers too high almost never
+    assert np.mean(exact) < 1e-4 and max(exact) < 0.01
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """Over the whole vocabulary, by the counts that the filter gives, for words as contexts, weighted by their count."""
+    rows = corpus(3000)
+    size = 1 << 21
+    counts = logfreq.ngram_counts(spark.createDataFrame(rows, "doc_id long, text string").where(~logfreq.held_out(F.col("doc_id"), 5, 1)))
+    made, groups = logfreq.sized_slices(counts, size)
+    assert groups == 1
+    filter_, bits = logfreq.group_filter(made, 0, size), size * 8 // logfreq.SHARDS
+    words, _, _, v = learned(rows)
+    n = made.agg(F.sum("mass")).first()[0]
+    vocabulary = np.array([w for w in words if w != int(logfreq.BEGIN)], np.uint64)
+    single = logfreq.lookup(filter_, vocabulary, bits)
+    p_word = (single + 0.5) / (n + 0.5 * (v + 1))
+    # what is left of 1 is an unseen word's share
+    assert p_word.sum() + 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1, abs=0.01)
+    contexts = [w for w, _ in words.most_common(300) if w != int(logfreq.END)]
+    sums = [((logfreq.lookup(filter_, logfreq.bigram_hashes(np.full(len(vocabulary), w, np.uint64), vocabulary), bits) + 64 * p_word) / (words[w] + 64)).sum() for w in contexts]
+    weights = np.array([words[w] for w in contexts], float)
+    assert np.average(sums, weights=weights) == pytest.approx(1, abs=0.01)
+    assert np.average(np.abs(np.array(sums) - 1), weights=weights) < 0.02
 
 
 # op3
