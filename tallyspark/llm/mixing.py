@@ -12,13 +12,15 @@ code point, so there are no ties.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.filters import placed
 from .arrays import fresh
 from .saved import saved
 
-#: Sources whose summed sizes may be broadcast; more are joined by a shuffle with salt.
+#: Sources whose summed sizes may be broadcast or come to the driver; more are joined by a shuffle with salt.
 BROADCAST_SOURCES = 10_000
 BROADCAST_BYTES = 8 << 20
 SALTS = 64
@@ -35,26 +37,45 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, c
     share ``share`` times all sizes; a target stops at ``ceiling`` times its source's
     size and the excess goes to the others by weight until none is above.
     """
-    spark = sizes.sparkSession
-    per_source = saved(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    # zipWithIndex numbers a distributed sort without gathering it in one task
-    numbered = per_source.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0]["source"], x[0]["source_size"], x[1]))
-    table = spark.createDataFrame(numbered, "source string, source_size long, k long")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
+    per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # numbered by a distributed sort, which gathers nothing in one task
+    table = placed(per_source, (("source", True),))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     table = saved(table.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * ceiling).alias("most")))
-    # Fill up: the level rises as sources with the least room per weight come to their ceiling. A round needs one sum.
-    budget = (table.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = _level(table, share)
+    return table.select("source", "source_size", F.least(F.col("most"), F.col("weight") * F.lit(level)).alias("target"))
+
+
+def _level(table: DataFrame, share: float) -> float:
+    """What a unit of weight gets, so that targets with their ceilings come to the budget."""
+    n, size = table.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    budget = size * share
+    if n <= BROADCAST_SOURCES:
+        rows = table.select("weight", "most").collect()
+        return filled(np.array([r.weight for r in rows]), np.array([r.most for r in rows]), budget)
     level = 0.0
     while True:
         full = F.col("most") <= F.col("weight") * level
         left, open_weight = table.agg(F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
         if not open_weight:
-            break
+            return level
         risen = (budget - left) / open_weight
         if risen <= level * (1 + 1e-12):
-            break
+            return level
         level = risen
-    return table.select("source", "source_size", F.least(F.col("most"), F.col("weight") * F.lit(level)).alias("target"))
+
+
+def filled(weight: np.ndarray, most: np.ndarray, budget: float) -> float:
+    """The level by one pass over sources in the order in which they come to their ceiling."""
+    order = np.argsort(most / weight, kind="stable")
+    weight, most = weight[order], most[order]
+    left = budget - np.concatenate([[0.0], np.cumsum(most)[:-1]])
+    open_weight = np.cumsum(weight[::-1])[::-1]
+    level = left / np.maximum(open_weight, 1e-300)
+    ends = np.flatnonzero(level * weight <= most)
+    if len(ends):
+        return float(level[ends[0]])
+    return float((most / weight).max(initial=0.0))
 
 
 def _with_targets(rows: DataFrame, targets: DataFrame, source: str) -> DataFrame:
