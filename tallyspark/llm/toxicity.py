@@ -7,9 +7,10 @@ score. A text is cut into windows of WINDOW words, each STRIDE words on from the
 before; its score is the calibrated score of its highest window.
 
 The network is trained in numpy on a bounded sample of labelled rows (``sample_rows``,
-a third of them toxic where there are as many, texts up to TRAIN_CHARS); a toxic text
+a third of them toxic where there are as many), whatever their length; a toxic text
 teaches through its highest window, a clean one through its highest and a random one.
-Scores are of whole texts.
+A sampled text teaches with TRAIN_WORDS words at most: of a longer one, windows evenly
+spread over it. Scores are of whole texts.
 
 Null or empty text: the score of a window without words. Null labels aren't learned
 from; of several labels of one doc_id the highest holds. Repeated rows are scored each;
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LETTERS, as_lower_bytes, mix, release, small_batches, slices, span_hashes, word_blocks
+from .arrays import LETTERS, as_lower_bytes, batches, mix, release, small_batches, slices, span_hashes, word_blocks
 from .logfreq import held_out
 
 WINDOW, STRIDE = 48, 24
@@ -32,7 +33,8 @@ HIDDEN, EMBED = 8, 8
 WORDS, GRAMS = 1 << 15, 1 << 15
 PREFIXES = (3, 4, 5, 6)
 INNER = 4
-TRAIN_CHARS = 6000
+#: Words of one sampled text that are learned from, by its label: a clean text is clean everywhere, a toxic one somewhere.
+TRAIN_WORDS = {0: 1024, 1: 6144}
 EPOCHS = 7
 THRESHOLD = 0.7
 
@@ -262,6 +264,16 @@ def _calibrate(net: Network, words: Words, labels: np.ndarray) -> None:
     net.slope, net.offset = float(max(a, 0.1)), float(b)
 
 
+def excerpt(text: bytes, most: int) -> bytes:
+    """The text, or where it has more than ``most`` words, windows evenly spread over it, first and last included."""
+    words = text.split()
+    if len(words) <= most:
+        return text
+    blocks = -(-len(words) // WINDOW)
+    chosen = np.unique(np.linspace(0, blocks - 1, most // WINDOW).round().astype(int))
+    return b" ".join(b" ".join(words[k * WINDOW : (k + 1) * WINDOW]) for k in chosen.tolist())
+
+
 def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, sample_rows: int = 3600) -> Network | None:
     """Fits on at most about ``sample_rows`` labelled texts outside the held-out part; None without both labels."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), of, remainder)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
@@ -269,12 +281,17 @@ def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, s
     coin = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(1 << 30)) / float(1 << 30)
     part = lambda k, share: min(1.0, share * sample_rows / max(n.get(k, 0), 1))
     sample = own.where(coin < F.when(F.col("label") == 1, part(1, 1 / 3)).otherwise(part(0, 2 / 3))).limit(2 * sample_rows)
-    short = docs.where(F.length("text") <= TRAIN_CHARS).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = short.join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * sample_rows)
-    found = sorted({(r.text, r.label) for r in rows.collect()})
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * sample_rows)
+
+    def cut(iterator):
+        for b in batches(iterator, ["text", "label"]):
+            texts = [excerpt(t, TRAIN_WORDS[k]) for t, k in zip(as_lower_bytes(b["text"]), b["label"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b["label"]], names=["text", "label"])
+
+    found = sorted({(bytes(r.text), r.label) for r in rows.mapInArrow(cut, "text binary, label int").collect()})
     if len({label for _, label in found}) < 2:
         return None
-    return fit([text.lower().encode() for text, _ in found], np.array([label for _, label in found]))
+    return fit([text for text, _ in found], np.array([label for _, label in found]))
 
 
 def toxicity_column(net: Network | None, spark):

@@ -258,6 +258,20 @@ def test_mixing(docs, none, monkeypatch):
     assert mixing.mix_sources(none, queries.MIX_WEIGHTS).count() == 0
 
 
+def test_filling_levels():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 5, 40):
+        for share in (0.5, 1.5, 1.99, 2.5):
+            sizes = {f"s{k:03}": int(x) for k, x in enumerate(rng.integers(0, 1000, n))}
+            weight = np.array([queries.MIX_WEIGHTS[k % 3] for k in range(n)])
+            size = np.array(list(sizes.values()), float)
+            level = mixing.filled(weight, 2 * size, share * size.sum())
+            got = np.minimum(2 * size, weight * level)
+            assert got.sum() == pytest.approx(min(share, 2.0) * size.sum())
+            if share <= 1.5:
+                assert got == pytest.approx(list(fill(sizes, queries.MIX_WEIGHTS, share, 2.0).values()))
+
+
 def test_mixing_comes_near_targets(spark):
     rows = [(k, "w " * (k % 13 + 1), f"s{k % 5 if k % 3 else 0}") for k in range(6000)]
     plan = mixing.repetition_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), queries.MIX_WEIGHTS).collect()
@@ -593,6 +607,59 @@ def test_network_gradients():
         assert (up - down) / 2e-2 == pytest.approx(grad[at], rel=0.03)
 
 
+def test_network_like_a_plain_forward_pass():
+    """One window at a time, one word at a time, in double precision, in any company and order."""
+    net = toxicity.Network(3)
+    net.slope, net.offset = 1.3, -0.2
+    rng = np.random.default_rng(15)
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), int(rng.integers(1, 9)))) for _ in range(int(n))).encode() for n in (0, 1, 3, 47, 48, 49, 72, 73, 200)] + [None, b"12 !"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def logit(x):
+        states = []
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            now, out, h = np.zeros(toxicity.HIDDEN), [None] * len(x), toxicity.HIDDEN
+            for t in order:
+                a, b = x[t] @ net.p[f"in_{d}"] + net.p[f"b_{d}"], now @ net.p[f"u_{d}"]
+                z, r = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+                now = z * now + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+                out[t] = now
+            states.append(out)
+        states = [np.concatenate([f, b]) for f, b in zip(*states)]
+        if not states:
+            return float(net.p["out_b"][0])
+        look = np.array([s @ net.p["look"] for s in states])
+        share = np.exp(look - look.max()) / np.exp(look - look.max()).sum()
+        return float(sum(w * s for w, s in zip(share, states)) @ net.p["out"] + net.p["out_b"][0])
+
+    def score(text):
+        words = toxicity.Words([text])
+        x = net.inputs(words).astype(np.float64)[words.ids]
+        ends = [k for k in range(0, max(len(x) - toxicity.STRIDE, 1), toxicity.STRIDE)]
+        return sig(net.slope * max(logit(x[k : k + toxicity.WINDOW]) for k in ends) + net.offset)
+
+    want = [score(t) for t in texts]
+    for order in (np.arange(len(texts)), rng.permutation(len(texts))):
+        assert net.scores([texts[k] for k in order]) == pytest.approx([want[k] for k in order], abs=1e-4)
+    assert net.scores(texts[4:5] * 3) == pytest.approx([want[4]] * 3, abs=1e-4)
+
+
+def test_excerpts_of_long_texts():
+    words = [b"w%d" % k for k in range(10_000)]
+    assert toxicity.excerpt(b" ".join(words[:1024]), 1024) == b" ".join(words[:1024])
+    cut = toxicity.excerpt(b" ".join(words), 1024).split()
+    assert len(cut) <= 1024 and cut[0] == b"w0" and cut[-1] == b"w9999" and len(set(cut)) == len(cut)
+
+
+def test_labels_with_long_texts_only_are_learned(spark):
+    rng = np.random.default_rng(20)
+    plain = ["".join(rng.choice(list("aeiourstn"), 5)) for _ in range(200)]
+    rows = [(k, " ".join([*rng.choice(plain, 1500), *(["gzorpal gzorpix"] * 20 if k % 2 else []), *rng.choice(plain, 100)])) for k in range(60)]
+    net = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"))
+    assert min(len(t) for _, t in rows) > 6000 and net is not None
+    assert net.scores([rows[1][1].encode()])[0] > net.scores([rows[0][1].encode()])[0]
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(8)
     plain = ["".join(rng.choice(list("aeiourstn"), 5)) for _ in range(300)]
