@@ -2,14 +2,14 @@
 
 Counts of word unigrams and bigrams are gathered over all training texts by a shuffle;
 tasks merge what they have counted before they pass it on. A count is quantised to a
-level: counts to 8 exactly, then four levels an octave, up or down by a coin that the
-n-gram's hash throws, so that quantised counts are right on average. The filter then holds
+level, the power of two below or above, by a coin that the n-gram's hash throws, so
+that quantised counts are right on average. The filter then holds
 the items (n-gram, 1) ... (n-gram, level). It is built shard by shard on the executors, and
 a reader recovers a level by probing for 1, 2, ... until a probe fails. The filter answers
 too high at times, never too low; no n-gram is left out of it.
 
 Its size follows the corpus: at least BITS_EACH bits an item, so that with PROBES probes at
-most 40% of the bits are set and an item not held is found in about 1% of the lookups.
+most 40% of the bits are set and an item not held is found in at most 2.5% of the lookups.
 The items are foretold from all n-grams of a hash class (one of CLASSES) and counted when
 the filter is built; where they are more than foretold, it is built again. It consists of
 groups of shards with ``filter_bytes`` each, which bounds what is broadcast. One group is
@@ -20,7 +20,8 @@ corpus hence grow with its distinct n-grams. The fill is logged.
 P(w | v) = (c(v w) + prior * P(w)) / (C(v) + prior), P(w) = (c(w) + 0.5) / (M + 0.5 (V + 1)).
 c is read from the filter, M is the sum of all c(w); C, the exact count of v, comes with the
 counts of the base score below. As c(v w) sums to C(v) over all w on average, P sums to 1
-but for rounding and for what the filter answers too high.
+on average over contexts; in a single one it is off by the rounding of its leading
+continuations, and in all by what the filter answers too high.
 
 The exact add-half unigram score stands beside it. Words with at least N / ``frequent``
 occurrences number at most ``frequent``, so their counts are broadcast; occurrences of the
@@ -49,11 +50,11 @@ LOG = logging.getLogger(__name__)
 END = np.uint64(0xE17A1B2C3D4E5F61)
 BEGIN = np.uint64(0xB3617A1B2C3D4E5F)
 SHARDS = 256
-PROBES = 5
+PROBES = 4
 #: Bits of the filter for each (n-gram, level) held.
-BITS_EACH = 10
-#: The count that stands for a level: 1 to 8, then four an octave.
-LEVEL_COUNT = np.array([float(x) for x in range(8)] + [2.0**k * (1 + j / 4) for k in range(3, 41) for j in range(4)])
+BITS_EACH = 8
+#: The count that stands for a level: the powers of two.
+LEVEL_COUNT = np.array([0.0] + [2.0**k for k in range(41)])
 LEVELS = len(LEVEL_COUNT) - 1
 #: Distinct n-grams that a task gathers before it passes them on, and tokens that it merges into them at a time.
 GATHERED, MERGED = 3_000_000, 1_000_000
@@ -165,9 +166,8 @@ def quantised(n: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(coin * gap < n - LEVEL_COUNT[low], high, low)
 
 
-def insert(filter_: np.ndarray, h: np.ndarray, n: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
-    """``slot``: which of the shards that ``filter_`` holds each of ``h`` belongs to, where these aren't all of a group."""
-    level = quantised(n, h)
+def insert(filter_: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
+    """Holds each n-gram's items up to its level. ``slot``: which of the shards that ``filter_`` holds each of ``h`` belongs to, where these aren't all of a group."""
     for q in range(1, int(level.max(initial=0)) + 1):
         reached = level >= q
         keys = h[reached]
@@ -210,45 +210,40 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
 
 
 def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame:
-    """(group, k, items, mass, bits): shards of the filter over all (kind, h, n), built and written by the executors.
-
-    mass is the sum of the quantised counts of its words, without BEGIN.
-    """
+    """(group, k, items, bits): shards of the filter over all (h, n), built and written by the executors."""
     bits = filter_bytes * 8 // SHARDS
     if bits & (bits - 1):
         raise ValueError("filter_bytes must be a power of two")
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_slice = counts.select("kind", "h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(max(parts, groups), SHARDS * groups), "slice")
-    summed = by_slice.groupBy("slice", "kind", "h").agg(F.sum("n").alias("n"))
+    by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(max(parts, groups), SHARDS * groups), "slice")
+    summed = by_slice.groupBy("slice", "h").agg(F.sum("n").alias("n"))
     each = filter_bytes // SHARDS
 
     def build(iterator):
         own = np.zeros(each, np.uint8)
         slots: dict[int, int] = {}
         items: dict[int, int] = {}
-        mass: dict[int, float] = {}
-        for b in batches(iterator, ["kind", "h", "n"]):
+        for b in batches(iterator, ["h", "n"]):
             h, n = b["h"].to_numpy().view(np.uint64), b["n"].to_numpy()
             level = quantised(n, h)
-            of_words = np.where((b["kind"].to_numpy() == WORD_KIND) & (h != BEGIN), LEVEL_COUNT[level], 0.0)
             found, at = np.unique(h % np.uint64(SHARDS * groups), return_inverse=True)
             held = np.array([slots.setdefault(k, len(slots)) for k in found.tolist()], np.uint64)
             if len(slots) * each > len(own):
                 own = np.concatenate([own, np.zeros(max(len(own), len(slots) * each - len(own)), np.uint8)])
-            insert(own, h, n, bits, held[at])
-            for k, size, words in zip(found.tolist(), np.bincount(at, weights=level).tolist(), np.bincount(at, weights=of_words).tolist(), strict=True):
+            insert(own, h, level, bits, held[at])
+            for k, size in zip(found.tolist(), np.bincount(at, weights=level).tolist(), strict=True):
                 items[k] = items.get(k, 0) + int(size)
-                mass[k] = mass.get(k, 0.0) + words
         for k, slot in slots.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([mass[k]], pa.float64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "mass", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "bits"])
 
     # written first: fetching partition by partition would otherwise also build them one after the other
-    return saved(summed.select("kind", "h", "n").mapInArrow(build, "group int, k int, items long, mass double, bits binary"))
+    return saved(summed.select("h", "n").mapInArrow(build, "group int, k int, items long, bits binary"))
 
 
 def foretold_items(counts: DataFrame) -> int:
     """About how many items the filter will hold, from counts with bigrams of one class of CLASSES."""
-    level = F.when(F.col("n") <= 8, F.col("n")).otherwise(4 * F.log2("n") - 3.5)
+    low = F.floor(F.log2("n"))
+    level = low + F.col("n") / F.pow(F.lit(2.0), low)
     return int(counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == PAIR_KIND, CLASSES * level).otherwise(level)), F.lit(0.0))).first()[0])
 
 
@@ -266,6 +261,16 @@ def sized_slices(counts: DataFrame, filter_bytes: int, foretold: int = 0) -> tup
         groups = groups_for(items, filter_bytes)
 
 
+def quantised_mass(counts: DataFrame) -> float:
+    """The sum of the quantised counts of all (h, n)."""
+
+    def added(iterator):
+        for b in batches(iterator, ["h", "n"]):
+            yield pa.RecordBatch.from_arrays([pa.array([LEVEL_COUNT[quantised(b["n"].to_numpy(), b["h"].to_numpy().view(np.uint64))].sum()])], names=["mass"])
+
+    return counts.select("h", "n").mapInArrow(added, "mass double").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
+
+
 def group_filter(made: DataFrame, group: int, filter_bytes: int) -> np.ndarray:
     """One group's bits: all that comes to the driver at a time."""
     whole = np.zeros(filter_bytes, np.uint8)
@@ -299,7 +304,8 @@ def with_levels(rows: DataFrame, made: DataFrame, groups: int, filter_bytes: int
                     levels = np.zeros((len(tokens), 2), np.uint8) if known[0] is None else np.frombuffer(b"".join(known), np.uint8).reshape(-1, 2).copy()
                     for c, h in enumerate((bigram_hashes(before, tokens), tokens)):
                         at = np.flatnonzero(group_of(h, groups) == group)
-                        levels[at, c] = levels_of(sent.value, h[at], bits)
+                        found, back = np.unique(h[at], return_inverse=True)
+                        levels[at, c] = levels_of(sent.value, found, bits)[back]
                     ends = np.searchsorted(of_text, np.arange(s.stop - s.start + 1))
                     noted = pa.array([levels[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
                     yield pa.RecordBatch.from_arrays([b["row_id"][s], b["doc_id"][s], b["text"][s].cast(pa.string()), b["held_out"][s], noted], schema=_LEVELS)
@@ -330,7 +336,7 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     order = np.argsort(known_h := known.column("h").to_numpy().view(np.uint64))
     top = (known_h[order], known.column("n").to_numpy()[order])
     made, groups = sized_slices(ngram_counts(train), filter_bytes, foretold_items(gathered))
-    mass = made.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0] + 0.5 * (distinct + 1)
+    mass = quantised_mass(counts) + 0.5 * (distinct + 1)
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
     begin, filter_ = 0, None
     if groups == 1:

