@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dates as D
 from .functions import money as M
 from .functions import text as X
+from .operators import chunks as chk
 from .operators import documents as docs
 from .operators import filters as flt
 from .operators import laws
@@ -29,11 +30,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(*names: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
+        for name in names:
+            QUERIES[name] = f
+            if sql:
+                ORACLE_SQL[name] = sql
         return f
 
     return register
@@ -60,6 +62,8 @@ _RATE = "CAST(CASE WHEN tax_rate > 0 AND tax_rate < 1 THEN tax_rate * 100 WHEN t
 _VAT0 = f"WITH f AS ({fact_sql('vat')}), r AS (SELECT *, {_RATE} AS rate, {_in(X.VAT_TYPE, 'transaction_type')} AS kind, coalesce({_in(X.TAX_TYPE, 'tax_type')}, tax_type) AS tax, strftime(date, '%Y-%m') AS period FROM f), a AS (SELECT *, CAST(round(base_amount * rate * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS tax_amount FROM r)"
 _VAT = _VAT0 + ", v AS (SELECT * FROM a WHERE date IS NOT NULL AND base_amount > 0 AND rate IS NOT NULL AND kind IS NOT NULL)"
 _PAY = f"WITH f AS ({fact_sql('payroll')}), c AS (SELECT *, coalesce(employer_cost, CAST(round(gross_salary * CAST(0.225 AS DECIMAL(6,4)), 2) AS DECIMAL(18,2))) AS cost FROM f), v AS (SELECT *, gross_salary + cost + coalesce(bonus, 0) + coalesce(benefits, 0) AS total FROM c WHERE gross_salary > 0)"
+_PERS = f"""WITH f AS ({fact_sql('personnel')}), c AS (SELECT *, coalesce(employer_cost, CAST(round(gross_salary * CAST(0.225 AS DECIMAL(6,4)), 2) AS DECIMAL(18,2))) AS cost, strftime(date, '%Y-%m') AS period FROM f),
+  a AS (SELECT *, gross_salary + cost + coalesce(bonus, 0) + coalesce(benefits, 0) + coalesce(employer_extra_cost, 0) AS total FROM c), v AS (SELECT * FROM a WHERE gross_salary > 0 AND trim(department) <> '')"""
 _SALES0 = f"""WITH f AS ({fact_sql('sales')}), k AS (SELECT *, CASE WHEN transaction_type IS NULL THEN 'sale' ELSE {_in(X.SALES_TYPE, 'transaction_type')} END AS kind,
   CAST(round(quantity * unit_price - coalesce(discount, 0), 2) AS DECIMAL(18,2)) AS g FROM f), a AS (SELECT *, kind IN ('refund', 'partial_refund') AS is_refund, CASE WHEN kind IN ('refund', 'partial_refund') THEN -abs(g) ELSE g END AS total,
   CASE WHEN kind IN ('refund', 'partial_refund') THEN -abs(quantity) ELSE quantity END AS signed_quantity FROM k)"""
@@ -107,76 +111,93 @@ def _stock(spark: SparkSession, d: str) -> DataFrame:
 _VAT_M = f"{_t('base_amount', chr(39).join(['kind = ', 'sale', '']))} AS sales_base, {_t('tax_amount', chr(39).join(['kind = ', 'sale', '']))} AS calculated_vat, {_t('base_amount', chr(39).join(['kind = ', 'purchase', '']))} AS purchase_base, {_t('tax_amount', chr(39).join(['kind = ', 'purchase', '']))} AS deductible_vat, {_t(chr(39).join(['CASE WHEN kind = ', 'sale', ' THEN tax_amount ELSE -tax_amount END']))} AS net_vat"
 
 
-@query("q01_vat_by_rate", _VAT + f"SELECT CAST(rate AS DOUBLE) AS tax_rate, {_VAT_M} FROM v GROUP BY 1")
+@query("q01_vat_by_rate", sql=_VAT + f"SELECT CAST(rate AS DOUBLE) AS tax_rate, {_VAT_M} FROM v GROUP BY 1")
 def vat_by_rate(spark: SparkSession, d: str) -> DataFrame:
     return rep.vat_table(_vat(spark, d), F.col("rate").cast("double"), "tax_rate")
 
 
-@query("q02_vat_monthly", _VAT + f"SELECT period AS month, {_VAT_M} FROM v GROUP BY 1")
+@query("q02_vat_monthly", sql=_VAT + f"SELECT period AS month, {_VAT_M} FROM v GROUP BY 1")
 def vat_monthly(spark: SparkSession, d: str) -> DataFrame:
     return rep.vat_table(_vat(spark, d), D.period(F.col("date")), "month")
 
 
-@query("q03_vat_totals", _VAT + f"SELECT {_VAT_M} FROM v")
+@query("q03_vat_totals", sql=_VAT + f"SELECT {_VAT_M} FROM v")
 def vat_totals(spark: SparkSession, d: str) -> DataFrame:
     return rep.vat_table(_vat(spark, d))
 
 
-@query("q04_vat_warnings", _VAT0 + "SELECT type, severity, count(*) AS n FROM (SELECT 'invalid_tax_rate' AS type, 'critical' AS severity FROM a WHERE rate IS NULL UNION ALL SELECT 'derived_value', 'info' FROM a WHERE rate IS NOT NULL) GROUP BY ALL")
+@query("q04_vat_warnings", sql=_VAT0 + "SELECT type, severity, count(*) AS n FROM (SELECT 'invalid_tax_rate' AS type, 'critical' AS severity FROM a WHERE rate IS NULL UNION ALL SELECT 'derived_value', 'info' FROM a WHERE rate IS NOT NULL) GROUP BY ALL")
 def vat_warnings(spark: SparkSession, d: str) -> DataFrame:
     return val.severity_counts(val.vat(fact(spark, d, "vat")))
 
 
-@query("q04b_vat_status", _VAT0 + "SELECT count(*) AS n_rows, count(*) FILTER (WHERE rate IS NOT NULL AND base_amount > 0) AS n_valid, count(*) FILTER (WHERE NOT coalesce(rate IS NOT NULL AND base_amount > 0, false)) AS n_dropped, count(*) AS n_warnings, CASE WHEN count(*) FILTER (WHERE rate IS NULL) > 0 THEN 'warning' WHEN count(*) FILTER (WHERE base_amount <= 0) > 0 THEN 'partial' ELSE 'success' END AS status FROM a")
+@query("q04b_vat_status", sql=_VAT0 + "SELECT count(*) AS n_rows, count(*) FILTER (WHERE rate IS NOT NULL AND base_amount > 0) AS n_valid, count(*) FILTER (WHERE NOT coalesce(rate IS NOT NULL AND base_amount > 0, false)) AS n_dropped, count(*) AS n_warnings, CASE WHEN count(*) FILTER (WHERE rate IS NULL) > 0 THEN 'warning' WHEN count(*) FILTER (WHERE base_amount <= 0) > 0 THEN 'partial' ELSE 'success' END AS status FROM a")
 def vat_status(spark: SparkSession, d: str) -> DataFrame:
     return val.execution_status(val.vat(fact(spark, d, "vat")))
 
 
-@query("q05_tax_by_type_period", _VAT + f"SELECT tax AS tax_type, period, {_t('base_amount')} AS base_total, {_t('tax_amount')} AS tax_total, count(*) AS txn_count FROM v GROUP BY 1, 2")
+@query("q05_tax_by_type_period", sql=_VAT + f"SELECT tax AS tax_type, period, {_t('base_amount')} AS base_total, {_t('tax_amount')} AS tax_total, count(*) AS txn_count FROM v GROUP BY 1, 2")
 def tax_by_type_period(spark: SparkSession, d: str) -> DataFrame:
     return rep.tax_summary(val.valid(val.tax(fact(spark, d, "vat"))))
 
 
-@query("q06_tax_period_pivot", _VAT + f"""SELECT period, {_t('tax_amount', "tax = 'KDV'")} AS kdv, {_t('tax_amount', "tax = 'Stopaj'")} AS stopaj, {_t('tax_amount', "tax = 'Gelir Vergisi'")} AS gelir_vergisi, {_t('tax_amount', "tax = 'Kurumlar Vergisi'")} AS kurumlar_vergisi, {_t('tax_amount', "tax IN ('KDV', 'Stopaj', 'Gelir Vergisi', 'Kurumlar Vergisi')")} AS total_tax FROM v GROUP BY 1""")
+@query("q06_tax_period_pivot", sql=_VAT + f"""SELECT period, {_t('tax_amount', "tax = 'KDV'")} AS kdv, {_t('tax_amount', "tax = 'Stopaj'")} AS stopaj, {_t('tax_amount', "tax = 'Gelir Vergisi'")} AS gelir_vergisi, {_t('tax_amount', "tax = 'Kurumlar Vergisi'")} AS kurumlar_vergisi, {_t('tax_amount', "tax IN ('KDV', 'Stopaj', 'Gelir Vergisi', 'Kurumlar Vergisi')")} AS total_tax FROM v GROUP BY 1""")
 def tax_period_pivot(spark: SparkSession, d: str) -> DataFrame:
     return rep.tax_periods(val.valid(val.tax(fact(spark, d, "vat"))))
 
 
-@query("q07_payroll_department", _PAY + f"SELECT department, count(DISTINCT employee_name) AS employee_count, {_t('gross_salary')} AS gross, {_t('bonus')} AS bonus, {_t('benefits')} AS benefits, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(DISTINCT employee_name)')} AS avg_cost FROM v GROUP BY 1")
+@query("q07_payroll_department", sql=_PAY + f"SELECT department, count(DISTINCT employee_name) AS employee_count, {_t('gross_salary')} AS gross, {_t('bonus')} AS bonus, {_t('benefits')} AS benefits, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(DISTINCT employee_name)')} AS avg_cost FROM v GROUP BY 1")
 def payroll_department(spark: SparkSession, d: str) -> DataFrame:
     return rep.payroll_departments(_pay(spark, d))
 
 
-@query("q08_payroll_person", _PAY + f"SELECT employee_name, department, {_t('gross_salary')} AS gross, {_t('cost')} AS employer_share, {_t('bonus')} AS bonus, {_t('total')} AS employer_cost FROM v GROUP BY 1, 2")
+@query("q08_payroll_person", sql=_PAY + f"SELECT employee_name, department, {_t('gross_salary')} AS gross, {_t('cost')} AS employer_share, {_t('bonus')} AS bonus, {_t('total')} AS employer_cost FROM v GROUP BY 1, 2")
 def payroll_person(spark: SparkSession, d: str) -> DataFrame:
     return rep.payroll_people(_pay(spark, d))
 
 
-@query("q09_payroll_totals", _PAY + f"SELECT count(*) AS n_rows, {_t('gross_salary')} AS gross, {_t('cost')} AS employer_share, {_t('total')} AS employer_cost FROM v")
+@query("q09_payroll_totals", sql=_PAY + f"SELECT count(*) AS n_rows, {_t('gross_salary')} AS gross, {_t('cost')} AS employer_share, {_t('total')} AS employer_cost FROM v")
 def payroll_totals(spark: SparkSession, d: str) -> DataFrame:
     return rep.payroll_totals(_pay(spark, d))
 
 
-@query("q10_payroll_warnings", f"WITH f AS ({fact_sql('payroll')}) SELECT 'info' AS severity, 'derived_value' AS type, count(*) AS n FROM f WHERE employer_cost IS NULL")
+@query("q10_payroll_warnings", sql=f"WITH f AS ({fact_sql('payroll')}) SELECT 'info' AS severity, 'derived_value' AS type, count(*) AS n FROM f WHERE employer_cost IS NULL")
 def payroll_warnings(spark: SparkSession, d: str) -> DataFrame:
     return val.severity_counts(val.payroll(fact(spark, d, "payroll")))
 
 
-@query("q11_personnel_monthly", _PAY + f"SELECT period, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(*)')} AS avg_cost FROM v GROUP BY 1")
+@query("q11_personnel_monthly", sql=_PAY + f"SELECT period, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(*)')} AS avg_cost FROM v GROUP BY 1")
 def personnel_monthly(spark: SparkSession, d: str) -> DataFrame:
     return rep.personnel_months(_pay(spark, d))
 
 
-@query("q12_sales_summary", _SALES + f", s AS (SELECT {_SALES_M} FROM v) SELECT *, {_r('net', 'orders')} AS average_order FROM s")
+@query("q07b_personnel", sql=_PERS + f"SELECT department, count(DISTINCT employee_name) AS employee_count, {_t('gross_salary')} AS gross, {_t('bonus')} AS bonus, {_t('benefits')} AS benefits, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(DISTINCT employee_name)')} AS avg_cost FROM v GROUP BY 1")
+def personnel_departments(spark: SparkSession, d: str) -> DataFrame:
+    return rep.payroll_departments(val.valid(val.personnel(fact(spark, d, "personnel"))))
+
+
+@query("q11b_personnel_dated", sql=_PERS + f"SELECT period, CAST(sum(total) AS DOUBLE) AS total_cost, {_r('sum(total)', 'count(*)')} AS avg_cost FROM v GROUP BY 1")
+def personnel_dated(spark: SparkSession, d: str) -> DataFrame:
+    return rep.personnel_months(val.valid(val.personnel(fact(spark, d, "personnel"))))
+
+
+@query("q10b_personnel_warnings", sql=_PERS + """ SELECT severity, type, count(*) AS n FROM (
+  SELECT 'info' AS severity, 'derived_value' AS type FROM a WHERE employer_cost IS NULL UNION ALL SELECT 'info', 'derived_value' FROM a WHERE total_employer_cost IS NULL UNION ALL
+  SELECT 'warning', 'mismatch' FROM a WHERE abs(total_employer_cost - total) > 1 UNION ALL SELECT 'blocking', 'missing_required_field' FROM a WHERE trim(department) = '') GROUP BY ALL""")
+def personnel_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return val.severity_counts(val.personnel(fact(spark, d, "personnel")))
+
+
+@query("q12_sales_summary", sql=_SALES + f", s AS (SELECT {_SALES_M} FROM v) SELECT *, {_r('net', 'orders')} AS average_order FROM s")
 def sales_summary(spark: SparkSession, d: str) -> DataFrame:
     return rep.sales_summary(_sales(spark, d))
 
 
 for _name, _dimension in (("q13_sales_by_product", "product_name"), ("q14_sales_by_customer", "customer"), ("q15_sales_by_salesperson", "salesperson"), ("q15b_sales_by_region", "region")):
-    query(_name, _SALES + f"SELECT {_dimension} AS label, {_SALES_M} FROM v WHERE {_dimension} IS NOT NULL GROUP BY 1")(lambda spark, d, by=_dimension: rep.sales_by(_sales(spark, d), by))
+    query(_name, sql=_SALES + f"SELECT {_dimension} AS label, {_SALES_M} FROM v WHERE {_dimension} IS NOT NULL GROUP BY 1")(lambda spark, d, by=_dimension: rep.sales_by(_sales(spark, d), by))
 
 
-@query("q16_sales_monthly", _SALES + f"SELECT month, {_SALES_M} FROM v GROUP BY 1")
+@query("q16_sales_monthly", sql=_SALES + f"SELECT month, {_SALES_M} FROM v GROUP BY 1")
 def sales_monthly(spark: SparkSession, d: str) -> DataFrame:
     return rep.sales_months(_sales(spark, d))
 
@@ -185,12 +206,12 @@ def _leader_sql(dimension: str, measure: str) -> str:
     return f"SELECT * FROM (SELECT '{dimension}' AS dimension, {dimension} AS label, CAST(sum({measure}) AS DOUBLE) AS value FROM v GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 1)"
 
 
-@query("q17_sales_leaders", _SALES + " UNION ALL ".join([_leader_sql("product_name", "total"), _leader_sql("customer", "total"), _leader_sql("salesperson", "total"), _leader_sql("region", "signed_quantity")]))
+@query("q17_sales_leaders", sql=_SALES + " UNION ALL ".join([_leader_sql("product_name", "total"), _leader_sql("customer", "total"), _leader_sql("salesperson", "total"), _leader_sql("region", "signed_quantity")]))
 def sales_leaders(spark: SparkSession, d: str) -> DataFrame:
     return rep.leaders(_sales(spark, d), {"product_name": F.col("total"), "customer": F.col("total"), "salesperson": F.col("total"), "region": F.col("signed_quantity")})
 
 
-@query("q18_sales_warnings", _SALES0 + """SELECT severity, type, count(*) AS n FROM (
+@query("q18_sales_warnings", sql=_SALES0 + """SELECT severity, type, count(*) AS n FROM (
   SELECT 'info' AS severity, 'refund_detected' AS type FROM a WHERE is_refund UNION ALL
   SELECT 'warning', 'mismatch' FROM a WHERE abs((CASE WHEN is_refund THEN -abs(total_sales) ELSE total_sales END) - total) > 1 UNION ALL
   SELECT 'warning', 'unknown_transaction_type' FROM a WHERE kind IS NULL UNION ALL
@@ -202,12 +223,12 @@ def sales_warnings(spark: SparkSession, d: str) -> DataFrame:
 _PROFIT = f"""{_t('amount', "side = 'income'")} AS income, {_t('amount', "side = 'expense'")} AS expense, {_t('signed')} AS net"""
 
 
-@query("q19_profit_summary", _LED + f", s AS (SELECT {_PROFIT} FROM v) SELECT *, {_r('net', 'income')} AS margin FROM s")
+@query("q19_profit_summary", sql=_LED + f", s AS (SELECT {_PROFIT} FROM v) SELECT *, {_r('net', 'income')} AS margin FROM s")
 def profit_summary(spark: SparkSession, d: str) -> DataFrame:
     return rep.profit(_ledger(spark, d))
 
 
-@query("q20_profit_monthly", _LED + f", s AS (SELECT strftime(date, '%Y-%m') AS month, {_PROFIT} FROM v GROUP BY 1) SELECT *, {_r('net', 'income')} AS margin FROM s")
+@query("q20_profit_monthly", sql=_LED + f", s AS (SELECT strftime(date, '%Y-%m') AS month, {_PROFIT} FROM v GROUP BY 1) SELECT *, {_r('net', 'income')} AS margin FROM s")
 def profit_monthly(spark: SparkSession, d: str) -> DataFrame:
     return rep.profit(_ledger(spark, d), monthly=True)
 
@@ -222,7 +243,7 @@ _RISK = _ACC + f""", b AS ({_BAL}), k AS (SELECT counterparty, counterparty_type
   z AS (SELECT *, CASE WHEN risk_score <= 0 THEN 'Dusuk' WHEN risk_score < 50000 THEN 'Orta' ELSE 'Yuksek' END AS risk_level FROM k)"""
 
 
-@query("q21_account_balance", _ACC + _BAL)
+@query("q21_account_balance", sql=_ACC + _BAL)
 def account_balance(spark: SparkSession, d: str) -> DataFrame:
     return rep.account_balance(_account(spark, d))
 
@@ -232,22 +253,22 @@ def _aging_sql() -> str:
     return ", ".join(_t("amount", f"side = '{side}' AND {cond}") + f" AS {side}_{b}" for side in ("debt", "receivable") for b, cond in buckets.items())
 
 
-@query("q22_account_aging", _ACC + f"SELECT counterparty, {_aging_sql()} FROM v WHERE {_OPEN} AND due_date IS NOT NULL GROUP BY 1")
+@query("q22_account_aging", sql=_ACC + f"SELECT counterparty, {_aging_sql()} FROM v WHERE {_OPEN} AND due_date IS NOT NULL GROUP BY 1")
 def account_aging(spark: SparkSession, d: str) -> DataFrame:
     return rep.account_aging(_account(spark, d))
 
 
-@query("q23_debt_main_risk", _RISK + "SELECT * FROM z")
+@query("q23_debt_main_risk", sql=_RISK + "SELECT * FROM z")
 def debt_main_risk(spark: SparkSession, d: str) -> DataFrame:
     return rep.debt_risk(_account(spark, d))
 
 
-@query("q24_debt_top_risk", _RISK + "SELECT * FROM z ORDER BY risk_score DESC, total_debt DESC, counterparty LIMIT 10")
+@query("q24_debt_top_risk", sql=_RISK + "SELECT * FROM z ORDER BY risk_score DESC, total_debt DESC, counterparty LIMIT 10")
 def debt_top_risk(spark: SparkSession, d: str) -> DataFrame:
     return rep.debt_risk(_account(spark, d)).orderBy(F.desc("risk_score"), F.desc("total_debt"), "counterparty").limit(10)
 
 
-@query("q25_debt_split", """WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 3 = 1 THEN CAST(0 AS DECIMAL(18,2)) END AS debt_amount, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS receivable_amount FROM orders),
+@query("q25_debt_split", sql="""WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) WHEN o_orderkey % 3 = 1 THEN CAST(0 AS DECIMAL(18,2)) END AS debt_amount, CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS receivable_amount FROM orders),
   s AS (SELECT greatest(coalesce(debt_amount, 0), coalesce(receivable_amount, 0)) AS amount, CASE WHEN greatest(coalesce(debt_amount, 0), coalesce(receivable_amount, 0)) = 0 THEN NULL WHEN coalesce(receivable_amount, 0) > coalesce(debt_amount, 0) THEN 'receivable' ELSE 'debt' END AS direction FROM f)
   SELECT direction, count(*) AS n_rows, """ + _t("amount") + " AS total FROM s GROUP BY 1")
 def debt_split(spark: SparkSession, d: str) -> DataFrame:
@@ -256,51 +277,51 @@ def debt_split(spark: SparkSession, d: str) -> DataFrame:
     return val.split_sides(rows).groupBy("direction").agg(F.count("*").alias("n_rows"), rep.total("amount").alias("total"))
 
 
-@query("q26_inventory_summary", _INV_S + "SELECT * FROM t")
+@query("q26_inventory_summary", sql=_INV_S + "SELECT * FROM t")
 def inventory_summary(spark: SparkSession, d: str) -> DataFrame:
     return rep.inventory_summary(_stock(spark, d))
 
 
-@query("q27_movement_valuation", _INV_S + """, m AS (SELECT kind, quantity, CASE WHEN kind = 'stock_in' THEN unit_cost ELSE CAST(coalesce(avg_cost, 0) AS DECIMAL(18,2)) END AS cost FROM v LEFT JOIN t USING (item))
+@query("q27_movement_valuation", sql=_INV_S + """, m AS (SELECT kind, quantity, CASE WHEN kind = 'stock_in' THEN unit_cost ELSE CAST(coalesce(avg_cost, 0) AS DECIMAL(18,2)) END AS cost FROM v LEFT JOIN t USING (item))
   SELECT kind, count(*) AS n_rows, """ + _t("quantity") + " AS quantity, " + _t("CAST(round(quantity * cost, 2) AS DECIMAL(18,2))") + " AS value FROM m GROUP BY 1")
 def movement_valuation(spark: SparkSession, d: str) -> DataFrame:
     return rep.movement_values(_stock(spark, d)).groupBy("kind").agg(F.count("*").alias("n_rows"), rep.total("quantity").alias("quantity"), rep.total("valuation_total").alias("value"))
 
 
-@query("q28_critical_stock", _INV_S + "SELECT item, remaining FROM t WHERE remaining <= 5")
+@query("q28_critical_stock", sql=_INV_S + "SELECT item, remaining FROM t WHERE remaining <= 5")
 def critical_stock(spark: SparkSession, d: str) -> DataFrame:
     return rep.critical_stock(rep.inventory_summary(_stock(spark, d))).select("item", "remaining")
 
 
-@query("q29_inconsistent_names", _INV + "SELECT product_code, count(DISTINCT product_name) AS n_names FROM v GROUP BY 1 HAVING count(DISTINCT product_name) > 1")
+@query("q29_inconsistent_names", sql=_INV + "SELECT product_code, count(DISTINCT product_name) AS n_names FROM v GROUP BY 1 HAVING count(DISTINCT product_name) > 1")
 def inconsistent_names(spark: SparkSession, d: str) -> DataFrame:
     return val.inconsistent_names(_stock(spark, d))
 
 
-@query("q29b_display_names", _INV + ", p AS (SELECT item, product_name, count(*) AS n, min((l_orderkey, l_linenumber)) AS f FROM v GROUP BY 1, 2), w AS (SELECT item, product_name AS display_name, row_number() OVER (PARTITION BY item ORDER BY n DESC, f) AS k FROM p) SELECT item, display_name FROM w WHERE k = 1")
+@query("q29b_display_names", sql=_INV + ", p AS (SELECT item, product_name, count(*) AS n, min((l_orderkey, l_linenumber)) AS f FROM v GROUP BY 1, 2), w AS (SELECT item, product_name AS display_name, row_number() OVER (PARTITION BY item ORDER BY n DESC, f) AS k FROM p) SELECT item, display_name FROM w WHERE k = 1")
 def display_names(spark: SparkSession, d: str) -> DataFrame:
     return rep.display_names(_stock(spark, d), ["l_orderkey", "l_linenumber"])
 
 
-@query("q29c_stock_by_currency", _INV + f""", c AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 'TRY' ELSE 'USD' END AS currency FROM v), p AS (SELECT currency, item, sum(CASE kind WHEN 'stock_in' THEN quantity ELSE -quantity END) AS l, {_r("sum(quantity * unit_cost) FILTER (WHERE kind = 'stock_in')", "sum(quantity) FILTER (WHERE kind = 'stock_in')")} AS a FROM c GROUP BY 1, 2)
+@query("q29c_stock_by_currency", sql=_INV + f""", c AS (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 'TRY' ELSE 'USD' END AS currency FROM v), p AS (SELECT currency, item, sum(CASE kind WHEN 'stock_in' THEN quantity ELSE -quantity END) AS l, {_r("sum(quantity * unit_cost) FILTER (WHERE kind = 'stock_in')", "sum(quantity) FILTER (WHERE kind = 'stock_in')")} AS a FROM c GROUP BY 1, 2)
   SELECT currency, CAST(sum(round(greatest(CAST(l AS DECIMAL(18,2)), 0) * CAST(coalesce(a, 0) AS DECIMAL(18,2)), 2)) AS DOUBLE) AS stock_value FROM p GROUP BY 1""")
 def stock_by_currency(spark: SparkSession, d: str) -> DataFrame:
     return rep.stock_by_currency(_stock(spark, d).withColumn("currency", F.when(F.col("l_orderkey") % 2 == 0, "TRY").otherwise("USD")))
 
 
-@query("q30_income_expense_summary", _LED + f""", s AS (SELECT {_t('amount', "side = 'income'")} AS income_total, {_t('amount', "side = 'expense'")} AS expense_total, {_t('signed')} AS net_profit, count(*) AS transaction_count, sum(amount) AS al,
+@query("q30_income_expense_summary", sql=_LED + f""", s AS (SELECT {_t('amount', "side = 'income'")} AS income_total, {_t('amount', "side = 'expense'")} AS expense_total, {_t('signed')} AS net_profit, count(*) AS transaction_count, sum(amount) AS al,
   CAST(coalesce(max(amount) FILTER (WHERE side = 'income'), 0) AS DOUBLE) AS largest_income, CAST(coalesce(max(amount) FILTER (WHERE side = 'expense'), 0) AS DOUBLE) AS largest_expense FROM v)
   SELECT * EXCLUDE (al), {_r('net_profit', 'income_total', 4)} AS profit_margin, {_r('al', 'transaction_count', 4)} AS average_amount FROM s""")
 def income_expense_summary(spark: SparkSession, d: str) -> DataFrame:
     return rep.ledger_summary(_ledger(spark, d))
 
 
-@query("q31_category_totals", _LED + f"SELECT side, coalesce(nullif(trim(category), ''), 'Diğer') AS category, {_t('amount')} AS total, count(*) AS n_rows FROM v GROUP BY 1, 2")
+@query("q31_category_totals", sql=_LED + f"SELECT side, coalesce(nullif(trim(category), ''), 'Diğer') AS category, {_t('amount')} AS total, count(*) AS n_rows FROM v GROUP BY 1, 2")
 def category_totals(spark: SparkSession, d: str) -> DataFrame:
     return rep.category_totals(_ledger(spark, d))
 
 
-@query("q31b_side_categories", _LED + f"SELECT concat_ws('::', side, category) AS bucket, {_t('amount')} AS total FROM v GROUP BY 1")
+@query("q31b_side_categories", sql=_LED + f"SELECT concat_ws('::', side, category) AS bucket, {_t('amount')} AS total FROM v GROUP BY 1")
 def side_categories(spark: SparkSession, d: str) -> DataFrame:
     return rep.side_categories(_ledger(spark, d))
 
@@ -309,7 +330,7 @@ _DAILY = _LED + """, p AS (SELECT CAST(date AS DATE) AS day, coalesce(sum(amount
   t AS (SELECT day, CAST(i AS DOUBLE) AS income, CAST(e AS DOUBLE) AS expense, CAST(i - e AS DOUBLE) AS net, CAST(sum(i - e) OVER (ORDER BY day) AS DOUBLE) AS cumulative_net FROM p)"""
 
 
-@query("q32_daily_trend", _DAILY + "SELECT * FROM t")
+@query("q32_daily_trend", sql=_DAILY + "SELECT * FROM t")
 def daily_trend(spark: SparkSession, d: str) -> DataFrame:
     return rep.daily_trend(_ledger(spark, d))
 
@@ -317,12 +338,12 @@ def daily_trend(spark: SparkSession, d: str) -> DataFrame:
 _CASH = _DAILY + ", b AS (SELECT CAST(date AS DATE) AS day, CAST(arg_max(balance, (date, event_id)) AS DOUBLE) AS balance FROM v WHERE balance IS NOT NULL GROUP BY 1)"
 
 
-@query("q33_cashflow_daily", _CASH + "SELECT day, income AS cash_in, expense AS cash_out, net AS net_cash_flow, cumulative_net AS cumulative_cash_flow, balance, coalesce(balance, cumulative_net) AS balance_or_cumulative FROM t LEFT JOIN b USING (day)")
+@query("q33_cashflow_daily", sql=_CASH + "SELECT day, income AS cash_in, expense AS cash_out, net AS net_cash_flow, cumulative_net AS cumulative_cash_flow, balance, coalesce(balance, cumulative_net) AS balance_or_cumulative FROM t LEFT JOIN b USING (day)")
 def cashflow_daily(spark: SparkSession, d: str) -> DataFrame:
     return rep.daily_cash(_ledger(spark, d))
 
 
-@query("q34_cashflow_summary", _DAILY + f""", w AS (SELECT {_t('amount', "side = 'income'")} AS cash_in_total, {_t('amount', "side <> 'income'")} AS cash_out_total, count(*) AS transaction_count,
+@query("q34_cashflow_summary", sql=_DAILY + f""", w AS (SELECT {_t('amount', "side = 'income'")} AS cash_in_total, {_t('amount', "side <> 'income'")} AS cash_out_total, count(*) AS transaction_count,
   CAST(coalesce(max(amount) FILTER (WHERE side = 'income'), 0) AS DOUBLE) AS largest_cash_in, CAST(coalesce(max(amount) FILTER (WHERE side <> 'income'), 0) AS DOUBLE) AS largest_cash_out,
   CAST(arg_max(balance, (date, event_id)) FILTER (WHERE balance IS NOT NULL) AS DOUBLE) AS ending_balance FROM v),
   n AS (SELECT count(*) AS n_days, count(*) FILTER (WHERE net > 0) AS positive_days, count(*) FILTER (WHERE net < 0) AS negative_days FROM t)
@@ -334,13 +355,13 @@ def cashflow_summary(spark: SparkSession, d: str) -> DataFrame:
 _ACTIVITY = "CASE " + " ".join(f"WHEN regexp_matches(lower(category), '{'|'.join(w)}') THEN '{k}'" for k, w in X.ACTIVITY.items()) + " ELSE 'unclassified' END"
 
 
-@query("q34b_activity", _LED + f"SELECT {_ACTIVITY} AS activity, {_t('signed')} AS net FROM (SELECT * REPLACE (CASE category WHEN 'click' THEN 'kredi faiz' WHEN 'view' THEN 'Ekipman' WHEN 'purchase' THEN 'Satış' ELSE category END AS category) FROM v) x GROUP BY 1".replace("'Satış'", "'Satis'"))
+@query("q34b_activity", sql=_LED + f"SELECT {_ACTIVITY} AS activity, {_t('signed')} AS net FROM (SELECT * REPLACE (CASE category WHEN 'click' THEN 'kredi faiz' WHEN 'view' THEN 'Ekipman' WHEN 'purchase' THEN 'Satış' ELSE category END AS category) FROM v) x GROUP BY 1".replace("'Satış'", "'Satis'"))
 def activity_totals(spark: SparkSession, d: str) -> DataFrame:
     named = F.when(F.col("category") == "click", "kredi faiz").when(F.col("category") == "view", "Ekipman").when(F.col("category") == "purchase", "Satış").otherwise(F.col("category"))
     return rep.activity_totals(_ledger(spark, d).withColumn("category", named))
 
 
-@query("q34c_positive_expenses", _LED + f"SELECT category, {_t('amount')} AS total FROM v WHERE side = 'expense' GROUP BY 1 HAVING sum(amount) > 0")
+@query("q34c_positive_expenses", sql=_LED + f"SELECT category, {_t('amount')} AS total FROM v WHERE side = 'expense' GROUP BY 1 HAVING sum(amount) > 0")
 def positive_expenses(spark: SparkSession, d: str) -> DataFrame:
     return rep.positive_expenses(_ledger(spark, d))
 
@@ -348,7 +369,7 @@ def positive_expenses(spark: SparkSession, d: str) -> DataFrame:
 # Filters, rankings and prompts
 
 _F_COLS = "row_id, counterparty, CAST(amount AS DOUBLE) AS amount"
-_F = f"WITH f AS ({fact_sql('account')}), s AS (SELECT *, {_in(X.PAYMENT_STATUS, 'payment_status')} AS status, {_in(X.DEBT_DIRECTION, 'direction')} AS side, {_in(X.PARTY_TYPE, 'counterparty_type')} AS party FROM f)"
+_F = f"WITH f AS MATERIALIZED ({fact_sql('account')}), s AS MATERIALIZED (SELECT *, {_in(X.PAYMENT_STATUS, 'payment_status')} AS status, {_in(X.DEBT_DIRECTION, 'direction')} AS side, {_in(X.PARTY_TYPE, 'counterparty_type')} AS party FROM f)"
 
 
 def _filtered(spark: SparkSession, d: str, spec: flt.Spec) -> DataFrame:
@@ -372,39 +393,29 @@ _FILTERS: dict[str, tuple[flt.Spec, str]] = {
     ),
 }
 for _name, (_spec, _where) in _FILTERS.items():
-    query(_name, _F + f"SELECT {_F_COLS} FROM s WHERE {_where}")(lambda spark, d, spec=_spec: _filtered(spark, d, spec))
+    query(_name, sql=_F + f"SELECT {_F_COLS} FROM s WHERE {_where}")(lambda spark, d, spec=_spec: _filtered(spark, d, spec))
 
 
-@query("q42_top_rows", _F + f"SELECT {_F_COLS} FROM s ORDER BY amount DESC, row_id LIMIT 15")
+@query("q42_top_rows", sql=_F + f"SELECT {_F_COLS} FROM s ORDER BY amount DESC, row_id LIMIT 15")
 def top_rows(spark: SparkSession, d: str) -> DataFrame:
     return _filtered(spark, d, flt.Spec(ranking=flt.Ranking("amount", 15, tie="row_id")))
 
 
 _METRIC = {"sum": "sum(amount)", "mean": "sum(amount)::DOUBLE / count(*)", "max": "max(amount)", "min": "min(amount)", "count": "count(*)"}
 for _agg, _sql in _METRIC.items():
-    query(f"q43_top_groups_{_agg}", _F + f", g AS (SELECT counterparty FROM s GROUP BY 1 ORDER BY CAST({_sql} AS DOUBLE) DESC, counterparty LIMIT 5) SELECT {_F_COLS} FROM s SEMI JOIN g USING (counterparty)")(
+    query(f"q43_top_groups_{_agg}", sql=_F + f", g AS MATERIALIZED (SELECT counterparty FROM s GROUP BY 1 ORDER BY CAST({_sql} AS DOUBLE) DESC, counterparty LIMIT 5) SELECT {_F_COLS} FROM s SEMI JOIN g USING (counterparty)")(
         lambda spark, d, agg=_agg: _filtered(spark, d, flt.Spec(ranking=flt.Ranking("amount", 5, ("counterparty",), agg)))
     )
 
 
-@query("q44_top_groups_risk", _F + f""", r AS (SELECT *, CASE WHEN (due_date IS NULL OR date_diff('day', CAST(due_date AS DATE), {_AS_OF}) > 0) AND coalesce(status <> 'paid', true) AND (CASE party WHEN 'customer' THEN side = 'receivable' WHEN 'supplier' THEN side = 'debt' ELSE true END) THEN amount ELSE 0 END AS risk FROM s),
-  g AS (SELECT counterparty FROM r GROUP BY 1 ORDER BY CAST(sum(risk) AS DOUBLE) DESC, counterparty LIMIT 5) SELECT {_F_COLS} FROM s SEMI JOIN g USING (counterparty)""")
+@query("q44_top_groups_risk", sql=_F + f""", r AS (SELECT *, CASE WHEN (due_date IS NULL OR date_diff('day', CAST(due_date AS DATE), {_AS_OF}) > 0) AND coalesce(status <> 'paid', true) AND (CASE party WHEN 'customer' THEN side = 'receivable' WHEN 'supplier' THEN side = 'debt' ELSE true END) THEN amount ELSE 0 END AS risk FROM s),
+  g AS MATERIALIZED (SELECT counterparty FROM r GROUP BY 1 ORDER BY CAST(sum(risk) AS DOUBLE) DESC, counterparty LIMIT 5) SELECT {_F_COLS} FROM s SEMI JOIN g USING (counterparty)""")
 def top_groups_risk(spark: SparkSession, d: str) -> DataFrame:
     rows = val.account(fact(spark, d, "account"))
     return flt.top_groups(rows, flt.Ranking("risk_score", 5, ("counterparty",), "risk_score")).select("row_id", "counterparty", F.col("amount").cast("double").alias("amount"))
 
 
-@query("q45_multi_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders ORDER BY place LIMIT 100")
-def multi_sort(spark: SparkSession, d: str) -> DataFrame:
-    rows = flt.multi_sort(table(spark, d, "orders"), (("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True))).limit(100)
-    from pyspark.sql import Window
-
-    # the first hundred alone are numbered
-    order = Window.orderBy(F.col("o_orderpriority").asc_nulls_last(), F.col("o_totalprice").desc_nulls_last(), "o_orderkey")
-    return rows.select("o_orderkey", F.row_number().over(order).cast("long").alias("place"))
-
-
-@query("q45_multi_sort_all", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+@query("q45_multi_sort", "q45_multi_sort_all", sql="SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def multi_sort_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return flt.placed(rows, (("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True))).select("o_orderkey", "place")
@@ -413,13 +424,13 @@ def multi_sort_all(spark: SparkSession, d: str) -> DataFrame:
 PROMPT = "2000 yili icin 50 bin tl uzeri, odenmemis ve vadesi gecmis alacaklar; en buyuk 12 kayit"
 
 
-@query("q46_prompt_filters", _F + f"SELECT {_F_COLS} FROM s WHERE date >= TIMESTAMP '2000-01-01' AND date <= TIMESTAMP '2000-12-31' AND amount >= 50000 AND status IN ('unpaid', 'partial', 'open') AND due_date < {_AS_OF} ORDER BY amount DESC LIMIT 12")
+@query("q46_prompt_filters", sql=_F + f"SELECT {_F_COLS} FROM s WHERE date >= TIMESTAMP '2000-01-01' AND date <= TIMESTAMP '2000-12-31' AND amount >= 50000 AND status IN ('unpaid', 'partial', 'open') AND due_date < {_AS_OF} ORDER BY amount DESC LIMIT 12")
 def prompt_filters(spark: SparkSession, d: str) -> DataFrame:
     rows = fact(spark, d, "account")
     return _filtered(spark, d, prompt.spec(PROMPT, rows.columns, DEFAULTS.as_of))
 
 
-@query("q47_filter_summary", _F + f""", n AS (SELECT count(*) AS n, count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31') AS a,
+@query("q47_filter_summary", sql=_F + f""", n AS (SELECT count(*) AS n, count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31') AS a,
   count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31' AND amount >= 20000) AS b, count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31' AND amount >= 20000 AND counterparty_type = 'musteri') AS c,
   count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31' AND amount >= 20000 AND counterparty_type = 'musteri' AND status IN ('unpaid', 'partial')) AS e,
   count(*) FILTER (WHERE date >= TIMESTAMP '1996-01-01' AND date <= TIMESTAMP '1996-12-31' AND amount >= 20000 AND counterparty_type = 'musteri' AND status IN ('unpaid', 'partial') AND due_date < {_AS_OF}) AS g FROM s)
@@ -432,60 +443,61 @@ def filter_summary(spark: SparkSession, d: str) -> DataFrame:
 # Charts and analyses
 
 
-@query("q48_chart_income_expense", _LED + f"SELECT side, {_t('amount')} AS total FROM v GROUP BY 1")
+@query("q48_chart_income_expense", sql=_LED + f"SELECT side, {_t('amount')} AS total FROM v GROUP BY 1")
 def chart_income_expense(spark: SparkSession, d: str) -> DataFrame:
     return ser.income_expense_pie(_ledger(spark, d))
 
 
-@query("q49_chart_monthly_expense", _LED + f"SELECT strftime(date, '%Y-%m') AS period, {_t('amount')} AS expense FROM v WHERE side = 'expense' GROUP BY 1")
+@query("q49_chart_monthly_expense", sql=_LED + f"SELECT strftime(date, '%Y-%m') AS period, {_t('amount')} AS expense FROM v WHERE side = 'expense' GROUP BY 1")
 def chart_monthly_expense(spark: SparkSession, d: str) -> DataFrame:
     return ser.monthly_expense(_ledger(spark, d))
 
 
-@query("q50_chart_cash_flow", _LED + f"""SELECT strftime(date, '%Y-%m') AS period, {_t('amount', "side = 'income'")} AS income, {_t('amount', "side = 'expense'")} AS expense, {_t('signed')} AS net FROM v GROUP BY 1""")
+@query("q50_chart_cash_flow", sql=_LED + f"""SELECT strftime(date, '%Y-%m') AS period, {_t('amount', "side = 'income'")} AS income, {_t('amount', "side = 'expense'")} AS expense, {_t('signed')} AS net FROM v GROUP BY 1""")
 def chart_cash_flow(spark: SparkSession, d: str) -> DataFrame:
     return ser.cash_flow_bars(_ledger(spark, d))
 
 
-@query("q51_chart_top_expenses", _LED + f"SELECT counterparty AS label, {_t('amount')} AS total FROM v WHERE side = 'expense' AND counterparty IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("q51_chart_top_expenses", sql=_LED + f"SELECT counterparty AS label, {_t('amount')} AS total FROM v WHERE side = 'expense' AND counterparty IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def chart_top_expenses(spark: SparkSession, d: str) -> DataFrame:
     return ser.top_totals(_ledger(spark, d).where("side = 'expense'"), "counterparty", "amount")
 
 
-@query("q52_chart_daily_balance", _LED + ", p AS (SELECT CAST(date AS DATE) AS day, sum(signed) AS n FROM v GROUP BY 1) SELECT day, CAST(sum(n) OVER (ORDER BY day) AS DOUBLE) AS balance FROM p")
+@query("q52_chart_daily_balance", sql=_LED + ", p AS (SELECT CAST(date AS DATE) AS day, sum(signed) AS n FROM v GROUP BY 1) SELECT day, CAST(sum(n) OVER (ORDER BY day) AS DOUBLE) AS balance FROM p")
 def chart_daily_balance(spark: SparkSession, d: str) -> DataFrame:
     return ser.daily_balance(_ledger(spark, d))
 
 
-@query("q53_chart_parties", _ACC + f"""SELECT counterparty, {_t('amount', "side = 'receivable'")} AS receivable, {_t('amount', "side = 'debt'")} AS debt FROM v GROUP BY 1 ORDER BY debt DESC, receivable DESC, counterparty LIMIT 10""")
+@query("q53_chart_parties", sql=_ACC + f"""SELECT counterparty, {_t('amount', "side = 'receivable'")} AS receivable, {_t('amount', "side = 'debt'")} AS debt FROM v GROUP BY 1 ORDER BY debt DESC, receivable DESC, counterparty LIMIT 10""")
 def chart_parties(spark: SparkSession, d: str) -> DataFrame:
     return ser.party_distribution(_account(spark, d))
 
 
-@query("q54_chart_sales", _SALES + f"SELECT product_name AS label, {_t('total')} AS total FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("q54_chart_sales", sql=_SALES + f"SELECT product_name AS label, {_t('total')} AS total FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def chart_sales(spark: SparkSession, d: str) -> DataFrame:
     return ser.top_totals(_sales(spark, d), "product_name", "total")
 
 
-@query("q55_chart_tax", _VAT + f"SELECT tax AS tax_type, {_t('tax_amount')} AS total FROM v GROUP BY 1")
+@query("q55_chart_tax", sql=_VAT + f"SELECT tax AS tax_type, {_t('tax_amount')} AS total FROM v GROUP BY 1")
 def chart_tax(spark: SparkSession, d: str) -> DataFrame:
     return ser.tax_distribution(val.valid(val.tax(fact(spark, d, "vat"))))
 
 
-@query("q56_anomalies", _LED + """, x AS (SELECT event_id, CAST(amount AS DOUBLE) AS amount, category FROM v WHERE side = 'expense'), q AS (SELECT quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3, avg(amount) AS m, stddev_pop(amount) AS s FROM x)
+@query("q56_anomalies", sql=_LED + """, x AS (SELECT event_id, CAST(amount AS DOUBLE) AS amount, category FROM v WHERE side = 'expense'), q AS (SELECT quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3, avg(amount) AS m, stddev_pop(amount) AS s FROM x)
   SELECT event_id, amount, category, round((amount - m) / coalesce(nullif(s, 0), 1), 4) AS z FROM x, q WHERE amount > q3 + 1.5 * (q3 - q1) OR abs((amount - m) / coalesce(nullif(s, 0), 1)) > 2.5 ORDER BY event_id LIMIT 20""")
 def anomalies(spark: SparkSession, d: str) -> DataFrame:
     return ser.anomalies(_ledger(spark, d))
 
 
-@query("q57_cash_runway", _LED + f""", b AS (SELECT {_r('sum(e)', 'count(*)')} AS daily_burn FROM (SELECT CAST(date AS DATE) AS day, sum(amount) AS e FROM v WHERE side = 'expense' GROUP BY 1) p),
+@query("q57_cash_runway", sql=_LED + f""", b AS (SELECT {_r('sum(e)', 'count(*)')} AS daily_burn FROM (SELECT CAST(date AS DATE) AS day, sum(amount) AS e FROM v WHERE side = 'expense' GROUP BY 1) p),
+  w AS (SELECT {_r('sum(e)', 'count(*)')} AS monthly_expense FROM (SELECT sum(amount) AS e FROM v WHERE side = 'expense' GROUP BY strftime(date, '%Y-%m')) p),
   l AS (SELECT max(date) AS end_, CAST(coalesce(arg_max(balance, (date, event_id)) FILTER (WHERE balance IS NOT NULL), sum(signed)) AS DOUBLE) AS balance FROM v),
-  o AS (SELECT daily_burn, balance, CAST(floor(balance / daily_burn) AS BIGINT) AS days_left, end_ FROM b, l) SELECT daily_burn, balance, days_left, strftime(CAST(end_ AS DATE) + CAST(days_left AS INTEGER), '%Y-%m-%d') AS critical_date FROM o""")
+  o AS (SELECT daily_burn, balance, CAST(floor(balance / daily_burn) AS BIGINT) AS days_left, end_, monthly_expense FROM b, l, w) SELECT daily_burn, monthly_expense, balance, days_left, strftime(CAST(end_ AS DATE) + CAST(days_left AS INTEGER), '%Y-%m-%d') AS critical_date FROM o""")
 def cash_runway(spark: SparkSession, d: str) -> DataFrame:
     return ser.runway(_ledger(spark, d))
 
 
-@query("q58_financial_risk", _LED + f""", s AS (SELECT {_t('amount', "side = 'income'")} AS income, {_t('amount', "side = 'expense'")} AS expense FROM v),
+@query("q58_financial_risk", sql=_LED + f""", s AS (SELECT {_t('amount', "side = 'income'")} AS income, {_t('amount', "side = 'expense'")} AS expense FROM v),
   m AS (SELECT round(avg(c), 2) AS c FROM (SELECT e - lag(e) OVER (ORDER BY period) AS c FROM (SELECT strftime(date, '%Y-%m') AS period, CAST(sum(amount) AS DOUBLE) AS e FROM v WHERE side = 'expense' GROUP BY 1) p) x),
   n AS (SELECT stddev_pop(n) AS vol FROM (SELECT CAST(sum(signed) AS DOUBLE) AS n FROM v GROUP BY CAST(date AS DATE)) x)
   SELECT income, expense, {_r('income', 'expense', 4)} AS ratio, coalesce(c, 0) AS mean_change, round(vol, 4) AS volatility, round(greatest(0, least(100, 50 - (income - expense) / expense * 40 + vol / expense * 100)), 4) AS score FROM s, m, n""")
@@ -493,24 +505,24 @@ def financial_risk(spark: SparkSession, d: str) -> DataFrame:
     return ser.financial_risk(_ledger(spark, d))
 
 
-@query("q59_expense_shares", _LED + f""", p AS (SELECT category, {_t('amount')} AS total, count(*) AS n_rows FROM v WHERE side = 'expense' GROUP BY 1), k AS (SELECT *, sum(total) OVER () AS al, CAST(row_number() OVER (ORDER BY total DESC, category) AS INTEGER) AS rank FROM p)
+@query("q59_expense_shares", sql=_LED + f""", p AS (SELECT category, {_t('amount')} AS total, count(*) AS n_rows FROM v WHERE side = 'expense' GROUP BY 1), k AS (SELECT *, sum(total) OVER () AS al, CAST(row_number() OVER (ORDER BY total DESC, category) AS INTEGER) AS rank FROM p)
   SELECT category, total, n_rows, {_r('total * 100', 'al')} AS share, rank, CASE WHEN rank <= 3 THEN CAST(round(CAST(total * 0.1 AS DECIMAL(28,6)), 2) AS DOUBLE) ELSE 0.0 END AS savings FROM k""")
 def expense_shares(spark: SparkSession, d: str) -> DataFrame:
     return ser.expense_shares(_ledger(spark, d))
 
 
-@query("q60_profit_analysis", _LED + f""", p AS (SELECT coalesce(sum(amount) FILTER (WHERE side = 'income'), 0) AS i, coalesce(sum(amount) FILTER (WHERE side = 'expense'), 0) AS e FROM v GROUP BY strftime(date, '%Y-%m'))
+@query("q60_profit_analysis", sql=_LED + f""", p AS (SELECT coalesce(sum(amount) FILTER (WHERE side = 'income'), 0) AS i, coalesce(sum(amount) FILTER (WHERE side = 'expense'), 0) AS e FROM v GROUP BY strftime(date, '%Y-%m'))
   SELECT CAST(sum(i) AS DOUBLE) AS income, CAST(sum(e) AS DOUBLE) AS expense, {_r('(sum(i) - sum(e)) * 100', 'sum(i)')} AS margin_percent, count(*) FILTER (WHERE i < e) AS negative_months, count(*) AS n_months FROM p""")
 def profit_analysis(spark: SparkSession, d: str) -> DataFrame:
     return ser.profit_months(_ledger(spark, d))
 
 
-@query("q61_party_risk", _ACC + f"""SELECT counterparty, {_t('amount', "side = 'receivable'")} AS receivable, {_t('amount', "side = 'debt'")} AS debt, {_t('amount')} AS net_risk, count(*) FILTER (WHERE days > 0) AS n_overdue FROM v GROUP BY 1 ORDER BY net_risk DESC, counterparty LIMIT 10""")
+@query("q61_party_risk", sql=_ACC + f"""SELECT counterparty, {_t('amount', "side = 'receivable'")} AS receivable, {_t('amount', "side = 'debt'")} AS debt, {_t('amount')} AS net_risk, count(*) FILTER (WHERE {_LATE}) AS n_overdue FROM v GROUP BY 1 ORDER BY net_risk DESC, counterparty LIMIT 10""")
 def party_risk(spark: SparkSession, d: str) -> DataFrame:
     return ser.party_risk(_account(spark, d))
 
 
-@query("q61b_aging_counts", _ACC + "SELECT CASE WHEN days <= 30 THEN '0-30' WHEN days <= 60 THEN '31-60' WHEN days <= 90 THEN '61-90' ELSE '90+' END AS bucket, count(*) AS n_rows FROM v WHERE days >= 0 GROUP BY 1")
+@query("q61b_aging_counts", sql=_ACC + "SELECT CASE WHEN days <= 30 THEN '0-30' WHEN days <= 60 THEN '31-60' WHEN days <= 90 THEN '61-90' ELSE '90+' END AS bucket, count(*) AS n_rows FROM v WHERE days >= 0 GROUP BY 1")
 def aging_counts(spark: SparkSession, d: str) -> DataFrame:
     return ser.aging_counts(_account(spark, d))
 
@@ -519,22 +531,78 @@ def _share_sql(dimension: str) -> str:
     return f"SELECT '{dimension}' AS dimension, CAST(sum(t) AS DOUBLE) AS total, {_r('max(t) * 100', 'sum(t)')} AS top_share, count(label) AS n_labels FROM (SELECT {dimension} AS label, sum(total) AS t FROM v GROUP BY 1) x"
 
 
-@query("q62_sales_risk", _SALES + _share_sql("customer") + " UNION ALL " + _share_sql("product_name"))
+@query("q62_sales_risk", sql=_SALES + _share_sql("customer") + " UNION ALL " + _share_sql("product_name"))
 def sales_risk(spark: SparkSession, d: str) -> DataFrame:
     rows = _sales(spark, d)
     return ser.concentration(rows, "customer").union(ser.concentration(rows, "product_name"))
 
 
-@query("q63_tax_risk", _VAT + f"SELECT {_t('tax_amount')} AS total_tax, count(DISTINCT tax) AS n_types, count(*) FILTER (WHERE abs(base_amount * tax_rate - tax_amount) > 1) AS n_mismatched FROM v")
+@query("q63_tax_risk", sql=_VAT + f"SELECT {_t('tax_amount')} AS total_tax, count(DISTINCT tax) AS n_types, count(*) FILTER (WHERE abs(base_amount * tax_rate - tax_amount) > 1) AS n_mismatched FROM v")
 def tax_risk(spark: SparkSession, d: str) -> DataFrame:
     return ser.tax_mismatches(val.valid(val.tax(fact(spark, d, "vat"))))
 
 
-@query("q63b_data_scope", f"WITH f AS ({fact_sql('ledger')}) SELECT count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_day, strftime(max(date), '%Y-%m-%d') AS last_day FROM f")
+@query("q63b_data_scope", sql=f"WITH f AS ({fact_sql('ledger')}) SELECT count(*) AS n_rows, strftime(min(date), '%Y-%m-%d') AS first_day, strftime(max(date), '%Y-%m-%d') AS last_day FROM f")
 def data_scope(spark: SparkSession, d: str) -> DataFrame:
     return ser.data_scope(fact(spark, d, "ledger"))
 
 
+@query("q59b_expense_summary", sql=_LED + f""", p AS (SELECT category, sum(amount) AS t FROM v WHERE side = 'expense' GROUP BY 1), k AS (SELECT t FROM p ORDER BY t DESC, category LIMIT 3)
+  SELECT CAST((SELECT sum(t) FROM p) AS DOUBLE) AS total, {_r('max(t) * 100', '(SELECT sum(t) FROM p)')} AS top_share, {_r('sum(t) * 100', '(SELECT sum(t) FROM p)')} AS top3_share, CAST(round(sum(t) * CAST(0.1 AS DECIMAL(2,1)), 2) AS DOUBLE) AS savings FROM k""")
+def expense_summary(spark: SparkSession, d: str) -> DataFrame:
+    return ser.expense_summary(_ledger(spark, d))
+
+
+@query("q59c_recurring_expenses", sql=_LED + f"SELECT concat(category, ' ', counterparty) AS description, count(*) AS n_rows, {_t('amount')} AS total FROM v WHERE side = 'expense' GROUP BY 1 ORDER BY n_rows DESC, total DESC, description LIMIT 10")
+def recurring_expenses(spark: SparkSession, d: str) -> DataFrame:
+    return ser.recurring_expenses(_ledger(spark, d).withColumn("description", F.concat("category", F.lit(" "), "counterparty")))
+
+
+@query("q61c_overdue_totals", sql=_ACC + f"SELECT count(*) FILTER (WHERE {_LATE}) AS n_overdue, {_t('amount', _LATE)} AS overdue_total FROM v")
+def overdue_totals(spark: SparkSession, d: str) -> DataFrame:
+    return ser.overdue_totals(_account(spark, d))
+
+
+@query("q64b_figure_daily_net", sql=_LED + f"SELECT CAST(date AS DATE) AS day, {_t('signed')} AS net FROM v GROUP BY 1")
+def figure_daily_net(spark: SparkSession, d: str) -> DataFrame:
+    return ser.daily_net(_ledger(spark, d))
+
+
+@query("q64c_figure_daily_burn", sql=_LED + f"SELECT CAST(date AS DATE) AS day, {_t('amount')} AS expense FROM v WHERE side = 'expense' GROUP BY 1")
+def figure_daily_burn(spark: SparkSession, d: str) -> DataFrame:
+    return ser.daily_burn(_ledger(spark, d))
+
+
+@query("q64d_figure_largest_expenses", sql=_LED + "SELECT event_id, coalesce(category, '-') AS label, CAST(amount AS DOUBLE) AS amount FROM v WHERE side = 'expense' ORDER BY amount DESC, event_id LIMIT 10")
+def figure_largest_expenses(spark: SparkSession, d: str) -> DataFrame:
+    return ser.largest_expenses(_ledger(spark, d), "event_id")
+
+
+@query("q64e_figure_categories", sql=_LED + f"SELECT category AS label, {_t('amount')} AS total FROM v WHERE side = 'expense' AND category IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def figure_categories(spark: SparkSession, d: str) -> DataFrame:
+    return ser.top_totals(_ledger(spark, d).where("side = 'expense'"), "category", "amount", 8)
+
+
+@query("q64f_figure_monthly_sales", sql=_SALES + f"SELECT month AS period, {_t('total')} AS total FROM v GROUP BY 1")
+def figure_monthly_sales(spark: SparkSession, d: str) -> DataFrame:
+    return ser.monthly_totals(_sales(spark, d), "total")
+
+
+@query("q64g_figure_customers", sql=_SALES + f"SELECT customer AS label, {_t('total')} AS total FROM v GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+def figure_customers(spark: SparkSession, d: str) -> DataFrame:
+    return ser.top_totals(_sales(spark, d), "customer", "total", 8)
+
+
+@query("q64h_figure_monthly_tax", sql=_VAT + f"SELECT period, {_t('tax_amount')} AS total FROM v GROUP BY 1")
+def figure_monthly_tax(spark: SparkSession, d: str) -> DataFrame:
+    return ser.monthly_totals(val.valid(val.tax(fact(spark, d, "vat"))), "tax_amount")
+
+
+@query("q47b_empty_result", sql=_F + "SELECT count(*) AS rows_before, count(*) FILTER (WHERE amount > 100000000) AS rows_left, true AS applied, count(*) FILTER (WHERE amount > 100000000) = 0 AS report_empty FROM s")
+def empty_result(spark: SparkSession, d: str) -> DataFrame:
+    return flt.empty_result(flt.summary(fact(spark, d, "account"), flt.Spec(amounts=(flt.Amount("amount", ">", 100_000_000.0),))))
+
+
 # Duplicates, currencies and unions
 
 _DUP = """WITH u AS (SELECT l_orderkey, l_linenumber, 0 AS copy, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE concat('tx-', l_orderkey, '-', l_linenumber) END AS transaction_id, CAST(l_suppkey AS VARCHAR) AS counterparty, concat('inv-', l_orderkey) AS invoice_no FROM lineitem
@@ -546,33 +614,33 @@ def _doubled(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("copy", F.lit(0)).union(rows.where("l_orderkey % 7 = 0").withColumn("copy", F.lit(1)))
 
 
-@query("q64_dedupe_txn", _DUP + ", k AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY copy) AS nth FROM u) SELECT count(*) AS n_rows, count(transaction_id) AS n_named FROM k WHERE transaction_id IS NULL OR nth = 1")
+@query("q64_dedupe_txn", sql=_DUP + ", k AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY copy) AS nth FROM u) SELECT count(*) AS n_rows, count(transaction_id) AS n_named FROM k WHERE transaction_id IS NULL OR nth = 1")
 def dedupe_txn(spark: SparkSession, d: str) -> DataFrame:
     return val.keep_first(_doubled(spark, d), ["transaction_id"], ["copy"]).agg(F.count("*").alias("n_rows"), F.count("transaction_id").alias("n_named"))
 
 
-@query("q65_dedupe_invoice", _DUP + ", k AS (SELECT *, row_number() OVER (PARTITION BY invoice_no, counterparty ORDER BY l_linenumber, copy) AS nth FROM u) SELECT invoice_no, counterparty, l_linenumber FROM k WHERE nth = 1")
+@query("q65_dedupe_invoice", sql=_DUP + ", k AS (SELECT *, row_number() OVER (PARTITION BY invoice_no, counterparty ORDER BY l_linenumber, copy) AS nth FROM u) SELECT invoice_no, counterparty, l_linenumber FROM k WHERE nth = 1")
 def dedupe_invoice(spark: SparkSession, d: str) -> DataFrame:
     return val.keep_first(_doubled(spark, d), ["invoice_no", "counterparty"], ["l_linenumber", "copy"]).select("invoice_no", "counterparty", "l_linenumber")
 
 
-@query("q66_similar_rows", _DUP + "SELECT invoice_no, counterparty, count(*) AS n_rows FROM u GROUP BY 1, 2 HAVING count(*) > 1")
+@query("q66_similar_rows", sql=_DUP + "SELECT invoice_no, counterparty, count(*) AS n_rows FROM u GROUP BY 1, 2 HAVING count(*) > 1")
 def similar_rows(spark: SparkSession, d: str) -> DataFrame:
     return val.similar_rows(_doubled(spark, d), ["invoice_no", "counterparty"])
 
 
-@query("q67_exact_rows", _DUP + "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber, counterparty)) AS n_distinct, count(*) - count(DISTINCT (l_orderkey, l_linenumber, counterparty)) AS n_repeated FROM u")
+@query("q67_exact_rows", sql=_DUP + "SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber, counterparty)) AS n_distinct, count(*) - count(DISTINCT (l_orderkey, l_linenumber, counterparty)) AS n_repeated FROM u")
 def exact_rows(spark: SparkSession, d: str) -> DataFrame:
     return val.exact_duplicates(_doubled(spark, d).drop("copy"))
 
 
-@query("q68_currency_summary", _SALES0 + f", c AS (SELECT currency, {_t('total')} AS total, count(*) AS n_rows FROM a GROUP BY 1) SELECT *, count(*) OVER () > 1 AS mixed FROM c")
+@query("q68_currency_summary", sql=_SALES0 + f", c AS (SELECT currency, {_t('total')} AS total, count(*) AS n_rows FROM a GROUP BY 1) SELECT *, count(*) OVER () > 1 AS mixed FROM c")
 def currency_summary(spark: SparkSession, d: str) -> DataFrame:
     out = val.currency_summary(val.sales(fact(spark, d, "sales")), "total")
     return out.withColumn("total", F.col("total").cast("double"))
 
 
-@query("q69_union_by_name", "SELECT kind, count(*) AS n_rows, count(customer_key) AS n_customer, count(event_type) AS n_event FROM (SELECT 'order' AS kind, o_custkey AS customer_key, NULL AS event_type FROM orders UNION ALL SELECT 'event', NULL, event_type FROM events) GROUP BY 1")
+@query("q69_union_by_name", sql="SELECT kind, count(*) AS n_rows, count(customer_key) AS n_customer, count(event_type) AS n_event FROM (SELECT 'order' AS kind, o_custkey AS customer_key, NULL AS event_type FROM orders UNION ALL SELECT 'event', NULL, event_type FROM events) GROUP BY 1")
 def union_by_name(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_custkey").alias("customer_key"))
     b = table(spark, d, "events").select(F.lit("event").alias("kind"), "event_type")
@@ -582,23 +650,23 @@ def union_by_name(spark: SparkSession, d: str) -> DataFrame:
 # Documents
 
 
-@query("q70_repeated_lines", _LINES + f""", e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no DESC) AS b FROM l), s AS (SELECT DISTINCT doc_id, page, {_FORM} AS form FROM e WHERE a <= 3 OR b <= 3),
+@query("q70_repeated_lines", sql=_LINES + f""", e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no DESC) AS b FROM l), s AS (SELECT DISTINCT doc_id, page, {_FORM} AS form FROM e WHERE a <= 3 OR b <= 3),
   c AS (SELECT doc_id, form, count(*) AS n_pages FROM s WHERE length(form) BETWEEN 5 AND 140 GROUP BY 1, 2), p AS (SELECT doc_id, count(DISTINCT page) AS pages FROM l GROUP BY 1 HAVING count(DISTINCT page) >= 4) SELECT c.* FROM c JOIN p USING (doc_id) WHERE n_pages >= greatest(2, floor(pages * 0.35))""")
 def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.repeated_lines(docs.lines(table(spark, d, "documents")))
 
 
-@query("q71_line_filter", _LINES + r"SELECT doc_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*') GROUP BY 1")
+@query("q71_line_filter", sql=_LINES + r"SELECT doc_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*') GROUP BY 1")
 def line_filter(spark: SparkSession, d: str) -> DataFrame:
     return docs.body_lines(docs.lines(table(spark, d, "documents"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("q72_token_counts", r"SELECT doc_id, len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]')) AS n_tokens FROM documents")
+@query("q72_token_counts", sql=r"SELECT doc_id, len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]')) AS n_tokens FROM documents")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens"))
 
 
-@query("q73_content_hash_dedupe", """WITH i AS (SELECT concat('doc-', doc_id) AS id, sha256(concat_ws('||', '', '', '', text)) AS h FROM documents), b AS (SELECT concat('doc-', item_id) AS id, sha256(concat_ws('||', '', '', '', text)) AS h FROM benchmark)
+@query("q73_content_hash_dedupe", sql="""WITH i AS (SELECT concat('doc-', doc_id) AS id, sha256(concat_ws('||', '', '', '', text)) AS h FROM documents), b AS (SELECT concat('doc-', item_id) AS id, sha256(concat_ws('||', '', '', '', text)) AS h FROM benchmark)
   SELECT h AS content_hash, min(id) AS id FROM i WHERE id NOT IN (SELECT id FROM b) AND h NOT IN (SELECT h FROM b) GROUP BY 1""")
 def content_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda t, k: table(spark, d, t).select(F.concat(F.lit("doc-"), k).alias("id"), X.content_hash(F.lit(""), F.lit(""), F.lit(""), F.col("text")).alias("content_hash"))
@@ -609,7 +677,7 @@ def content_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
 _MARK = r"(?i)^(the|die|les|los)\s+([a-z]+)"
 
 
-@query("q74_article_state", _LINES + r""", x AS (SELECT *, nullif(regexp_extract(text, '(?i)^(the|die|les|los)\s+([a-z]+)', 2), '') AS no FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*')),
+@query("q74_article_state", sql=_LINES + r""", x AS (SELECT *, nullif(regexp_extract(text, '(?i)^(the|die|les|los)\s+([a-z]+)', 2), '') AS no FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*')),
   o AS (SELECT *, sum(CASE WHEN no IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page, line_no) AS ordinal FROM x) SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, max(no) AS article_no, count(*) AS n_lines, min(page) AS page_start, max(page) AS page_end FROM o WHERE ordinal > 0 GROUP BY 1, 2""")
 def article_state(spark: SparkSession, d: str) -> DataFrame:
     placed = docs.article_lines(docs.body_lines(docs.lines(table(spark, d, "documents"))), article=_MARK, titles=False)
@@ -621,7 +689,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return docs.greedy_chunks(rows, 256).withColumn("kind", docs.chunk_kind(F.col("n_units"), F.col("n_tokens"), 256))
 
 
-@query("q75_chunks_greedy", _LINES.replace("WITH", "WITH RECURSIVE", 1) + r""", u AS (SELECT doc_id, line_no, len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*')),
+@query("q75_chunks_greedy", sql=_LINES.replace("WITH", "WITH RECURSIVE", 1) + r""", u AS (SELECT doc_id, line_no, len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE text <> '' AND NOT regexp_full_match(text, '\s*(-?\s*)?[0-9]{1,4}(\s*-?)?\s*')),
   r AS (SELECT doc_id, k, line_no, n, 1 AS chunk, n AS acc FROM u WHERE k = 1 UNION ALL SELECT u.doc_id, u.k, u.line_no, u.n, CASE WHEN r.acc + u.n <= 256 THEN r.chunk ELSE r.chunk + 1 END, CASE WHEN r.acc + u.n <= 256 THEN r.acc + u.n ELSE u.n END FROM r JOIN u ON u.doc_id = r.doc_id AND u.k = r.k + 1)
   SELECT doc_id, chunk, count(*) AS n_units, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(min(line_no) AS INTEGER) AS first_unit, CAST(max(line_no) AS INTEGER) AS last_unit, CASE WHEN sum(n) > 256 THEN 'single_article_long' WHEN count(*) = 1 THEN 'single_article' ELSE 'multi_article' END AS kind FROM r GROUP BY 1, 2""")
 def chunks_greedy(spark: SparkSession, d: str) -> DataFrame:
@@ -633,18 +701,114 @@ def chunks_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs.overlap_chunks(table(spark, d, "documents"), 256, 40)
 
 
-@query("q76b_long_articles")
+_PART_LIMIT, _PART_OVERLAP = 148, 20
+_TOK_TEXT = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'"
+
+@query("q76b_long_articles", sql=rf"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(text, {_TOK_TEXT}) AS t FROM documents WHERE len(regexp_extract_all(text, {_TOK_TEXT})) > {_PART_LIMIT}),
+  p AS MATERIALIZED (SELECT doc_id, k AS part, CAST(ceil(len(t) / {_PART_LIMIT - _PART_OVERLAP}.0) AS INTEGER) AS parts, t[(k - 1) * {_PART_LIMIT - _PART_OVERLAP} + 1 : k * {_PART_LIMIT - _PART_OVERLAP}] AS raw, t[greatest((k - 2) * {_PART_LIMIT - _PART_OVERLAP}, (k - 1) * {_PART_LIMIT - _PART_OVERLAP} - {_PART_OVERLAP}) + 1 : (k - 1) * {_PART_LIMIT - _PART_OVERLAP}] AS tail FROM d, unnest(range(1, CAST(ceil(len(t) / {_PART_LIMIT - _PART_OVERLAP}.0) AS BIGINT) + 1)) u(k))
+  SELECT doc_id, CAST(part AS INTEGER) AS part, parts, CASE WHEN part = 1 THEN array_to_string(raw, ' ') ELSE concat(array_to_string(tail, ' '), chr(10), chr(10), array_to_string(raw, ' ')) END AS body FROM p""")
 def long_articles(spark: SparkSession, d: str) -> DataFrame:
-    placed = docs.article_lines(docs.body_lines(docs.lines(table(spark, d, "documents"))), article=_MARK)
-    return docs.long_article_parts(docs.articles(placed), 128, 20)
+    """Texts as articles of one paragraph, cut by tokens."""
+    flat = F.array_join(X.tokens(F.col("text")), " ")
+    rows = table(spark, d, "documents").select("doc_id", F.lit(1).alias("ordinal"), F.regexp_replace(flat, r"\n", " ").alias("text"), F.lit(_PART_LIMIT).alias("limit")).where(X.token_count(F.col("text")) > _PART_LIMIT)
+    return chk.split_parts(rows, _PART_OVERLAP).select("doc_id", "part", "parts", "body")
 
 
-@query("q77_quality_report", f"""SELECT count(*) AS n_chunks, count(*) FILTER (WHERE kind = 'single_article') AS n_single, count(*) FILTER (WHERE kind = 'multi_article') AS n_multi, count(*) FILTER (WHERE kind = 'single_article_long') AS n_long,
+@query("q77_quality_report", sql=f"""SELECT count(*) AS n_chunks, count(*) FILTER (WHERE kind = 'single_article') AS n_single, count(*) FILTER (WHERE kind = 'multi_article') AS n_multi, count(*) FILTER (WHERE kind = 'single_article_long') AS n_long,
   max(n_tokens) AS max_tokens, round(avg(n_tokens), 4) AS avg_tokens FROM ({ORACLE_SQL['q75_chunks_greedy']}) x""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return docs.quality_report(_chunks(spark, d))
 
 
+# Laws made of the documents' lines: a line is an article, with headings, titles and prefixes that its number decides.
+_ORD = ("BİRİNCİ", "İKİNCİ", "ÜÇÜNCÜ")
+_BODY = "trim(regexp_replace(regexp_replace(s[k], '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g'))"
+_LAW_TARGET, _LAW_MODEL = 160, 600
+
+
+def _law_articles(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, k, body): the k-th line of a document that has letters; every ninth document has one article, in lines of eight words."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    rows = rows.select("doc_id", "pos", F.trim(F.regexp_replace(F.regexp_replace("raw", "[^A-Za-z ]", ""), " +", " ")).alias("body")).where("body <> ''")
+    from pyspark.sql import Window
+
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("k"), "body")
+
+
+def _law_lines(spark: SparkSession, d: str) -> DataFrame:
+    """documents.lines of these laws: headings, titles and articles, five lines a number, pages of PAGE_LINES of them."""
+    k = F.col("k")
+    ordinal = lambda by: F.element_at(F.array(*[F.lit(x) for x in _ORD]), (F.floor((k - 1) / by) % 3 + 1).cast("int"))
+    prefix = F.when(k % 5 == 0, "GEÇİCİ MADDE").when(k % 5 == 1, "MÜKERRER MADDE").when(k % 5 == 2, "EK MADDE").otherwise("MADDE")
+    single = F.col("doc_id") % 9 == 4
+    said = F.array(
+        F.when((k % 7 == 1) & ~single, F.concat(ordinal(7), F.lit(" KISIM"))),
+        F.when((k % 3 == 1) & ~single, F.concat(ordinal(3), F.lit(" BÖLÜM"))),
+        F.when((k % 2 == 0) & ~single, F.concat(F.lit("Konu "), k, F.lit(":"))),
+        F.concat(F.when(single & (k > 1), F.lit("")).otherwise(F.concat(prefix, F.lit(" "), k, F.lit(" - "))), "body"),
+    )
+    rows = _law_articles(spark, d).select("doc_id", "k", F.posexplode(said).alias("j", "text")).where(F.col("text").isNotNull())
+    line = (F.col("k") - 1) * 4 + F.col("j")
+    return rows.select("doc_id", (line + 1).cast("int").alias("line_no"), (F.floor(line / docs.PAGE_LINES) + 1).cast("int").alias("page"), X.clean_line(F.col("text")).alias("text"))
+
+
+def _law_metadata_rows(spark: SparkSession, d: str) -> DataFrame:
+    law = F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    name = F.element_at(F.create_map(*[F.lit(x) for pair in docs.LAW_NAMES.items() for x in pair]), law)
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("law_"), law, F.lit("_"), "doc_id").alias("document_id"), law.alias("law_no"), F.concat(law, F.lit(" Sayılı "), name).alias("official_name"))
+
+
+_TOK = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'"
+
+
+def _n(x: str) -> str:
+    return f"len(regexp_extract_all({x}, {_TOK}))"
+
+
+_LAW_NAME_SQL = "[" + ", ".join(f"'{v}'" for v in docs.LAW_NAMES.values()) + "]"
+_ORD_SQL = "[" + ", ".join(f"'{x}'" for x in _ORD) + "]"
+_LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BODY} AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, unnest(range(1, len(s) + 1)) AS u(k) WHERE {_BODY} <> ''),
+  a AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, body FROM l),
+  m AS MATERIALIZED (SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, concat(['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1], ' Sayılı ', {_LAW_NAME_SQL}[doc_id % 6 + 1]) AS official_name FROM documents),
+  x AS MATERIALIZED (SELECT a.doc_id, k, concat('Kanun: ', official_name, chr(10), 'Kanun No: ', law_no) AS law, m.law_no, CAST(k AS VARCHAR) AS no, concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') AS ch, concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') AS se,
+    CASE WHEN k % 2 = 0 THEN concat('Konu ', k) END AS title, concat(CASE k % 5 WHEN 0 THEN 'GEÇİCİ MADDE' WHEN 1 THEN 'MÜKERRER MADDE' WHEN 2 THEN 'EK MADDE' ELSE 'MADDE' END, ' ', k, ' - ', body) AS text, CAST(((k - 1) * 4 + 3) // 40 + 1 AS INTEGER) AS page FROM a JOIN m USING (doc_id) WHERE doc_id % 9 <> 4),
+  many AS MATERIALIZED (SELECT doc_id FROM x GROUP BY 1 HAVING count(*) >= 2),
+  h AS MATERIALIZED (SELECT *, concat(law, chr(10), 'Kısım: ', ch, chr(10), 'Bölüm: ', se, chr(10), 'Madde: ', no, CASE WHEN title IS NULL THEN '' ELSE concat(chr(10), 'Madde Başlığı: ', title) END) AS head FROM x WHERE doc_id IN (SELECT doc_id FROM many)),
+  z AS MATERIALIZED (SELECT *, {_n("head")} + {_n("text")} AS alone, {_n("text")} AS n_text, {_n("law")} AS n_law FROM h),
+  r AS (SELECT doc_id, k, 1 AS pack, CASE WHEN alone > {_LAW_TARGET} THEN NULL ELSE [ch] END AS chs, [se] AS ses, 1 AS n, n_text AS body FROM z WHERE k = 1
+    UNION ALL SELECT z.doc_id, z.k, CASE WHEN fits THEN r.pack ELSE r.pack + 1 END, CASE WHEN z.alone > {_LAW_TARGET} THEN NULL WHEN fits THEN list_distinct(list_append(r.chs, z.ch)) ELSE [z.ch] END, CASE WHEN fits THEN list_distinct(list_append(r.ses, z.se)) ELSE [z.se] END, CASE WHEN fits THEN r.n + 1 ELSE 1 END, CASE WHEN fits THEN r.body + z.n_text ELSE z.n_text END
+    FROM r JOIN z ON z.doc_id = r.doc_id AND z.k = r.k + 1, LATERAL (SELECT z.alone <= {_LAW_TARGET} AND r.chs IS NOT NULL AND z.n_law + 3 * len(list_distinct(list_append(r.chs, z.ch))) + 1 + 3 * len(list_distinct(list_append(r.ses, z.se))) + 1 + 2 + 2 * (r.n + 1) - 1 + r.body + z.n_text <= {_LAW_TARGET} AS fits) f),
+  g AS MATERIALIZED (SELECT z.doc_id, r.pack, count(*) AS n, min(z.alone) AS alone, min(z.law_no) AS law_no, min(z.law) AS law, arg_min(z.head, z.k) AS head, string_agg(DISTINCT z.ch, ' / ' ORDER BY z.ch) AS chs, string_agg(DISTINCT z.se, ' / ' ORDER BY z.se) AS ses, string_agg(z.no, ', ' ORDER BY z.k) AS nos, string_agg(z.text, chr(10) || chr(10) ORDER BY z.k) AS body,
+      min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b FROM r JOIN z USING (doc_id, k) GROUP BY 1, 2),
+  c AS MATERIALIZED (SELECT *, CASE WHEN n = 1 THEN head ELSE concat(law, chr(10), 'Kısım: ', chs, chr(10), 'Bölüm: ', ses, chr(10), 'Maddeler: ', nos) END || chr(10) || chr(10) || body AS text, row_number() OVER (PARTITION BY doc_id ORDER BY pack) AS chunk_index FROM g)"""
+_ARTICLE_CHUNK_SQL = f"""SELECT doc_id, concat('law_', law_no, '_', doc_id, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END, '_chunk_', chunk_index) AS id, CAST(chunk_index AS INTEGER) AS chunk_index,
+  CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, replace(nos, ', ', ',') AS included_articles, page_start, page_end, CAST({_n("text")} AS INTEGER) AS token_count, sha256(text) AS text_sha256 FROM c"""
+
+
+def _digest(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "id", "chunk_index", "chunk_type", "included_articles", "page_start", "page_end", "token_count", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("q76c_chunk_rows", sql=_LAW_DOCS + _ARTICLE_CHUNK_SQL)
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    body = docs.body_lines(_law_lines(spark, d))
+    found = docs.articles(docs.article_lines(body)).join(_law_metadata_rows(spark, d), "doc_id").where("doc_id % 9 <> 4")
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
+    return _digest(chk.article_chunks(found.join(several, "doc_id", "left_semi"), _LAW_TARGET, 1_000_000))
+
+
+@query("q76d_document_pipeline")
+def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chk.document_chunks(_law_lines(spark, d), _law_metadata_rows(spark, d), _LAW_TARGET, _LAW_MODEL)
+    return _digest(chunks)
+
+
+@query("q76e_document_report")
+def document_report(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chk.document_chunks(_law_lines(spark, d), _law_metadata_rows(spark, d), _LAW_TARGET, _LAW_MODEL)
+    return chk.document_report(table(spark, d, "documents"), chunks)
+
+
 def _law_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat(F.lit("c-"), "doc_id").alias("id"), F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int")).alias("law_no"), (F.col("doc_id") % 50).cast("string").alias("article_no"), (F.col("doc_id") % 9).cast("int").alias("page"), F.col("doc_id").cast("int").alias("chunk_index"), F.array((F.col("doc_id") % 50).cast("string"), (F.col("doc_id") % 50 + 1).cast("string")).alias("included_articles")).withColumn("law_name_normalized", X.law_name(F.element_at(F.create_map(*[F.lit(x) for pair in docs.LAW_NAMES.items() for x in pair]), F.col("law_no"))))
 
@@ -652,12 +816,12 @@ def _law_chunks(spark: SparkSession, d: str) -> DataFrame:
 _LAWS = "SELECT concat('c-', doc_id) AS id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CAST(doc_id % 50 AS VARCHAR) AS article_no, doc_id % 50 AS a, CAST(doc_id % 9 AS INTEGER) AS page, CAST(doc_id AS INTEGER) AS chunk_index FROM documents"
 
 
-@query("q78_exact_lookup", f"SELECT id, page, chunk_index FROM ({_LAWS}) x WHERE law_no = '213' AND article_no = '7'")
+@query("q78_exact_lookup", sql=f"SELECT id, page, chunk_index FROM ({_LAWS}) x WHERE law_no = '213' AND article_no = '7'")
 def exact_lookup(spark: SparkSession, d: str) -> DataFrame:
     return docs.exact_articles(_law_chunks(spark, d), None, "VERGI USUL KANUNU", "7").select("id", "page", "chunk_index")
 
 
-@query("q79_metadata_fallback", f"SELECT id, page, chunk_index FROM ({_LAWS}) x WHERE law_no = '6102' AND (a = 12 OR a + 1 = 12)")
+@query("q79_metadata_fallback", sql=f"SELECT id, page, chunk_index FROM ({_LAWS}) x WHERE law_no = '6102' AND (a = 12 OR a + 1 = 12)")
 def metadata_fallback(spark: SparkSession, d: str) -> DataFrame:
     return docs.included_articles(_law_chunks(spark, d), "6102", "12").select("id", "page", "chunk_index")
 
@@ -665,13 +829,13 @@ def metadata_fallback(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = "SELECT e.vec_id, e.label, round(list_aggregate(list_transform(list_zip(e.embedding, q.embedding), lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE))), 'sum'), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q"
 
 
-@query("q80_vector_topk", _NEAR + " ORDER BY distance, vec_id LIMIT 7")
+@query("q80_vector_topk", sql=_NEAR + " ORDER BY distance, vec_id LIMIT 7")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return docs.nearest_vectors(rows, rows.where("vec_id = 3"), 7)
 
 
-@query("q81_filtered_topk", _NEAR + " WHERE e.label = 4 ORDER BY distance, vec_id LIMIT 5")
+@query("q81_filtered_topk", sql=_NEAR + " WHERE e.label = 4 ORDER BY distance, vec_id LIMIT 5")
 def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     return docs.nearest_vectors(rows.where("label = 4"), rows.where("vec_id = 3"), 5)
@@ -680,41 +844,30 @@ def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
 _QUESTIONS = (("VUK 359. maddeyi getir", None, "VERGI USUL KANUNU", "359"), ("6102 sayili kanunun 64. maddesi", "6102", "6102", "64"), ("Türk Ceza Kanunu madde 53 nedir", None, "TURK CEZA KANUNU", "53"), ("kdv orani nedir", None, "", None))
 
 
-@query("q82_article_query_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f'{n!r}' if n else 'NULL'}, '{w}', {f'{a!r}' if a else 'NULL'})" for q, n, w, a in _QUESTIONS) + ") t(question, law_no, law_name, article_no)")
+@query("q82_article_query_parse", sql="SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f'{n!r}' if n else 'NULL'}, '{w}', {f'{a!r}' if a else 'NULL'})" for q, n, w, a in _QUESTIONS) + ") t(question, law_no, law_name, article_no)")
 def article_query_parse(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame([(q[0],) for q in _QUESTIONS], "question string")
     return asked.select("question", *docs.parse_article_query(F.col("question")))
 
 
-@query("q83_message_history", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE conv_id % 10 = 3")
-def message_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("conv_id % 10 = 3").orderBy("conv_id", "turn")
-    return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
-
-
-@query("q83_message_history_all", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+@query("q83_message_history", "q83_message_history_all", sql="SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
 def message_history_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").orderBy("conv_id", "turn")
     return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("q84_report_list", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1 ORDER BY n_turns DESC, conv_id DESC LIMIT 20")
-def report_list(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("n_turns"), F.desc("conv_id")).limit(20)
-
-
-@query("q84_report_list_all", "SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
+@query("q84_report_list", "q84_report_list_all", sql="SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def report_list_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("n_turns"), F.desc("conv_id"))
 
 
-@query("q85_mask", r"""SELECT c_custkey, concat(left(c_name, 1), repeat('*', length(c_name) - 1)) AS employee_name, concat(left(t, 2), repeat('*', length(t) - 4), right(t, 2)) AS tax_id, concat('TR12 **** **** ', right(t, 4)) AS iban FROM (SELECT c_custkey, c_name, CAST(10000000 + c_custkey AS VARCHAR) AS t FROM customer) x""")
+@query("q85_mask", sql=r"""SELECT c_custkey, concat(left(c_name, 1), repeat('*', length(c_name) - 1)) AS employee_name, concat(left(t, 2), repeat('*', length(t) - 4), right(t, 2)) AS tax_id, concat('TR12 **** **** ', right(t, 4)) AS iban FROM (SELECT c_custkey, c_name, CAST(10000000 + c_custkey AS VARCHAR) AS t FROM customer) x""")
 def mask(spark: SparkSession, d: str) -> DataFrame:
     t = (F.col("c_custkey") + 10000000).cast("string")
     return table(spark, d, "customer").select("c_custkey", X.mask_field("employee_name", F.col("c_name")).alias("employee_name"), X.mask_field("tax_id", t).alias("tax_id"), X.mask_field("iban", F.concat(F.lit("TR12 "), t)).alias("iban"))
 
 
-@query("q86_text_normalise", r"SELECT doc_id, trim(regexp_replace(translate(lower(translate(trim(text), 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU')), 'àáâãäåèéêëìíîïñòóôõùúûýÿ', 'aaaaaaeeeeiiiinoooouuuyy'), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents")
+@query("q86_text_normalise", sql=r"SELECT doc_id, trim(regexp_replace(translate(lower(translate(trim(text), 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU')), 'àáâãäåèéêëìíîïñòóôõùúûýÿ', 'aaaaaaeeeeiiiinoooouuuyy'), '[^a-z0-9]+', ' ', 'g')) AS form FROM documents")
 def text_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.match_form(F.col("text")).alias("form"))
 
@@ -722,18 +875,18 @@ def text_normalise(spark: SparkSession, d: str) -> DataFrame:
 _AMOUNTS = (("1.234,56 TL", 1234.56, 1234.56), ("50 bin", 50000.0, 50000.0), ("2,5 milyon", 2500000.0, 2500000.0), ("(120,50)", -120.5, 120.5), ("75-", -75.0, 75.0), ("1.5", 1.5, 15.0), ("abc", None, None), ("-3,25", -3.25, 3.25))
 
 
-@query("q87_amount_parse", "SELECT given, CAST(parsed AS DOUBLE) AS parsed, CAST(prompt AS DOUBLE) AS prompt FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for t, a, b in _AMOUNTS) + ") t(given, parsed, prompt)")
+@query("q87_amount_parse", sql="SELECT given, CAST(parsed AS DOUBLE) AS parsed, CAST(prompt AS DOUBLE) AS prompt FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for t, a, b in _AMOUNTS) + ") t(given, parsed, prompt)")
 def amount_parse(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame([(t,) for t, _, _ in _AMOUNTS], "given string")
     return rows.select("given", M.parse_amount(F.col("given")).alias("parsed"), M.parse_prompt_money(F.col("given")).alias("prompt"))
 
 
-@query("q88_profile_types", "SELECT * FROM (SELECT 'event_id' AS column_name, count(*) AS n_rows, count(event_id) AS n_filled, 'number' AS kind FROM events UNION ALL SELECT 'ts', count(*), count(ts), 'date' FROM events UNION ALL SELECT 'user_id', count(*), count(user_id), 'number' FROM events UNION ALL SELECT 'event_type', count(*), count(event_type), 'text' FROM events)")
+@query("q88_profile_types", sql="SELECT * FROM (SELECT 'event_id' AS column_name, count(*) AS n_rows, count(event_id) AS n_filled, 'number' AS kind FROM events UNION ALL SELECT 'ts', count(*), count(ts), 'date' FROM events UNION ALL SELECT 'user_id', count(*), count(user_id), 'number' FROM events UNION ALL SELECT 'event_type', count(*), count(event_type), 'text' FROM events)")
 def profile_types(spark: SparkSession, d: str) -> DataFrame:
     return mp.profile(table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("ts"), "user_id", "event_type"))
 
 
-@query("q89_json_props", "SELECT k AS name, count(*) AS n FROM events, unnest(json_keys(props)) u(k) GROUP BY 1")
+@query("q89_json_props", sql="SELECT k AS name, count(*) AS n FROM events, unnest(json_keys(props)) u(k) GROUP BY 1")
 def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
@@ -744,12 +897,7 @@ def _kv_blocks(rows: DataFrame) -> DataFrame:
     return src.key_value_blocks(rows, "text", "id")
 
 
-@query("q90_kv_blocks", "SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f) WHERE o_orderkey % 50 = 1")
-def kv_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _kv_blocks(table(spark, d, "orders").where("o_orderkey % 50 = 1"))
-
-
-@query("q90_kv_blocks_all", "SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f)")
+@query("q90_kv_blocks", "q90_kv_blocks_all", sql="SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f)")
 def kv_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     return _kv_blocks(table(spark, d, "orders"))
 
@@ -759,12 +907,7 @@ def _delimited(rows: DataFrame) -> DataFrame:
     return src.delimited(rows, "text", "id")
 
 
-@query("q91_delimited", "SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f) WHERE o_orderkey % 50 = 2")
-def delimited(spark: SparkSession, d: str) -> DataFrame:
-    return _delimited(table(spark, d, "orders").where("o_orderkey % 50 = 2"))
-
-
-@query("q91_delimited_all", "SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f)")
+@query("q91_delimited", "q91_delimited_all", sql="SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f)")
 def delimited_all(spark: SparkSession, d: str) -> DataFrame:
     return _delimited(table(spark, d, "orders"))
 
@@ -775,12 +918,7 @@ def _json_records(rows: DataFrame) -> DataFrame:
     return src.json_records(rows, "text", "id").select("id", "record", F.col("fields").getItem("tutar").alias("amount"))
 
 
-@query("q91b_json_records", "SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r) WHERE o_orderkey % 50 = 3")
-def json_records(spark: SparkSession, d: str) -> DataFrame:
-    return _json_records(table(spark, d, "orders").where("o_orderkey % 50 = 3"))
-
-
-@query("q91b_json_records_all", "SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r)")
+@query("q91b_json_records", "q91b_json_records_all", sql="SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r)")
 def json_records_all(spark: SparkSession, d: str) -> DataFrame:
     return _json_records(table(spark, d, "orders"))
 
@@ -792,17 +930,12 @@ def _alias_mapping(rows: DataFrame) -> DataFrame:
     return out.select(F.col("l_orderkey").alias("id"), F.col("date").cast("timestamp_ntz").alias("date"), F.col("amount").cast("double").alias("amount"), "counterparty", "direction")
 
 
-@query("q92_alias_mapping", "SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem WHERE l_linenumber = 1")
-def alias_mapping(spark: SparkSession, d: str) -> DataFrame:
-    return _alias_mapping(table(spark, d, "lineitem").where("l_linenumber = 1"))
-
-
-@query("q92_alias_mapping_all", "SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem")
+@query("q92_alias_mapping", "q92_alias_mapping_all", sql="SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem")
 def alias_mapping_all(spark: SparkSession, d: str) -> DataFrame:
     return _alias_mapping(table(spark, d, "lineitem"))
 
 
-@query("q93_debit_credit", """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS l, CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS r FROM events)
+@query("q93_debit_credit", sql="""WITH x AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS l, CASE WHEN event_id % 2 = 0 THEN CAST(value AS DECIMAL(18,2)) END AS r FROM events)
   SELECT CASE WHEN coalesce(r, 0) <> 0 THEN 'income' WHEN coalesce(l, 0) <> 0 THEN 'expense' END AS direction, count(*) AS n_rows, """ + _t("CASE WHEN coalesce(r, 0) <> 0 THEN r ELSE l END") + " AS total FROM x GROUP BY 1")
 def debit_credit(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value").cast(M.MONEY)
@@ -811,7 +944,7 @@ def debit_credit(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("direction").agg(F.count("*").alias("n_rows"), rep.total("amount").alias("total"))
 
 
-@query("q94_legacy_category", "SELECT CASE WHEN event_type = 'click' THEN 'Kira' WHEN event_type = 'view' THEN 'Pazarlama' WHEN event_type IN ('purchase', 'signup') THEN 'Gelir' ELSE 'Gider' END AS category, count(*) AS n FROM events GROUP BY 1")
+@query("q94_legacy_category", sql="SELECT CASE WHEN event_type = 'click' THEN 'Kira' WHEN event_type = 'view' THEN 'Pazarlama' WHEN event_type IN ('purchase', 'signup') THEN 'Gelir' ELSE 'Gider' END AS category, count(*) AS n FROM events GROUP BY 1")
 def legacy_category(spark: SparkSession, d: str) -> DataFrame:
     rows = val.ledger(fact(spark, d, "ledger"))
     text = F.when(F.col("category") == "click", "Ofis KİRA bedeli").when(F.col("category") == "view", "reklam gideri").otherwise("")
@@ -821,12 +954,12 @@ def legacy_category(spark: SparkSession, d: str) -> DataFrame:
 # Registry, prompts, laws
 
 
-@query("q95_report_registry", _VAT + f"""SELECT metric, value FROM (UNPIVOT (SELECT {_VAT_M} FROM v) ON sales_base, calculated_vat, purchase_base, deductible_vat, net_vat INTO NAME metric VALUE value)""")
+@query("q95_report_registry", sql=_VAT + f"""SELECT metric, value FROM (UNPIVOT (SELECT {_VAT_M} FROM v) ON sales_base, calculated_vat, purchase_base, deductible_vat, net_vat INTO NAME metric VALUE value)""")
 def report_registry(spark: SparkSession, d: str) -> DataFrame:
     return reg.metrics(reg.run("vat_summary", fact(spark, d, "vat"))["totals"])
 
 
-@query("q96_suitability", f"WITH f AS ({fact_sql('account')}) SELECT 'date' AS field, true AS has_column, count(date) AS n_filled, count(date) > 0 AS usable FROM f UNION ALL SELECT 'counterparty', true, count(counterparty), count(counterparty) > 0 FROM f UNION ALL SELECT 'amount', true, count(amount), count(amount) > 0 FROM f UNION ALL SELECT 'direction', false, 0, false")
+@query("q96_suitability", sql=f"WITH f AS ({fact_sql('account')}) SELECT 'date' AS field, true AS has_column, count(date) AS n_filled, count(date) > 0 AS usable FROM f UNION ALL SELECT 'counterparty', true, count(counterparty), count(counterparty) > 0 FROM f UNION ALL SELECT 'amount', true, count(amount), count(amount) > 0 FROM f UNION ALL SELECT 'direction', false, 0, false")
 def suitability(spark: SparkSession, d: str) -> DataFrame:
     return reg.suitability("current_account", fact(spark, d, "account").drop("direction"))
 
@@ -836,17 +969,12 @@ def _prompt_amounts(rows: DataFrame) -> DataFrame:
     return src.month_amounts(rows, "text", "id")
 
 
-@query("q97_prompt_amounts", "SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction) WHERE o_orderkey % 50 = 4")
-def prompt_amounts(spark: SparkSession, d: str) -> DataFrame:
-    return _prompt_amounts(table(spark, d, "orders").where("o_orderkey % 50 = 4"))
-
-
-@query("q97_prompt_amounts_all", "SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction)")
+@query("q97_prompt_amounts", "q97_prompt_amounts_all", sql="SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction)")
 def prompt_amounts_all(spark: SparkSession, d: str) -> DataFrame:
     return _prompt_amounts(table(spark, d, "orders"))
 
 
-@query("q98_legacy_filter", _LED + "SELECT event_id FROM v WHERE lower(category) IN ('click', 'purchase') AND CAST(date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
+@query("q98_legacy_filter", sql=_LED + "SELECT event_id FROM v WHERE lower(category) IN ('click', 'purchase') AND CAST(date AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'")
 def legacy_filter(spark: SparkSession, d: str) -> DataFrame:
     return _ledger(spark, d).where(flt.legacy_predicate("category", ("Click", "PURCHASE"), "date", date(2024, 1, 5), date(2024, 1, 9))).select("event_id")
 
@@ -858,17 +986,12 @@ def _law_metadata(rows: DataFrame) -> DataFrame:
     return laws.law_metadata(pages).select("doc_id", "law_no", "law_name")
 
 
-@query("q99_law_metadata", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents WHERE doc_id < 100".replace("Iş", "İş"))
-def law_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return _law_metadata(table(spark, d, "documents").where("doc_id < 100"))
-
-
-@query("q99_law_metadata_all", "SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents".replace("Iş", "İş"))
+@query("q99_law_metadata", "q99_law_metadata_all", sql="SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents".replace("Iş", "İş"))
 def law_metadata_all(spark: SparkSession, d: str) -> DataFrame:
     return _law_metadata(table(spark, d, "documents"))
 
 
-@query("q99b_corpus_report", _LINES + r"SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(t) AS BIGINT) AS n_tokens, max(n) AS most_chunks FROM (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'))) AS t FROM l WHERE text <> '' GROUP BY 1) x")
+@query("q99b_corpus_report", sql=_LINES + r"SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(t) AS BIGINT) AS n_tokens, max(n) AS most_chunks FROM (SELECT doc_id, count(*) AS n, sum(len(regexp_extract_all(text, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'))) AS t FROM l WHERE text <> '' GROUP BY 1) x")
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.lines(table(spark, d, "documents")).where("text <> ''")
     return laws.corpus_report(rows.select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens")))

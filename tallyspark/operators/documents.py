@@ -20,7 +20,6 @@ ORDINALS = "BİRİNCİ|İKİNCİ|ÜÇÜNCÜ|DÖRDÜNCÜ|BEŞİNCİ|ALTINCI|YEDİ
 ARTICLE = r"(?iu)^\s*((?:(?:mükerrer|geçici|ek)\s+)?madde)\s+(\d+[/A-Za-zÇĞİÖŞÜçğıöşü]*)\s*[-–—:]?"
 CHAPTER = rf"(?iu)^\s*((?:{ORDINALS})\s+KISIM|BAŞLANGIÇ|GİRİŞ)\s*$"
 SECTION = rf"(?iu)^\s*((?:{ORDINALS})\s+BÖLÜM)\s*$"
-PARAGRAPH = re.compile(r"^\s*(?:\(\d+\)|\d+\.)\s+")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 LAW_NAMES = {"193": "Gelir Vergisi Kanunu", "213": "Vergi Usul Kanunu", "3065": "Katma Değer Vergisi Kanunu", "5237": "Türk Ceza Kanunu", "5510": "Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu", "6102": "Türk Ticaret Kanunu"}
 
@@ -63,17 +62,20 @@ def is_title(c: Column) -> Column:
     return F.length(bare).between(3, 140) & ~blocked & (t.endswith(":") | short)
 
 
-def article_lines(rows: DataFrame, article: str = ARTICLE, chapter: str = CHAPTER, section: str = SECTION, titles: bool = True) -> DataFrame:
+def article_lines(rows: DataFrame, article: str = ARTICLE, chapter: str = CHAPTER, section: str = SECTION, titles: bool = True, heading_chars: int = 60) -> DataFrame:
     """Each body line with its article's ordinal, number, title, chapter and section, carried forward by windows.
 
     A title line belongs to the article below it, not to the one above. Lines before the
-    first article have ordinal 0 and no number.
+    first article have ordinal 0 and no number. A cleaned line longer than
+    ``heading_chars`` is no heading of a chapter or section.
     """
     doc = Window.partitionBy("doc_id").orderBy("page", "line_no")
     upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     found = lambda p, g: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
-    out = rows.withColumn("chapter_here", found(chapter, 1)).withColumn("section_here", found(section, 1)).withColumn("no_here", found(article, 2)).withColumn("prefix_here", found(article, 1))
-    out = out.withColumn("heading", F.coalesce("chapter_here", "section_here").isNotNull()).withColumn("starts", F.col("no_here").isNotNull() & ~F.col("heading"))
+    short = lambda c: F.when(F.length("text") <= heading_chars, c)
+    out = rows.select("*", short(found(chapter, 1)).alias("chapter_here"), short(found(section, 1)).alias("section_here"), found(article, 2).alias("no_here"), found(article, 1).alias("prefix_here"))
+    out = out.select("*", F.coalesce("chapter_here", "section_here").isNotNull().alias("heading"))
+    out = out.select("*", (F.col("no_here").isNotNull() & ~F.col("heading")).alias("starts"))
     before = F.lag("text").over(doc)
     plain_before = ~F.coalesce(F.lag("heading").over(doc) | F.lag("starts").over(doc), F.lit(True))
     title = F.when(F.col("starts") & is_title(before) & plain_before, F.trim(F.regexp_replace(before, ":+$", ""))) if titles else F.lit(None).cast("string")
@@ -127,36 +129,37 @@ def quality_report(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("kind") == "single_article").alias("n_single"), F.count_if(F.col("kind") == "multi_article").alias("n_multi"), F.count_if(F.col("kind") == "single_article_long").alias("n_long"), F.max("n_tokens").alias("max_tokens"), F.round(F.avg("n_tokens"), 4).alias("avg_tokens"))
 
 
-def _tail(text: str, n: int) -> str:
-    return " ".join(TOKEN.findall(text)[-n:]) if n > 0 else ""
-
-
-def overlapping_parts(lines_: list[str], limit: int, overlap: int) -> Iterator[str]:
-    """Lines packed to ``limit`` tokens; each part but the first begins with the last ``overlap`` tokens before it."""
+def overlapping_parts(said: list[tuple[int, str]], limit: int, overlap: int) -> Iterator[tuple[str, int, int]]:
+    """(body, first page, last page) of lines packed to ``limit`` tokens, each beginning with the end of the one before."""
     held: list[str] = []
+    pages: list[int] = []
     size, fresh = 0, False
-    for line in lines_:
-        n = len(TOKEN.findall(line))
+    count = lambda text: len(TOKEN.findall(text))
+
+    def carried(body: str, page: int) -> tuple[list[str], list[int], int, bool]:
+        tail = TOKEN.findall(body)[-overlap:] if overlap else []
+        return ([" ".join(tail)] if tail else []), ([page] if tail else []), len(tail), False
+
+    for page, line in said:
+        n = count(line)
         if n > limit:
-            if held and fresh:
-                yield "\n".join(held)
+            if held:
+                yield "\n".join(held), min(pages), max(pages)
             tokens = TOKEN.findall(line)
-            part = ""
+            body = ""
             for at in range(0, n, max(1, limit - overlap)):
-                part = " ".join(tokens[at : at + limit])
-                yield part
-            tail = _tail(part, overlap)
-            held, size, fresh = [tail] if tail else [], len(TOKEN.findall(tail)), False
+                body = " ".join(tokens[at : at + limit])
+                yield body, page, page
+            held, pages, size, fresh = carried(body, page)
             continue
         if held and size + n > limit:
-            body = "\n".join(held)
-            yield body
-            tail = _tail(body, overlap)
-            held, size = [tail] if tail else [], len(TOKEN.findall(tail))
+            yield "\n".join(held), min(pages), max(pages)
+            held, pages, size, fresh = carried("\n".join(held), max(pages))
         held.append(line)
+        pages.append(page)
         size, fresh = size + n, True
-    if held and fresh:
-        yield "\n".join(held)
+    if fresh:
+        yield "\n".join(held), min(pages), max(pages)
 
 
 def overlap_chunks(docs: DataFrame, limit: int = TARGET_TOKENS, overlap: int = LINE_OVERLAP) -> DataFrame:
@@ -164,53 +167,12 @@ def overlap_chunks(docs: DataFrame, limit: int = TARGET_TOKENS, overlap: int = L
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, k, part, len(TOKEN.findall(part))) for d, t in zip(frame.doc_id, frame.text, strict=True) for k, part in enumerate(overlapping_parts([x for x in (t or "").split("\n") if x.strip()], limit, overlap), 1)]
+            rows = [(d, k, part, len(TOKEN.findall(part))) for d, t in zip(frame.doc_id, frame.text, strict=True) for k, (part, *_) in enumerate(overlapping_parts([(1, x) for x in (t or "").split("\n") if x.strip()], limit, overlap), 1)]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, text string, n_tokens int")
 
 
-def paragraph_units(text: str) -> list[str]:
-    """An article's paragraphs by their markers, else by blank lines and capitals."""
-    units: list[str] = []
-    for line in text.splitlines():
-        if not units or PARAGRAPH.match(line):
-            units.append(line)
-        else:
-            units[-1] += "\n" + line
-    if len(units) <= 1:
-        units = [x.strip() for x in re.split(r"\n\s*\n|\n(?=[A-ZÇĞİÖŞÜ0-9])", text) if x.strip()]
-    return [u.strip() for u in units] or [text]
-
-
-def long_article_parts(rows: DataFrame, limit: int = MODEL_TOKENS - 32, overlap: int = SPLIT_OVERLAP) -> DataFrame:
-    """(doc_id, ordinal, part, text, n_tokens): articles beyond the model's limit, split at paragraphs with overlap."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for d, o, text in zip(frame.doc_id, frame.ordinal, frame.text, strict=True):
-                pack, raw, held, size = max(1, limit - overlap), [], [], 0
-                for unit in paragraph_units(text):
-                    tokens = TOKEN.findall(unit)
-                    if size + len(tokens) > pack and held:
-                        raw.append("\n\n".join(held))
-                        held, size = [], 0
-                    if len(tokens) > pack:
-                        raw += [" ".join(tokens[at : at + pack]) for at in range(0, len(tokens), pack)]
-                    else:
-                        held.append(unit)
-                        size += len(tokens)
-                if held:
-                    raw.append("\n\n".join(held))
-                for k, part in enumerate(raw):
-                    whole = f"{_tail(raw[k - 1], overlap)}\n\n{part}" if k else part
-                    out.append((d, o, k + 1, whole, len(TOKEN.findall(whole))))
-            yield pd.DataFrame(out, columns=["doc_id", "ordinal", "part", "text", "n_tokens"])
-
-    return rows.select("doc_id", "ordinal", "text").mapInPandas(run, "doc_id long, ordinal long, part int, text string, n_tokens int")
-
-
 def new_chunks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Of incoming (id, content_hash) those in the store by neither, one per hash (the least id)."""
     fresh = incoming.join(stored.select("id"), "id", "left_anti").join(stored.select("content_hash"), "content_hash", "left_anti")
@@ -239,11 +201,22 @@ def nearest_vectors(vectors: DataFrame, query: DataFrame, k: int = 7) -> DataFra
     return vectors.crossJoin(F.broadcast(one)).select("vec_id", "label", distance.alias("distance")).orderBy("distance", "vec_id").limit(k)
 
 
-_SUFFIX = r"(\d+[/A-Za-zÇĞİÖŞÜçğıöşü]*)"
+# The words of a question about an article, and how an article's number is written.
+ASKED = {"law": "sayili kanunun", "article": "madde", "of": ("si", "yi"), "owned": "maddesi"}
+ARTICLE_NUMBER = r"(\d+[/A-Za-zÇĞİÖŞÜçğıöşü]*)"
+LETTERS = "A-Za-zÇĞİÖŞÜçğıöşü0-9"
+
+
+def _asks(subject: str, *rest: str) -> str:
+    """A form of question: who is meant, then the words that follow, divided by white space."""
+    return rf"(?iu)\b{subject}\s+" + r"\s+".join(rest) + r"\b"
+
+
+#: By number, by name before the article's number, and by name before the word for article; the first that fits counts.
 QUERY_FORMS = (
-    (rf"(?iu)\b(\d{{3,5}})\s+sayili\s+kanunun\s+{_SUFFIX}\.?\s*maddesi\b", True),
-    (rf"(?iu)\b([A-Za-zÇĞİÖŞÜçğıöşü0-9 ]+?)\s+{_SUFFIX}\.?\s*madde(?:si|yi)?\b", False),
-    (rf"(?iu)\b([A-Za-zÇĞİÖŞÜçğıöşü0-9 ]+?)\s+madde\s+{_SUFFIX}\b", False),
+    _asks(r"(\d{3,5})", *ASKED["law"].split(), rf"{ARTICLE_NUMBER}\.?", ASKED["owned"]),
+    _asks(rf"([{LETTERS} ]+?)", rf"{ARTICLE_NUMBER}\.?", rf"{ASKED['article']}(?:{'|'.join(ASKED['of'])})?"),
+    _asks(rf"([{LETTERS} ]+?)", ASKED["article"], ARTICLE_NUMBER),
 )
 
 
@@ -251,17 +224,36 @@ def parse_article_query(question: Column) -> list[Column]:
     """law_no, law_name and article_no of a question, by the first form that fits."""
     q = F.trim(F.regexp_replace(F.regexp_replace(question, "[’']", " "), r"\s+", " "))
     law = article = F.lit(None).cast("string")
-    for form, _ in reversed(QUERY_FORMS):
+    for form in reversed(QUERY_FORMS):
         hit = q.rlike(form)
         law, article = F.when(hit, F.trim(F.regexp_extract(q, form, 1))).otherwise(law), F.when(hit, F.regexp_extract(q, form, 2)).otherwise(article)
     return [F.nullif(F.regexp_extract(law, r"\b(\d{3,5})\b", 1), F.lit("")).alias("law_no"), X.law_name(law).alias("law_name"), article.alias("article_no")]
 
 
+# How a chunk's text names its law and article.
+SAID_LAW = r"(?iu)\bkanun\s*(?:no|numarasi|numarası)?\s*[:\-]?\s*(\d{3,5})"
+SAID_ARTICLE = r"(?iu)\bmadde\s*[:\-]?\s*(\d+[/A-Z0-9a-zçğıöşü]*)"
+
+
+def scalar_metadata(rows: DataFrame) -> DataFrame:
+    """Every column as a store of scalars takes it: null as empty text, truth values and numbers as they are (unless null), all else as text."""
+    plain = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+    def scalar(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind in plain:
+            return c
+        text = F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string")
+        return F.coalesce(text, F.lit("")).alias(name)
+
+    return rows.select(*[scalar(name, kind) for name, kind in rows.dtypes])
+
+
 def standard_metadata(rows: DataFrame) -> DataFrame:
     """Law number, name and article of chunks: what is given first, else what the text says."""
     given = lambda c: X.blank_to_null(F.col(c))
     said = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    number = F.coalesce(given("law_no"), said(r"(?iu)\bkanun\s*(?:no|numarasi|numarası)?\s*[:\-]?\s*(\d{3,5})"))
+    number = F.coalesce(given("law_no"), said(SAID_LAW))
     named = F.coalesce(given("law_name"), F.element_at(F.create_map(*[F.lit(x) for pair in LAW_NAMES.items() for x in pair]), number))
-    article = F.coalesce(given("article_no"), said(r"(?iu)\bmadde\s*[:\-]?\s*(\d+[/A-Z0-9a-zçğıöşü]*)"))
+    article = F.coalesce(given("article_no"), said(SAID_ARTICLE))
     return rows.select("id", number.alias("law_no"), X.law_name(named).alias("law_name_normalized"), article.alias("article_no"), X.content_hash(F.col("id"), number, article, F.col("text")).alias("content_hash"))

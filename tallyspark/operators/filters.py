@@ -196,3 +196,9 @@ def describe(spec: Spec) -> list[tuple[str, str]]:
     if spec.ranking:
         out.append(("ranking", f"top {spec.ranking.top} {', '.join(spec.ranking.group_by) or 'rows'} by {spec.ranking.aggregate} of {spec.ranking.metric}"))
     return out
+
+
+def empty_result(found: DataFrame) -> DataFrame:
+    """One row from ``summary``: rows before and after all filters, and whether to say that filters left nothing."""
+    out = found.agg(F.max("rows_before").alias("rows_before"), F.min("rows_left").alias("rows_left"), F.coalesce(F.max("applied"), F.lit(False)).alias("applied"))
+    return out.select("rows_before", "rows_left", "applied", (F.col("applied") & (F.col("rows_left") == 0)).alias("report_empty"))

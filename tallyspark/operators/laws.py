@@ -52,6 +52,6 @@ def retrieve(chunks: DataFrame, law_no: str | None, law: str | None, article_no:
 
 
 def corpus_report(chunks: DataFrame) -> DataFrame:
-    """Documents, chunks and tokens in all, and documents without any article."""
+    """Documents, chunks and tokens in all; ``chunks.document_report`` lists documents, those without chunks included."""
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
     return per.agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_chunks"), F.sum("t").alias("n_tokens"), F.max("n").alias("most_chunks"))

@@ -62,11 +62,8 @@ def personnel_months(df: DataFrame) -> DataFrame:
     return out.select("period", F.col("t").cast("double").alias("total_cost"), M.ratio(F.col("t"), F.col("n")).alias("avg_cost"))
 
 
-_REFUND = ("refund", "partial_refund")
-
-
 def _sales_measures() -> list[Column]:
-    refund = F.col("kind").isin(*_REFUND)
+    refund = F.col("is_refund")
     gross = ~refund & (F.col("total") > 0)
     return [
         total("total", gross).alias("gross"), total(F.abs(F.col("total")), refund).alias("refund"), total("total").alias("net"),

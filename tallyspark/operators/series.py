@@ -48,24 +48,44 @@ def tax_distribution(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("tax").alias("tax_type")).agg(total("tax_amount").alias("total"))
 
 
+#: How far beside a quantile the bracket reaches in which it is sought exactly, in shares of all rows.
+BRACKET = 0.002
+
+
+def quantiles(df: DataFrame, c: str, shares: tuple[float, ...]) -> list[float | None]:
+    """Exact interpolated quantiles: a sketch brackets each, and only values inside its bracket are ordered."""
+    value = F.col(c)
+    edges = [F.percentile_approx(value, min(max(q + d, 0.0), 1.0), 10_000) for q in shares for d in (-BRACKET, BRACKET)]
+    found = df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[e.alias(f"e{k}") for k, e in enumerate(edges)]).first()
+    if not found.n:
+        return [None] * len(shares)
+    ends = [(found[f"e{2 * k}"] if q > BRACKET else found.least, found[f"e{2 * k + 1}"] if q < 1 - BRACKET else found.most) for k, q in enumerate(shares)]
+    below = df.agg(*[F.count_if(value < low).alias(f"b{k}") for k, (low, _) in enumerate(ends)], *[F.count_if(value.between(low, high)).alias(f"i{k}") for k, (low, high) in enumerate(ends)]).first()
+    inside = []
+    for k, (q, (low, high)) in enumerate(zip(shares, ends, strict=True)):
+        rank = q * (found.n - 1) - below[f"b{k}"]
+        inside.append(F.percentile(F.when(value.between(low, high), value), min(max(rank / max(below[f"i{k}"] - 1, 1), 0.0), 1.0)).alias(f"q{k}"))
+    return list(df.agg(*inside).first())
+
+
 def anomalies(df: DataFrame, n: int = 20) -> DataFrame:
     """Expenses above the third quartile by 1.5 interquartile ranges, or more than 2.5 deviations off; the first n by event."""
     rows = df.where("side = 'expense'").withColumn("x", F.col("amount").cast("double"))
-    # one row of statistics, so it may be broadcast
-    stats = rows.agg(F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.75).alias("q3"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    met = rows.crossJoin(F.broadcast(stats))
-    z = (F.col("x") - F.col("m")) / F.coalesce(F.nullif(F.col("s"), F.lit(0.0)), F.lit(1.0))
-    odd = (F.col("x") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))) | (F.abs(z) > 2.5)
-    return met.where(odd).select("event_id", F.col("x").alias("amount"), F.col("category"), F.round(z, 4).alias("z")).orderBy("event_id").limit(n)
+    q1, q3 = quantiles(rows, "x", (0.25, 0.75))
+    mean, deviation = rows.agg(F.avg("x"), F.stddev_pop("x")).first()
+    z = (F.col("x") - F.lit(mean)) / F.lit(deviation or 1.0)
+    odd = (F.col("x") > F.lit(None if q1 is None else q3 + 1.5 * (q3 - q1)).cast("double")) | (F.abs(z) > 2.5)
+    return rows.where(odd).select("event_id", F.col("x").alias("amount"), F.col("category"), F.round(z, 4).alias("z")).orderBy("event_id").limit(n)
 
 
 def runway(df: DataFrame) -> DataFrame:
-    """Mean of the days' expenses (days that have any), the last balance, and the days it lasts."""
+    """Mean of the days' and of the months' expenses (those that have any), the last balance, and the days it lasts."""
     burn = df.where("side = 'expense'").groupBy(F.to_date("date").alias("day")).agg(F.sum("amount").alias("e")).agg(F.sum("e").alias("e"), F.count("*").alias("n"))
+    monthly = df.where("side = 'expense'").groupBy(D.period(F.col("date"))).agg(F.sum("amount").alias("e")).agg(F.sum("e").alias("m"), F.count("*").alias("n_months"))
     last = df.agg(F.max("date").alias("end"), F.coalesce(F.max_by("balance", F.when(F.col("balance").isNotNull(), F.struct("date", "event_id"))), F.sum(F.when(_income(), F.col("amount")).otherwise(-F.col("amount")))).cast("double").alias("balance"))
-    out = burn.crossJoin(F.broadcast(last)).withColumn("daily_burn", M.ratio(F.col("e"), F.col("n")))
+    out = burn.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(monthly)).withColumn("daily_burn", M.ratio(F.col("e"), F.col("n")))  # one row each
     days = F.when(F.col("daily_burn") > 0, F.floor(F.col("balance") / F.col("daily_burn")))
-    return out.select("daily_burn", "balance", days.alias("days_left"), F.date_format(F.date_add(F.to_date("end"), days.cast("int")), "yyyy-MM-dd").alias("critical_date"))
+    return out.select("daily_burn", M.ratio(F.col("m"), F.col("n_months")).alias("monthly_expense"), "balance", days.alias("days_left"), F.date_format(F.date_add(F.to_date("end"), days.cast("int")), "yyyy-MM-dd").alias("critical_date"))
 
 
 def financial_risk(df: DataFrame) -> DataFrame:
@@ -95,12 +115,54 @@ def profit_months(df: DataFrame) -> DataFrame:
 
 
 def party_risk(df: DataFrame, settings: Settings = DEFAULTS, n: int = 10) -> DataFrame:
-    """By counterparty, receivable plus debt, with how many rows are overdue; the first n."""
-    late = D.days_overdue(F.col("due_date"), settings.as_of) > 0
+    """By counterparty, receivable plus debt, with how many unpaid rows are overdue; the first n."""
+    late = _late(settings)
     per = df.groupBy("counterparty").agg(total("amount", F.col("side") == "receivable").alias("receivable"), total("amount", F.col("side") == "debt").alias("debt"), total("amount").alias("net_risk"), F.count_if(late).alias("n_overdue"))
     return per.orderBy(F.desc("net_risk"), "counterparty").limit(n)
 
 
+def _late(settings: Settings) -> Column:
+    return F.coalesce(F.col("status") != "paid", F.lit(True)) & (D.days_overdue(F.col("due_date"), settings.as_of) > 0)
+
+
+def overdue_totals(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row: unpaid rows past their due date, and what they sum to."""
+    late = _late(settings)
+    return df.agg(F.count_if(late).alias("n_overdue"), total("amount", late).alias("overdue_total"))
+
+
+def expense_summary(df: DataFrame) -> DataFrame:
+    """One row: all expenses, the shares of the largest category and of the first three, and a tenth of these as what might be saved."""
+    per = df.where("side = 'expense'").groupBy("category").agg(F.sum("amount").alias("t"))
+    first = per.orderBy(F.desc("t"), "category").limit(3).agg(F.sum("t").alias("three"), F.max("t").alias("one"))
+    out = per.agg(F.sum("t").alias("all")).crossJoin(F.broadcast(first))  # one row each
+    return out.select(F.col("all").cast("double").alias("total"), M.ratio(F.col("one") * 100, F.col("all")).alias("top_share"), M.ratio(F.col("three") * 100, F.col("all")).alias("top3_share"), F.round(F.col("three") * F.lit("0.1").cast("decimal(2,1)"), 2).cast("double").alias("savings"))
+
+
+def recurring_expenses(df: DataFrame, n: int = 10) -> DataFrame:
+    """Descriptions that come most often among expenses, then with the largest sum; the first n."""
+    per = df.where("side = 'expense' and description is not null").groupBy("description").agg(F.count("*").alias("n_rows"), total("amount").alias("total"))
+    return per.orderBy(F.desc("n_rows"), F.desc("total"), "description").limit(n)
+
+
+def daily_net(df: DataFrame) -> DataFrame:
+    return df.where("date is not null").groupBy(F.to_date("date").alias("day")).agg(total(F.when(_income(), F.col("amount")).otherwise(-F.abs("amount"))).alias("net"))
+
+
+def daily_burn(df: DataFrame) -> DataFrame:
+    return df.where("side = 'expense' and date is not null").groupBy(F.to_date("date").alias("day")).agg(total("amount").alias("expense"))
+
+
+def largest_expenses(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    """The n largest single expenses, ties by ``key``."""
+    rows = df.where("side = 'expense'").select(key, F.coalesce("category", F.lit("-")).alias("label"), F.col("amount").cast("double").alias("amount"))
+    return rows.orderBy(F.desc("amount"), key).limit(n)
+
+
+def monthly_totals(df: DataFrame, measure: str) -> DataFrame:
+    return df.where("date is not null").groupBy(D.period(F.col("date")).alias("period")).agg(total(measure).alias("total"))
+
+
 def aging_counts(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Rows by days overdue; what isn't due yet stays out."""
     days = D.days_overdue(F.col("due_date"), settings.as_of)

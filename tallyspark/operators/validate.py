@@ -31,6 +31,9 @@ def warning(condition: Column, kind: str, field: str, given: Column | None = Non
     )
 
 
+_WARNING = "struct<type: string, severity: string, field: string, action: string, input_value: string, calculated_value: string>"
+
+
 def with_warnings(df: DataFrame, *warnings: Column) -> DataFrame:
     return df.withColumn("warnings", F.filter(F.array(*warnings), lambda w: w.isNotNull()))
 
@@ -55,13 +58,21 @@ def valid(df: DataFrame) -> DataFrame:
     return df.where("is_valid")
 
 
+def every(*conditions: Column) -> Column:
+    """True where all hold; null counts as false in each, so that a filter can split them and push each to its table."""
+    first, *rest = (F.coalesce(c, F.lit(False)) for c in conditions)
+    for c in rest:
+        first = first & c
+    return first
+
+
 def vat(df: DataFrame) -> DataFrame:
     """Adds rate, tax_amount and total_amount; a row counts with a date, a base above 0, a rate and a known type."""
     out = df.withColumn("kind", X.alias(F.col("transaction_type"), X.VAT_TYPE, "null")).withColumn("rate", M.tax_rate(F.col("tax_rate")))
     out = out.withColumn("tax_amount", M.tax_amount(F.col("base_amount"), F.col("rate"))).withColumn("total_amount", M.money(F.col("base_amount") + F.col("tax_amount")))
-    ok = F.col("date").isNotNull() & (F.col("base_amount") > 0) & F.col("rate").isNotNull() & F.col("kind").isNotNull()
+    ok = every(F.col("date").isNotNull(), F.col("base_amount") > 0, F.col("rate").isNotNull(), F.col("kind").isNotNull())
     return with_warnings(
-        out.withColumn("is_valid", F.coalesce(ok, F.lit(False))),
+        out.withColumn("is_valid", ok),
         warning(F.col("rate").isNull(), "invalid_tax_rate", "tax_rate", F.col("tax_rate"), action="row_dropped"),
         warning(F.col("kind").isNull(), "unknown_transaction_type", "transaction_type", F.col("transaction_type"), action="row_dropped"),
         warning(F.col("rate").isNotNull(), "derived_value", "tax_amount", calculated=F.col("tax_amount"), action="derived"),
@@ -72,32 +83,58 @@ def tax(df: DataFrame) -> DataFrame:
     """As vat, by tax type and period and without a total."""
     out = df.withColumn("rate", M.tax_rate(F.col("tax_rate"))).withColumn("tax_amount", M.tax_amount(F.col("base_amount"), F.col("rate")))
     out = out.withColumn("tax", F.coalesce(X.alias(F.col("tax_type"), X.TAX_TYPE, "null"), F.col("tax_type"))).withColumn("period", F.date_format("date", "yyyy-MM"))
-    ok = F.col("date").isNotNull() & (F.col("base_amount") > 0) & F.col("rate").isNotNull() & F.col("tax").isNotNull()
-    return with_warnings(out.withColumn("is_valid", F.coalesce(ok, F.lit(False))), warning(F.col("rate").isNull(), "invalid_tax_rate", "tax_rate", F.col("tax_rate"), action="row_dropped"))
+    ok = every(F.col("date").isNotNull(), F.col("base_amount") > 0, F.col("rate").isNotNull(), F.col("tax").isNotNull())
+    return with_warnings(out.withColumn("is_valid", ok), warning(F.col("rate").isNull(), "invalid_tax_rate", "tax_rate", F.col("tax_rate"), action="row_dropped"))
+
+
+def _optional(df: DataFrame, name: str) -> Column:
+    """A money column that the rows may lack."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(M.MONEY)
+
+
+def _pay(df: DataFrame, given_total: str | None, settings: Settings, *needed: Column) -> DataFrame:
+    """Adds cost (employer's share) and total, and compares the total with a given one."""
+    extras = [M.zero_if_null(_optional(df, c)) for c in ("bonus", "benefits", "employer_extra_cost")]
+    cost = M.employer_share(F.col("gross_salary"), _optional(df, "employer_cost"), settings.employer_rate)
+    out = df.withColumn("cost", cost).withColumn("total", M.money(sum(extras, F.col("gross_salary") + F.col("cost"))))
+    given = _optional(df, given_total) if given_total else F.lit(None).cast(M.MONEY)
+    return with_warnings(
+        out.withColumn("is_valid", every(*needed, F.col("gross_salary") > 0)),
+        warning(_optional(df, "employer_cost").isNull(), "derived_value", "employer_cost", calculated=F.col("cost"), action="derived"),
+        warning(~M.about_equal(given, F.col("total"), settings.tolerance), "mismatch", given_total or "total", given, F.col("total"), action="recalculated"),
+        warning(~every(*needed, F.col("gross_salary") > 0), "missing_required_field", "gross_salary", F.col("gross_salary"), action="row_dropped") if given_total else F.lit(None).cast(_WARNING),
+    )
 
 
 def payroll(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Adds cost (employer's share) and total; needs an employee and pay above 0."""
-    out = df.withColumn("cost", M.employer_share(F.col("gross_salary"), F.col("employer_cost"), settings.employer_rate))
-    out = out.withColumn("total", M.money(F.col("gross_salary") + F.col("cost") + M.zero_if_null(F.col("bonus")) + M.zero_if_null(F.col("benefits"))))
-    ok = X.blank_to_null(F.col("employee_name")).isNotNull() & (F.col("gross_salary") > 0)
-    return with_warnings(out.withColumn("is_valid", F.coalesce(ok, F.lit(False))), warning(F.col("employer_cost").isNull(), "derived_value", "employer_cost", calculated=F.col("cost"), action="derived"))
+    return _pay(df, None, settings, X.blank_to_null(F.col("employee_name")).isNotNull())
+
+
+def personnel(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """As payroll, by department and month of the date: both are needed, and a given total_employer_cost is compared."""
+    needed = (F.col("date").isNotNull(), X.blank_to_null(F.col("employee_name")).isNotNull(), X.blank_to_null(F.col("department")).isNotNull())
+    out = _pay(df, "total_employer_cost", settings, *needed)
+    derived = warning(_optional(df, "total_employer_cost").isNull(), "derived_value", "total_employer_cost", calculated=F.col("total"), action="derived")
+    more = F.filter(F.array(derived), lambda w: w.isNotNull())
+    return out.withColumn("period", F.date_format("date", "yyyy-MM")).withColumn("warnings", F.concat("warnings", more))
 
 
 def sales(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds kind, total (refunds below 0) and signed quantity; unknown types, quantities up to 0, prices below 0 and zero totals don't count."""
+    """Adds kind, is_refund, total (refunds below 0) and signed quantity; unknown types, quantities up to 0, prices below 0 and zero totals don't count."""
     known = X.alias(F.col("transaction_type"), X.SALES_TYPE, "null")
-    out = df.withColumn("kind", F.when(X.blank_to_null(F.col("transaction_type")).isNull(), "sale").otherwise(known))
-    refund = F.col("kind").isin("refund", "partial_refund")
     gross = M.money(F.col("quantity") * F.col("unit_price") - M.zero_if_null(F.col("discount")))
-    out = out.withColumn("total", F.when(refund, -F.abs(gross)).otherwise(gross)).withColumn("signed_quantity", F.when(refund, -F.abs(F.col("quantity"))).otherwise(F.col("quantity")))
-    ok = F.col("kind").isNotNull() & (F.col("quantity") > 0) & (F.col("unit_price") >= 0) & (F.col("total") != 0) & F.col("date").isNotNull()
-    given = F.when(refund, -F.abs(F.col("total_sales"))).otherwise(F.col("total_sales"))
+    out = df.select("*", F.when(X.blank_to_null(F.col("transaction_type")).isNull(), "sale").otherwise(known).alias("kind"), gross.alias("_gross"))
+    out = out.select("*", F.coalesce(F.col("kind").isin("refund", "partial_refund"), F.lit(False)).alias("is_refund"))
+    refund, signed = F.col("is_refund"), lambda c: F.when(F.col("is_refund"), -F.abs(F.col(c))).otherwise(F.col(c))
+    # a refund's sign doesn't matter to whether it counts, so each condition stays with its own table
+    ok = every(F.col("kind").isNotNull(), F.col("quantity") > 0, F.col("unit_price") >= 0, F.col("_gross") != 0, F.col("date").isNotNull())
+    out = out.select("*", signed("_gross").alias("total"), signed("quantity").alias("signed_quantity"), ok.alias("is_valid")).drop("_gross")
     return with_warnings(
-        out.withColumn("is_valid", F.coalesce(ok, F.lit(False))),
+        out,
         warning(F.col("kind").isNull(), "unknown_transaction_type", "transaction_type", F.col("transaction_type"), action="row_dropped"),
         warning(refund, "refund_detected", "transaction_type", F.col("transaction_type")),
-        warning(~M.about_equal(given, F.col("total"), settings.tolerance), "mismatch", "total_sales", F.col("total_sales"), F.col("total"), action="recalculated"),
+        warning(~M.about_equal(signed("total_sales"), F.col("total"), settings.tolerance), "mismatch", "total_sales", F.col("total_sales"), F.col("total"), action="recalculated"),
         warning((F.col("kind") == "sale") & (F.col("total") < 0), "negative_sale_total", "total_sales", calculated=F.col("total")),
     )
 
@@ -105,8 +142,8 @@ def sales(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def account(df: DataFrame) -> DataFrame:
     """Adds side (debt or receivable), party and status; needs a date, a counterparty, an amount above 0 and a known side."""
     out = df.withColumn("side", X.alias(F.col("direction"), X.DEBT_DIRECTION, "null")).withColumn("party", X.alias(F.col("counterparty_type"), X.PARTY_TYPE)).withColumn("status", X.alias(F.col("payment_status"), X.PAYMENT_STATUS))
-    ok = F.col("date").isNotNull() & X.blank_to_null(F.col("counterparty")).isNotNull() & (F.col("amount") > 0) & F.col("side").isNotNull()
-    return with_warnings(out.withColumn("is_valid", F.coalesce(ok, F.lit(False))), warning(~F.coalesce(ok, F.lit(False)), "dropped_row", "amount", F.col("amount"), severity="warning", action="row_dropped"))
+    ok = every(F.col("date").isNotNull(), X.blank_to_null(F.col("counterparty")).isNotNull(), F.col("amount") > 0, F.col("side").isNotNull())
+    return with_warnings(out.withColumn("is_valid", ok), warning(~ok, "dropped_row", "amount", F.col("amount"), severity="warning", action="row_dropped"))
 
 
 def split_sides(df: DataFrame) -> DataFrame:
@@ -118,25 +155,27 @@ def split_sides(df: DataFrame) -> DataFrame:
 def ledger(df: DataFrame) -> DataFrame:
     """Adds side (income or expense); needs a date, an amount above 0 and a known side."""
     out = df.withColumn("side", X.alias(F.col("direction"), X.LEDGER_DIRECTION, "null"))
-    ok = F.col("date").isNotNull() & (F.col("amount") > 0) & F.col("side").isNotNull()
-    return with_warnings(out.withColumn("is_valid", F.coalesce(ok, F.lit(False))), warning(~F.coalesce(ok, F.lit(False)), "invalid_row_causing_drop", "amount", F.col("amount"), action="row_dropped"))
+    ok = every(F.col("date").isNotNull(), F.col("amount") > 0, F.col("side").isNotNull())
+    return with_warnings(out.withColumn("is_valid", ok), warning(~ok, "invalid_row_causing_drop", "amount", F.col("amount"), action="row_dropped"))
 
 
 def inventory(df: DataFrame) -> DataFrame:
     """Adds item (code, else name) and kind; receipts need a cost above 0."""
     out = df.withColumn("item", F.coalesce(X.blank_to_null(F.col("product_code")), X.blank_to_null(F.col("product_name")))).withColumn("kind", X.alias(F.col("transaction_type"), X.STOCK_TYPE, "null"))
-    ok = F.col("item").isNotNull() & (F.col("quantity") > 0) & F.col("kind").isNotNull() & ((F.col("kind") == "stock_out") | (F.col("unit_cost") > 0))
-    return with_warnings(out.withColumn("is_valid", F.coalesce(ok, F.lit(False))), warning(~F.coalesce(ok, F.lit(False)), "dropped_row", "quantity", F.col("quantity"), action="row_dropped"))
+    ok = every(F.col("item").isNotNull(), F.col("quantity") > 0, F.col("kind").isNotNull(), (F.col("kind") == "stock_out") | (F.col("unit_cost") > 0))
+    return with_warnings(out.withColumn("is_valid", ok), warning(~ok, "dropped_row", "quantity", F.col("quantity"), action="row_dropped"))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Of rows that share non-blank keys the first in order stays; rows with a blank key all stay and aren't shuffled."""
-    filled = F.lit(True)
-    for k in keys:
-        filled = filled & X.blank_to_null(F.col(k).cast("string")).isNotNull()
-    named, rest = df.where(filled), df.where(~filled)
-    first = Window.partitionBy(*keys).orderBy(*order)
-    return named.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth").unionByName(rest)
+    """Of rows that share non-blank keys the first in order stays; rows with a blank key all stay.
+
+    One pass: a row with a blank key gets a number of its own as a further key, so that it
+    stands alone and such rows spread over all tasks.
+    """
+    filled = every(*[X.blank_to_null(F.col(k).cast("string")).isNotNull() for k in keys])
+    alone = df.withColumn("_alone", F.when(~filled, F.monotonically_increasing_id()))
+    first = Window.partitionBy(*keys, "_alone").orderBy(*order)
+    return alone.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_alone")
 
 
 def similar_rows(df: DataFrame, keys: list[str]) -> DataFrame:

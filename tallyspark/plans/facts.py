@@ -31,7 +31,7 @@ _ACCOUNT = """
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey
   UNION ALL
   SELECT l_orderkey * 10 + l_linenumber, l_shipdate, s_name, 'tedarikci', CAST(l_extendedprice AS DECIMAL(18,2)), 'borc', l_shipdate + INTERVAL '30' DAY, CASE l_linestatus WHEN 'F' THEN 'odendi' ELSE 'acik' END
-  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_linenumber = 1"""
+  FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"""
 _LEDGER = """
   SELECT event_id, ts AS date, CAST(value AS DECIMAL(18,2)) AS amount, event_type AS category, CAST(user_id AS STRING) AS counterparty,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'gelir' ELSE 'gider' END AS direction,
@@ -43,6 +43,12 @@ _PAYROLL = """
     CAST(CASE c_custkey % 5 WHEN 0 THEN 500 WHEN 1 THEN 250 ELSE 0 END AS DECIMAL(18,2)) AS bonus, CAST(c_custkey % 7 * 10 AS DECIMAL(18,2)) AS benefits,
     CASE WHEN c_custkey % 12 < 9 THEN concat('2001-0', c_custkey % 12 + 1) ELSE concat('2001-', c_custkey % 12 + 1) END AS period
   FROM {customer}"""
+_PERSONNEL = """
+  SELECT c_custkey AS row_id, c_name AS employee_name, CASE WHEN c_custkey % 31 = 0 THEN '' ELSE c_mktsegment END AS department, CAST(concat('2001-', CASE WHEN c_custkey % 12 < 9 THEN '0' ELSE '' END, c_custkey % 12 + 1, '-15') AS TIMESTAMP) AS date,
+    CAST(abs(CAST(c_acctbal AS DECIMAL(18,2))) + 1000 AS DECIMAL(18,2)) AS gross_salary, CAST(c_custkey % 5 * 100 AS DECIMAL(18,2)) AS bonus, CAST(c_custkey % 7 * 10 AS DECIMAL(18,2)) AS benefits,
+    CASE WHEN c_custkey % 3 <> 0 THEN CAST(round((abs(CAST(c_acctbal AS DECIMAL(18,2))) + 1000) * CAST(0.2 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) END AS employer_cost,
+    CASE WHEN c_custkey % 4 = 0 THEN CAST(250.5 AS DECIMAL(18,2)) END AS employer_extra_cost, CASE WHEN c_custkey % 10 = 0 THEN CAST(5000 AS DECIMAL(18,2)) END AS total_employer_cost
+  FROM {customer}"""
 _INVENTORY = """
   SELECT l_orderkey, l_linenumber, l_shipdate AS date, CAST(l_partkey AS STRING) AS product_code, CASE WHEN l_orderkey % 97 = 0 THEN concat(p_name, ' (eski)') ELSE p_name END AS product_name,
     CASE l_linestatus WHEN 'F' THEN 'giris' ELSE 'cikis' END AS transaction_type, CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
@@ -55,6 +61,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "account": (_ACCOUNT, ("orders", "customer", "lineitem", "supplier")),
     "ledger": (_LEDGER, ("events",)),
     "payroll": (_PAYROLL, ("customer",)),
+    "personnel": (_PERSONNEL, ("customer",)),
     "inventory": (_INVENTORY, ("lineitem", "part")),
 }
 

@@ -37,11 +37,26 @@ REPORTS: dict[str, Report] = {
     "tax_calculation": Report(("date", "tax_type", "base_amount", "tax_rate"), val.tax, {"summary": rep.tax_summary, "periods": rep.tax_periods}, amount="tax_amount", status="transaction_type", direction="transaction_type", categories=("tax_type", "transaction_type", "counterparty", "period"), rankings=("tax_type", "counterparty", "period")),
     "sales_performance": Report(("date", "product_name", "customer"), val.sales, {"summary": rep.sales_summary, "products": lambda df: rep.sales_by(df, "product_name"), "customers": lambda df: rep.sales_by(df, "customer"), "monthly": rep.sales_months}, amount="total_sales", status="return_status", direction="transaction_type", categories=("product_name", "customer", "salesperson", "region", "counterparty"), rankings=("customer", "product_name", "salesperson", "region")),
     "payroll_cost": Report(("employee_name", "gross_salary"), val.payroll, {"people": rep.payroll_people, "departments": rep.payroll_departments, "totals": rep.payroll_totals}, amount="total", categories=("department", "employee_name"), rankings=("department", "employee_name")),
-    "personnel_expense": Report(("employee_name", "department", "gross_salary"), val.payroll, {"departments": rep.payroll_departments, "monthly": rep.personnel_months}, amount="total", categories=("department", "employee_name"), rankings=("department", "employee_name")),
+    "personnel_expense": Report(("date", "employee_name", "department", "gross_salary"), val.personnel, {"departments": rep.payroll_departments, "monthly": rep.personnel_months}, amount="total", categories=("department", "employee_name"), rankings=("department", "employee_name")),
     "inventory_cost": Report(("date", "quantity", "transaction_type"), val.inventory, {"summary": rep.inventory_summary, "movements": rep.movement_values}, amount="unit_cost", status="transaction_type", direction="transaction_type", categories=("product_name", "product_code", "warehouse", "supplier", "product_category"), rankings=("product_name", "product_code", "warehouse")),
 }
 
 
+#: The report whose contract and rows a chart or an analysis takes.
+ARTIFACTS = {
+    "chart": {"income_expense_pie": "income_expense", "monthly_expense_trend": "income_expense", "cashflow_bar": "cash_flow", "top_expenses": "income_expense", "daily_balance_change": "cash_flow", "debt_receivable_distribution": "debt_receivable", "sales_performance": "sales_performance", "tax_distribution": "tax_calculation"},
+    "analysis": {"financial_risk": "income_expense", "cash_runway": "cash_flow", "anomaly_spending": "income_expense", "expense_optimization": "income_expense", "profitability": "profitability", "receivable_debt_risk": "debt_receivable", "sales_risk": "sales_performance", "tax_risk": "tax_calculation"},
+}
+
+
+def source_report(kind: str, name: str) -> str:
+    """The report behind an artifact; a report is its own."""
+    found = name if kind == "report" and name in REPORTS else ARTIFACTS.get(kind, {}).get(name)
+    if found is None:
+        raise ValueError(f"no {kind} {name!r}")
+    return found
+
+
 def run(name: str, rows: DataFrame, spec: flt.Spec | None = None) -> dict[str, DataFrame]:
     """A report's tables with its warnings and status, all lazy: filter, check, aggregate."""
     report = REPORTS[name]

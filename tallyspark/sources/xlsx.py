@@ -1,33 +1,35 @@
-"""Workbooks as a Spark source: every sheet's cells as text, one file a partition.
+"""Workbooks: every sheet's cells as text, read through Spark's own file reader, one file at a time in a task.
 
-    spark.dataSource.register(Workbook)
-    spark.read.format("workbook").load("/folder/*.xlsx")
-
-gives (file, sheet, row, cells). ``table`` then finds the header row and names columns.
+``cells`` gives (file, sheet, row, cells, error); a file that can't be read is one row with
+its error. ``table`` finds one sheet's header row and names its columns. ``records`` does so
+for all sheets of all files in one job and maps columns to the fields of a report.
 """
 
 from __future__ import annotations
 
-import glob
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.mapping import heuristic_mapping
 from ..plans.prompt import plain
 
 # Words that header rows hold.
-HEADER_WORDS = ("tarih", "tutar", "aciklama", "kategori", "musteri", "cari", "urun", "miktar", "fiyat", "borc", "alacak", "kdv", "matrah", "vade", "fatura", "departman", "maas", "date", "amount", "description", "customer", "product", "quantity")
+HEADER_WORDS = ("tarih", "date", "islem", "aciklama", "description", "borc", "debit", "alacak", "credit", "gelir", "income", "gider", "expense", "tutar", "amount", "miktar", "kategori", "category", "bakiye", "balance", "firma", "cari", "hesap")
+#: Rows of a sheet among which the header is sought.
+SCAN = 30
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def read_workbook(path: str) -> Iterator[tuple[str, int, list[str | None]]]:
+def read_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row, cells) of each row that has a cell."""
-    with zipfile.ZipFile(path) as z:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -54,46 +56,50 @@ def read_workbook(path: str) -> Iterator[tuple[str, int, list[str | None]]]:
                     row.clear()
 
 
-class _File(InputPartition):
-    pass
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def _opened(frame: pd.DataFrame) -> Iterator[tuple[str, list[tuple], str | None]]:
+    """(file, rows, error) of each file."""
+    for path, content in zip(frame.path, frame.content, strict=True):
+        if not path.lower().endswith(".xlsx"):
+            yield path, [], "unsupported_file_type"
+            continue
+        try:
+            yield path, list(read_workbook(content)), None
+        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+            yield path, [], f"file_normalization_failed: {e}"
 
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(self.path))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for sheet, row, cells in read_workbook(partition.value):
-            yield partition.value, sheet, row, cells
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-class Workbook(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
+def cells(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, row, cells, error) of all files that ``path`` names."""
 
-    def schema(self) -> str:
-        return "file string, sheet string, row int, cells array<string>"
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, rows, error in _opened(frame):
+                found = [(file, *r, None) for r in rows] if error is None else [(file, None, None, None, error)]
+                yield pd.DataFrame(found, columns=["file", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+    return _files(spark, path).mapInPandas(run, "file string, sheet string, row int, cells array<string>, error string")
 
 
-def header_score(cells: list[str | None]) -> float:
+def header_score(cells_: list[str | None]) -> float:
     """How much a row looks like a header: known words count most, then text and filled cells; repeats count against."""
-    filled = [c for c in cells if c]
-    words = sum(any(w in plain(c) for w in HEADER_WORDS) for c in filled)
-    texts = sum(not re.fullmatch(r"[-+(]?[\d.,]+\)?", c) for c in filled)
-    return 5 * words + 1.5 * texts + len(filled) - (len(filled) - len({plain(c) for c in filled}))
+    filled = [c for c in cells_ if c]
+    if not filled:
+        return -100.0
+    names = [plain(c) for c in filled]
+    words = sum(w == n or w in n.split() for n in names for w in HEADER_WORDS)
+    texts = sum(not re.fullmatch(r"[-+]?\d+([.,]\d+)?", c) for c in filled)
+    return 5 * words + 1.5 * texts + len(filled) - (len(filled) - len(set(names)))
 
 
-def unique_names(cells: list[str | None]) -> list[str]:
+def unique_names(cells_: list[str | None]) -> list[str]:
     """Column names: blanks numbered, repeats suffixed."""
     out: list[str] = []
-    for k, c in enumerate(cells, 1):
+    for k, c in enumerate(cells_, 1):
+        c = re.sub(r"\s+", " ", c).strip() if c else c
         name = base = c if c and not c.lower().startswith("unnamed") else f"column_{k}"
         n = 1
         while name in out:
@@ -103,12 +109,60 @@ def unique_names(cells: list[str | None]) -> list[str]:
     return out
 
 
-def table(rows: DataFrame, file: str, sheet: str, scan: int = 30) -> DataFrame:
-    """One sheet as a table: its best header row of the first ``scan`` names the columns of the rows below."""
+def header_at(rows: list[list[str | None]]) -> int:
+    """The best header among the first rows, the first of equals."""
+    return max(range(min(SCAN, len(rows))), key=lambda k: (header_score(rows[k]), -k))
+
+
+def table(rows: DataFrame, file: str, sheet: str) -> DataFrame:
+    """One sheet as a table: its best header row names the columns of the rows below that hold anything."""
     own = rows.where((F.col("file") == file) & (F.col("sheet") == sheet))
-    first = own.orderBy("row").limit(scan).collect()
+    first = own.orderBy("row").limit(SCAN).collect()
     if not first:
         return own.select("row")
-    head = max(first, key=lambda r: (header_score(r.cells), -r.row))
-    cell: list[Column] = [F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(unique_names(head.cells))]
-    return own.where(F.col("row") > head.row).select("row", *cell)
+    head = first[header_at([r.cells for r in first])]
+    below = own.where(F.col("row") > head.row)
+    names = unique_names(head.cells)
+    at: list[Column] = [F.get("cells", F.lit(k)) for k in range(len(names))]
+    filled = below.agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(at)]).first()
+    return below.select("row", *[c.alias(n) for k, (c, n) in enumerate(zip(at, names, strict=True)) if filled[k]])
+
+
+def records(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """(file, sheet, row, fields, error): the rows of all sheets, each field by the column whose name stands for it.
+
+    ``fields`` maps field to cell text and lacks what a sheet has no column for. A file
+    that can't be read, or has no row below a header, is one row with its error.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for file, rows, error in _opened(frame):
+                found = []
+                for sheet in dict.fromkeys(r[0] for r in rows):
+                    own = [r for r in rows if r[0] == sheet]
+                    head = header_at([r[2] for r in own])
+                    names = unique_names(own[head][2])
+                    column = {f: names.index(rule.columns[0]) for f, rule in heuristic_mapping(names, fields).items() if rule.kind == "column"}
+                    for _, row, values in own[head + 1 :]:
+                        found.append((file, sheet, row, [(f, values[k]) for f, k in column.items() if k < len(values) and values[k]], None))
+                yield pd.DataFrame(found or [(file, None, None, None, error or "no_rows")], columns=["file", "sheet", "row", "fields", "error"]).astype({"row": "Int32"})
+
+    kind = "file string, sheet string, row int, fields array<struct<name: string, value: string>>, error string"
+    out = _files(spark, path).mapInPandas(run, kind)
+    return out.select("file", "sheet", "row", F.map_from_entries("fields").alias("fields"), "error")
+
+
+def file_summaries(found: DataFrame, needed: list[str]) -> DataFrame:
+    """One row per file of ``records``: failed with its error, warning where a needed field has no value anywhere, else success."""
+    missing = F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.count(F.try_element_at("fields", F.lit(f))).alias("n")) for f in needed]), lambda x: x["n"] == 0)
+    per = found.groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("n_rows"), F.max("error").alias("error"), F.transform(missing, lambda x: x["f"]).alias("missing"))
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.size("missing") > 0, "warning").otherwise("success")
+    return per.select("file", status.alias("status"), "n_rows", F.when(F.col("error").isNull(), F.col("missing")).alias("missing"), "error")
+
+
+def all_files(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of all files with a column for each field, equal rows once, and the files' summaries."""
+    found = records(spark, path, fields)
+    rows = found.where(F.col("error").isNull()).select(F.col("file").alias("source_file"), *[F.try_element_at("fields", F.lit(f)).alias(f) for f in fields])
+    return rows.dropDuplicates(fields), file_summaries(found, fields)

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from tallyspark.functions import dates as D
 from tallyspark.functions import money as M
 from tallyspark.functions import text as X
+from tallyspark.operators import chunks as chk
 from tallyspark.operators import documents as docs
 from tallyspark.operators import filters as flt
 from tallyspark.operators import laws
 from tallyspark.operators import mapping as mp
 from tallyspark.operators import reports as rep
+from tallyspark.operators import series as ser
 from tallyspark.operators import validate as val
 from tallyspark.plans import prompt, registry
 from tallyspark.plans.facts import fact
@@ -134,11 +136,13 @@ def test_articles_and_titles(spark):
 def test_chunks(spark):
     units = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 5, 20, 3, 3, 3])], "doc_id long, unit int, n long")
     assert [(r.n_units, r.n_tokens) for r in docs.greedy_chunks(units, 10).orderBy("chunk").collect()] == [(2, 10), (1, 20), (3, 9)]
-    parts = list(docs.overlapping_parts([f"a{k} b{k} c{k}" for k in range(6)], 7, 2))
+    parts = [body for body, *_ in docs.overlapping_parts([(1, f"a{k} b{k} c{k}") for k in range(6)], 7, 2)]
     assert parts[0] == "a0 b0 c0\na1 b1 c1" and parts[1].startswith("b1 c1\na2")
     text = "\n".join(f"({k}) " + " ".join(f"w{k}x{j}" for j in range(30)) for k in range(5))
-    got = docs.long_article_parts(spark.createDataFrame([(1, 1, text)], "doc_id long, ordinal long, text string"), 80, 10).orderBy("part").collect()
-    assert len(got) > 1 and all(r.n_tokens <= 90 for r in got)
+    got = chk.split_parts(spark.createDataFrame([(1, 1, text, 150)], "doc_id long, ordinal long, text string, limit int"), 10).orderBy("part").collect()
+    # a paragraph has three marks and 30 words; four fit 140, and ten more tokens come from the part before
+    assert [(r.part, r.parts, len(docs.TOKEN.findall(r.body))) for r in got] == [(1, 2, 132), (2, 2, 43)]
+    assert got[1].body.split("\n\n")[0].split() == [f"w3x{j}" for j in range(20, 30)] and got[1].body.split("\n\n")[1].startswith("(4) w4x0")
 
 
 def test_new_chunks_and_metadata(spark):
@@ -160,14 +164,70 @@ def _workbook(path):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{body}</sheetData></worksheet>")
 
 
-def test_workbook_source(spark, tmp_path):
+def test_workbooks(spark, tmp_path):
     path = str(tmp_path / "a.xlsx")
     _workbook(path)
-    spark.dataSource.register(xlsx.Workbook)
-    rows = spark.read.format("workbook").load(str(tmp_path / "*.xlsx"))
-    got = xlsx.table(rows, path, "S1")
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "c.csv").write_text("Tarih;Tutar")
+    _workbook(str(tmp_path / "d.xlsx"))
+    rows = xlsx.cells(spark, str(tmp_path))
+    got = xlsx.table(rows, f"file:{path}", "S1")
     assert got.columns == ["row", "Tarih", "Tutar", "Tutar_2"]
     assert [tuple(r)[1:] for r in got.orderBy("row").collect()] == [("01.01.2024", "5", "6"), ("02.01.2024", "7", "8")]
+    merged, files_ = xlsx.all_files(spark, str(tmp_path), ["date", "amount", "counterparty"])
+    assert sorted(tuple(r)[1:] for r in merged.collect()) == [("01.01.2024", "5", None), ("02.01.2024", "7", None)]
+    found = {r.file.rsplit("/", 1)[1]: (r.status, r.n_rows, r.missing) for r in files_.collect()}
+    assert found == {"a.xlsx": ("warning", 2, ["counterparty"]), "b.xlsx": ("failed", 0, None), "c.csv": ("failed", 0, None), "d.xlsx": ("warning", 2, ["counterparty"])}
+
+
+def test_header_rows():
+    assert xlsx.header_score(["Tarih", "Tutar"]) == 5 * 2 + 3 + 2 and xlsx.header_score(["Tarihce", "5"]) == 1.5 + 2
+    assert xlsx.header_score(["Gelir Tarih", "Gelir Tarih"]) == 5 * 4 + 3 + 2 - 1 and xlsx.header_score([None]) == -100
+    assert xlsx.unique_names(["a", "a ", None, "Unnamed: 3", "x\n y"]) == ["a", "a_2", "column_3", "column_4", "x y"]
+
+
+def test_personnel(spark):
+    from decimal import Decimal
+
+    kind = "date timestamp, employee_name string, department string, gross_salary decimal(18,2), bonus decimal(18,2), benefits decimal(18,2), employer_extra_cost decimal(18,2), employer_cost decimal(18,2), total_employer_cost decimal(18,2)"
+    day = __import__("datetime").datetime(2026, 5, 31)
+    d = lambda x: None if x is None else Decimal(x)
+    rows = [(day, "Ahmet Yilmaz", "Satis", d(37000), d(2000), d(4000), None, None, None), (day, "Ayse Demir", "Satis", d(30000), d(1000), d(2000), d(500), d(6750), None), (day, "X", " ", d(1), None, None, None, None, None), (None, "Y", "Satis", d(1), None, None, None, None, d(900))]
+    found = val.personnel(spark.createDataFrame(rows, kind))
+    by = {r.employee_name: r for r in found.collect()}
+    assert (float(by["Ahmet Yilmaz"].cost), float(by["Ahmet Yilmaz"].total)) == (8325.0, 51325.0)
+    assert {w.type for w in by["Ahmet Yilmaz"].warnings} == {"derived_value"} and {w.type for w in by["Y"].warnings} == {"derived_value", "mismatch", "missing_required_field"}
+    (department,) = rep.payroll_departments(val.valid(found)).collect()
+    assert (department.employee_count, department.total_cost) == (2, 91575.0)
+    assert [(r.period, r.total_cost) for r in rep.personnel_months(val.valid(found)).collect()] == [("2026-05", 91575.0)]
+
+
+def test_sources_of_artifacts():
+    assert registry.source_report("chart", "cashflow_bar") == "cash_flow" and registry.source_report("analysis", "tax_risk") == "tax_calculation" and registry.source_report("report", "vat_summary") == "vat_summary"
+    assert set(registry.ARTIFACTS["chart"].values()) | set(registry.ARTIFACTS["analysis"].values()) <= set(registry.REPORTS)
+    with pytest.raises(ValueError):
+        registry.source_report("chart", "none")
+
+
+def test_scalar_metadata(spark):
+    (r,) = docs.scalar_metadata(spark.createDataFrame([(1, None, True, ["a"], None)], "a int, b string, c boolean, d array<string>, e double")).collect()
+    assert tuple(r) == (1, "", True, '["a"]', None)
+
+
+def test_quantiles(spark):
+    import statistics
+
+    values = [((k * 7919) % 1000) / 3 for k in range(2500)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(3)
+    want = statistics.quantiles(values, n=4, method="inclusive")
+    assert ser.quantiles(rows, "x", (0.25, 0.5, 0.75, 0.0, 1.0)) == pytest.approx([*want, min(values), max(values)])
+    assert ser.quantiles(rows.limit(0), "x", (0.25,)) == [None]
+
+
+def test_keep_first_keeps_blank_keys(spark):
+    rows = [(None, "a", 1), (None, "a", 2), ("", "a", 3), ("k", "a", 5), ("k", "a", 4), ("k", "b", 6)]
+    got = val.keep_first(spark.createDataFrame(rows, "key string, other string, n int"), ["key", "other"], ["n"])
+    assert sorted(r.n for r in got.collect()) == [1, 2, 3, 4, 6]
 
 
 def test_stream_agrees_with_batch(spark, sf_dir, tmp_path):
@@ -209,7 +269,7 @@ def test_inputs_and_sinks(spark, tmp_path):
 
 
 def test_every_report_runs(spark, sf_dir):
-    views = {"income_expense": "ledger", "cash_flow": "ledger", "profitability": "ledger", "debt_receivable": "account", "current_account": "account", "vat_summary": "vat", "tax_calculation": "vat", "sales_performance": "sales", "payroll_cost": "payroll", "personnel_expense": "payroll", "inventory_cost": "inventory"}
+    views = {"income_expense": "ledger", "cash_flow": "ledger", "profitability": "ledger", "debt_receivable": "account", "current_account": "account", "vat_summary": "vat", "tax_calculation": "vat", "sales_performance": "sales", "payroll_cost": "payroll", "personnel_expense": "personnel", "inventory_cost": "inventory"}
     assert set(views) == set(registry.REPORTS)
     for name, view in views.items():
         tables = registry.run(name, fact(spark, sf_dir, view))

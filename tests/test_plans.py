@@ -9,7 +9,7 @@ import pytest
 from tallyspark.catalogue import QUERIES
 from tallyspark.plans.facts import fact
 
-PYTHON = {"q76_chunks_overlap", "q76b_long_articles"}
+PYTHON = {"q76_chunks_overlap", "q76d_document_pipeline", "q76e_document_report"}
 
 
 def plan(df) -> str:
@@ -30,6 +30,13 @@ def test_only_needed_columns_are_read(spark, sf_dir):
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
-    text = plan(fact(spark, sf_dir, "account").where("direction = 'borc'"))
-    assert "l_linenumber" in " ".join(re.findall(r"PushedFilters: \[(.*?)\]", text))
+    text = plan(fact(spark, sf_dir, "account").where("direction = 'borc' and date >= timestamp '1996-01-01'"))
+    assert "l_shipdate" in " ".join(re.findall(r"PushedFilters: \[(.*?)\]", text))
     assert "orders" not in " ".join(re.findall(r"Location: (.*?)\]", text))
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(QUERIES) if re.match(r"q1[2-7]|q54|q62|q64[fg]", n)])
+def test_validity_of_sales_stays_out_of_the_joins(spark, sf_dir, name):
+    text = plan(QUERIES[name](spark, sf_dir))
+    joins = re.findall(r"(?:HashJoin|SortMergeJoin) .*", text)
+    assert joins and all(len(j) < 700 and j.count("CASE") <= 1 for j in joins)
