@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bpe, langid, mixing, simhash, toxicity
 from tallyspark.llm.arrays import fresh, small_batches
 from tallyspark.llm.queries import MIX_WEIGHTS, RANKS
-from tallyspark.llm.saved import saved
+from tallyspark.llm.saved import drop, saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what one has written goes when the next has."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
+        if written is not None:
+            drop(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
