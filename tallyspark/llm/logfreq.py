@@ -166,8 +166,11 @@ def quantised(n: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(coin * gap < n - LEVEL_COUNT[low], high, low)
 
 
-def insert(filter_: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
-    """Holds each n-gram's items up to its level. ``slot``: which of the shards that ``filter_`` holds each of ``h`` belongs to, where these aren't all of a group."""
+def insert(flags: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
+    """Sets the flags, one for each bit, of each n-gram's items up to its level.
+
+    ``slot``: which of the shards that ``flags`` holds each of ``h`` belongs to, where these aren't all of a group.
+    """
     for q in range(1, int(level.max(initial=0)) + 1):
         reached = level >= q
         keys = h[reached]
@@ -176,7 +179,7 @@ def insert(filter_: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slo
             at = _positions(keys, q, probe, bits)
             if base is not None:
                 at = (at & np.uint64(bits - 1)) + base
-            np.bitwise_or.at(filter_, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+            flags[at.astype(np.int64)] = True
 
 
 def levels_of(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -209,6 +212,19 @@ def group_of(h: np.ndarray, groups: int) -> np.ndarray:
     return (h % np.uint64(SHARDS * groups)) // np.uint64(SHARDS)
 
 
+def _large(iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(h, n) of many small batches at a time."""
+    held, size = [], 0
+    for b in batches(iterator, ["h", "n"]):
+        held.append((b["h"].to_numpy().view(np.uint64), b["n"].to_numpy()))
+        size += len(held[-1][0])
+        if size >= 200_000:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame:
     """(group, k, items, bits): shards of the filter over all (h, n), built and written by the executors."""
     bits = filter_bytes * 8 // SHARDS
@@ -217,24 +233,22 @@ def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(max(parts, groups), SHARDS * groups), "slice")
     summed = by_slice.groupBy("slice", "h").agg(F.sum("n").alias("n"))
-    each = filter_bytes // SHARDS
 
     def build(iterator):
-        own = np.zeros(each, np.uint8)
+        own = np.zeros(bits, bool)
         slots: dict[int, int] = {}
         items: dict[int, int] = {}
-        for b in batches(iterator, ["h", "n"]):
-            h, n = b["h"].to_numpy().view(np.uint64), b["n"].to_numpy()
+        for h, n in _large(iterator):
             level = quantised(n, h)
             found, at = np.unique(h % np.uint64(SHARDS * groups), return_inverse=True)
             held = np.array([slots.setdefault(k, len(slots)) for k in found.tolist()], np.uint64)
-            if len(slots) * each > len(own):
-                own = np.concatenate([own, np.zeros(max(len(own), len(slots) * each - len(own)), np.uint8)])
+            if len(slots) * bits > len(own):
+                own = np.concatenate([own, np.zeros(max(len(own), len(slots) * bits - len(own)), bool)])
             insert(own, h, level, bits, held[at])
             for k, size in zip(found.tolist(), np.bincount(at, weights=level).tolist(), strict=True):
                 items[k] = items.get(k, 0) + int(size)
         for k, slot in slots.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([own[slot * each : (slot + 1) * each].tobytes()], pa.binary())], names=["group", "k", "items", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([k // SHARDS], pa.int32()), pa.array([k % SHARDS], pa.int32()), pa.array([items[k]], pa.int64()), pa.array([np.packbits(own[slot * bits : (slot + 1) * bits], bitorder="little").tobytes()], pa.binary())], names=["group", "k", "items", "bits"])
 
     # written first: fetching partition by partition would otherwise also build them one after the other
     return saved(summed.select("h", "n").mapInArrow(build, "group int, k int, items long, bits binary"))

@@ -127,8 +127,9 @@ def test_log_frequency_filter():
     h = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
     n = rng.integers(1, 5000, len(h)) // rng.integers(1, 3000, len(h)) + 1
     bits = (1 << 18) * 8 // logfreq.SHARDS
-    held = np.zeros(1 << 18, np.uint8)
-    logfreq.insert(held, h, logfreq.quantised(n, h), bits)
+    flags = np.zeros((1 << 18) * 8, bool)
+    logfreq.insert(flags, h, logfreq.quantised(n, h), bits)
+    held = np.packbits(flags, bitorder="little")
     got, exact = logfreq.lookup(held, h, bits), logfreq.LEVEL_COUNT[logfreq.quantised(n, h)]
     assert (got >= exact).all() and (got == exact).mean() > 0.97
     assert (logfreq.lookup(held, rng.integers(0, 2**63, 20_000, dtype=np.uint64), bits) > 0).mean() < 0.05
@@ -296,6 +297,25 @@ def stats_of(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
 
+def keeps(text):
+    """The verdict of all rules, one after the other."""
+    words, lines = WORD.findall(text or ""), (text or "").split("\n")
+    n, chars, symbols, dup_lines, repeat_words = stats_of(text)
+    stutter = sum(a == b for a, b in zip(words, words[1:]))
+    failed = (n < 20, 100 * repeat_words > 30 * n, dup_lines > 2 and 10 * dup_lines > 3 * len(lines), 10 * symbols > n, not 2 * n <= chars <= 15 * n, 10 * stutter > 3 * n)
+    return not any(failed)
+
+
+def test_every_rule_like_its_plain_form(spark):
+    ok = " ".join(f"word{k}" for k in range(40))
+    texts = [ok, f"{ok} # $ % & *", f"{ok} # $", "a " * 10 + " ".join("abcdefghijklmnopqrstuvwxyz"), " ".join("x" * 40 + str(k) for k in range(30)), "\n".join([ok] + ["same line"] * 6), "\n".join([ok] + ["same line"] * 3),
+             " ".join(f"w{k} w{k}" for k in range(30)), " ".join(f"w{k}" + " go" * (k % 4 == 0) * 2 for k in range(40)), ok + " " + ok, "ä ö ü " * 9, None, ""]
+    texts += [t for _, t, *_ in awkward()] + ["\n".join(texts[k] or "" for k in (0, 2, 9))]
+    found = rules.quality_verdicts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.kept for r in found} == {k: keeps(t) for k, t in enumerate(texts)}
+    assert {r.rejected_by for r in found} > {"few_words", None} and all((r.rejected_by is None) == r.kept for r in found)
+
+
 def test_quality_rules(docs, none):
     rows = awkward()
     found = rules.quality_verdicts(docs, statistics=True).collect()
