@@ -995,3 +995,68 @@ def law_metadata_all(spark: SparkSession, d: str) -> DataFrame:
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     rows = docs.lines(table(spark, d, "documents")).where("text <> ''")
     return laws.corpus_report(rows.select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens")))
+
+
+# Single functions over whole tables
+
+_DATE_FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "d/M/yyyy", "yyyy-MM-dd HH:mm:ss")
+
+
+@query("q100_dates", sql="""SELECT o_orderkey, given, CAST(CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate END AS TIMESTAMP) AS parsed, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS period FROM (SELECT *,
+  CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN 2 THEN strftime(o_orderdate, '%-d/%-m/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') ELSE concat('tarih ', o_orderkey) END AS given FROM orders) x""")
+def dates(spark: SparkSession, d: str) -> DataFrame:
+    given = F.concat(F.lit("tarih "), "o_orderkey")
+    for k, form in enumerate(_DATE_FORMS):
+        given = F.when(F.col("o_orderkey") % 5 == k, F.date_format("o_orderdate", form)).otherwise(given)
+    rows = table(spark, d, "orders").select("o_orderkey", given.alias("given"))
+    parsed = D.parse_date(F.col("given"))
+    return rows.select("o_orderkey", "given", parsed.cast("timestamp_ntz").alias("parsed"), D.period(parsed).alias("period"))
+
+
+def _chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    number = F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    said = F.concat(F.lit("Kanun No: "), number, F.lit(" Madde "), F.col("doc_id") % 90 + 1, F.lit(" hükmü"))
+    empty = F.lit("")
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("c-"), "doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, number).otherwise(empty).alias("law_no"), F.when(F.col("doc_id") % 5 == 0, "VUK").otherwise(empty).alias("law_name"),
+        F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 90 + 1).cast("string")).otherwise(empty).alias("article_no"), F.when(F.col("doc_id") % 7 == 0, F.lit("metin")).otherwise(said).alias("text"),
+    )
+
+
+_FOLDED = "['GELIR VERGISI KANUNU', 'VERGI USUL KANUNU', 'KATMA DEGER VERGISI KANUNU', 'TURK CEZA KANUNU', 'SOSYAL SIGORTALAR VE GENEL SAGLIK SIGORTASI KANUNU', 'TURK TICARET KANUNU']"
+
+
+@query("q101_standard_metadata", sql=f"""SELECT concat('c-', doc_id) AS id, CASE WHEN doc_id % 4 = 0 OR doc_id % 7 <> 0 THEN ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] END AS law_no,
+  CASE WHEN doc_id % 5 = 0 THEN 'VERGI USUL KANUNU' WHEN doc_id % 4 = 0 OR doc_id % 7 <> 0 THEN {_FOLDED}[doc_id % 6 + 1] ELSE '' END AS law_name_normalized, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 <> 0 THEN CAST(doc_id % 90 + 1 AS VARCHAR) END AS article_no FROM documents""")
+def standard_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return docs.standard_metadata(_chunk_texts(spark, d)).select("id", "law_no", "law_name_normalized", "article_no")
+
+
+@query("q101b_scalar_metadata", sql="SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, n_chars FROM documents")
+def scalar_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return docs.scalar_metadata(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+@query("q102_answer_text", sql=r"""SELECT c_custkey, concat(c_name, '. ', c_mktsegment, '!') AS points, concat_ws(', ', CASE WHEN c_custkey % 3 = 0 THEN 'Kaynak' ELSE c_name END, CASE WHEN c_custkey % 2 = 0 THEN concat('Madde ', c_nationkey) END, concat('s. ', c_custkey % 50)) AS source FROM customer""")
+def answer_text(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit("- "), "c_name", F.lit(".\n2) "), "c_mktsegment", F.lit("!\n\n"))
+    name = F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name"))
+    article = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(X.key_points(said), " ").alias("points"), X.citation(name, article, F.col("c_custkey") % 50).alias("source"))
+
+
+@query("q103_amounts_shown", sql="SELECT o_orderkey, translate(format('{:,.2f}', CAST(o_totalprice AS DOUBLE)), ',.', '.,') AS shown FROM orders")
+def amounts_shown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", M.display_amount(F.col("o_totalprice").cast(M.MONEY)).alias("shown"))
+
+
+@query("q104_warnings_once", sql=_SALES0 + " SELECT DISTINCT product_name, 'unknown_transaction_type' AS type, transaction_type AS input_value FROM a WHERE kind IS NULL UNION SELECT DISTINCT product_name, 'refund_detected', transaction_type FROM a WHERE is_refund")
+def warnings_once(spark: SparkSession, d: str) -> DataFrame:
+    rows = val.warning_rows(val.sales(fact(spark, d, "sales")), "product_name").where(F.col("type").isin("unknown_transaction_type", "refund_detected"))
+    return val.unique_warnings(rows, "product_name").select("product_name", "type", "input_value")
+
+
+@query("q105_article_prefixes", sql=_LAW_DOCS.split(",\n  many AS")[0] + " SELECT doc_id, k AS ordinal, CASE k % 5 WHEN 0 THEN 'Geçici Madde' WHEN 1 THEN 'Mükerrer Madde' WHEN 2 THEN 'Ek Madde' ELSE 'Madde' END AS article_prefix, no AS article_no, title AS article_title, ch AS chapter_name, se AS section_name FROM x")
+def article_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    placed = docs.article_lines(docs.body_lines(_law_lines(spark, d)))
+    return docs.articles(placed).where("doc_id % 9 <> 4").select("doc_id", "ordinal", "article_prefix", "article_no", "article_title", "chapter_name", "section_name")
