@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -158,11 +159,16 @@ def group_metric(df: DataFrame, r: Ranking, settings: Settings = DEFAULTS) -> Da
     return df.groupBy(*r.group_by).agg(agg.cast("double").alias("metric"))
 
 
+#: Leading groups whose keys are broadcast; more are joined by a shuffle.
+BROADCAST_GROUPS = 10_000
+
+
 def top_groups(df: DataFrame, r: Ranking, settings: Settings = DEFAULTS) -> DataFrame:
-    """The rows of the leading groups: these number ``top``, so their keys are broadcast."""
+    """The rows of the leading groups; a null key is a group. Keys are broadcast where few are asked for."""
     order = [F.desc("metric") if r.descending else F.asc("metric"), *[F.col(c) for c in r.group_by]]
-    top = group_metric(df, r, settings).orderBy(*order).limit(r.top)
-    return df.join(F.broadcast(top.select(*r.group_by)), list(r.group_by), "left_semi")
+    top = group_metric(df, r, settings).orderBy(*order).limit(r.top).select(*[F.col(c).alias(f"_top_{c}") for c in r.group_by])
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(F.col(f"_top_{c}")) for c in r.group_by])
+    return df.join(F.broadcast(top) if r.top <= BROADCAST_GROUPS else top, same, "left_semi")
 
 
 def multi_sort(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:

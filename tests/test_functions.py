@@ -214,6 +214,13 @@ def test_scalar_metadata(spark):
     assert tuple(r) == (1, "", True, '["a"]', None)
 
 
+def test_top_groups_keep_a_null_key(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 1.0), (None, 5.0), (None, 6.0), ("b", 3.0), ("b", 3.0)], "k string, amount double")
+    for most in (10, 0):
+        monkeypatch.setattr(flt, "BROADCAST_GROUPS", most)
+        assert sorted(r.amount for r in flt.top_groups(rows, flt.Ranking("amount", 2, ("k",))).collect()) == [3.0, 3.0, 5.0, 6.0]
+
+
 def test_quantiles(spark):
     import statistics
 
