@@ -130,7 +130,8 @@ def token_count(c: Column) -> Column:
 
 def clean_line(c: Column) -> Column:
     plain = F.translate(F.replace(c, F.lit("﻿"), F.lit("")), " ‐", " -")
-    return F.trim(F.regexp_replace(plain, "[ \t]+", " "))
+    # a single space needs no change, and most are single
+    return F.trim(F.regexp_replace(plain, "[ \t]{2,}|\t", " "))
 
 
 def is_page_number(c: Column) -> Column:

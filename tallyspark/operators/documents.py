@@ -25,9 +25,13 @@ LAW_NAMES = {"193": "Gelir Vergisi Kanunu", "213": "Vergi Usul Kanunu", "3065":
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, page, text): one row per line, cleaned; pages are PAGE_LINES lines."""
-    out = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return out.select("doc_id", (F.col("pos") + 1).alias("line_no"), (F.floor(F.col("pos") / PAGE_LINES) + 1).cast("int").alias("page"), X.clean_line(F.col("raw")).alias("text"))
+    """(doc_id, line_no, page, text): one row per line, cleaned; pages are PAGE_LINES lines.
+
+    A text is cleaned whole: no cleaning step reaches over a line's end, and the one space
+    that it may leave at either end of a line goes with the split.
+    """
+    out = docs.select("doc_id", F.posexplode(F.split(X.clean_line(F.col("text")), " ?\n ?")).alias("pos", "text"))
+    return out.select("doc_id", (F.col("pos") + 1).alias("line_no"), (F.floor(F.col("pos") / PAGE_LINES) + 1).cast("int").alias("page"), "text")
 
 
 def repeated_lines(rows: DataFrame, ratio: float = 0.35) -> DataFrame:

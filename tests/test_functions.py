@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from collections import defaultdict
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -214,6 +215,18 @@ def test_scalar_metadata(spark):
     assert tuple(r) == (1, "", True, '["a"]', None)
 
 
+def test_lines_are_cleaned_like_single_ones(spark):
+    texts = ["a \t b\n  c  \n \t\n\n d\ufeff\u00a0e\u2010 \n", " \n x", "", None, "one", "\n", " a\r\n b"]
+    got = defaultdict(list)
+    for r in docs.lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "line_no").collect():
+        got[r.doc_id].append(r.text)
+    each = [(k, n, x) for k, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
+    want = defaultdict(list)
+    for r in spark.createDataFrame(each, "k long, n long, x string").select("k", "n", X.clean_line(F.col("x")).alias("t")).orderBy("k", "n").collect():
+        want[r.k].append(r.t)
+    assert got == want
+
+
 def test_top_groups_keep_a_null_key(spark, monkeypatch):
     rows = spark.createDataFrame([("a", 1.0), (None, 5.0), (None, 6.0), ("b", 3.0), ("b", 3.0)], "k string, amount double")
     for most in (10, 0):
