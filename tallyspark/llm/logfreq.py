@@ -231,7 +231,8 @@ def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame
     if bits & (bits - 1):
         raise ValueError("filter_bytes must be a power of two")
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(max(parts, groups), SHARDS * groups), "slice")
+    # more tasks than usual: a task gets whole slices, and few of them vary much in number
+    by_slice = counts.select("h", "n", F.pmod("h", F.lit(SHARDS * groups)).alias("slice")).repartition(min(4 * max(parts, groups), SHARDS * groups), "slice")
     summed = by_slice.groupBy("slice", "h").agg(F.sum("n").alias("n"))
 
     def build(iterator):
