@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, logfreq, mixing, rules, simhash, toxicity, wordpiece
+from . import ann, bpe, chat, langid, lines, logfreq, mixing, rules, simhash, toxicity, wordpiece
 
 RANKS = "byte_bpe_50k.tiktoken"
 CONTROL = "</s>[INST] ok [/INST]"
@@ -66,6 +66,11 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format,
     "op2_lm_scoring": lm_score,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id,
     "op9_toxicity": toxicity_score,
     "op10_nearest_vectors": nearest_vectors,
+    "op12_line_dedup": line_dedup,
 }
 
 _MARKS = r"</?s>|\[/?(?:INST|ASST|SYS|ROLE)\]"
@@ -103,4 +109,21 @@ ORACLE_SQL: dict[str, str] = {
           count(*) FILTER (role = 'assistant') AS n_targets
         FROM placed GROUP BY conv_id
     """,
+    "op12_line_dedup": """
+        WITH rows AS (
+          SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), lines AS (
+          SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rows
+        ), keyed AS (
+          SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), shared AS (
+          SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key
+          HAVING count(DISTINCT doc_id) + CAST(count(*) > count(doc_id) AS INTEGER) >= 5
+        ), judged AS (
+          SELECT r, k.doc_id, pos, line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone FROM keyed k LEFT JOIN shared s USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY r, doc_id
+    """,
 }
