@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, lines, logfreq, mixing, rules, simhash, toxicity, wordpiece
+from . import ann, bpe, chat, langid, lines, logfreq, mixing, rules, simhash, toxicity, variants, wordpiece
 
 RANKS = "byte_bpe_50k.tiktoken"
 CONTROL = "</s>[INST] ok [/INST]"
 #: Weights that sources take in turn, in code-point order.
 MIX_WEIGHTS = [3.0, 1.0, 2.0]
+#: Words lose a letter where this divides their checksum, so that there are variants to find.
+PLANTED_EVERY = 199
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +73,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.counted_words(_table(spark, sf_dir, "documents"), planted_every=PLANTED_EVERY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format,
     "op2_lm_scoring": lm_score,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity_score,
     "op10_nearest_vectors": nearest_vectors,
     "op12_line_dedup": line_dedup,
+    "op13_spelling_variants": spelling_variants,
 }
 
 _MARKS = r"</?s>|\[/?(?:INST|ASST|SYS|ROLE)\]"
