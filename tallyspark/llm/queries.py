@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, lines, logfreq, mixing, rules, simhash, toxicity, variants, wordpiece
+from . import ann, bpe, chat, langid, lines, logfreq, mixing, rules, simhash, toxicity, variants, vectorcodes, wordpiece
 
 RANKS = "byte_bpe_50k.tiktoken"
 CONTROL = "</s>[INST] ok [/INST]"
@@ -68,6 +68,10 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -88,11 +92,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id,
     "op9_toxicity": toxicity_score,
     "op10_nearest_vectors": nearest_vectors,
+    "op11_vector_codes": vector_codes,
     "op12_line_dedup": line_dedup,
     "op13_spelling_variants": spelling_variants,
 }
 
 _MARKS = r"</?s>|\[/?(?:INST|ASST|SYS|ROLE)\]"
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Lloyd rounds in integers, one pair of common table expressions each."""
+
+    def nearest(k: int) -> str:
+        return f"""
+        near{k} AS MATERIALIZED (
+          SELECT r, p, CAST(min(far * 16 + e) % 16 AS INTEGER) AS e, min(far * 16 + e) // 16 AS far
+          FROM (SELECT r, p, e, sum((x - b) * (x - b)) AS far FROM parts JOIN book{k} USING (p, i) GROUP BY ALL) GROUP BY ALL
+        )"""
+
+    def moved(k: int) -> str:
+        return f"""
+        book{k + 1} AS MATERIALIZED (
+          SELECT p, e, i, coalesce(mean, b) AS b FROM book{k} LEFT JOIN (
+            SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS mean FROM near{k} JOIN parts USING (r, p) GROUP BY ALL
+          ) USING (p, e, i)
+        )"""
+
+    steps = ",".join(nearest(k) + "," + moved(k) for k in range(rounds)) + "," + nearest(rounds)
+    return f"""
+        WITH kept AS (
+          SELECT row_number() OVER () AS r, vec_id, label, embedding AS v, len(embedding) // 8 AS w FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), places AS (
+          SELECT r, w, CAST(floor(4096 * CAST(unnest(v) AS DOUBLE)) AS BIGINT) AS x, generate_subscripts(v, 1) - 1 AS j FROM kept
+        ), parts AS MATERIALIZED (
+          SELECT r, j // w AS p, j % w AS i, x FROM places
+        ), book0 AS MATERIALIZED (
+          SELECT p, e, i, x AS b FROM parts JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < 16) USING (r)
+        ), {steps}
+        , coded AS (
+          SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+          (SELECT sha256(string_agg(CAST(b AS VARCHAR), ',' ORDER BY p, e, i)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": rf"""
         WITH rows AS (
@@ -116,6 +162,7 @@ ORACLE_SQL: dict[str, str] = {
           count(*) FILTER (role = 'assistant') AS n_targets
         FROM placed GROUP BY conv_id
     """,
+    "op11_vector_codes": _lloyd_sql(vectorcodes.ROUNDS),
     "op12_line_dedup": """
         WITH rows AS (
           SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
