@@ -125,7 +125,7 @@ def first_entries(kept: DataFrame, dim: int, entries: int = ENTRIES, scale: int
     ids = [r.vec_id for r in kept.select("vec_id").distinct().orderBy(order).limit(entries).collect()]
     among = F.col("vec_id").isin([i for i in ids if i is not None])
     if None in ids:
-        among = F.coalesce(among, F.lit(True))
+        among = among | F.col("vec_id").isNull()
     seeds = kept.where(among).groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(order).collect()
     return integers(np.array([r.vector for r in seeds], np.float64).reshape(len(seeds), dim), scale)
 
