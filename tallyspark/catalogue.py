@@ -1060,3 +1060,7 @@ def warnings_once(spark: SparkSession, d: str) -> DataFrame:
 def article_prefixes(spark: SparkSession, d: str) -> DataFrame:
     placed = docs.article_lines(docs.body_lines(_law_lines(spark, d)))
     return docs.articles(placed).where("doc_id % 9 <> 4").select("doc_id", "ordinal", "article_prefix", "article_no", "article_title", "chapter_name", "section_name")
+
+
+# These modules register more queries here.
+from . import catalogue_sources  # noqa: E402, F401

@@ -1,168 +1,108 @@
-"""Workbooks: every sheet's cells as text, read through Spark's own file reader, one file at a time in a task.
+"""Tables and records of workbooks, over the ``workbook`` data source.
 
-``cells`` gives (file, sheet, row, cells, error); a file that can't be read is one row with
-its error. ``table`` finds one sheet's header row and names its columns. ``records`` does so
-for all sheets of all files in one job and maps columns to the fields of a report.
+``cells`` gives typed cells row by row; ``table`` one sheet with named, typed columns;
+``records`` the rows of all sheets of all files with columns mapped to the fields of a report;
+``sheet_profiles`` what each sheet holds.
 """
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.mapping import heuristic_mapping
-from ..plans.prompt import plain
-
-# Words that header rows hold.
-HEADER_WORDS = ("tarih", "date", "islem", "aciklama", "description", "borc", "debit", "alacak", "credit", "gelir", "income", "gider", "expense", "tutar", "amount", "miktar", "kategori", "category", "bakiye", "balance", "firma", "cari", "hesap")
-#: Rows of a sheet among which the header is sought.
-SCAN = 30
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def read_workbook(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row, cells) of each row that has a cell."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
-        files = sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-        for sheet, file in zip(sheets, files, strict=False):
-            with z.open(file) as f:
-                for _, row in ElementTree.iterparse(f):
-                    if row.tag != f"{_NS}row":
-                        continue
-                    cells: list[str | None] = []
-                    for c in row.iter(f"{_NS}c"):
-                        letters = re.match("[A-Z]+", c.get("r", "A"))[0]
-                        at = 0
-                        for x in letters:
-                            at = at * 26 + ord(x) - 64
-                        cells += [None] * (at - len(cells))
-                        v = c.find(f"{_NS}v")
-                        text = "".join(t.text or "" for t in c.iter(f"{_NS}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
-                        cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                    if any(x and x.strip() for x in cells):
-                        yield sheet, int(row.get("r", 0)), [x.strip() if x else None for x in cells]
-                    row.clear()
-
-
-def _opened(frame: pd.DataFrame) -> Iterator[tuple[str, list[tuple], str | None]]:
-    """(file, rows, error) of each file."""
-    for path, content in zip(frame.path, frame.content, strict=True):
-        if not path.lower().endswith(".xlsx"):
-            yield path, [], "unsupported_file_type"
-            continue
-        try:
-            yield path, list(read_workbook(content)), None
-        except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
-            yield path, [], f"file_normalization_failed: {e}"
+from ..functions import dates as D
+from .headers import columns_of, header_at, header_score, unique_names
+from .workbook import FORMAT, SCAN, Cell, register
 
+__all__ = ["all_files", "cells", "columns_of", "file_summaries", "header_at", "header_score", "records", "sheet_profiles", "table", "unique_names", "write"]
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+#: Columns get a type where all their cells have its kind.
+_TYPED = {"number": "number", "percent": "number", "date": "moment"}
 
 
 def cells(spark: SparkSession, path: str) -> DataFrame:
     """(file, sheet, row, cells, error) of all files that ``path`` names."""
+    register(spark)
+    return spark.read.format(FORMAT).load(path)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, rows, error in _opened(frame):
-                found = [(file, *r, None) for r in rows] if error is None else [(file, None, None, None, error)]
-                yield pd.DataFrame(found, columns=["file", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
-
-    return _files(spark, path).mapInPandas(run, "file string, sheet string, row int, cells array<string>, error string")
-
-
-def header_score(cells_: list[str | None]) -> float:
-    """How much a row looks like a header: known words count most, then text and filled cells; repeats count against."""
-    filled = [c for c in cells_ if c]
-    if not filled:
-        return -100.0
-    names = [plain(c) for c in filled]
-    words = sum(w == n or w in n.split() for n in names for w in HEADER_WORDS)
-    texts = sum(not re.fullmatch(r"[-+]?\d+([.,]\d+)?", c) for c in filled)
-    return 5 * words + 1.5 * texts + len(filled) - (len(filled) - len(set(names)))
 
-
-def unique_names(cells_: list[str | None]) -> list[str]:
-    """Column names: blanks numbered, repeats suffixed."""
-    out: list[str] = []
-    for k, c in enumerate(cells_, 1):
-        c = re.sub(r"\s+", " ", c).strip() if c else c
-        name = base = c if c and not c.lower().startswith("unnamed") else f"column_{k}"
-        n = 1
-        while name in out:
-            n += 1
-            name = f"{base}_{n}"
-        out.append(name)
-    return out
-
-
-def header_at(rows: list[list[str | None]]) -> int:
-    """The best header among the first rows, the first of equals."""
-    return max(range(min(SCAN, len(rows))), key=lambda k: (header_score(rows[k]), -k))
+def write(df: DataFrame, path: str, sheet: str = "Sheet1", mode: str = "append") -> None:
+    """Workbooks, one for each partition of ``df``, with dates, numbers and truth values as such; beside those in ``path``, or instead (``overwrite``)."""
+    register(df.sparkSession)
+    df.write.format(FORMAT).option("sheetName", sheet).mode(mode).save(path)
 
 
 def table(rows: DataFrame, file: str, sheet: str) -> DataFrame:
-    """One sheet as a table: its best header row names the columns of the rows below that hold anything."""
-    own = rows.where((F.col("file") == file) & (F.col("sheet") == sheet))
+    """One sheet as a table: its best header row names the columns of the rows below that hold anything.
+
+    Columns whose cells are all numbers, dates or truth values get that type, others text.
+    """
+    own = rows.where((F.col("file") == file) & (F.col("sheet") == sheet) & F.col("cells").isNotNull())
     first = own.orderBy("row").limit(SCAN).collect()
     if not first:
         return own.select("row")
-    head = first[header_at([r.cells for r in first])]
-    below = own.where(F.col("row") > head.row)
-    names = unique_names(head.cells)
-    at: list[Column] = [F.get("cells", F.lit(k)) for k in range(len(names))]
-    filled = below.agg(*[F.count(c).alias(f"n{k}") for k, c in enumerate(at)]).first()
-    return below.select("row", *[c.alias(n) for k, (c, n) in enumerate(zip(at, names, strict=True)) if filled[k]])
+    head = first[header_at([[c and Cell(*c) for c in r.cells] for r in first])]
+    # places and kinds of cells: bounded by the widest row that a sheet can have
+    held = own.select("row", F.posexplode("cells").alias("place", "cell")).where("cell.text IS NOT NULL")
+    kinds = held.groupBy("place", "cell.kind").agg(F.count_if(F.col("row") > head.row).alias("n")).collect()
+    places = sorted({r.place for r in kinds})
+    names = unique_names([Cell(*head.cells[k]) if k < len(head.cells) and head.cells[k] else None for k in places])
+    out = []
+    for name, place in zip(names, places, strict=True):
+        found = {r.kind for r in kinds if r.place == place and r.n}
+        if not found:
+            continue
+        cell = F.get("cells", F.lit(place))
+        of = {_TYPED.get(k) for k in found}
+        typed: Column = cell["text"] == "True" if found == {"boolean"} else cell[of.pop() or "text"] if len(of) == 1 else cell["text"]
+        out.append(typed.alias(name))
+    return own.where(F.col("row") > head.row).select("row", *out)
 
 
 def records(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """(file, sheet, row, fields, error): the rows of all sheets, each field by the column whose name stands for it.
 
-    ``fields`` maps field to cell text and lacks what a sheet has no column for. A file
-    that can't be read, or has no row below a header, is one row with its error.
+    ``fields`` maps field to cell and lacks what a row or a sheet has no value for. A file
+    that can't be read, and a sheet without rows below a header, is one row with its error.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, rows, error in _opened(frame):
-                found = []
-                for sheet in dict.fromkeys(r[0] for r in rows):
-                    own = [r for r in rows if r[0] == sheet]
-                    head = header_at([r[2] for r in own])
-                    names = unique_names(own[head][2])
-                    column = {f: names.index(rule.columns[0]) for f, rule in heuristic_mapping(names, fields).items() if rule.kind == "column"}
-                    for _, row, values in own[head + 1 :]:
-                        found.append((file, sheet, row, [(f, values[k]) for f, k in column.items() if k < len(values) and values[k]], None))
-                yield pd.DataFrame(found or [(file, None, None, None, error or "no_rows")], columns=["file", "sheet", "row", "fields", "error"]).astype({"row": "Int32"})
-
-    kind = "file string, sheet string, row int, fields array<struct<name: string, value: string>>, error string"
-    out = _files(spark, path).mapInPandas(run, kind)
-    return out.select("file", "sheet", "row", F.map_from_entries("fields").alias("fields"), "error")
+    register(spark)
+    return spark.read.format(FORMAT).option("fields", ",".join(fields)).load(path)
 
 
 def file_summaries(found: DataFrame, needed: list[str]) -> DataFrame:
     """One row per file of ``records``: failed with its error, warning where a needed field has no value anywhere, else success."""
     missing = F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.count(F.try_element_at("fields", F.lit(f))).alias("n")) for f in needed]), lambda x: x["n"] == 0)
-    per = found.groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("n_rows"), F.max("error").alias("error"), F.transform(missing, lambda x: x["f"]).alias("missing"))
-    status = F.when(F.col("error").isNotNull(), "failed").when(F.size("missing") > 0, "warning").otherwise("success")
-    return per.select("file", status.alias("status"), "n_rows", F.when(F.col("error").isNull(), F.col("missing")).alias("missing"), "error")
+    per = found.groupBy("file").agg(
+        F.count_if(F.col("error").isNull()).alias("n_rows"), F.max(F.when(F.col("error") != "no_rows", F.col("error"))).alias("failure"), F.transform(missing, lambda x: x["f"]).alias("missing")
+    )
+    error = F.coalesce("failure", F.when(F.col("n_rows") == 0, "no_rows"))
+    status = F.when(error.isNotNull(), "failed").when(F.size("missing") > 0, "warning").otherwise("success")
+    return per.select("file", status.alias("status"), "n_rows", F.when(error.isNull(), F.col("missing")).alias("missing"), error.alias("error"))
 
 
 def all_files(spark: SparkSession, path: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows of all files with a column for each field, equal rows once, and the files' summaries."""
     found = records(spark, path, fields)
-    rows = found.where(F.col("error").isNull()).select(F.col("file").alias("source_file"), *[F.try_element_at("fields", F.lit(f)).alias(f) for f in fields])
+    rows = found.where(F.col("error").isNull()).select(F.col("file").alias("source_file"), *[F.try_element_at("fields", F.lit(f))["text"].alias(f) for f in fields])
     return rows.dropDuplicates(fields), file_summaries(found, fields)
+
+
+def sheet_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(file, sheet, column_name, n_rows, n_filled, kind) of every column of every sheet of all files.
+
+    A column is a date where 7 in 10 of the cells that could be one are or read as such, else
+    a number where 7 in 10 of its filled cells are or read as such, else text.
+    Sheets without rows, and files that can't be read, have no columns and are left out.
+    """
+    found = records(spark, path, ["*"]).where(F.col("error").isNull())
+    # each row counts once for its sheet, under a column name that no cell has
+    entries = F.concat(F.map_entries("fields"), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast(found.schema["fields"].dataType.valueType).alias("value"))))
+    one = found.select("file", "sheet", F.explode(entries).alias("e")).select("file", "sheet", F.col("e.key").alias("column_name"), F.col("e.value").alias("c"))
+    shown = (F.col("c.kind") == "date") | F.col("c.text").rlike(r"[-./]") & (F.col("c.kind") == "text")
+    date = (F.col("c.kind") == "date") | D.parse_date(F.col("c.text")).isNotNull() & shown
+    number = F.col("c.kind").isin("number", "percent") | F.col("c.text").rlike(r"^[-+(]?[0-9][0-9.,]*\)?-?$") & (F.col("c.kind") == "text")
+    per = one.groupBy("file", "sheet", "column_name").agg(F.count("*").alias("n"), F.count_if(shown).alias("shown"), F.count_if(date).alias("dates"), F.count_if(number).alias("numbers"))
+    rows = per.where("column_name IS NULL").select("file", "sheet", F.col("n").alias("n_rows"))
+    n, shown_n, dates = F.col("n"), F.col("shown"), F.col("dates")
+    kind = F.when((shown_n > 0) & (dates >= 0.7 * shown_n), "date").when(F.col("numbers") >= 0.7 * n, "number").otherwise("text")
+    return per.where("column_name IS NOT NULL").join(rows, ["file", "sheet"]).select("file", "sheet", "column_name", "n_rows", n.alias("n_filled"), kind.alias("kind"))
