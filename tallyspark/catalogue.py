@@ -696,7 +696,23 @@ def chunks_greedy(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d)
 
 
-@query("q76_chunks_overlap")
+def _overlap_sql(units: str, overlap: int) -> str:
+    """Common table expressions from ``units`` (doc_id, k, page, line, lim) to ``parts`` (doc_id, chunk, body, page_start, page_end), one line after the other."""
+    tok = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'"
+    tail = lambda t: f"array_to_string({t}[greatest(len({t}) - {overlap} + 1, 1):], ' ')"
+    return rf"""t AS MATERIALIZED (SELECT *, regexp_extract_all(line, {tok}) AS own, len(regexp_extract_all(line, {tok})) AS n, greatest(1, lim - {overlap}) AS step, count(*) OVER (PARTITION BY doc_id) AS m FROM ({units}) units),
+  o AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, '' AS held, 0 AS a, 0 AS b, []::STRUCT(body VARCHAR, a INTEGER, b INTEGER)[] AS said FROM t
+    UNION ALL SELECT t.doc_id, t.k, CASE WHEN cut THEN {tail("last")} WHEN flush THEN concat({tail("before")}, chr(10), t.line) WHEN o.held = '' THEN t.line ELSE concat(o.held, chr(10), t.line) END,
+      CASE WHEN cut OR o.held = '' THEN t.page WHEN flush THEN o.b ELSE o.a END, t.page,
+      list_concat(CASE WHEN flush THEN [struct_pack(body := o.held, a := o.a, b := o.b)] ELSE [] END,
+        list_concat(CASE WHEN cut THEN [struct_pack(body := array_to_string(t.own[i + 1 : i + t.lim], ' '), a := t.page, b := t.page) for i in range(0, t.n, t.step)] ELSE [] END,
+          CASE WHEN t.k = t.m AND NOT cut THEN [struct_pack(body := CASE WHEN flush THEN concat({tail("before")}, chr(10), t.line) WHEN o.held = '' THEN t.line ELSE concat(o.held, chr(10), t.line) END, a := CASE WHEN o.held = '' THEN t.page WHEN flush THEN o.b ELSE o.a END, b := t.page)] ELSE [] END))
+    FROM o JOIN t ON t.doc_id = o.doc_id AND t.k = o.k + 1, LATERAL (SELECT regexp_extract_all(o.held, {tok}) AS before) x, LATERAL (SELECT t.n > t.lim AS cut, o.held <> '' AND (t.n > t.lim OR len(before) + t.n > t.lim) AS flush, t.own[(t.n - 1) // t.step * t.step + 1 : (t.n - 1) // t.step * t.step + t.lim] AS last) y),
+  parts AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS chunk, p.body, p.a AS page_start, p.b AS page_end FROM (SELECT doc_id, k, unnest(said) AS p, generate_subscripts(said, 1) AS j FROM o) said)"""
+
+
+@query("q76_chunks_overlap", sql="WITH RECURSIVE " + _overlap_sql("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, 1 AS page, s[k] AS line, 256 AS lim FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, unnest(range(1, len(s) + 1)) AS u(k) WHERE trim(s[k], ' ' || chr(9) || chr(13)) <> ''", 40)
+  + r" SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, body AS text, CAST(len(regexp_extract_all(body, '[\pL\pN\pM_]+|[^\pL\pN\pM_\s]')) AS INTEGER) AS n_tokens FROM parts")
 def chunks_overlap(spark: SparkSession, d: str) -> DataFrame:
     return docs.overlap_chunks(table(spark, d, "documents"), 256, 40)
 
@@ -770,8 +786,8 @@ _ORD_SQL = "[" + ", ".join(f"'{x}'" for x in _ORD) + "]"
 _LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BODY} AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, unnest(range(1, len(s) + 1)) AS u(k) WHERE {_BODY} <> ''),
   a AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, body FROM l),
   m AS MATERIALIZED (SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, concat(['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1], ' Sayılı ', {_LAW_NAME_SQL}[doc_id % 6 + 1]) AS official_name FROM documents),
-  x AS MATERIALIZED (SELECT a.doc_id, k, concat('Kanun: ', official_name, chr(10), 'Kanun No: ', law_no) AS law, m.law_no, CAST(k AS VARCHAR) AS no, concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') AS ch, concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') AS se,
-    CASE WHEN k % 2 = 0 THEN concat('Konu ', k) END AS title, concat(CASE k % 5 WHEN 0 THEN 'GEÇİCİ MADDE' WHEN 1 THEN 'MÜKERRER MADDE' WHEN 2 THEN 'EK MADDE' ELSE 'MADDE' END, ' ', k, ' - ', body) AS text, CAST(((k - 1) * 4 + 3) // 40 + 1 AS INTEGER) AS page FROM a JOIN m USING (doc_id) WHERE doc_id % 9 <> 4),
+  x AS MATERIALIZED (SELECT a.doc_id, k, concat('Kanun: ', official_name, chr(10), 'Kanun No: ', law_no) AS law, m.law_no, CAST(k AS VARCHAR) AS no, CASE WHEN doc_id % 9 <> 4 THEN concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') END AS ch, CASE WHEN doc_id % 9 <> 4 THEN concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') END AS se,
+    CASE WHEN k % 2 = 0 THEN concat('Konu ', k) END AS title, concat(CASE k % 5 WHEN 0 THEN 'GEÇİCİ MADDE' WHEN 1 THEN 'MÜKERRER MADDE' WHEN 2 THEN 'EK MADDE' ELSE 'MADDE' END, ' ', k, ' - ', body) AS text, CAST(((k - 1) * 4 + 3) // 40 + 1 AS INTEGER) AS page FROM a JOIN m USING (doc_id) WHERE doc_id % 9 <> 4 OR k = 1),
   many AS MATERIALIZED (SELECT doc_id FROM x GROUP BY 1 HAVING count(*) >= 2),
   h AS MATERIALIZED (SELECT *, concat(law, chr(10), 'Kısım: ', ch, chr(10), 'Bölüm: ', se, chr(10), 'Madde: ', no, CASE WHEN title IS NULL THEN '' ELSE concat(chr(10), 'Madde Başlığı: ', title) END) AS head FROM x WHERE doc_id IN (SELECT doc_id FROM many)),
   z AS MATERIALIZED (SELECT *, {_n("head")} + {_n("text")} AS alone, {_n("text")} AS n_text, {_n("law")} AS n_law FROM h),
@@ -779,10 +795,20 @@ _LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BO
     UNION ALL SELECT z.doc_id, z.k, CASE WHEN fits THEN r.pack ELSE r.pack + 1 END, CASE WHEN z.alone > {_LAW_TARGET} THEN NULL WHEN fits THEN list_distinct(list_append(r.chs, z.ch)) ELSE [z.ch] END, CASE WHEN fits THEN list_distinct(list_append(r.ses, z.se)) ELSE [z.se] END, CASE WHEN fits THEN r.n + 1 ELSE 1 END, CASE WHEN fits THEN r.body + z.n_text ELSE z.n_text END
     FROM r JOIN z ON z.doc_id = r.doc_id AND z.k = r.k + 1, LATERAL (SELECT z.alone <= {_LAW_TARGET} AND r.chs IS NOT NULL AND z.n_law + 3 * len(list_distinct(list_append(r.chs, z.ch))) + 1 + 3 * len(list_distinct(list_append(r.ses, z.se))) + 1 + 2 + 2 * (r.n + 1) - 1 + r.body + z.n_text <= {_LAW_TARGET} AS fits) f),
   g AS MATERIALIZED (SELECT z.doc_id, r.pack, count(*) AS n, min(z.alone) AS alone, min(z.law_no) AS law_no, min(z.law) AS law, arg_min(z.head, z.k) AS head, string_agg(DISTINCT z.ch, ' / ' ORDER BY z.ch) AS chs, string_agg(DISTINCT z.se, ' / ' ORDER BY z.se) AS ses, string_agg(z.no, ', ' ORDER BY z.k) AS nos, string_agg(z.text, chr(10) || chr(10) ORDER BY z.k) AS body,
-      min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b FROM r JOIN z USING (doc_id, k) GROUP BY 1, 2),
-  c AS MATERIALIZED (SELECT *, CASE WHEN n = 1 THEN head ELSE concat(law, chr(10), 'Kısım: ', chs, chr(10), 'Bölüm: ', ses, chr(10), 'Maddeler: ', nos) END || chr(10) || chr(10) || body AS text, row_number() OVER (PARTITION BY doc_id ORDER BY pack) AS chunk_index FROM g)"""
-_ARTICLE_CHUNK_SQL = f"""SELECT doc_id, concat('law_', law_no, '_', doc_id, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END, '_chunk_', chunk_index) AS id, CAST(chunk_index AS INTEGER) AS chunk_index,
-  CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, replace(nos, ', ', ',') AS included_articles, page_start, page_end, CAST({_n("text")} AS INTEGER) AS token_count, sha256(text) AS text_sha256 FROM c"""
+      min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b FROM r JOIN z USING (doc_id, k) WHERE alone <= {_LAW_MODEL} GROUP BY 1, 2),
+  w AS MATERIALIZED (SELECT z.doc_id, r.pack, law_no, no, head, page, regexp_extract_all(text, {_TOK}) AS t, greatest(128, greatest(256, {_LAW_MODEL} - (alone - n_text + 6) - 32) - 200) AS room FROM r JOIN z USING (doc_id, k) WHERE alone > {_LAW_MODEL}),
+  e AS MATERIALIZED (SELECT doc_id, pack, 0 AS part, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END AS middle, CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, law_no, nos, page_start, page_end,
+      CASE WHEN n = 1 THEN head ELSE concat(law, chr(10), 'Kısım: ', chs, chr(10), 'Bölüm: ', ses, chr(10), 'Maddeler: ', nos) END || chr(10) || chr(10) || body AS text FROM g
+    UNION ALL SELECT doc_id, pack, p, concat('_article_', no, '_part_', p), 'article_part', law_no, no, page, page, concat(head, chr(10), 'Madde Parçası: ', p, '/', (len(t) - 1) // room + 1, chr(10), chr(10),
+      CASE WHEN p > 1 THEN array_to_string(t[greatest((p - 2) * room, (p - 1) * room - 200) + 1 : (p - 1) * room], ' ') || chr(10) || chr(10) ELSE '' END, array_to_string(t[(p - 1) * room + 1 : p * room], ' ')) FROM w, unnest(range(1, CAST((len(t) - 1) // room + 2 AS BIGINT))) AS q(p)),
+  c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack, part) AS chunk_index FROM e)"""
+_ARTICLE_CHUNK_SQL = f"""SELECT doc_id, concat('law_', law_no, '_', doc_id, middle, '_chunk_', chunk_index) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_type, replace(nos, ', ', ',') AS included_articles, page_start, page_end, CAST({_n("text")} AS INTEGER) AS token_count, sha256(text) AS text_sha256 FROM c"""
+# documents with fewer than two articles: their lines, with headings, as overlapping parts below the source
+_FALLBACK_DOCS = ", " + _overlap_sql(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page, line, lim FROM (
+    SELECT a.doc_id, (k - 1) * 4 + j AS pos, CASE j WHEN 1 THEN concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') WHEN 2 THEN concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') ELSE CASE WHEN k = 1 THEN concat('MÜKERRER MADDE 1 - ', body) ELSE body END END AS line, {_LAW_TARGET} - 8 - {_n("concat('Kaynak: ', official_name, ' Kanun No: ', law_no)")} AS lim
+    FROM a JOIN m USING (doc_id), unnest([1, 2, 4]) AS y(j) WHERE doc_id NOT IN (SELECT doc_id FROM many) AND (j = 4 OR doc_id % 9 <> 4)) lines""", docs.LINE_OVERLAP)
+_DOCUMENT_CHUNK_SQL = f"""SELECT * FROM ({_ARTICLE_CHUNK_SQL}) x UNION ALL SELECT doc_id, concat('law_', law_no, '_', doc_id, '_fallback_chunk_', chunk) AS id, CAST(chunk AS INTEGER) AS chunk_index, 'fallback_text_chunk' AS chunk_type, '' AS included_articles, page_start, page_end,
+  CAST({_n("concat('Kaynak: ', official_name, ' Kanun No: ', law_no, ' ', body)")} AS INTEGER) AS token_count, sha256(concat('Kaynak: ', official_name, chr(10), 'Kanun No: ', law_no, chr(10), chr(10), body)) AS text_sha256 FROM parts JOIN m USING (doc_id)"""
 
 
 def _digest(chunks: DataFrame) -> DataFrame:
@@ -792,18 +818,19 @@ def _digest(chunks: DataFrame) -> DataFrame:
 @query("q76c_chunk_rows", sql=_LAW_DOCS + _ARTICLE_CHUNK_SQL)
 def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     body = docs.body_lines(_law_lines(spark, d))
-    found = docs.articles(docs.article_lines(body)).join(_law_metadata_rows(spark, d), "doc_id").where("doc_id % 9 <> 4")
+    found = docs.articles(docs.article_lines(body)).join(_law_metadata_rows(spark, d), "doc_id")
     several = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
-    return _digest(chk.article_chunks(found.join(several, "doc_id", "left_semi"), _LAW_TARGET, 1_000_000))
+    return _digest(chk.article_chunks(found.join(several, "doc_id", "left_semi"), _LAW_TARGET, _LAW_MODEL))
 
 
-@query("q76d_document_pipeline")
+@query("q76d_document_pipeline", sql=_LAW_DOCS + _FALLBACK_DOCS + _DOCUMENT_CHUNK_SQL)
 def document_pipeline(spark: SparkSession, d: str) -> DataFrame:
     chunks = chk.document_chunks(_law_lines(spark, d), _law_metadata_rows(spark, d), _LAW_TARGET, _LAW_MODEL)
     return _digest(chunks)
 
 
-@query("q76e_document_report")
+@query("q76e_document_report", sql=_LAW_DOCS + _FALLBACK_DOCS + f"""SELECT d.doc_id, count(x.id) AS n_chunks, {", ".join(f"count(*) FILTER (chunk_type = '{k}') AS n_{k}" for k in ("multi_article", "single_article", "single_article_long", "article_part", "fallback_text_chunk"))},
+  coalesce(max(token_count), 0) AS max_tokens, coalesce(round(avg(token_count), 2), 0) AS avg_tokens, count(x.id) = 0 AS failed FROM documents d LEFT JOIN ({_DOCUMENT_CHUNK_SQL}) x USING (doc_id) GROUP BY 1""")
 def document_report(spark: SparkSession, d: str) -> DataFrame:
     chunks = chk.document_chunks(_law_lines(spark, d), _law_metadata_rows(spark, d), _LAW_TARGET, _LAW_MODEL)
     return chk.document_report(table(spark, d, "documents"), chunks)
@@ -1059,7 +1086,7 @@ def warnings_once(spark: SparkSession, d: str) -> DataFrame:
 @query("q105_article_prefixes", sql=_LAW_DOCS.split(",\n  many AS")[0] + " SELECT doc_id, k AS ordinal, CASE k % 5 WHEN 0 THEN 'Geçici Madde' WHEN 1 THEN 'Mükerrer Madde' WHEN 2 THEN 'Ek Madde' ELSE 'Madde' END AS article_prefix, no AS article_no, title AS article_title, ch AS chapter_name, se AS section_name FROM x")
 def article_prefixes(spark: SparkSession, d: str) -> DataFrame:
     placed = docs.article_lines(docs.body_lines(_law_lines(spark, d)))
-    return docs.articles(placed).where("doc_id % 9 <> 4").select("doc_id", "ordinal", "article_prefix", "article_no", "article_title", "chapter_name", "section_name")
+    return docs.articles(placed).select("doc_id", "ordinal", "article_prefix", "article_no", "article_title", "chapter_name", "section_name")
 
 
 # These modules register more queries here.

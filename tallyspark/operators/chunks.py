@@ -6,14 +6,13 @@ packing works on numbers and only what belongs to one chunk is ever put together
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import written
 from . import documents as docs
+from . import packing as pk
 
 # The least tokens that are left to a body, and what is kept free.
 LEAST_BODY, LEAST_PACK, LEAST_FALLBACK, FREE, FREE_FALLBACK = 256, 128, 128, 32, 8
@@ -31,11 +30,6 @@ def _law_lines() -> list[Column]:
     return [F.concat(F.lit(f"{LAW}: "), F.coalesce("official_name", F.lit(""))), F.concat(F.lit(f"{LAW_NO}: "), F.coalesce("law_no", F.lit("")))]
 
 
-def _sum_of(label: str, names: str, sizes: Column) -> Column:
-    """Tokens of a header line that names several: its label and colon, the names, marks between them; 0 without any."""
-    return F.when(F.size(names) > 0, X.token_count(F.lit(f"{label}:")) + sizes + F.size(names) - 1).otherwise(0)
-
-
 def measured(articles: DataFrame, target: int, model: int) -> DataFrame:
     """Articles with the token counts that packing needs: of their parts, and of the chunk that one alone makes."""
     n = lambda c: X.token_count(F.coalesce(F.col(c), F.lit("")))
@@ -48,48 +42,38 @@ def measured(articles: DataFrame, target: int, model: int) -> DataFrame:
     return out.select("*", alone.alias("n_alone"), F.when(alone > model, "article_part").when(alone > target, "single_article_long").alias("own_kind"))
 
 
-_NOW = "struct<n:int,no:int,body:int,chapters:array<string>,n_chapters:int,sections:array<string>,n_sections:int>"
-
-
 def packed(sizes: DataFrame, target: int) -> DataFrame:
     """(doc_id, ordinal, pack): articles in order, put together while header and texts come to ``target`` or less.
 
-    A fold over a document's sizes and heading names; an article with a kind of its own stands alone.
+    An article with a kind of its own stands alone. A header names each chapter and section
+    once, so what an article adds depends on where the pack began: for each article the ones
+    that a pack from there could reach by their texts alone are looked at, a pack's worth.
     """
-    fields = ("ordinal", "n_law", "n_no", "n_body", "chapter_name", "n_chapter", "section_name", "n_section", "own_kind")
-    rows = sizes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("u"))
-    none = F.array().cast("array<string>")
     label = lambda text: X.token_count(F.lit(f"{text}:"))
-
-    def with_name(names: Column, size: Column, name: Column, n: Column) -> tuple[Column, Column]:
-        new = name.isNotNull() & ~F.coalesce(F.array_contains(names, name), F.lit(False))
-        return F.when(new, F.array_append(names, name)).otherwise(names), F.when(new, size + n).otherwise(size)
-
-    def state(n, no, body, chapters, n_chapters, sections, n_sections) -> Column:
-        return F.struct(n.alias("n"), no.alias("no"), body.alias("body"), chapters.alias("chapters"), n_chapters.alias("n_chapters"), sections.alias("sections"), n_sections.alias("n_sections")).cast(_NOW)
-
-    def joined(now: Column, x: Column) -> Column:
-        chapters, n_chapters = with_name(now["chapters"], now["n_chapters"], x["chapter_name"], x["n_chapter"])
-        sections, n_sections = with_name(now["sections"], now["n_sections"], x["section_name"], x["n_section"])
-        return state(now["n"] + 1, now["no"] + x["n_no"], now["body"] + x["n_body"], chapters, n_chapters, sections, n_sections)
-
-    empty = state(F.lit(0), F.lit(0), F.lit(0), none, F.lit(0), none, F.lit(0))
-
-    def size(now: Column, law: Column) -> Column:
-        several = lambda name, names, n: F.when(F.size(names) > 0, label(name) + n + F.size(names) - 1).otherwise(0)
-        return law + several(CHAPTER, now["chapters"], now["n_chapters"]) + several(SECTION, now["sections"], now["n_sections"]) + label(ARTICLES) + now["no"] + now["n"] - 1 + now["body"]
-
-    def step(acc: Column, x: Column) -> Column:
-        own = x["own_kind"].isNotNull()
-        grown = joined(acc["now"], x)
-        stays = ~own & (acc["now"]["n"] > 0) & (size(grown, x["n_law"]) <= target)
-        pack = F.when(stays, acc["pack"]).otherwise(acc["pack"] + 1)
-        now = F.when(own, empty).when(stays, grown).otherwise(joined(empty, x))
-        return F.struct(now.alias("now"), pack.alias("pack"), F.array_append(acc["out"], pack).alias("out"))
-
-    start = F.struct(empty.alias("now"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("out"))
-    out = rows.select("doc_id", F.explode(F.arrays_zip(F.col("u.ordinal").alias("ordinal"), F.aggregate("u", start, step, lambda acc: acc["out"]).alias("pack"))).alias("x"))
-    return out.select("doc_id", F.col("x.ordinal").alias("ordinal"), F.col("x.pack").alias("pack"))
+    # an article that stands alone counts as more than a pack holds
+    n = F.col("n_no") + F.col("n_body") + 1 + F.when(F.col("own_kind").isNotNull(), F.lit(target) + 1).otherwise(0)
+    rows = pk.placed(sizes.select("doc_id", "ordinal", "n_law", "chapter_name", "n_chapter", "section_name", "n_section", "own_kind", n.cast("long").alias("n")), "ordinal")
+    for name in ("chapter", "section"):
+        same = Window.partitionBy("doc_id", f"{name}_name").orderBy("at")
+        rows = rows.select("*", F.when(F.col(f"{name}_name").isNotNull(), F.coalesce(F.lag("at").over(same), F.lit(0))).alias(f"{name}_before"))
+    fixed = F.col("n_law") + label(ARTICLES) - 1
+    rows = pk.first_beyond(rows, F.col("upto") - F.col("n") + target - fixed, "found").withColumn("reach", pk.next_border(F.col("found")))
+    begun = rows.where("reach > at + 1").select("doc_id", F.col("at").alias("begin"), (F.col("upto") - F.col("n")).alias("until"), fixed.alias("fixed"), F.explode(F.sequence("at", F.col("reach") - 1)).alias("at"))
+    pairs = begun.join(rows.select("doc_id", "at", "upto", "chapter_before", "n_chapter", "section_before", "n_section"), ["doc_id", "at"])
+    grown = Window.partitionBy("doc_id", "begin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+
+    def named(name: str, title: str) -> Column:
+        """Tokens of the header line: its label and colon, the names that came since the pack began, marks between them."""
+        new = F.coalesce(F.col(f"{name}_before") < F.col("begin"), F.lit(False)).cast("long")
+        some = F.sum(new).over(grown)
+        return F.when(some > 0, label(title) + F.sum(new * (F.col(f"n_{name}") + 1)).over(grown) - 1).otherwise(0)
+
+    size = F.col("fixed") + F.col("upto") - F.col("until") + named("chapter", CHAPTER) + named("section", SECTION)
+    over = pairs.select("doc_id", "begin", "at", size.alias("size")).where((F.col("at") > F.col("begin")) & (F.col("size") > target))
+    ends = over.groupBy("doc_id", F.col("begin").alias("at")).agg(F.min("at").alias("end"))
+    steps = rows.join(ends, ["doc_id", "at"], "left").withColumn("nxt", F.coalesce("end", "reach"))
+    found = pk.members(pk.packs(steps))
+    return found.join(rows.select("doc_id", "at", "ordinal"), ["doc_id", "at"]).select("doc_id", "ordinal", "pack")
 
 
 def paragraphs(text: Column) -> Column:
@@ -111,20 +95,14 @@ def split_parts(long_: DataFrame, overlap: int = docs.SPLIT_OVERLAP) -> DataFram
     units = units.select("*", X.tokens(F.col("said")).alias("t")).select("*", F.size("t").alias("n"))
     cuts = F.when(F.col("n") > F.col("room"), F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("room")).cast("int")), lambda k: F.array_join(F.slice("t", k * F.col("room") + 1, F.col("room")), " "))).otherwise(F.array("said"))
     pieces = units.select("doc_id", "ordinal", "limit", "room", "unit", (F.col("n") > F.col("room")).alias("alone"), F.posexplode(cuts).alias("cut", "said"))
-    at = F.row_number().over(Window.partitionBy("doc_id", "ordinal").orderBy("unit", "cut"))
-    pieces = pieces.select("*", at.alias("at"), X.token_count(F.col("said")).alias("n"))
-    sizes = pieces.groupBy("doc_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("at", "n", "alone", "room"))).alias("u"))
-
-    def step(acc: Column, x: Column) -> Column:
-        stays = ~x["alone"] & (acc["size"] > 0) & (acc["size"] + x["n"] <= x["room"])
-        part = F.when(stays, acc["part"]).otherwise(acc["part"] + 1)
-        size = F.when(x["alone"], 0).when(stays, acc["size"] + x["n"]).otherwise(x["n"])
-        return F.struct(size.alias("size"), part.alias("part"), F.array_append(acc["out"], part).alias("out"))
-
-    start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("out"))
-    dealt = sizes.select("doc_id", "ordinal", F.explode(F.arrays_zip(F.col("u.at").alias("at"), F.aggregate("u", start, step, lambda acc: acc["out"]).alias("part"))).alias("x")).select("doc_id", "ordinal", "x.at", "x.part")
+    key = F.struct("doc_id", "ordinal").alias("key")
+    size = F.when(F.col("alone"), F.col("room") + 1).otherwise(X.token_count(F.col("said")))
+    sizes = pk.placed(pieces.select(key, "unit", "cut", "room", size.cast("long").alias("n")), "unit", "cut", key="key")
+    sizes = pk.first_beyond(sizes, F.col("upto") - F.col("n") + F.col("room"), "found", key="key")
+    dealt = pk.members(pk.packs(sizes.withColumn("nxt", pk.next_border(F.col("found"))), key="key"), key="key")
+    dealt = dealt.join(sizes.select("key", "at", "unit", "cut"), ["key", "at"]).select("key.doc_id", "key.ordinal", "unit", "cut", "at", F.col("pack").alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n\n")
-    raw = pieces.join(dealt, ["doc_id", "ordinal", "at"]).groupBy("doc_id", "ordinal", "part").agg(F.first("limit").alias("limit"), F.trim(body).alias("raw"))
+    raw = pieces.join(dealt, ["doc_id", "ordinal", "unit", "cut"]).groupBy("doc_id", "ordinal", "part").agg(F.first("limit").alias("limit"), F.trim(body).alias("raw"))
     before = F.lag("raw").over(Window.partitionBy("doc_id", "ordinal").orderBy("part"))
     tail = F.array_join(F.when(F.size(X.tokens(before)) > overlap, F.slice(X.tokens(before), -overlap, overlap)).otherwise(X.tokens(before)), " ")
     whole = raw.select("doc_id", "ordinal", "part", "limit", F.count("*").over(Window.partitionBy("doc_id", "ordinal")).cast("int").alias("parts"), F.when(before.isNotNull(), F.concat(tail, F.lit("\n\n"), "raw")).otherwise(F.col("raw")).alias("body"))
@@ -145,7 +123,7 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     Articles go together while they fit ``target``; a longer one stands alone, and one
     beyond ``model`` is split. Numbers run through a document.
     """
-    sizes = measured(articles, target, model)
+    sizes = written(measured(articles, target, model))
     placed = sizes.join(packed(sizes, target), ["doc_id", "ordinal"])
     whole = placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True)))
     ordered = lambda *names: F.array_sort(F.collect_list(F.struct("ordinal", *names)))
@@ -183,23 +161,13 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
 
 
 def fallback_chunks(rows: DataFrame, metadata: DataFrame, target: int = docs.TARGET_TOKENS, overlap: int = docs.LINE_OVERLAP) -> DataFrame:
-    """Chunk rows of documents without articles, from their body lines: overlapping parts below a source header.
-
-    One document's lines at a time are in a worker's memory.
-    """
-    lines = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))).alias("lines"))
+    """Chunk rows of documents without articles, from their body lines: overlapping parts below a source header."""
     header = F.concat_ws("\n", F.concat(F.lit(f"{SOURCE}: "), F.coalesce("official_name", "document_id")), _line(LAW_NO, F.col("law_no")))
-    met = lines.join(metadata.select("doc_id", "document_id", header.alias("header")), "doc_id").select("doc_id", "document_id", "header", "lines", F.greatest(F.lit(LEAST_FALLBACK), target - X.token_count(F.col("header")) - FREE_FALLBACK).alias("limit"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for d, lines_, limit in zip(frame.doc_id, frame.lines, frame.limit, strict=True):
-                found = [(d, k, *part) for k, part in enumerate(docs.overlapping_parts([(x["page"], x["text"]) for x in lines_ if x["text"].strip()], int(limit), overlap), 1)]
-                yield pd.DataFrame(found, columns=["doc_id", "chunk_index", "body", "page_start", "page_end"])
-
-    parts = met.select("doc_id", "lines", "limit").mapInPandas(run, "doc_id long, chunk_index int, body string, page_start int, page_end int")
+    met = metadata.select("doc_id", "document_id", header.alias("header")).select("*", F.greatest(F.lit(LEAST_FALLBACK), target - X.token_count(F.col("header")) - FREE_FALLBACK).alias("limit"))
+    body = rows.where(F.col("text").rlike(r"(?U)\S")).join(met.select("doc_id", "limit"), "doc_id").select("doc_id", "page", "line_no", "text", "limit")
+    parts = docs.overlapping_parts(body, overlap).withColumnRenamed("chunk", "chunk_index")
     none = F.lit(None).cast("string")
-    out = parts.join(met.select("doc_id", "document_id", "header"), "doc_id").select("*", F.trim(F.concat("header", F.lit("\n\n"), "body")).alias("text"))
+    out = parts.join(met.drop("limit"), "doc_id").select("*", F.trim(F.concat("header", F.lit("\n\n"), "body")).alias("text"))
     return out.select(
         "doc_id", F.concat("document_id", F.lit("_fallback_chunk_"), "chunk_index").alias("id"), "chunk_index", F.lit("fallback_text_chunk").alias("chunk_type"), F.lit("").alias("included_articles"), F.lit("").alias("included_articles_padded"),
         none.alias("start_article"), none.alias("end_article"), F.lit(None).cast("int").alias("article_part"), F.lit(None).cast("int").alias("article_part_total"), none.alias("chapter_name"), none.alias("section_name"), "page_start", "page_end", X.token_count(F.col("text")).alias("token_count"), "text",

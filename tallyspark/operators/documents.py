@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from . import packing as pk
 
 PAGE_LINES = 40
 # Token limits of chunks.
@@ -104,25 +103,12 @@ def articles(placed: DataFrame) -> DataFrame:
 
 
 def greedy_chunks(units: DataFrame, target: int = TARGET_TOKENS) -> DataFrame:
-    """(doc_id, chunk, n_units, n_tokens, first_unit, last_unit): units (doc_id, unit, n) packed in order while they fit.
-
-    A fold over a document's unit sizes: only numbers are held together, not texts.
-    """
-    sizes = units.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit").cast("int").alias("unit"), F.col("n").cast("long").alias("n")))).alias("u"))
-    chunk = "struct<first_unit:int,last_unit:int,n_units:long,n_tokens:long>"
-    make = lambda first, last, n, t: F.struct(first.alias("first_unit"), last.alias("last_unit"), n.cast("long").alias("n_units"), t.cast("long").alias("n_tokens"))
-    none = F.lit(None).cast("int")
-    closed = lambda acc: F.when(acc["now"]["n_units"] == 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["now"])))
-
-    def step(acc, x):
-        now = acc["now"]
-        fits = (now["n_units"] > 0) & (now["n_tokens"] + x["n"] <= target)
-        grown = make(now["first_unit"], x["unit"], now["n_units"] + 1, now["n_tokens"] + x["n"])
-        return F.struct(F.when(fits, grown).otherwise(make(x["unit"], x["unit"], F.lit(1), x["n"])).alias("now"), F.when(fits, acc["out"]).otherwise(closed(acc)).alias("out"))
-
-    start = F.struct(make(none, none, F.lit(0), F.lit(0)).alias("now"), F.array().cast(f"array<{chunk}>").alias("out"))
-    packed = sizes.select("doc_id", F.posexplode(F.aggregate("u", start, step, closed)).alias("k", "x"))
-    return packed.select("doc_id", (F.col("k") + 1).alias("chunk"), "x.n_units", "x.n_tokens", "x.first_unit", "x.last_unit")
+    """(doc_id, chunk, n_units, n_tokens, first_unit, last_unit): units (doc_id, unit, n) packed in order while they fit."""
+    rows = pk.placed(units.select("doc_id", F.col("unit").cast("int").alias("unit"), F.col("n").cast("long").alias("n")), "unit")
+    rows = pk.first_beyond(rows, F.col("upto") - F.col("n") + target, "found")
+    packed = pk.packs(rows.withColumn("nxt", pk.next_border(F.col("found"))), "unit", "n", "upto")
+    n_tokens = F.col("last.upto") - F.col("first.upto") + F.col("first.n")
+    return packed.select("doc_id", F.col("pack").alias("chunk"), (F.col("last_at") - F.col("first_at") + 1).alias("n_units"), n_tokens.alias("n_tokens"), F.col("first.unit").alias("first_unit"), F.col("last.unit").alias("last_unit"))
 
 
 def chunk_kind(n_units: Column, n_tokens: Column, target: int = TARGET_TOKENS) -> Column:
@@ -133,48 +119,63 @@ def quality_report(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_if(F.col("kind") == "single_article").alias("n_single"), F.count_if(F.col("kind") == "multi_article").alias("n_multi"), F.count_if(F.col("kind") == "single_article_long").alias("n_long"), F.max("n_tokens").alias("max_tokens"), F.round(F.avg("n_tokens"), 4).alias("avg_tokens"))
 
 
-def overlapping_parts(said: list[tuple[int, str]], limit: int, overlap: int) -> Iterator[tuple[str, int, int]]:
-    """(body, first page, last page) of lines packed to ``limit`` tokens, each beginning with the end of the one before."""
-    held: list[str] = []
-    pages: list[int] = []
-    size, fresh = 0, False
-    count = lambda text: len(TOKEN.findall(text))
-
-    def carried(body: str, page: int) -> tuple[list[str], list[int], int, bool]:
-        tail = TOKEN.findall(body)[-overlap:] if overlap else []
-        return ([" ".join(tail)] if tail else []), ([page] if tail else []), len(tail), False
-
-    for page, line in said:
-        n = count(line)
-        if n > limit:
-            if held:
-                yield "\n".join(held), min(pages), max(pages)
-            tokens = TOKEN.findall(line)
-            body = ""
-            for at in range(0, n, max(1, limit - overlap)):
-                body = " ".join(tokens[at : at + limit])
-                yield body, page, page
-            held, pages, size, fresh = carried(body, page)
-            continue
-        if held and size + n > limit:
-            yield "\n".join(held), min(pages), max(pages)
-            held, pages, size, fresh = carried("\n".join(held), max(pages))
-        held.append(line)
-        pages.append(page)
-        size, fresh = size + n, True
-    if fresh:
-        yield "\n".join(held), min(pages), max(pages)
+def overlapping_parts(rows: DataFrame, overlap: int) -> DataFrame:
+    """(doc_id, chunk, body, n_tokens, page_start, page_end): lines packed to a limit, each part beginning with the end of the one before.
 
+    ``rows`` are (doc_id, page, line_no, text, limit); ``limit`` is one number for a document.
+    A part begins with the last tokens that came before it, ``overlap`` at most, and takes
+    lines while they fit, one at least. A line beyond the limit is cut by tokens into pieces
+    that overlap likewise; after it only the last piece is carried on, and is a part of its
+    own where the next line doesn't fit beside it. All parts are runs of the document's
+    tokens, so their borders and the lines that each takes tokens from follow from numbers.
+    """
+    units = rows.select("doc_id", "page", "line_no", F.col("limit").cast("long").alias("limit"), X.token_count(F.col("text")).cast("long").alias("n"))
+    units = pk.placed(units, "page", "line_no")
+    doc = Window.partitionBy("doc_id").orderBy("at")
+    step = F.greatest(F.lit(1), F.col("limit") - overlap)
+    long_, before = F.col("n") > F.col("limit"), F.col("upto") - F.col("n")
+    pieces = F.when(long_, F.floor((F.col("n") - 1) / step) + 1)
+    left = F.least(F.lit(overlap), F.least("limit", F.col("n") - (pieces - 1) * step))
+    # what may be carried into a line: the tokens since the document's begin, or since what a long line left
+    since = F.coalesce(F.last(F.when(long_, F.col("upto") - left), ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    units = units.select("*", pieces.alias("pieces"), F.least(F.lit(overlap), before - since).cast("long").alias("carried"), F.coalesce(F.lag(long_).over(doc), F.lit(False)).alias("cut_before"), F.lag("page").over(doc).alias("page_before"))
+    units = pk.first_beyond(units, before + F.col("limit") - F.col("carried"), "found")
+    units = pk.first_beyond(units, before - F.col("carried"), "tail_at")
+    packed = pk.packs(units.withColumn("nxt", pk.next_border(F.col("found"))), "n", "upto", "limit", "page", "pieces", "carried", "cut_before", "page_before", "tail_at")
+
+    own = F.col("first")
+    alone = own["cut_before"] & (own["carried"] > 0) & (own["pieces"].isNotNull() | (own["carried"] + own["n"] > own["limit"]))
+    one = F.array(F.lit(0).cast("long"))
+    none = F.array().cast("array<bigint>")
+    # 0: only what is carried; -1: a part of lines; else the number of a long line's piece
+    said = F.concat(F.when(alone, one).otherwise(none), F.when(own["pieces"].isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), own["pieces"])))
+    parts = packed.select("doc_id", "pack", "first_at", "last_at", "first", "last", F.posexplode(said).alias("k", "said"))
+    parts = parts.select("*", F.row_number().over(Window.partitionBy("doc_id").orderBy("pack", "k")).alias("chunk"))
+    lines_, tail = F.col("said") == -1, (F.col("said") <= 0) & (own["carried"] > 0)
+    size = F.when(F.col("said") == 0, own["carried"]).when(lines_, own["carried"] + F.col("last.upto") - own["upto"] + own["n"]).otherwise(F.least(own["limit"], own["n"] - (F.col("said") - 1) * F.greatest(F.lit(1), own["limit"] - overlap)))
+    taken = F.sequence(F.when(tail, own["tail_at"]).otherwise(F.col("first_at")), F.when(F.col("said") == 0, F.col("first_at") - 1).otherwise(F.col("last_at")))
+    held = parts.select(
+        "doc_id", "chunk", "said", "first_at", own["carried"].alias("carried"), own["limit"].alias("limit"), size.alias("n_tokens"),
+        F.when(tail, own["page_before"]).otherwise(own["page"]).alias("page_start"), F.when(F.col("said") == 0, own["page_before"]).otherwise(F.col("last.page")).alias("page_end"), F.explode(taken).alias("at"),
+    )
+
+    texts = held.join(units.select("doc_id", "at", "page", "line_no"), ["doc_id", "at"]).join(rows.select("doc_id", "page", "line_no", "text"), ["doc_id", "page", "line_no"])
+    before_it = F.col("at") < F.col("first_at")
+    piece = F.array_join(F.slice(X.tokens(F.col("text")), ((F.col("said") - 1) * F.greatest(F.lit(1), F.col("limit") - overlap) + 1).cast("int"), F.col("limit").cast("int")), " ")
+    line = F.struct("at", F.when(before_it, X.tokens(F.col("text"))).alias("tokens"), F.when(~before_it, F.when(F.col("said") > 0, piece).otherwise(F.col("text"))).alias("text"))
+    same = ("carried", "n_tokens", "page_start", "page_end")
+    whole = texts.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(line)).alias("u"), *[F.first(c).alias(c) for c in same])
+    carried = F.flatten(F.filter(F.col("u.tokens"), lambda t: t.isNotNull()))
+    carried = F.when(F.size(carried) > 0, F.array_join(F.slice(carried, (-F.col("carried")).cast("int"), F.col("carried").cast("int")), " "))
+    body = F.concat_ws("\n", carried, F.nullif(F.array_join(F.col("u.text"), "\n"), F.lit("")))
+    return whole.select("doc_id", "chunk", body.alias("body"), F.col("n_tokens").cast("int").alias("n_tokens"), F.col("page_start").cast("int").alias("page_start"), F.col("page_end").cast("int").alias("page_end"))
 
-def overlap_chunks(docs: DataFrame, limit: int = TARGET_TOKENS, overlap: int = LINE_OVERLAP) -> DataFrame:
-    """(doc_id, chunk, text, n_tokens): documents without articles, in overlapping parts; one document at a time in memory."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(d, k, part, len(TOKEN.findall(part))) for d, t in zip(frame.doc_id, frame.text, strict=True) for k, (part, *_) in enumerate(overlapping_parts([(1, x) for x in (t or "").split("\n") if x.strip()], limit, overlap), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk int, text string, n_tokens int")
+def overlap_chunks(docs: DataFrame, limit: int = TARGET_TOKENS, overlap: int = LINE_OVERLAP) -> DataFrame:
+    """(doc_id, chunk, text, n_tokens): documents without articles, in overlapping parts of their lines that hold anything."""
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(F.col("text").rlike(r"(?U)\S"))
+    parts = overlapping_parts(rows.select("doc_id", F.lit(1).alias("page"), "line_no", "text", F.lit(limit).alias("limit")), overlap)
+    return parts.select("doc_id", "chunk", F.col("body").alias("text"), "n_tokens")
 
 
 def new_chunks(incoming: DataFrame, stored: DataFrame) -> DataFrame:

@@ -137,7 +137,8 @@ def test_articles_and_titles(spark):
 def test_chunks(spark):
     units = spark.createDataFrame([(1, k, n) for k, n in enumerate([5, 5, 20, 3, 3, 3])], "doc_id long, unit int, n long")
     assert [(r.n_units, r.n_tokens) for r in docs.greedy_chunks(units, 10).orderBy("chunk").collect()] == [(2, 10), (1, 20), (3, 9)]
-    parts = [body for body, *_ in docs.overlapping_parts([(1, f"a{k} b{k} c{k}") for k in range(6)], 7, 2)]
+    rows = spark.createDataFrame([(1, "\n".join(f"a{k} b{k} c{k}" for k in range(6)))], "doc_id long, text string")
+    parts = [r.text for r in docs.overlap_chunks(rows, 7, 2).orderBy("chunk").collect()]
     assert parts[0] == "a0 b0 c0\na1 b1 c1" and parts[1].startswith("b1 c1\na2")
     text = "\n".join(f"({k}) " + " ".join(f"w{k}x{j}" for j in range(30)) for k in range(5))
     got = chk.split_parts(spark.createDataFrame([(1, 1, text, 150)], "doc_id long, ordinal long, text string, limit int"), 10).orderBy("part").collect()
