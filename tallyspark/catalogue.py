@@ -771,7 +771,7 @@ def _law_lines(spark: SparkSession, d: str) -> DataFrame:
 def _law_metadata_rows(spark: SparkSession, d: str) -> DataFrame:
     law = F.element_at(F.array(*[F.lit(x) for x in docs.LAW_NAMES]), (F.col("doc_id") % 6 + 1).cast("int"))
     name = F.element_at(F.create_map(*[F.lit(x) for pair in docs.LAW_NAMES.items() for x in pair]), law)
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("law_"), law, F.lit("_"), "doc_id").alias("document_id"), law.alias("law_no"), F.concat(law, F.lit(" Sayılı "), name).alias("official_name"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("law_"), law, F.lit("_"), "doc_id").alias("document_id"), law.alias("law_no"), name.alias("law_name"), F.concat(law, F.lit(" Sayılı "), name).alias("official_name"), F.concat(F.lit("kanun_"), law, F.lit(".pdf")).alias("source_file"))
 
 
 _TOK = r"'[\pL\pN\pM_]+|[^\pL\pN\pM_\s]'"
@@ -785,7 +785,7 @@ _LAW_NAME_SQL = "[" + ", ".join(f"'{v}'" for v in docs.LAW_NAMES.values()) + "]"
 _ORD_SQL = "[" + ", ".join(f"'{x}'" for x in _ORD) + "]"
 _LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BODY} AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, unnest(range(1, len(s) + 1)) AS u(k) WHERE {_BODY} <> ''),
   a AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, body FROM l),
-  m AS MATERIALIZED (SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, concat(['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1], ' Sayılı ', {_LAW_NAME_SQL}[doc_id % 6 + 1]) AS official_name FROM documents),
+  m AS MATERIALIZED (SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, concat(['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1], ' Sayılı ', {_LAW_NAME_SQL}[doc_id % 6 + 1]) AS official_name, {_LAW_NAME_SQL}[doc_id % 6 + 1] AS law_name FROM documents),
   x AS MATERIALIZED (SELECT a.doc_id, k, concat('Kanun: ', official_name, chr(10), 'Kanun No: ', law_no) AS law, m.law_no, CAST(k AS VARCHAR) AS no, CASE WHEN doc_id % 9 <> 4 THEN concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') END AS ch, CASE WHEN doc_id % 9 <> 4 THEN concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') END AS se,
     CASE WHEN k % 2 = 0 THEN concat('Konu ', k) END AS title, concat(CASE k % 5 WHEN 0 THEN 'GEÇİCİ MADDE' WHEN 1 THEN 'MÜKERRER MADDE' WHEN 2 THEN 'EK MADDE' ELSE 'MADDE' END, ' ', k, ' - ', body) AS text, CAST(((k - 1) * 4 + 3) // 40 + 1 AS INTEGER) AS page FROM a JOIN m USING (doc_id) WHERE doc_id % 9 <> 4 OR k = 1),
   many AS MATERIALIZED (SELECT doc_id FROM x GROUP BY 1 HAVING count(*) >= 2),
@@ -795,24 +795,28 @@ _LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BO
     UNION ALL SELECT z.doc_id, z.k, CASE WHEN fits THEN r.pack ELSE r.pack + 1 END, CASE WHEN z.alone > {_LAW_TARGET} THEN NULL WHEN fits THEN list_distinct(list_append(r.chs, z.ch)) ELSE [z.ch] END, CASE WHEN fits THEN list_distinct(list_append(r.ses, z.se)) ELSE [z.se] END, CASE WHEN fits THEN r.n + 1 ELSE 1 END, CASE WHEN fits THEN r.body + z.n_text ELSE z.n_text END
     FROM r JOIN z ON z.doc_id = r.doc_id AND z.k = r.k + 1, LATERAL (SELECT z.alone <= {_LAW_TARGET} AND r.chs IS NOT NULL AND z.n_law + 3 * len(list_distinct(list_append(r.chs, z.ch))) + 1 + 3 * len(list_distinct(list_append(r.ses, z.se))) + 1 + 2 + 2 * (r.n + 1) - 1 + r.body + z.n_text <= {_LAW_TARGET} AS fits) f),
   g AS MATERIALIZED (SELECT z.doc_id, r.pack, count(*) AS n, min(z.alone) AS alone, min(z.law_no) AS law_no, min(z.law) AS law, arg_min(z.head, z.k) AS head, string_agg(DISTINCT z.ch, ' / ' ORDER BY z.ch) AS chs, string_agg(DISTINCT z.se, ' / ' ORDER BY z.se) AS ses, string_agg(z.no, ', ' ORDER BY z.k) AS nos, string_agg(z.text, chr(10) || chr(10) ORDER BY z.k) AS body,
-      min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b FROM r JOIN z USING (doc_id, k) WHERE alone <= {_LAW_MODEL} GROUP BY 1, 2),
-  w AS MATERIALIZED (SELECT z.doc_id, r.pack, law_no, no, head, page, regexp_extract_all(text, {_TOK}) AS t, greatest(128, greatest(256, {_LAW_MODEL} - (alone - n_text + 6) - 32) - 200) AS room FROM r JOIN z USING (doc_id, k) WHERE alone > {_LAW_MODEL}),
-  e AS MATERIALIZED (SELECT doc_id, pack, 0 AS part, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END AS middle, CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, law_no, nos, page_start, page_end,
+      min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b, max(z.title) AS title, arg_min(z.ch, z.k) AS ch, arg_min(z.se, z.k) AS se FROM r JOIN z USING (doc_id, k) WHERE alone <= {_LAW_MODEL} GROUP BY 1, 2),
+  w AS MATERIALIZED (SELECT z.doc_id, r.pack, law_no, no, head, page, title, ch, se, regexp_extract_all(text, {_TOK}) AS t, greatest(128, greatest(256, {_LAW_MODEL} - (alone - n_text + 6) - 32) - 200) AS room FROM r JOIN z USING (doc_id, k) WHERE alone > {_LAW_MODEL}),
+  e AS MATERIALIZED (SELECT doc_id, pack, 0 AS part, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END AS middle, CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, law_no, nos, a, b, CASE WHEN n = 1 THEN title END AS title, ch, se, NULL AS parts, page_start, page_end,
       CASE WHEN n = 1 THEN head ELSE concat(law, chr(10), 'Kısım: ', chs, chr(10), 'Bölüm: ', ses, chr(10), 'Maddeler: ', nos) END || chr(10) || chr(10) || body AS text FROM g
-    UNION ALL SELECT doc_id, pack, p, concat('_article_', no, '_part_', p), 'article_part', law_no, no, page, page, concat(head, chr(10), 'Madde Parçası: ', p, '/', (len(t) - 1) // room + 1, chr(10), chr(10),
+    UNION ALL SELECT doc_id, pack, p, concat('_article_', no, '_part_', p), 'article_part', law_no, no, no, no, title, ch, se, (len(t) - 1) // room + 1, page, page, concat(head, chr(10), 'Madde Parçası: ', p, '/', (len(t) - 1) // room + 1, chr(10), chr(10),
       CASE WHEN p > 1 THEN array_to_string(t[greatest((p - 2) * room, (p - 1) * room - 200) + 1 : (p - 1) * room], ' ') || chr(10) || chr(10) ELSE '' END, array_to_string(t[(p - 1) * room + 1 : p * room], ' ')) FROM w, unnest(range(1, CAST((len(t) - 1) // room + 2 AS BIGINT))) AS q(p)),
   c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pack, part) AS chunk_index FROM e)"""
-_ARTICLE_CHUNK_SQL = f"""SELECT doc_id, concat('law_', law_no, '_', doc_id, middle, '_chunk_', chunk_index) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_type, replace(nos, ', ', ',') AS included_articles, page_start, page_end, CAST({_n("text")} AS INTEGER) AS token_count, sha256(text) AS text_sha256 FROM c"""
+_ARTICLE_CHUNK_SQL = f"""SELECT doc_id, concat('law_', c.law_no, '_', doc_id, middle, '_chunk_', chunk_index) AS id, CAST(chunk_index AS INTEGER) AS chunk_index, chunk_type, replace(nos, ', ', ',') AS included_articles, concat('|', replace(nos, ', ', '|'), '|') AS included_articles_padded, page_start, page_end,
+  CAST({_n("text")} AS INTEGER) AS token_count, sha256(text) AS text_sha256, 'law' AS document_type, c.law_no, law_name, official_name, concat('kanun_', c.law_no, '.pdf') AS source_file, CASE WHEN nos NOT LIKE '%,%' THEN a END AS article_no, title AS article_title, a AS start_article, b AS end_article,
+  part > 0 AS is_article_split, CAST(nullif(part, 0) AS INTEGER) AS article_part, CAST(parts AS INTEGER) AS article_part_total, ch AS chapter_name, se AS section_name FROM c JOIN m USING (doc_id)"""
 # documents with fewer than two articles: their lines, with headings, as overlapping parts below the source
 _FALLBACK_DOCS = ", " + _overlap_sql(f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, CAST((pos - 1) // 40 + 1 AS INTEGER) AS page, line, lim FROM (
     SELECT a.doc_id, (k - 1) * 4 + j AS pos, CASE j WHEN 1 THEN concat({_ORD_SQL}[(k - 1) // 7 % 3 + 1], ' KISIM') WHEN 2 THEN concat({_ORD_SQL}[(k - 1) // 3 % 3 + 1], ' BÖLÜM') ELSE CASE WHEN k = 1 THEN concat('MÜKERRER MADDE 1 - ', body) ELSE body END END AS line, {_LAW_TARGET} - 8 - {_n("concat('Kaynak: ', official_name, ' Kanun No: ', law_no)")} AS lim
     FROM a JOIN m USING (doc_id), unnest([1, 2, 4]) AS y(j) WHERE doc_id NOT IN (SELECT doc_id FROM many) AND (j = 4 OR doc_id % 9 <> 4)) lines""", docs.LINE_OVERLAP)
-_DOCUMENT_CHUNK_SQL = f"""SELECT * FROM ({_ARTICLE_CHUNK_SQL}) x UNION ALL SELECT doc_id, concat('law_', law_no, '_', doc_id, '_fallback_chunk_', chunk) AS id, CAST(chunk AS INTEGER) AS chunk_index, 'fallback_text_chunk' AS chunk_type, '' AS included_articles, page_start, page_end,
-  CAST({_n("concat('Kaynak: ', official_name, ' Kanun No: ', law_no, ' ', body)")} AS INTEGER) AS token_count, sha256(concat('Kaynak: ', official_name, chr(10), 'Kanun No: ', law_no, chr(10), chr(10), body)) AS text_sha256 FROM parts JOIN m USING (doc_id)"""
+_DOCUMENT_CHUNK_SQL = f"""SELECT * FROM ({_ARTICLE_CHUNK_SQL}) x UNION ALL SELECT doc_id, concat('law_', law_no, '_', doc_id, '_fallback_chunk_', chunk) AS id, CAST(chunk AS INTEGER) AS chunk_index, 'fallback_text_chunk' AS chunk_type, '' AS included_articles, '' AS included_articles_padded, page_start, page_end,
+  CAST({_n("concat('Kaynak: ', official_name, ' Kanun No: ', law_no, ' ', body)")} AS INTEGER) AS token_count, sha256(concat('Kaynak: ', official_name, chr(10), 'Kanun No: ', law_no, chr(10), chr(10), body)) AS text_sha256,
+  'law' AS document_type, law_no, law_name, official_name, concat('kanun_', law_no, '.pdf') AS source_file, NULL, NULL, NULL, NULL, false, NULL, NULL, NULL, NULL FROM parts JOIN m USING (doc_id)"""
 
 
 def _digest(chunks: DataFrame) -> DataFrame:
-    return chunks.select("doc_id", "id", "chunk_index", "chunk_type", "included_articles", "page_start", "page_end", "token_count", F.sha2("text", 256).alias("text_sha256"))
+    """All columns of chunk rows but the document's id, which their own holds, and a hash for the text."""
+    return chunks.select(*[c for c in chunks.columns if c not in ("document_id", "source_url", "text")], F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("q76c_chunk_rows", sql=_LAW_DOCS + _ARTICLE_CHUNK_SQL)

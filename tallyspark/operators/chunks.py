@@ -114,21 +114,35 @@ def head(text: Column, limit: Column) -> Column:
     return F.when(X.token_count(text) > limit, F.array_join(F.slice(X.tokens(text), F.lit(1), limit.cast("int")), " ")).otherwise(text)
 
 
-_COLUMNS = ["doc_id", "id", "chunk_index", "chunk_type", "included_articles", "included_articles_padded", "start_article", "end_article", "article_part", "article_part_total", "chapter_name", "section_name", "page_start", "page_end", "token_count", "text"]
+#: What metadata may say of a document besides its id, law number and official name.
+OPTIONAL = ("document_type", "law_name", "source_file", "source_url")
+# Types of documents.
+LAW_TYPE, UNKNOWN_TYPE, NOTE_TYPE = "law", "unknown", "standard_or_note"
+_ABOUT = ["document_id", "document_type", "law_no", "law_name", "official_name", "source_file", "source_url"]
+_COLUMNS = [
+    "doc_id", "id", *_ABOUT, "chunk_index", "chunk_type", "article_no", "article_title", "included_articles", "included_articles_padded", "start_article", "end_article",
+    "is_article_split", "article_part", "article_part_total", "chapter_name", "section_name", "page_start", "page_end", "token_count", "text",
+]
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Rows of metadata with all columns that chunks name; a document with a law number is a law unless its type is given."""
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in rows.columns})
+    return rows.withColumn("document_type", F.coalesce("document_type", F.when(F.col("law_no").isNotNull(), LAW_TYPE).otherwise(UNKNOWN_TYPE)))
 
 
 def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model: int = docs.MODEL_TOKENS, overlap: int = docs.SPLIT_OVERLAP) -> DataFrame:
-    """Chunk rows of ``articles`` (documents.articles with document_id, law_no and official_name): text with header, id and metadata.
+    """Chunk rows of ``articles`` (documents.articles with document_id, law_no and official_name, and what else metadata says): text with header, id and metadata.
 
     Articles go together while they fit ``target``; a longer one stands alone, and one
     beyond ``model`` is split. Numbers run through a document.
     """
-    sizes = written(measured(articles, target, model))
+    sizes = written(measured(described(articles), target, model))
     placed = sizes.join(packed(sizes, target), ["doc_id", "ordinal"])
     whole = placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True)))
     ordered = lambda *names: F.array_sort(F.collect_list(F.struct("ordinal", *names)))
     grouped = whole.groupBy("doc_id", "pack").agg(
-        *[F.min_by(c, "ordinal").alias(c) for c in ("document_id", "law_no", "official_name", "article_title", "own_kind")],
+        *[F.min_by(c, "ordinal").alias(c) for c in (*_ABOUT, "article_title", "own_kind")],
         *[F.min_by(c, "ordinal").alias(f"first_{c}") for c in ("chapter_name", "section_name")],
         ordered("article_no", "text").alias("u"),
         F.array_join(F.array_sort(F.collect_set("chapter_name")), " / ").alias("chapters"),
@@ -142,7 +156,7 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     text = F.concat(F.concat_ws("\n", *_law_lines(), _line(CHAPTER, F.col("chapters")), _line(SECTION, F.col("sections")), named), F.lit("\n\n"), body)
     kind = F.coalesce("own_kind", F.when(single, "single_article").otherwise("multi_article"))
     none = F.lit(None).cast("int")
-    chunks = grouped.select("doc_id", "document_id", "pack", kind.alias("chunk_type"), numbers.alias("numbers"), none.alias("article_part"), none.alias("article_part_total"), F.col("first_chapter_name").alias("chapter_name"), F.col("first_section_name").alias("section_name"), "page_start", "page_end", F.trim(text).alias("text"))
+    chunks = grouped.select("doc_id", *_ABOUT, "pack", kind.alias("chunk_type"), numbers.alias("numbers"), F.when(single, F.col("article_title")).alias("article_title"), F.lit(False).alias("is_article_split"), none.alias("article_part"), none.alias("article_part_total"), F.col("first_chapter_name").alias("chapter_name"), F.col("first_section_name").alias("section_name"), "page_start", "page_end", F.trim(text).alias("text"))
 
     part_header = F.concat_ws("\n", *_law_lines(), _line(CHAPTER, F.col("chapter_name")), _line(SECTION, F.col("section_name")), F.concat(F.lit(f"{ARTICLE}: "), "article_no"), _line(TITLE, F.col("article_title")))
     n_header = F.col("n_header") + X.token_count(F.lit(f"{PART}: 1/1"))
@@ -151,34 +165,35 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     over = F.col("n_part_header") + X.token_count(F.col("body")) - model
     trimmed = F.when(over > 0, head(F.col("body"), F.greatest(F.lit(LEAST_PACK), F.col("limit") - over - FREE_FALLBACK))).otherwise(F.col("body"))
     part_text = F.concat("header", F.lit(f"\n{PART}: "), "part", F.lit("/"), "parts", F.lit("\n\n"), trimmed)
-    parts = split.select("doc_id", "document_id", "pack", F.lit("article_part").alias("chunk_type"), F.array("article_no").alias("numbers"), F.col("part").alias("article_part"), F.col("parts").alias("article_part_total"), "chapter_name", "section_name", "page_start", "page_end", F.trim(part_text).alias("text"))
+    parts = split.select("doc_id", *_ABOUT, "pack", F.lit("article_part").alias("chunk_type"), F.array("article_no").alias("numbers"), "article_title", F.lit(True).alias("is_article_split"), F.col("part").alias("article_part"), F.col("parts").alias("article_part_total"), "chapter_name", "section_name", "page_start", "page_end", F.trim(part_text).alias("text"))
 
     every = chunks.unionByName(parts)
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("pack", F.coalesce("article_part", F.lit(0))))
     every = every.select("*", index.alias("chunk_index"), F.element_at("numbers", 1).alias("start_article"), F.element_at("numbers", -1).alias("end_article"))
     middle = F.when(F.col("article_part").isNotNull(), F.concat(F.lit("_article_"), "start_article", F.lit("_part_"), "article_part")).when(F.size("numbers") == 1, F.concat(F.lit("_article_"), "start_article")).otherwise(F.concat(F.lit("_articles_"), "start_article", F.lit("_"), "end_article"))
-    return every.select("*", F.concat("document_id", middle, F.lit("_chunk_"), "chunk_index").alias("id"), F.array_join("numbers", ",").alias("included_articles"), F.concat(F.lit("|"), F.array_join("numbers", "|"), F.lit("|")).alias("included_articles_padded"), X.token_count(F.col("text")).alias("token_count")).select(*_COLUMNS)
+    article_no = F.when(F.size("numbers") == 1, F.col("start_article")).alias("article_no")
+    return every.select("*", article_no, F.concat("document_id", middle, F.lit("_chunk_"), "chunk_index").alias("id"), F.array_join("numbers", ",").alias("included_articles"), F.concat(F.lit("|"), F.array_join("numbers", "|"), F.lit("|")).alias("included_articles_padded"), X.token_count(F.col("text")).alias("token_count")).select(*_COLUMNS)
 
 
 def fallback_chunks(rows: DataFrame, metadata: DataFrame, target: int = docs.TARGET_TOKENS, overlap: int = docs.LINE_OVERLAP) -> DataFrame:
     """Chunk rows of documents without articles, from their body lines: overlapping parts below a source header."""
     header = F.concat_ws("\n", F.concat(F.lit(f"{SOURCE}: "), F.coalesce("official_name", "document_id")), _line(LAW_NO, F.col("law_no")))
-    met = metadata.select("doc_id", "document_id", header.alias("header")).select("*", F.greatest(F.lit(LEAST_FALLBACK), target - X.token_count(F.col("header")) - FREE_FALLBACK).alias("limit"))
+    met = described(metadata).select("doc_id", *_ABOUT, header.alias("header")).select("*", F.greatest(F.lit(LEAST_FALLBACK), target - X.token_count(F.col("header")) - FREE_FALLBACK).alias("limit"))
     body = rows.where(F.col("text").rlike(r"(?U)\S")).join(met.select("doc_id", "limit"), "doc_id").select("doc_id", "page", "line_no", "text", "limit")
     parts = docs.overlapping_parts(body, overlap).withColumnRenamed("chunk", "chunk_index")
-    none = F.lit(None).cast("string")
     out = parts.join(met.drop("limit"), "doc_id").select("*", F.trim(F.concat("header", F.lit("\n\n"), "body")).alias("text"))
-    return out.select(
-        "doc_id", F.concat("document_id", F.lit("_fallback_chunk_"), "chunk_index").alias("id"), "chunk_index", F.lit("fallback_text_chunk").alias("chunk_type"), F.lit("").alias("included_articles"), F.lit("").alias("included_articles_padded"),
-        none.alias("start_article"), none.alias("end_article"), F.lit(None).cast("int").alias("article_part"), F.lit(None).cast("int").alias("article_part_total"), none.alias("chapter_name"), none.alias("section_name"), "page_start", "page_end", X.token_count(F.col("text")).alias("token_count"), "text",
-    ).select(*_COLUMNS)
+    kind = F.when(X.blank_to_null(F.col("law_no")).isNull(), NOTE_TYPE).otherwise(F.col("document_type"))
+    none = {c: F.lit(None).cast("string") for c in ("article_no", "article_title", "start_article", "end_article", "chapter_name", "section_name")}
+    said = {"id": F.concat("document_id", F.lit("_fallback_chunk_"), "chunk_index"), "document_type": kind, "chunk_type": F.lit("fallback_text_chunk"), "included_articles": F.lit(""), "included_articles_padded": F.lit("")}
+    said |= {"is_article_split": F.lit(False), "article_part": F.lit(None).cast("int"), "article_part_total": F.lit(None).cast("int"), "token_count": X.token_count(F.col("text"))}
+    return out.withColumns(none | said).select(*_COLUMNS)
 
 
 def document_chunks(lines: DataFrame, metadata: DataFrame, target: int = docs.TARGET_TOKENS, model: int = docs.MODEL_TOKENS) -> DataFrame:
     """Chunk rows of all documents: by articles where there are two or more, else by lines.
 
     ``lines`` are documents.lines, ``metadata`` has a row per document (doc_id, document_id,
-    law_no, official_name). A document without body lines has no rows; ``document_report``
+    law_no, official_name, and OPTIONAL as known). A document without body lines has no rows; ``document_report``
     lists it.
     """
     body = docs.body_lines(lines)
