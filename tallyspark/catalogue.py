@@ -30,12 +30,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(*names: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        for name in names:
-            QUERIES[name] = f
-            if sql:
-                ORACLE_SQL[name] = sql
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return register
@@ -415,7 +414,7 @@ def top_groups_risk(spark: SparkSession, d: str) -> DataFrame:
     return flt.top_groups(rows, flt.Ranking("risk_score", 5, ("counterparty",), "risk_score")).select("row_id", "counterparty", F.col("amount").cast("double").alias("amount"))
 
 
-@query("q45_multi_sort", "q45_multi_sort_all", sql="SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
+@query("q45_multi_sort", sql="SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority ASC NULLS LAST, o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def multi_sort_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return flt.placed(rows, (("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True))).select("o_orderkey", "place")
@@ -881,13 +880,13 @@ def article_query_parse(spark: SparkSession, d: str) -> DataFrame:
     return asked.select("question", *docs.parse_article_query(F.col("question")))
 
 
-@query("q83_message_history", "q83_message_history_all", sql="SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+@query("q83_message_history", sql="SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
 def message_history_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").orderBy("conv_id", "turn")
     return rows.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("q84_report_list", "q84_report_list_all", sql="SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
+@query("q84_report_list", sql="SELECT conv_id, count(*) AS n_turns, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def report_list_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("turn").alias("last_turn")).orderBy(F.desc("n_turns"), F.desc("conv_id"))
 
@@ -903,13 +902,14 @@ def text_normalise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.match_form(F.col("text")).alias("form"))
 
 
-_AMOUNTS = (("1.234,56 TL", 1234.56, 1234.56), ("50 bin", 50000.0, 50000.0), ("2,5 milyon", 2500000.0, 2500000.0), ("(120,50)", -120.5, 120.5), ("75-", -75.0, 75.0), ("1.5", 1.5, 15.0), ("abc", None, None), ("-3,25", -3.25, 3.25))
-
-
-@query("q87_amount_parse", sql="SELECT given, CAST(parsed AS DOUBLE) AS parsed, CAST(prompt AS DOUBLE) AS prompt FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if a is None else a}, {'NULL' if b is None else b})" for t, a, b in _AMOUNTS) + ") t(given, parsed, prompt)")
+@query("q87_amount_parse", sql="""SELECT o_orderkey, given, CAST(CASE o_orderkey % 8 WHEN 0 THEN p WHEN 1 THEN c * 1000 WHEN 2 THEN c * 1000000 + 500000 WHEN 3 THEN -(c + 0.5) WHEN 4 THEN -c WHEN 5 THEN c + 0.5 WHEN 7 THEN -(c + 0.25) END AS DOUBLE) AS parsed,
+  CAST(CASE o_orderkey % 8 WHEN 0 THEN p WHEN 1 THEN c * 1000 WHEN 2 THEN c * 1000000 + 500000 WHEN 3 THEN c + 0.5 WHEN 4 THEN c WHEN 5 THEN c * 10 + 5 WHEN 7 THEN c + 0.25 END AS DOUBLE) AS prompt FROM (SELECT o_orderkey, o_custkey AS c, CAST(o_totalprice AS DECIMAL(18,2)) AS p,
+  CASE o_orderkey % 8 WHEN 0 THEN concat(translate(format('{:,.2f}', o_totalprice), ',.', '.,'), ' TL') WHEN 1 THEN concat(o_custkey, ' bin') WHEN 2 THEN concat(o_custkey, ',5 milyon') WHEN 3 THEN concat('(', o_custkey, ',50)') WHEN 4 THEN concat(o_custkey, '-') WHEN 5 THEN concat(o_custkey, '.5') WHEN 6 THEN concat('tutar yok: ', o_orderstatus) ELSE concat('-', o_custkey, ',25') END AS given FROM orders) x""")
 def amount_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _, _ in _AMOUNTS], "given string")
-    return rows.select("given", M.parse_amount(F.col("given")).alias("parsed"), M.parse_prompt_money(F.col("given")).alias("prompt"))
+    c = F.col("o_custkey").cast("string")
+    forms = [F.concat(M.display_amount(F.col("o_totalprice").cast(M.MONEY)), F.lit(" TL")), F.concat(c, F.lit(" bin")), F.concat(c, F.lit(",5 milyon")), F.concat(F.lit("("), c, F.lit(",50)")), F.concat(c, F.lit("-")), F.concat(c, F.lit(".5")), F.concat(F.lit("tutar yok: "), "o_orderstatus"), F.concat(F.lit("-"), c, F.lit(",25"))]
+    rows = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("given"))
+    return rows.select("o_orderkey", "given", M.parse_amount(F.col("given")).cast("double").alias("parsed"), M.parse_prompt_money(F.col("given")).cast("double").alias("prompt"))
 
 
 @query("q88_profile_types", sql="SELECT * FROM (SELECT 'event_id' AS column_name, count(*) AS n_rows, count(event_id) AS n_filled, 'number' AS kind FROM events UNION ALL SELECT 'ts', count(*), count(ts), 'date' FROM events UNION ALL SELECT 'user_id', count(*), count(user_id), 'number' FROM events UNION ALL SELECT 'event_type', count(*), count(event_type), 'text' FROM events)")
@@ -928,7 +928,7 @@ def _kv_blocks(rows: DataFrame) -> DataFrame:
     return src.key_value_blocks(rows, "text", "id")
 
 
-@query("q90_kv_blocks", "q90_kv_blocks_all", sql="SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f)")
+@query("q90_kv_blocks", sql="SELECT o_orderkey AS id, CAST(b AS INTEGER) AS block, f AS field, CASE WHEN f = 'tutar' THEN CAST(o_orderkey + b AS VARCHAR) ELSE o_orderpriority END AS value FROM orders, unnest([0, 1]) x(b), unnest(['tutar', 'oncelik']) y(f)")
 def kv_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     return _kv_blocks(table(spark, d, "orders"))
 
@@ -938,7 +938,7 @@ def _delimited(rows: DataFrame) -> DataFrame:
     return src.delimited(rows, "text", "id")
 
 
-@query("q91_delimited", "q91_delimited_all", sql="SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f)")
+@query("q91_delimited", sql="SELECT o_orderkey AS id, 0 AS row, f AS field, CASE f WHEN 'tarih' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'tutar' THEN CAST(o_custkey AS VARCHAR) ELSE o_orderstatus END AS value FROM orders, unnest(['tarih', 'tutar', 'durum']) y(f)")
 def delimited_all(spark: SparkSession, d: str) -> DataFrame:
     return _delimited(table(spark, d, "orders"))
 
@@ -949,7 +949,7 @@ def _json_records(rows: DataFrame) -> DataFrame:
     return src.json_records(rows, "text", "id").select("id", "record", F.col("fields").getItem("tutar").alias("amount"))
 
 
-@query("q91b_json_records", "q91b_json_records_all", sql="SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r)")
+@query("q91b_json_records", sql="SELECT o_orderkey AS id, CAST(r AS INTEGER) AS record, CAST(o_custkey + r AS VARCHAR) AS amount FROM orders, unnest([0, 1]) x(r)")
 def json_records_all(spark: SparkSession, d: str) -> DataFrame:
     return _json_records(table(spark, d, "orders"))
 
@@ -961,7 +961,7 @@ def _alias_mapping(rows: DataFrame) -> DataFrame:
     return out.select(F.col("l_orderkey").alias("id"), F.col("date").cast("timestamp_ntz").alias("date"), F.col("amount").cast("double").alias("amount"), "counterparty", "direction")
 
 
-@query("q92_alias_mapping", "q92_alias_mapping_all", sql="SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem")
+@query("q92_alias_mapping", sql="SELECT l_orderkey AS id, CAST(l_shipdate AS TIMESTAMP) AS date, CAST(l_extendedprice AS DOUBLE) AS amount, CAST(l_suppkey AS VARCHAR) AS counterparty, lower(l_returnflag) AS direction FROM lineitem")
 def alias_mapping_all(spark: SparkSession, d: str) -> DataFrame:
     return _alias_mapping(table(spark, d, "lineitem"))
 
@@ -1000,7 +1000,7 @@ def _prompt_amounts(rows: DataFrame) -> DataFrame:
     return src.month_amounts(rows, "text", "id")
 
 
-@query("q97_prompt_amounts", "q97_prompt_amounts_all", sql="SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction)")
+@query("q97_prompt_amounts", sql="SELECT o_orderkey AS id, 'ocak' AS period, direction, CAST(CASE direction WHEN 'income' THEN o_custkey * 1000 ELSE 1200.5 END AS DOUBLE) AS amount FROM orders, unnest(['income', 'expense']) x(direction)")
 def prompt_amounts_all(spark: SparkSession, d: str) -> DataFrame:
     return _prompt_amounts(table(spark, d, "orders"))
 
@@ -1017,7 +1017,7 @@ def _law_metadata(rows: DataFrame) -> DataFrame:
     return laws.law_metadata(pages).select("doc_id", "law_no", "law_name")
 
 
-@query("q99_law_metadata", "q99_law_metadata_all", sql="SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents".replace("Iş", "İş"))
+@query("q99_law_metadata", sql="SELECT doc_id, ['193', '213', '3065', '5237', '5510', '6102'][doc_id % 6 + 1] AS law_no, CASE WHEN doc_id % 2 = 0 THEN 'Iş Kanunu' ELSE ['Gelir Vergisi Kanunu', 'Vergi Usul Kanunu', 'Katma Değer Vergisi Kanunu', 'Türk Ceza Kanunu', 'Sosyal Sigortalar ve Genel Sağlık Sigortası Kanunu', 'Türk Ticaret Kanunu'][doc_id % 6 + 1] END AS law_name FROM documents".replace("Iş", "İş"))
 def law_metadata_all(spark: SparkSession, d: str) -> DataFrame:
     return _law_metadata(table(spark, d, "documents"))
 

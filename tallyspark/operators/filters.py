@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as X
 from ..session import DEFAULTS, Settings
+from ..sources.scratch import written
 from .reports import row_risk
 
 
@@ -177,9 +177,26 @@ def multi_sort(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:
 
 
 def placed(df: DataFrame, sorts: tuple[tuple[str, bool], ...]) -> DataFrame:
-    """Every row with its ``place`` in that order, from 1: sorted by ranges, which are counted and then numbered each."""
-    found = multi_sort(df, sorts).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(found, StructType([*df.schema.fields, StructField("place", LongType(), False)]))
+    """Every row with its ``place`` in that order, from 1; equal rows in any order.
+
+    Spark's range partitioner cuts the order into ranges from a sketch of the keys, a task
+    sorts and numbers each, and the written ranges' counts, one row each, give where a
+    range's numbers begin. Rows that tie are cut by a hash of all their columns, so that many
+    of them don't meet in one range.
+    """
+    spark = df.sparkSession
+    order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in sorts]
+    plain = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    order += [F.xxhash64(*[F.col(f"`{c}`") for c in plain])] if plain else []
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a partition's number is in the upper bits of these ids, the row's within it in the lower 33
+    cut = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("_id"))
+    rows = written(cut).select("*", F.shiftright("_id", 33).alias("_range"))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.select("_range", before.alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(F.broadcast(begins), "_range").select(*[F.col(f"`{c}`") for c in df.columns], place.alias("place"))
 
 
 def legacy_predicate(field_: str, values: tuple[str, ...], day_field: str, start: date | None, end: date | None) -> Column:

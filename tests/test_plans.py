@@ -9,14 +9,12 @@ import pytest
 from tallyspark.catalogue import QUERIES
 from tallyspark.plans.facts import fact
 
-PYTHON = {"q76_chunks_overlap", "q76d_document_pipeline", "q76e_document_report"}
-
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_on_the_main_path(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     assert not re.search("EvalPython|MapInPandas|MapInArrow|FlatMapGroupsIn|CartesianProduct", text)
