@@ -871,15 +871,6 @@ def filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     return docs.nearest_vectors(rows.where("label = 4"), rows.where("vec_id = 3"), 5)
 
 
-_QUESTIONS = (("VUK 359. maddeyi getir", None, "VERGI USUL KANUNU", "359"), ("6102 sayili kanunun 64. maddesi", "6102", "6102", "64"), ("Türk Ceza Kanunu madde 53 nedir", None, "TURK CEZA KANUNU", "53"), ("kdv orani nedir", None, "", None))
-
-
-@query("q82_article_query_parse", sql="SELECT * FROM (VALUES " + ", ".join(f"('{q}', {f'{n!r}' if n else 'NULL'}, '{w}', {f'{a!r}' if a else 'NULL'})" for q, n, w, a in _QUESTIONS) + ") t(question, law_no, law_name, article_no)")
-def article_query_parse(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(q[0],) for q in _QUESTIONS], "question string")
-    return asked.select("question", *docs.parse_article_query(F.col("question")))
-
-
 @query("q83_message_history", sql="SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
 def message_history_all(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").orderBy("conv_id", "turn")
@@ -1094,4 +1085,4 @@ def article_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # These modules register more queries here.
-from . import catalogue_sources  # noqa: E402, F401
+from . import catalogue_retrieval, catalogue_sources  # noqa: E402, F401

@@ -39,7 +39,7 @@ def law_metadata(pages: DataFrame) -> DataFrame:
 
 
 def retrieve(chunks: DataFrame, law_no: str | None, law: str | None, article_no: str | None, query: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """The first strategy with rows: the exact article, chunks that include it, vectors of that law, all vectors."""
+    """One question's first strategy with rows: the exact article, chunks that include it, vectors of that law, all vectors; ``retrieval.answers`` takes many."""
     if article_no:
         for name, found in (("exact_metadata", exact_articles(chunks, law_no, law, article_no)), ("metadata_filter", included_articles(chunks, law_no or "", article_no))):
             if not found.isEmpty():
