@@ -65,34 +65,64 @@ def is_title(c: Column) -> Column:
     return F.length(bare).between(3, 140) & ~blocked & (t.endswith(":") | short)
 
 
+#: Lines of a page that one block holds, if pages are that long.
+BLOCK_LINES = 1 << 11
+_BLOCK = ("doc_id", "page", "_block")
+
+
 def article_lines(rows: DataFrame, article: str = ARTICLE, chapter: str = CHAPTER, section: str = SECTION, titles: bool = True, heading_chars: int = 60) -> DataFrame:
-    """Each body line with its article's ordinal, number, title, chapter and section, carried forward by windows.
+    """Each body line with its article's ordinal, number, title, chapter and section, carried forward.
 
     A title line belongs to the article below it, not to the one above. Lines before the
-    first article have ordinal 0 and no number. A cleaned line longer than
-    ``heading_chars`` is no heading of a chapter or section.
+    first article have ordinal 0 and no number; an article keeps the chapter and section that
+    it began in. A cleaned line longer than ``heading_chars`` is no heading of a chapter or section.
+
+    A scan in segments: lines are sorted within blocks (a page, or BLOCK_LINES of it), which
+    say what they last saw; these few rows are scanned along their document, and what comes
+    into a block is joined to its lines. So a document's texts are spread over tasks.
     """
-    doc = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    upto = doc.rowsBetween(Window.unboundedPreceding, 0)
     found = lambda p, g: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
     short = lambda c: F.when(F.length("text") <= heading_chars, c)
-    out = rows.select("*", short(found(chapter, 1)).alias("chapter_here"), short(found(section, 1)).alias("section_here"), found(article, 2).alias("no_here"), found(article, 1).alias("prefix_here"))
-    out = out.select("*", F.coalesce("chapter_here", "section_here").isNotNull().alias("heading"))
-    out = out.select("*", (F.col("no_here").isNotNull() & ~F.col("heading")).alias("starts"))
-    before = F.lag("text").over(doc)
-    plain_before = ~F.coalesce(F.lag("heading").over(doc) | F.lag("starts").over(doc), F.lit(True))
-    title = F.when(F.col("starts") & is_title(before) & plain_before, F.trim(F.regexp_replace(before, ":+$", ""))) if titles else F.lit(None).cast("string")
-    out = out.withColumn("title_here", title).withColumn("is_title", F.coalesce(F.lead("title_here").over(doc).isNotNull(), F.lit(False)))
-    carried = [("chapter_here", "chapter_name"), ("section_here", "section_name")]
-    for here, name in carried:
-        out = out.withColumn(name, F.last(here, ignorenulls=True).over(upto))
-    out = out.withColumn("ordinal", F.sum(F.col("starts").cast("int")).over(upto))
-    article_rows = Window.partitionBy("doc_id", "ordinal").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    for here, name in (("no_here", "article_no"), ("title_here", "article_title"), ("prefix_here", "prefix")):
-        out = out.withColumn(name, F.first(F.when(F.col("starts"), F.col(here)), ignorenulls=True).over(article_rows))
-    for name in ("chapter_name", "section_name"):
-        out = out.withColumn(name, F.when(F.col("ordinal") > 0, F.first(name).over(article_rows)).otherwise(F.col(name)))
-    return out.where(~F.col("heading") & ~F.col("is_title"))
+    out = rows.select("*", F.floor(F.col("line_no") / BLOCK_LINES).alias("_block"), short(found(chapter, 1)).alias("_chapter"), short(found(section, 1)).alias("_section"), found(article, 2).alias("_no"), found(article, 1).alias("_prefix"))
+    out = out.withColumn("_heading", F.coalesce("_chapter", "_section").isNotNull())
+    out = out.withColumn("_starts", F.col("_no").isNotNull() & ~F.col("_heading"))
+    said = F.when(~F.col("_heading") & ~F.col("_starts") & is_title(F.col("text")), F.trim(F.regexp_replace(F.trim("text"), ":+$", ""))) if titles else F.lit(None).cast("string")
+    out = out.withColumn("_said", said)
+
+    block = Window.partitionBy(*_BLOCK).orderBy("line_no")
+    upto = block.rowsBetween(Window.unboundedPreceding, 0)
+    seen = lambda c: F.last(c, ignorenulls=True).over(upto)
+    out = out.select("*", F.row_number().over(block).alias("_at"), F.lead("_starts").over(block).alias("_before_start"), F.lag("_said").over(block).alias("_title"), seen("_chapter").alias("_chapter_seen"), seen("_section").alias("_section_seen"), F.sum(F.col("_starts").cast("int")).over(upto).alias("_n"))
+    begun = F.struct(F.col("_no").alias("no"), F.col("_prefix").alias("prefix"), F.col("_title").alias("title"), F.col("_chapter_seen").alias("chapter"), F.col("_section_seen").alias("section"), (F.col("_at") == 1).alias("first"))
+    out = out.withColumn("_article", seen(F.when(F.col("_starts"), begun)))
+
+    last = lambda c, name: F.max_by(c, "_at").alias(name)
+    edges = out.groupBy(*_BLOCK).agg(last("_chapter_seen", "chapter"), last("_section_seen", "section"), last("_n", "n"), last("_said", "said"), last("_article", "article"), F.min_by("_starts", "_at").alias("starts"))
+    doc = Window.partitionBy("doc_id").orderBy("page", "_block")
+    past = doc.rowsBetween(Window.unboundedPreceding, -1)
+    come = lambda c: F.last(c, ignorenulls=True).over(past)
+    edges = edges.select("*", come("chapter").alias("_chapter_in"), come("section").alias("_section_in"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_n_in"), F.lag("said").over(doc).alias("_said_in"), F.lead("starts").over(doc).alias("_starts_out"))
+    edges = edges.withColumn("_article_in", come(F.when(F.col("article").isNotNull(), _whole(F.col("article")))))
+
+    # a line's article began in its block, or came into it
+    whole = F.when(F.col("_article").isNotNull(), _whole(F.col("_article"))).otherwise(F.col("_article_in"))
+    placed = out.join(edges.select(*_BLOCK, "_chapter_in", "_section_in", "_n_in", "_said_in", "_starts_out", "_article_in"), list(_BLOCK)).withColumn("_own", whole)
+    above = F.coalesce("_before_start", "_starts_out", F.lit(False)) & F.col("_said").isNotNull()
+    placed = placed.where(~F.col("_heading") & ~above)
+    ordinal = F.col("_n_in") + F.col("_n")
+    kept = lambda own, seen_, come_: F.when(ordinal > 0, F.col(f"_own.{own}")).otherwise(F.coalesce(seen_, come_))
+    return placed.select(
+        *rows.columns, ordinal.alias("ordinal"), F.col("_own.no").alias("article_no"), F.col("_own.title").alias("article_title"), F.col("_own.prefix").alias("prefix"),
+        kept("chapter", "_chapter_seen", "_chapter_in").alias("chapter_name"), kept("section", "_section_seen", "_section_in").alias("section_name"),
+    )
+
+
+def _whole(begun: Column) -> Column:
+    """An article as it began in a block, completed by what came into the block."""
+    return F.struct(
+        begun["no"].alias("no"), begun["prefix"].alias("prefix"), F.when(begun["first"], F.col("_said_in")).otherwise(begun["title"]).alias("title"),
+        F.coalesce(begun["chapter"], F.col("_chapter_in")).alias("chapter"), F.coalesce(begun["section"], F.col("_section_in")).alias("section"),
+    )
 
 
 def articles(placed: DataFrame) -> DataFrame:
