@@ -796,7 +796,7 @@ _LAW_DOCS = rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, k AS pos, {_BO
   g AS MATERIALIZED (SELECT z.doc_id, r.pack, count(*) AS n, min(z.alone) AS alone, min(z.law_no) AS law_no, min(z.law) AS law, arg_min(z.head, z.k) AS head, string_agg(DISTINCT z.ch, ' / ' ORDER BY z.ch) AS chs, string_agg(DISTINCT z.se, ' / ' ORDER BY z.se) AS ses, string_agg(z.no, ', ' ORDER BY z.k) AS nos, string_agg(z.text, chr(10) || chr(10) ORDER BY z.k) AS body,
       min(z.page) AS page_start, max(z.page) AS page_end, arg_min(z.no, z.k) AS a, arg_max(z.no, z.k) AS b, max(z.title) AS title, arg_min(z.ch, z.k) AS ch, arg_min(z.se, z.k) AS se FROM r JOIN z USING (doc_id, k) WHERE alone <= {_LAW_MODEL} GROUP BY 1, 2),
   w AS MATERIALIZED (SELECT z.doc_id, r.pack, law_no, no, head, page, title, ch, se, regexp_extract_all(text, {_TOK}) AS t, greatest(128, greatest(256, {_LAW_MODEL} - (alone - n_text + 6) - 32) - 200) AS room FROM r JOIN z USING (doc_id, k) WHERE alone > {_LAW_MODEL}),
-  e AS MATERIALIZED (SELECT doc_id, pack, 0 AS part, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END AS middle, CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, law_no, nos, a, b, CASE WHEN n = 1 THEN title END AS title, ch, se, NULL AS parts, page_start, page_end,
+  e AS MATERIALIZED (SELECT doc_id, pack, 0 AS part, CASE WHEN n = 1 THEN concat('_article_', a) ELSE concat('_articles_', a, '_', b) END AS middle, CASE WHEN n = 1 AND alone > {_LAW_TARGET} THEN 'single_article_long' WHEN n = 1 THEN 'single_article' ELSE 'multi_article' END AS chunk_type, law_no, nos, a, b, CASE WHEN n = 1 THEN title END AS title, ch, se, CAST(NULL AS BIGINT) AS parts, page_start, page_end,
       CASE WHEN n = 1 THEN head ELSE concat(law, chr(10), 'Kısım: ', chs, chr(10), 'Bölüm: ', ses, chr(10), 'Maddeler: ', nos) END || chr(10) || chr(10) || body AS text FROM g
     UNION ALL SELECT doc_id, pack, p, concat('_article_', no, '_part_', p), 'article_part', law_no, no, no, no, title, ch, se, (len(t) - 1) // room + 1, page, page, concat(head, chr(10), 'Madde Parçası: ', p, '/', (len(t) - 1) // room + 1, chr(10), chr(10),
       CASE WHEN p > 1 THEN array_to_string(t[greatest((p - 2) * room, (p - 1) * room - 200) + 1 : (p - 1) * room], ' ') || chr(10) || chr(10) ELSE '' END, array_to_string(t[(p - 1) * room + 1 : p * room], ' ')) FROM w, unnest(range(1, CAST((len(t) - 1) // room + 2 AS BIGINT))) AS q(p)),
