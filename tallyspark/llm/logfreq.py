@@ -2,26 +2,29 @@
 
 Counts of word unigrams and bigrams are gathered over all training texts by a shuffle;
 tasks merge what they have counted before they pass it on. A count is quantised to a
-level, the power of two below or above, by a coin that the n-gram's hash throws, so
-that quantised counts are right on average. The filter then holds
-the items (n-gram, 1) ... (n-gram, level). It is built shard by shard on the executors, and
-a reader recovers a level by probing for 1, 2, ... until a probe fails. The filter answers
-too high at times, never too low; no n-gram is left out of it.
+level: itself up to EXACT, beyond that the nearest of STEPS levels for each doubling, so it
+is off by half of 1/STEPS of a doubling at most (1.1 %), and a larger count never has the
+lower level. The filter then holds the items (n-gram, 1) ... (n-gram, level). It is built
+shard by shard on the executors, and a reader recovers a level by repeated membership
+probes: for 1, 2, 4, ... until one fails, then between the last two by halving; what a probe
+claims is confirmed on the two levels below it. The filter answers too high at times, never
+too low; no n-gram is left out of it. Most n-grams are rare and pay for few levels.
 
 Its size follows the corpus: at least BITS_EACH bits an item, so that with PROBES probes at
-most 40% of the bits are set and an item not held is found in at most 2.5% of the lookups.
-The items are foretold from all n-grams of a hash class (one of CLASSES) and counted when
-the filter is built; where they are more than foretold, it is built again. It consists of
-groups of shards with ``filter_bytes`` each, which bounds what is broadcast. One group is
-looked up while scoring. With more, each is broadcast in a pass of its own that notes the
-levels of its n-grams beside the text, and scores follow from the levels. Passes over the
-corpus hence grow with its distinct n-grams. The fill is logged.
-
-P(w | v) = (c(v w) + prior * P(w)) / (C(v) + prior), P(w) = (c(w) + 0.5) / (M + 0.5 (V + 1)).
-c is read from the filter, M is the sum of all c(w); C, the exact count of v, comes with the
-counts of the base score below. As c(v w) sums to C(v) over all w on average, P sums to 1
-on average over contexts; in a single one it is off by the rounding of its leading
-continuations, and in all by what the filter answers too high.
+most 40% of the bits are set and an item not held is found in at most 2.5% of the lookups
+(scores hence change a little with ``filter_bytes``, within that rate). The items are
+foretold from all n-grams of a hash class (one of CLASSES) and counted when the filter is
+built; where they are more than foretold, it is built again. It consists of groups of shards
+with ``filter_bytes`` each, which bounds what a task holds. One group is broadcast and looked
+up while scoring. With more, texts are packed and written, the distinct n-grams of each pack
+go to the tasks that hold their group, and levels come back to the pack: a fixed number of
+shuffles, whatever the number of groups. The fill is logged.
+
+P(w | v) = (min(c(v w), c(v)) + prior * P(w)) / (c(v) + prior), P(w) = (c(w) + 0.5) / M, where
+c is read from the filter and M is the sum of c(w) + 0.5 over all words and an unseen one.
+So no probability exceeds 1, and equal counts give equal ones. As c(v w) sums to the count
+of v over all w, P sums to 1 in each context, up to rounding and to what the filter answers
+too high.
 
 The exact add-half unigram score stands beside it. Words with at least N / ``frequent``
 occurrences number at most ``frequent``, so their counts are broadcast; occurrences of the
@@ -53,9 +56,13 @@ SHARDS = 256
 PROBES = 4
 #: Bits of the filter for each (n-gram, level) held.
 BITS_EACH = 8
-#: The count that stands for a level: the powers of two.
-LEVEL_COUNT = np.array([0.0] + [2.0**k for k in range(41)])
+#: Counts that have a level of their own, and levels for each doubling beyond.
+EXACT, STEPS = 48, 32
+#: The count that stands for a level.
+LEVEL_COUNT = np.concatenate([np.arange(EXACT + 1.0), EXACT * 2.0 ** (np.arange(1, 36 * STEPS + 1) / STEPS)])
 LEVELS = len(LEVEL_COUNT) - 1
+#: Bytes of text that are looked up together where the filter has several groups, hashes that travel in a row, and copies of a group.
+PACK, ASKED, COPIES = 1 << 18, 1 << 14, 8
 #: Distinct n-grams that a task gathers before it passes them on, and tokens that it merges into them at a time.
 GATHERED, MERGED = 3_000_000, 1_000_000
 #: Hash classes of n-grams; one of them foretells how many items there are.
@@ -156,14 +163,11 @@ def _positions(h: np.ndarray, level: int | np.ndarray, probe: int, bits: int) ->
         return (h % np.uint64(SHARDS)) * np.uint64(bits) + ((first + np.uint64(probe) * step) & np.uint64(bits - 1))
 
 
-def quantised(n: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The level of each n-gram: of the two about its count, either so often that the mean is right."""
-    low = np.minimum(np.searchsorted(LEVEL_COUNT, n, "right") - 1, LEVELS)
-    high = np.minimum(low + 1, LEVELS)
-    with np.errstate(over="ignore"):
-        coin = mix(h + np.uint64(0x5851F42D4C957F2D)).astype(np.float64) / 2.0**64
-    gap = LEVEL_COUNT[high] - LEVEL_COUNT[low]
-    return np.where(coin * gap < n - LEVEL_COUNT[low], high, low)
+def quantised(n: np.ndarray) -> np.ndarray:
+    """The level of each count, the nearest by ratio."""
+    n = np.asarray(n, np.float64)
+    far = EXACT + np.rint(STEPS * np.log2(np.maximum(n, EXACT) / EXACT)).astype(np.int64)
+    return np.minimum(np.where(n <= EXACT, n.astype(np.int64), far), LEVELS)
 
 
 def insert(flags: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot: np.ndarray | None = None) -> None:
@@ -171,30 +175,52 @@ def insert(flags: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot:
 
     ``slot``: which of the shards that ``flags`` holds each of ``h`` belongs to, where these aren't all of a group.
     """
+    order = np.argsort(-level, kind="stable")
+    h, level = h[order], level[order]
+    base = None if slot is None else slot[order] * np.uint64(bits)
     for q in range(1, int(level.max(initial=0)) + 1):
-        reached = level >= q
-        keys = h[reached]
-        base = None if slot is None else slot[reached] * np.uint64(bits)
+        reached = np.searchsorted(-level, -q, "right")
         for probe in range(PROBES):
-            at = _positions(keys, q, probe, bits)
+            at = _positions(h[:reached], q, probe, bits)
             if base is not None:
-                at = (at & np.uint64(bits - 1)) + base
+                at = (at & np.uint64(bits - 1)) + base[:reached]
             flags[at.astype(np.int64)] = True
 
 
-def levels_of(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """The level of each n-gram, by membership probes from level 1 up."""
-    level = np.zeros(len(h), np.int64)
+def _held(filter_: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each (n-gram, level) is found in the filter."""
     alive = np.arange(len(h))
-    for q in range(1, LEVELS + 1):
-        for probe in range(PROBES):
-            if not len(alive):
-                return level
-            at = _positions(h[alive], q, probe, bits)
-            hit = (filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-            alive = alive[hit == 1]
-        level[alive] = q
-    return level
+    for probe in range(PROBES):
+        at = _positions(h[alive], level[alive], probe, bits)
+        alive = alive[(filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    found = np.zeros(len(h), bool)
+    found[alive] = True
+    return found
+
+
+def levels_of(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each n-gram, by membership probes: doubled until one fails, then halved between."""
+    low, high = np.zeros(len(h), np.int64), np.full(len(h), LEVELS + 1)
+
+    def probe(at: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Moves the bounds of the n-grams at ``at`` by what the filter says of ``level``; which of them it holds."""
+        held = _held(filter_, h[at], level, bits)
+        for below in (1, 2):
+            sure = np.flatnonzero(held & (level - below > low[at]))
+            held[sure] = _held(filter_, h[at[sure]], level[sure] - below, bits)
+        low[at[held]] = level[held]
+        high[at[~held]] = level[~held]
+        return held
+
+    alive, level = np.arange(len(h)), 1
+    while len(alive) and level <= LEVELS:
+        alive = alive[probe(alive, np.full(len(alive), level))]
+        level *= 2
+    alive = np.flatnonzero(high - low > 1)
+    while len(alive):
+        probe(alive, (low[alive] + high[alive]) // 2)
+        alive = alive[high[alive] - low[alive] > 1]
+    return low
 
 
 def lookup(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -240,7 +266,7 @@ def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame
         slots: dict[int, int] = {}
         items: dict[int, int] = {}
         for h, n in _large(iterator):
-            level = quantised(n, h)
+            level = quantised(n)
             found, at = np.unique(h % np.uint64(SHARDS * groups), return_inverse=True)
             held = np.array([slots.setdefault(k, len(slots)) for k in found.tolist()], np.uint64)
             if len(slots) * bits > len(own):
@@ -257,8 +283,7 @@ def build_slices(counts: DataFrame, filter_bytes: int, groups: int) -> DataFrame
 
 def foretold_items(counts: DataFrame) -> int:
     """About how many items the filter will hold, from counts with bigrams of one class of CLASSES."""
-    low = F.floor(F.log2("n"))
-    level = low + F.col("n") / F.pow(F.lit(2.0), low)
+    level = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + F.rint(STEPS * F.log2(F.col("n") / EXACT)))
     return int(counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == PAIR_KIND, CLASSES * level).otherwise(level)), F.lit(0.0))).first()[0])
 
 
@@ -281,7 +306,7 @@ def quantised_mass(counts: DataFrame) -> float:
 
     def added(iterator):
         for b in batches(iterator, ["h", "n"]):
-            yield pa.RecordBatch.from_arrays([pa.array([LEVEL_COUNT[quantised(b["n"].to_numpy(), b["h"].to_numpy().view(np.uint64))].sum()])], names=["mass"])
+            yield pa.RecordBatch.from_arrays([pa.array([LEVEL_COUNT[quantised(b["n"].to_numpy())].sum()])], names=["mass"])
 
     return counts.select("h", "n").mapInArrow(added, "mass double").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
 
@@ -295,48 +320,167 @@ def group_filter(made: DataFrame, group: int, filter_bytes: int) -> np.ndarray:
     return whole
 
 
-_LEVELS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_()), ("levels", pa.binary())])
+def distinct_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """Tokens, the text number of each, whether it is its text's first, and the distinct hashes of tokens, contexts and bigrams with each one's place among them."""
+    tokens, before, of_text = token_stream(texts)
+    pairs = bigram_hashes(before, tokens)
+    distinct, at = np.unique(np.concatenate([tokens, pairs, np.array([BEGIN])]), return_inverse=True)
+    n = len(tokens)
+    left = np.empty(n, np.int64)
+    left[1:] = at[: n - 1]
+    left[before == BEGIN] = at[-1]
+    return tokens, of_text, distinct, at[:n], left, at[n : 2 * n]
 
 
-def with_levels(rows: DataFrame, made: DataFrame, groups: int, filter_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with ``levels``, two bytes a token (its bigram's level and its own), and the level of BEGIN: a pass for each group."""
-    spark = rows.sparkSession
-    bits = filter_bytes * 8 // SHARDS
-    out = rows.withColumn("levels", F.lit(None).cast("binary"))
-    begin = 0
+_ASK = "pack long, grp int, seq int, body binary"
+_REPLY = pa.schema([("pack", pa.int64()), ("grp", pa.int32()), ("seq", pa.int32()), ("body", pa.binary())])
+
+
+def _asks(distinct: np.ndarray, groups: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, number, places) of a pack's distinct hashes, ASKED at a time; the same for the same hashes."""
+    of = group_of(distinct, groups)
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(groups + 1))
     for group in range(groups):
-        filter_ = group_filter(made, group, filter_bytes)
-        if group_of(np.array([BEGIN]), groups)[0] == group:
-            begin = int(levels_of(filter_, np.array([BEGIN]), bits)[0])
-        sent = spark.sparkContext.broadcast(filter_)
-
-        def note(iterator, sent=sent, group=group):
-            for b in batches(iterator, _LEVELS.names):
-                texts = as_bytes(b["text"])
-                for s in slices(texts, 4 << 20):
-                    tokens, before, of_text = token_stream(texts[s])
-                    known = b["levels"][s].to_pylist()
-                    levels = np.zeros((len(tokens), 2), np.uint8) if known[0] is None else np.frombuffer(b"".join(known), np.uint8).reshape(-1, 2).copy()
-                    for c, h in enumerate((bigram_hashes(before, tokens), tokens)):
-                        at = np.flatnonzero(group_of(h, groups) == group)
-                        found, back = np.unique(h[at], return_inverse=True)
-                        levels[at, c] = levels_of(sent.value, found, bits)[back]
-                    ends = np.searchsorted(of_text, np.arange(s.stop - s.start + 1))
-                    noted = pa.array([levels[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())
-                    yield pa.RecordBatch.from_arrays([b["row_id"][s], b["doc_id"][s], b["text"][s].cast(pa.string()), b["held_out"][s], noted], schema=_LEVELS)
-                    release()
-
-        last, out = out, saved(out.mapInArrow(note, "row_id long, doc_id long, text string, held_out boolean, levels binary"))
-        if group:
-            drop(last)
-        sent.destroy()
-    return out, begin
+        for seq, at in enumerate(range(ends[group], ends[group + 1], ASKED)):
+            yield group, seq, order[at : min(at + ASKED, ends[group + 1])]
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(pack, row_ids, doc_ids, held, texts): rows of about PACK bytes of text together, written once."""
+
+    def pack(iterator):
+        for b in batches(iterator, ["row_id", "doc_id", "text", "held_out"]):
+            texts = as_bytes(b["text"])
+            for s in slices(texts, PACK):
+                ends = pa.array([0, s.stop - s.start], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays([b[c][s]])) for c in ("row_id", "doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([texts[s]], pa.list_(pa.binary()))], names=["row_ids", "doc_ids", "held", "texts"])
+
+    packs = rows.mapInArrow(pack, "row_ids array<long>, doc_ids array<long>, held array<boolean>, texts array<binary>")
+    return saved(packs.select(F.monotonically_increasing_id().alias("pack"), "*"))
+
+
+def pack_levels(packs: DataFrame, made: DataFrame, groups: int, filter_bytes: int) -> DataFrame:
+    """(pack, replies): the levels of each pack's distinct hashes, in the order in which they were asked.
+
+    Asks go to the tasks of their group, COPIES at most; a task reads its group's shards, sorted
+    before the asks, and streams over these. Levels are two bytes.
+    """
+    bits = filter_bytes * 8 // SHARDS
+    each = filter_bytes // SHARDS
+    parts = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = min(COPIES, -(-parts // groups))
+
+    def ask(iterator):
+        for b in batches(iterator, ["pack", "texts"]):
+            for pack, texts in zip(b["pack"].to_pylist(), b["texts"], strict=True):
+                distinct = distinct_hashes(texts.as_py())[2]
+                found = list(_asks(distinct, groups))
+                yield pa.RecordBatch.from_arrays([pa.array([pack] * len(found), pa.int64()), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)), pa.array([distinct[f[2]].tobytes() for f in found], pa.binary())], schema=_REPLY)
+            release()
+
+    def answer(iterator):
+        whole, own = np.zeros(filter_bytes, np.uint8), None
+        for b in batches(iterator, ["grp", "copy", "kind", "pack", "seq", "body"]):
+            keys = list(zip(b["grp"].to_pylist(), b["copy"].to_pylist(), strict=True))
+            out = []
+            for key, kind, pack, seq, body in zip(keys, b["kind"].to_pylist(), b["pack"].to_pylist(), b["seq"].to_pylist(), b["body"], strict=True):
+                if key != own:
+                    own = key
+                    whole[:] = 0
+                if kind == 0:
+                    whole[pack * each : (pack + 1) * each] = np.frombuffer(body.as_buffer(), np.uint8)
+                else:
+                    levels = levels_of(whole, np.frombuffer(body.as_buffer(), np.uint64), bits)
+                    out.append((pack, key[0], seq, levels.astype(np.uint16).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _REPLY, strict=True)], schema=_REPLY)
+
+    asks = packs.select("pack", "texts").mapInArrow(ask, _ASK).select("grp", F.pmod(F.xxhash64("pack"), F.lit(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), "pack", "seq", "body")
+    shards = made.select(F.col("group").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(0).alias("kind"), F.col("k").cast("long").alias("pack"), F.lit(0).alias("seq"), F.col("bits").alias("body"))
+    met = asks.union(shards).repartition(groups * copies, "grp", "copy").sortWithinPartitions("grp", "copy", "kind")
+    return met.mapInArrow(answer, _ASK).groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("grp", "seq", "body"))).alias("replies"))
 
 
 _SCORED = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+_SCORED_TYPE = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
+
+
+class _Scorer:
+    """Scores of texts from the levels of their n-grams, and the base score of their frequent words."""
+
+    def __init__(self, top_h: np.ndarray, top_n: np.ndarray, mass: float, floor: float, prior: float):
+        self.top_h, self.top_n, self.mass, self.floor, self.prior = top_h, top_n, mass, floor, prior
+
+    def __call__(self, ids: list[pa.Array], texts: list[bytes | None], levels_for) -> pa.RecordBatch:
+        """``ids``: row_id, doc_id and held_out of the texts; ``levels_for`` gives the levels of distinct hashes."""
+        n = len(texts)
+        tokens, of_text, distinct, single, left, pair = distinct_hashes(texts)
+        count = LEVEL_COUNT[levels_for(distinct)]
+        # what the filter answers too high must not put a bigram above the words in it
+        both = np.minimum(count[pair], np.minimum(count[left], count[single]))
+        p = (both + self.prior * (count[single] + 0.5) / self.mass) / (count[left] + self.prior)
+        score = np.bincount(of_text, weights=np.log10(np.minimum(p, 1.0)), minlength=n)
+        # the exact counts: frequent words here, the others by a join
+        words, at = np.unique(tokens, return_inverse=True)
+        if len(self.top_h):
+            near = np.minimum(np.searchsorted(self.top_h, words), len(self.top_h) - 1)
+            is_top = self.top_h[near] == words
+            log = np.where(is_top, np.log10((self.top_n[near] + 0.5) / self.floor), 0.0)
+        else:
+            is_top, log = np.zeros(len(words), bool), np.zeros(len(words))
+        base = np.bincount(of_text, weights=log[at], minlength=n)
+        known = np.bincount(of_text, weights=is_top[at], minlength=n).astype(np.int64)
+        other = ~is_top[at]
+        keys, times = np.unique(of_text[other] * np.int64(len(words)) + at[other], return_counts=True)
+        owner, word = np.divmod(keys, len(words))
+        offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
+        rare = [pa.ListArray.from_arrays(offsets, pa.array(words[word].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(np.bincount(of_text, minlength=n)), pa.array(known), pa.array(base), pa.array(score), *rare], schema=_SCORED)
+
+
+def scored_by_broadcast(rows: DataFrame, scorer: _Scorer, filter_: np.ndarray, filter_bytes: int) -> DataFrame:
+    """Scores of (row_id, doc_id, text, held_out) where the filter is one group."""
+    sent = rows.sparkSession.sparkContext.broadcast((filter_, scorer))
+    bits = filter_bytes * 8 // SHARDS
 
+    def score(iterator):
+        filter_, scorer = sent.value
+        for b in batches(iterator, ["row_id", "doc_id", "text", "held_out"]):
+            texts = as_bytes(b["text"])
+            for s in slices(texts, 4 << 20):
+                yield scorer([b[c][s] for c in ("row_id", "doc_id", "held_out")], texts[s], lambda h: levels_of(filter_, h, bits))
+                release()
+
+    return rows.mapInArrow(score, _SCORED_TYPE)
+
+
+def scored_by_packs(rows: DataFrame, scorer: _Scorer, made: DataFrame, groups: int, filter_bytes: int) -> DataFrame:
+    """The same where it has several, by packs and what their groups reply."""
+    packs = packed_texts(rows)
+    sent = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def score(iterator):
+        scorer = sent.value
+        for b in batches(iterator, ["row_ids", "doc_ids", "held", "texts", "replies"]):
+            for k in range(len(b["texts"])):
+                replies = [np.frombuffer(r["body"].as_buffer(), np.uint16) for r in b["replies"][k]]
+
+                def levels_for(distinct, replies=replies):
+                    levels = np.zeros(len(distinct), np.int64)
+                    for (_, _, at), found in zip(_asks(distinct, groups), replies, strict=True):
+                        levels[at] = found
+                    return levels
+
+                yield scorer([b[c][k].values for c in ("row_ids", "doc_ids", "held")], b["texts"][k].as_py(), levels_for)
+            release()
+
+    met = packs.join(pack_levels(packs, made, groups, filter_bytes), "pack")
+    return met.select("row_ids", "doc_ids", "held", "texts", "replies").mapInArrow(score, _SCORED_TYPE)
 
-def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: int = 64 << 20, prior: float = 64.0, frequent: int = 4_000_000) -> DataFrame:
+
+def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: int = 128 << 20, prior: float = 64.0, frequent: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -345,79 +489,24 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
 
     gathered = saved(ngram_counts(train, classes=CLASSES).groupBy("kind", "h").agg(F.sum("n").alias("n")))
     counts = gathered.where(F.col("kind") == WORD_KIND).select("h", "n")
-    end = F.lit(int(END.astype(np.int64)))
-    total, distinct, texts_learned = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0))).first()
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     known = counts.where(F.col("n") * frequent >= total).toArrow()
     order = np.argsort(known_h := known.column("h").to_numpy().view(np.uint64))
-    top = (known_h[order], known.column("n").to_numpy()[order])
+    floor = total + 0.5 * (distinct + 1)
+    scorer = _Scorer(known_h[order], known.column("n").to_numpy()[order], quantised_mass(counts) + 0.5 * (distinct + 1), floor, prior)
     made, groups = sized_slices(ngram_counts(train), filter_bytes, foretold_items(gathered))
-    mass = quantised_mass(counts) + 0.5 * (distinct + 1)
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
-    begin, filter_ = 0, None
-    if groups == 1:
-        filter_ = group_filter(made, 0, filter_bytes)
-        begin = int(levels_of(filter_, np.array([BEGIN]), filter_bytes * 8 // SHARDS)[0])
-    else:
-        numbered, begin = with_levels(numbered, made, groups, filter_bytes)
-    sent = spark.sparkContext.broadcast((filter_, *top))
-    del filter_
-    bits = filter_bytes * 8 // SHARDS
-    floor = total + 0.5 * (distinct + 1)
-    columns = ["row_id", "doc_id", "text", "held_out"] + ["levels"] * (groups > 1)
-
-    def score(iterator):
-        filter_, top_h, top_n = sent.value
-        for b in batches(iterator, columns):
-            texts = as_bytes(b["text"])
-            for s in slices(texts, 4 << 20):
-                tokens, before, of_text = token_stream(texts[s])
-                n = s.stop - s.start
-                words, at = np.unique(tokens, return_inverse=True)
-                if groups == 1:
-                    pairs, back = np.unique(bigram_hashes(before, tokens), return_inverse=True)
-                    single, pair = levels_of(filter_, words, bits)[at], levels_of(filter_, pairs, bits)[back]
-                else:
-                    pair, single = np.frombuffer(b"".join(b["levels"][s].to_pylist()), np.uint8).reshape(-1, 2).T.astype(np.int64)
-                left = np.empty(len(tokens), np.int64)
-                left[1:] = single[:-1]
-                left[before == BEGIN] = begin
-                # rounding may put a pair one level above the words in it, no more
-                pair = np.minimum(pair, np.minimum(np.minimum(left, single) + 1, LEVELS))
-                p = LEVEL_COUNT[pair] + prior * (LEVEL_COUNT[single] + 0.5) / mass
-                scores = np.bincount(of_text, weights=np.log10(p), minlength=n) - np.log10(texts_learned + prior)
-                # the exact counts: frequent words here, the others by the join
-                if len(top_h):
-                    near = np.minimum(np.searchsorted(top_h, words), len(top_h) - 1)
-                    is_top = top_h[near] == words
-                    log = np.where(is_top, np.log10((top_n[near] + 0.5) / floor), 0.0)
-                    context = np.where(is_top & (words != END), np.log10(top_n[near] + prior), 0.0)
-                else:
-                    is_top, log, context = np.zeros(len(words), bool), np.zeros(len(words)), np.zeros(len(words))
-                scores -= np.bincount(of_text, weights=context[at], minlength=n)
-                base = np.bincount(of_text, weights=log[at], minlength=n)
-                n_known = np.bincount(of_text, weights=is_top[at], minlength=n).astype(np.int64)
-                other = ~is_top[at]
-                keys, times = np.unique(of_text[other] * np.int64(len(words)) + at[other], return_counts=True)
-                owner, word = np.divmod(keys, len(words))
-                offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b["row_id"][s], b["doc_id"][s], b["held_out"][s], pa.array(np.bincount(of_text, minlength=n)), pa.array(n_known), pa.array(base), pa.array(scores),
-                        pa.ListArray.from_arrays(offsets, pa.array(words[word].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
-                    ],
-                    schema=_SCORED,
-                )
-                release()
+    found = scored_by_broadcast(numbered, scorer, group_filter(made, 0, filter_bytes), filter_bytes) if groups == 1 else scored_by_packs(numbered, scorer, made, groups, filter_bytes)
+    scored = saved(found)
+    drop(made)
 
-    scored = saved(numbered.mapInArrow(score, "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"))
     pairs = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row_id", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     met = pairs.join(counts.where(F.col("n") * frequent < total), "h", "left")
     more = met.groupBy("row_id").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(floor))).alias("more_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(F.col("h") != end, F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(prior))).otherwise(0.0)).alias("more_context"),
     )
     return scored.join(more, "row_id", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") - F.coalesce("more_context", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
     )
