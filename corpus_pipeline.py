@@ -19,11 +19,18 @@ from tallyspark.llm.saved import drop, saved
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: those that are ``und`` (null text, no letter) go."""
+    """Keeps documents whose text is in the language that they name.
+
+    Those without one go (``und``: null text, no letter), and so do mislabelled ones: the
+    text is clearly, not ambiguously, in another language than the document says. A
+    document that names none, or one that wasn't learned, stays in whatever language it is.
+    """
     model = langid.train(docs)
     found = fresh(docs, "language_found")
     judged = docs.withColumn(found, langid.language_column(model, spark)(F.col("text").cast("string")))
-    return judged.where(F.col(f"{found}.lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    told = F.col("lang").isin(model.languages) & ~F.col(f"{found}.ambiguous")
+    mislabelled = F.coalesce(told & (F.col(f"{found}.lang_pred") != F.col("lang")), F.lit(False))
+    return judged.where((F.col(f"{found}.lang_pred") != langid.UNDETERMINED) & ~mislabelled).select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
