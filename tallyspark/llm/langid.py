@@ -9,8 +9,9 @@ flagged. What is found for a text depends on no other text and on no partitionin
 
 Fitting takes a bounded sample of the labelled rows: ``sample_rows`` evenly over
 languages, but about LEAST_ROWS and never less than one of each, so a rare language is
-learned too. More than LANGUAGES of them are an error, since the sample and the code come
-to the driver. Predictions are of whole texts. Null text or one without a letter: ``und``,
+learned too; with many languages there are fewer rows of each, and of more than
+``languages`` of them the most frequent are learned, since the sample and the code come to
+the driver. Predictions are of whole texts. Null text or one without a letter: ``und``,
 score 0. Null lang isn't learned from. Ties between codewords go to the smaller language
 name. Repeated rows are predicted each; without any labelled row all texts are ``und``;
 an empty table gives no rows.
@@ -34,10 +35,10 @@ EPOCHS = 80
 #: Share of a language's usual lead below which a text counts as ambiguous.
 MARGIN = 0.5
 UNDETERMINED = "und"
-#: Languages that can be learned; more raise an error.
-LANGUAGES = 500
-#: Sampled rows of a language, about, however many languages there are.
-LEAST_ROWS = 8
+#: Languages that are learned, the most frequent ones.
+LANGUAGES = 2000
+#: Sampled rows of a language, about, where that comes to MOST_ROWS of all or less.
+LEAST_ROWS, MOST_ROWS = 8, 8000
 
 
 def ngram_buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,10 +77,13 @@ def codewords(k: int) -> np.ndarray:
         return np.array([x for x in itertools.product((1, -1), repeat=k) if x[0] == 1 and -1 in x], np.float32).T
     rng = np.random.default_rng(k)
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(max(2, min(200, 20_000 // k))):
         code = rng.choice([-1.0, 1.0], (k, int(np.ceil(10 * np.log2(k)))))
         code = code[:, np.abs(code.sum(axis=0)) < k]
-        apart = min(int((code[i] != code[j]).sum()) for i, j in itertools.combinations(range(k), 2))
+        # of two rows of ones and minus ones, the product says how many places differ
+        like = code @ code.T
+        np.fill_diagonal(like, -code.shape[1])
+        apart = int(code.shape[1] - like.max()) // 2
         if apart > far:
             best, far = code, apart
     return best.astype(np.float32)
@@ -164,19 +168,17 @@ def fit(features: np.ndarray, labels: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2000) -> Model:
+def train(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2000, languages: int = LANGUAGES) -> Model:
     """Fits on about ``sample_rows`` labelled rows outside the held-out part; only their feature counts come to the driver."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), of, remainder)).select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"))
     coin = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
-    n = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(coin).alias("least")).limit(LANGUAGES + 1).collect()}
-    if len(n) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages; raise langid.LANGUAGES and the driver's memory with it")
+    n = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(coin).alias("least")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not n:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
-    share = max(sample_rows / len(n), LEAST_ROWS)
+    share = max(sample_rows / len(n), min(LEAST_ROWS, MOST_ROWS / len(n)))
     part = F.create_map(*[F.lit(x) for k, r in n.items() for x in (k, max(share / r.n, r.least))])
-    sample = rows.where(coin <= F.try_element_at(part, F.col("lang"))).limit(int(2 * share * len(n)))
+    sample = rows.where(coin <= F.try_element_at(part, F.col("lang"))).limit(int(2 * share * len(n)) + len(n))
 
     def features(iterator):
         for b in batches(iterator, ["lang", "text"]):
