@@ -8,9 +8,11 @@ before; its score is the calibrated score of its highest window.
 
 The network is trained in numpy on a bounded sample of labelled rows (``sample_rows``,
 a third of them toxic where there are as many), whatever their length; a toxic text
-teaches through its highest window, a clean one through its highest and a random one.
-A sampled text teaches with TRAIN_WORDS words at most: of a longer one, windows evenly
-spread over it. Scores are of whole texts.
+teaches through its highest window, a clean one through its highest and a random one,
+among all its windows. What comes to the driver is bounded by rows and by TRAIN_WORDS of
+each label: where the sample has more, fewer rows are learned from, in the order of a hash
+of their ids. (Only a text of more than a quarter of that, half a million words, teaches by
+windows spread over it.) Scores are of whole texts.
 
 Null or empty text: the score of a window without words. Null labels aren't learned
 from; of several labels of one doc_id the highest holds. Repeated rows are scored each;
@@ -22,19 +24,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import LETTERS, as_lower_bytes, batches, mix, release, small_batches, slices, span_hashes, word_blocks
 from .logfreq import held_out
+from .saved import drop, saved
 
 WINDOW, STRIDE = 48, 24
 HIDDEN, EMBED = 8, 8
 WORDS, GRAMS = 1 << 15, 1 << 15
 PREFIXES = (3, 4, 5, 6)
 INNER = 4
-#: Words of one sampled text that are learned from, by its label: a clean text is clean everywhere, a toxic one somewhere.
-TRAIN_WORDS = {0: 1024, 1: 6144}
+#: Words of each label that are learned from.
+TRAIN_WORDS = 2_000_000
 EPOCHS = 7
 THRESHOLD = 0.7
 
@@ -281,14 +284,18 @@ def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, s
     coin = F.pmod(F.xxhash64("doc_id", F.lit(53)), F.lit(1 << 30)) / float(1 << 30)
     part = lambda k, share: min(1.0, share * sample_rows / max(n.get(k, 0), 1))
     sample = own.where(coin < F.when(F.col("label") == 1, part(1, 1 / 3)).otherwise(part(0, 2 / 3))).limit(2 * sample_rows)
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label").limit(2 * sample_rows)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label", coin.alias("coin")).limit(2 * sample_rows)
 
     def cut(iterator):
-        for b in batches(iterator, ["text", "label"]):
-            texts = [excerpt(t, TRAIN_WORDS[k]) for t, k in zip(as_lower_bytes(b["text"]), b["label"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b["label"]], names=["text", "label"])
-
-    found = sorted({(bytes(r.text), r.label) for r in rows.mapInArrow(cut, "text binary, label int").collect()})
+        for b in batches(iterator, ["text", "label", "coin"]):
+            texts = [excerpt(t, TRAIN_WORDS // 4) for t in as_lower_bytes(b["text"])]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), b["label"], b["coin"], pa.array([len(t.split()) for t in texts], pa.int64())], names=["text", "label", "coin", "n"])
+
+    sampled = saved(rows.mapInArrow(cut, "text binary, label int, coin double, n long"))
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("coin", "n").rowsBetween(Window.unboundedPreceding, 0))
+    last = sampled.select("label", "coin", "n", upto.alias("upto")).where(F.col("upto") <= TRAIN_WORDS).groupBy("label").agg(F.max("coin").alias("last"))
+    found = sorted({(bytes(r.text), r.label) for r in sampled.join(F.broadcast(last), "label").where(F.col("coin") <= F.col("last")).select("text", "label").collect()})
+    drop(sampled)
     if len({label for _, label in found}) < 2:
         return None
     return fit([text for text, _ in found], np.array([label for _, label in found]))
