@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyspark.llm import ann, bpe, chat, langid, logfreq, mixing, queries, rules, simhash, toxicity, wordpiece
+from tallyspark.llm import ann, bpe, chat, components, langid, logfreq, mixing, queries, rules, simhash, toxicity, wordpiece
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -440,6 +440,20 @@ def test_fingerprint_links_join_all(spark, monkeypatch):
     assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values()}
 
 
+def test_links_of_a_hub_are_spread(spark, monkeypatch):
+    """One node of thousands of links beside small groups: the components are right, and no part of the hub exceeds its limit."""
+    monkeypatch.setattr(components, "HUB", 100)
+    rng = np.random.default_rng(13)
+    links = [(5, 1000 + k) for k in range(6000)] + [(9000 + 3 * k, 9000 + 3 * k + int(rng.integers(1, 3))) for k in range(500)] + [(70_000 + k, 70_001 + k) for k in range(40)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(4)
+    got = {r.node: r.root for r in components.connected_components(table).collect()}
+    assert got == {node: 5 if a == 5 else 70_000 if a >= 70_000 else a for a, b in links for node in (a, b)}
+    pairs = table.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    dealt = components.spread(pairs, components._least(pairs), len(links))
+    most = dealt.groupBy("u", "part").count().agg(F.max("count"), F.count("*")).first()
+    assert dealt.count() == len(links) and most[0] <= 150 and dealt.where("u = 5").select("part").distinct().count() == 60
+
+
 def test_one_per_component(docs, none):
     kept = simhash.one_per_component(docs)
     assert kept.columns == docs.columns
@@ -631,16 +645,28 @@ def test_texts_in_two_languages_are_ambiguous(language_model):
     assert np.mean(language_model.predict(mixed)[2]) > 0.3
 
 
-def test_language_samples(spark, monkeypatch):
+def test_language_samples(spark):
     rng = np.random.default_rng(19)
     rows = [(k, sounded(rng, SOUND, "xx" if k % 50 else "yy", 20), "xx" if k % 50 else "yy") for k in range(1000)] + [(1003, sounded(rng, SOUND, "zz", 50), "zz")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.train(table, sample_rows=30).languages == ["xx", "yy", "zz"]
     a, b = ({tuple(r) for r in langid.predict_languages(t, sample_rows=100).collect()} for t in (table.repartition(3), table.orderBy(F.rand(3)).repartition(7)))
     assert a == b
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    with pytest.raises(ValueError):
-        langid.train(table)
+    # the most frequent ones where a bound is given
+    assert langid.train(table, languages=2).languages == ["xx", "yy"]
+
+
+def test_more_languages_than_rows_of_each(spark):
+    """Hundreds of languages: a row or a few of each are learned, and no number of them fails."""
+    rng = np.random.default_rng(23)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    kinds = {f"l{k:03}": ["".join(rng.choice(letters, 3)) for _ in range(4)] for k in range(600)}
+    rows = [(3 * n + j, " ".join(rng.choice(words, 30)), lang) for n, (lang, words) in enumerate(kinds.items()) for j in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=100)
+    assert len(model.languages) > 550 and model.code.shape[0] == len(model.languages)
+    known = [(t, lang) for _, t, lang in rows if lang in model.languages][:200]
+    found, _, _ = model.predict([t.encode() for t, _ in known])
+    assert np.mean([a == b for a, (_, b) in zip(found, known, strict=True)]) > 0.8
 
 
 # op9
@@ -716,6 +742,22 @@ def test_excerpts_of_long_texts():
     assert len(cut) <= 1024 and cut[0] == b"w0" and cut[-1] == b"w9999" and len(set(cut)) == len(cut)
 
 
+def test_a_toxic_passage_anywhere_in_a_long_text_teaches(spark, monkeypatch):
+    """No window of a sampled text is left out; where there are too many words, fewer texts are learned from."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    rows = [(k, "plain " * 9000 + ("gzorp " if k % 2 else "") + "plain " * 9000) for k in range(30)]
+    train = lambda: toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int"))
+    train()
+    assert all(len(t.split()) > 18_000 - 1 and (b"gzorp" in t) == bool(k) for t, k in zip(seen["texts"], seen["labels"], strict=True))
+    rows = [(k, f"w{k} " + t) for k, t in rows]
+    train()
+    many = len(seen["texts"])
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 80_000)
+    train()
+    assert 2 <= len(seen["texts"]) <= 8 < many and set(seen["labels"]) == {0, 1}
+
+
 def test_labels_with_long_texts_only_are_learned(spark):
     rng = np.random.default_rng(20)
     plain = ["".join(rng.choice(list("aeiourstn"), 5)) for _ in range(200)]
