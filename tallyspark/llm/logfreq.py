@@ -7,7 +7,7 @@ is off by half of 1/STEPS of a doubling at most (1.1 %), and a larger count neve
 lower level. The filter then holds the items (n-gram, 1) ... (n-gram, level). It is built
 shard by shard on the executors, and a reader recovers a level by repeated membership
 probes: for 1, 2, 4, ... until one fails, then between the last two by halving; what a probe
-claims is confirmed on the two levels below it. The filter answers too high at times, never
+claims is confirmed on the level below it. The filter answers too high at times, never
 too low; no n-gram is left out of it. Most n-grams are rare and pay for few levels.
 
 Its size follows the corpus: at least BITS_EACH bits an item, so that with PROBES probes at
@@ -156,11 +156,22 @@ def ngram_counts(docs: DataFrame, words: bool = True, pairs: bool = True, classe
     return docs.select("text").mapInArrow(gather, "kind byte, h long, n long")
 
 
-def _positions(h: np.ndarray, level: int | np.ndarray, probe: int, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        first = mix(h + np.uint64(0xA24BAED4963EE407) * np.asarray(level, np.uint64))
-        step = mix(first) | np.uint64(1)
-        return (h % np.uint64(SHARDS)) * np.uint64(bits) + ((first + np.uint64(probe) * step) & np.uint64(bits - 1))
+class _Places:
+    """Where the probes of (n-gram, level) items lie: in the shard of the n-gram, a step from one to the next."""
+
+    def __init__(self, h: np.ndarray, level: int | np.ndarray, bits: int, base: np.ndarray | None = None):
+        with np.errstate(over="ignore"):
+            self.first = mix(h + np.uint64(0xA24BAED4963EE407) * np.asarray(level, np.uint64))
+            self.step = mix(self.first) | np.uint64(1)
+            self.base = (h % np.uint64(SHARDS)) * np.uint64(bits) if base is None else base
+        self.bits = bits
+
+    def at(self, probe: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.base + ((self.first + np.uint64(probe) * self.step) & np.uint64(self.bits - 1))
+
+    def keep(self, some: np.ndarray) -> None:
+        self.first, self.step, self.base = self.first[some], self.step[some], self.base[some]
 
 
 def quantised(n: np.ndarray) -> np.ndarray:
@@ -180,19 +191,20 @@ def insert(flags: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int, slot:
     base = None if slot is None else slot[order] * np.uint64(bits)
     for q in range(1, int(level.max(initial=0)) + 1):
         reached = np.searchsorted(-level, -q, "right")
+        places = _Places(h[:reached], q, bits, None if base is None else base[:reached])
         for probe in range(PROBES):
-            at = _positions(h[:reached], q, probe, bits)
-            if base is not None:
-                at = (at & np.uint64(bits - 1)) + base[:reached]
-            flags[at.astype(np.int64)] = True
+            flags[places.at(probe).astype(np.int64)] = True
 
 
 def _held(filter_: np.ndarray, h: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     """Whether each (n-gram, level) is found in the filter."""
-    alive = np.arange(len(h))
+    alive, places = np.arange(len(h)), _Places(h, level, bits)
     for probe in range(PROBES):
-        at = _positions(h[alive], level[alive], probe, bits)
-        alive = alive[(filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        at = places.at(probe)
+        hit = np.flatnonzero((filter_[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+        if len(hit) < len(alive):
+            alive = alive[hit]
+            places.keep(hit)
     found = np.zeros(len(h), bool)
     found[alive] = True
     return found
@@ -205,9 +217,8 @@ def levels_of(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     def probe(at: np.ndarray, level: np.ndarray) -> np.ndarray:
         """Moves the bounds of the n-grams at ``at`` by what the filter says of ``level``; which of them it holds."""
         held = _held(filter_, h[at], level, bits)
-        for below in (1, 2):
-            sure = np.flatnonzero(held & (level - below > low[at]))
-            held[sure] = _held(filter_, h[at[sure]], level[sure] - below, bits)
+        claimed = np.flatnonzero(held & (level - 1 > low[at]))
+        held[claimed] = _held(filter_, h[at[claimed]], level[claimed] - 1, bits)
         low[at[held]] = level[held]
         high[at[~held]] = level[~held]
         return held
@@ -321,7 +332,7 @@ def group_filter(made: DataFrame, group: int, filter_bytes: int) -> np.ndarray:
 
 
 def distinct_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
-    """Tokens, the text number of each, whether it is its text's first, and the distinct hashes of tokens, contexts and bigrams with each one's place among them."""
+    """The text number of each token, the distinct hashes of tokens and bigrams, and the places among them of each token, its context and its bigram."""
     tokens, before, of_text = token_stream(texts)
     pairs = bigram_hashes(before, tokens)
     distinct, at = np.unique(np.concatenate([tokens, pairs, np.array([BEGIN])]), return_inverse=True)
@@ -329,7 +340,7 @@ def distinct_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     left = np.empty(n, np.int64)
     left[1:] = at[: n - 1]
     left[before == BEGIN] = at[-1]
-    return tokens, of_text, distinct, at[:n], left, at[n : 2 * n]
+    return of_text, distinct, at[:n], left, at[n : 2 * n]
 
 
 _ASK = "pack long, grp int, seq int, body binary"
@@ -375,7 +386,7 @@ def pack_levels(packs: DataFrame, made: DataFrame, groups: int, filter_bytes: in
     def ask(iterator):
         for b in batches(iterator, ["pack", "texts"]):
             for pack, texts in zip(b["pack"].to_pylist(), b["texts"], strict=True):
-                distinct = distinct_hashes(texts.as_py())[2]
+                distinct = distinct_hashes(texts.as_py())[1]
                 found = list(_asks(distinct, groups))
                 yield pa.RecordBatch.from_arrays([pa.array([pack] * len(found), pa.int64()), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)), pa.array([distinct[f[2]].tobytes() for f in found], pa.binary())], schema=_REPLY)
             release()
@@ -416,27 +427,27 @@ class _Scorer:
     def __call__(self, ids: list[pa.Array], texts: list[bytes | None], levels_for) -> pa.RecordBatch:
         """``ids``: row_id, doc_id and held_out of the texts; ``levels_for`` gives the levels of distinct hashes."""
         n = len(texts)
-        tokens, of_text, distinct, single, left, pair = distinct_hashes(texts)
+        of_text, distinct, single, left, pair = distinct_hashes(texts)
         count = LEVEL_COUNT[levels_for(distinct)]
         # what the filter answers too high must not put a bigram above the words in it
         both = np.minimum(count[pair], np.minimum(count[left], count[single]))
         p = (both + self.prior * (count[single] + 0.5) / self.mass) / (count[left] + self.prior)
         score = np.bincount(of_text, weights=np.log10(np.minimum(p, 1.0)), minlength=n)
         # the exact counts: frequent words here, the others by a join
-        words, at = np.unique(tokens, return_inverse=True)
+        is_top, log = np.zeros(len(distinct), bool), np.zeros(len(distinct))
         if len(self.top_h):
-            near = np.minimum(np.searchsorted(self.top_h, words), len(self.top_h) - 1)
-            is_top = self.top_h[near] == words
-            log = np.where(is_top, np.log10((self.top_n[near] + 0.5) / self.floor), 0.0)
-        else:
-            is_top, log = np.zeros(len(words), bool), np.zeros(len(words))
-        base = np.bincount(of_text, weights=log[at], minlength=n)
-        known = np.bincount(of_text, weights=is_top[at], minlength=n).astype(np.int64)
-        other = ~is_top[at]
-        keys, times = np.unique(of_text[other] * np.int64(len(words)) + at[other], return_counts=True)
-        owner, word = np.divmod(keys, len(words))
+            is_top[single] = True
+            words = np.flatnonzero(is_top)
+            near = np.minimum(np.searchsorted(self.top_h, distinct[words]), len(self.top_h) - 1)
+            is_top[words] = self.top_h[near] == distinct[words]
+            log[words] = np.where(is_top[words], np.log10((self.top_n[near] + 0.5) / self.floor), 0.0)
+        top = is_top[single]
+        base = np.bincount(of_text, weights=log[single], minlength=n)
+        known = np.bincount(of_text, weights=top, minlength=n).astype(np.int64)
+        keys, times = np.unique(of_text[~top] * np.int64(len(distinct)) + single[~top], return_counts=True)
+        owner, word = np.divmod(keys, len(distinct))
         offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32))
-        rare = [pa.ListArray.from_arrays(offsets, pa.array(words[word].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
+        rare = [pa.ListArray.from_arrays(offsets, pa.array(distinct[word].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))]
         return pa.RecordBatch.from_arrays([*ids, pa.array(np.bincount(of_text, minlength=n)), pa.array(known), pa.array(base), pa.array(score), *rare], schema=_SCORED)
 
 
