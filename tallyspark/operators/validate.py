@@ -194,12 +194,43 @@ def inconsistent_names(df: DataFrame) -> DataFrame:
     return df.where(X.blank_to_null(F.col("product_code")).isNotNull()).groupBy("product_code").agg(F.count_distinct("product_name").alias("n_names")).where("n_names > 1")
 
 
+def currency(df: DataFrame, field: str = "currency", default: str = DEFAULTS.currency) -> Column:
+    """A row's currency in capitals; the default where it is blank or there is no such column."""
+    given = X.blank_to_null(F.col(field).cast("string")) if field in df.columns else F.lit(None).cast("string")
+    return F.upper(F.coalesce(given, F.lit(default)))
+
+
 def currency_summary(df: DataFrame, amount: str, default: str = "TRY") -> DataFrame:
     """Totals by currency, and whether there is more than one (then no total over all holds)."""
-    per = df.groupBy(F.upper(F.coalesce(X.blank_to_null(F.col("currency")), F.lit(default))).alias("currency")).agg(F.sum(amount).alias("total"), F.count("*").alias("n_rows"))
+    per = df.groupBy(currency(df, default=default).alias("currency")).agg(F.sum(amount).alias("total"), F.count("*").alias("n_rows"))
     return per.withColumn("mixed", F.count("*").over(Window.partitionBy()) > 1)
 
 
+def by_currency(df: DataFrame, dimensions: list[str], totals: dict[str, Column], field: str = "currency", default: str = DEFAULTS.currency) -> DataFrame:
+    """``totals`` by ``dimensions`` and, only where rows of more than one currency came, by currency; else that column is null.
+
+    One aggregation over the rows: what is mixed follows from its groups.
+    """
+    per = df.groupBy(*dimensions, currency(df, field, default).alias("_currency")).agg(*[c.alias(n) for n, c in totals.items()])
+    mixed = per.agg((F.count_distinct("_currency") > 1).alias("_mixed"))
+    return per.crossJoin(F.broadcast(mixed)).select(*dimensions, F.when(F.col("_mixed"), F.col("_currency")).alias("currency"), *totals)
+
+
+def currency_report(df: DataFrame, amounts: list[str], field: str = "currency", default: str = DEFAULTS.currency) -> DataFrame:
+    """One row: currencies, totals by currency, scalar totals that are null where currencies are mixed, the reporting currency, and a critical warning then.
+
+    Sums add up over currencies before it is known whether there are more, so rows are read once.
+    """
+    sums = [F.coalesce(F.sum(F.col(a).cast("decimal(28,2)")), F.lit(0)).cast("decimal(28,2)").alias(a) for a in amounts]
+    per = df.groupBy(currency(df, field, default).alias("currency")).agg(F.count("*").alias("n"), *sums)
+    held = F.sort_array(F.collect_list(F.struct("currency", "n", *amounts)))
+    one = per.agg(held.alias("by_currency"), *[F.sum(a).alias(f"total_{a}") for a in amounts]).withColumn("mixed", F.size("by_currency") > 1)
+    names = F.col("by_currency.currency")
+    alone = [F.when(~F.col("mixed"), F.coalesce(f"total_{a}", F.lit(0))).alias(f"total_{a}") for a in amounts]
+    found = one.select("mixed", names.alias("currencies"), F.when(F.size(names) == 1, names[0]).otherwise(F.lit(default)).alias("reporting_currency"), "by_currency", *alone)
+    return with_warnings(found, warning(F.col("mixed"), "mixed_currency", field, F.array_join("currencies", ", "), action="partitioned_by_currency"))
+
+
 def unique_warnings(rows: DataFrame, *keys: str) -> DataFrame:
     """Warnings once each, whatever number of times they were raised."""
     return rows.dropDuplicates([*keys, "type", "severity", "field", "action", "input_value", "calculated_value"])
