@@ -1085,4 +1085,4 @@ def article_prefixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 # These modules register more queries here.
-from . import catalogue_inputs, catalogue_prompts, catalogue_retrieval, catalogue_sources  # noqa: E402, F401
+from . import catalogue_contracts, catalogue_inputs, catalogue_prompts, catalogue_retrieval, catalogue_sources  # noqa: E402, F401

@@ -16,7 +16,7 @@ from ..session import DEFAULTS, Settings
 # Severity of each kind of warning.
 SEVERITY = {
     "derived_value": "info", "sensitive_data_masked": "info", "refund_detected": "info", "return_status_detected": "info", "recalculated_total_sales": "info",
-    "mismatch": "warning", "duplicate": "warning", "inconsistent_product_name": "warning", "unknown_transaction_type": "warning", "negative_sale_total": "warning",
+    "mismatch": "warning", "duplicate": "warning", "inconsistent_product_name": "warning", "unknown_transaction_type": "warning", "negative_sale_total": "warning", "invalid_value": "warning",
     "invalid_tax_rate": "critical", "mixed_currency": "critical", "negative_stock": "critical",
     "missing_required_field": "blocking", "dropped_row": "blocking", "invalid_row_causing_drop": "blocking",
 }
