@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import money as M
 from ..session import DEFAULTS, Settings
+from .filters import placed
 from .reports import total
 
 
@@ -53,26 +54,33 @@ BRACKET = 0.002
 
 
 def quantiles(df: DataFrame, c: str, shares: tuple[float, ...]) -> list[float | None]:
-    """Exact interpolated quantiles: a sketch brackets each, and only values inside its bracket are ordered."""
+    return quantiles_beside(df, c, shares)[0]
+
+
+def quantiles_beside(df: DataFrame, c: str, shares: tuple[float, ...], *also: Column) -> tuple[list[float | None], list]:
+    """Exact interpolated quantiles, and what ``also`` aggregates: a sketch brackets each, and only values inside its bracket are ordered.
+
+    Three jobs, while the plan is made: the sketch with the other aggregates, the counts below the brackets, the values inside.
+    """
     value = F.col(c)
     edges = [F.percentile_approx(value, min(max(q + d, 0.0), 1.0), 10_000) for q in shares for d in (-BRACKET, BRACKET)]
-    found = df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[e.alias(f"e{k}") for k, e in enumerate(edges)]).first()
+    found = df.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), *[e.alias(f"e{k}") for k, e in enumerate(edges)], *[a.alias(f"a{k}") for k, a in enumerate(also)]).first()
+    other = [found[f"a{k}"] for k in range(len(also))]
     if not found.n:
-        return [None] * len(shares)
+        return [None] * len(shares), other
     ends = [(found[f"e{2 * k}"] if q > BRACKET else found.least, found[f"e{2 * k + 1}"] if q < 1 - BRACKET else found.most) for k, q in enumerate(shares)]
     below = df.agg(*[F.count_if(value < low).alias(f"b{k}") for k, (low, _) in enumerate(ends)], *[F.count_if(value.between(low, high)).alias(f"i{k}") for k, (low, high) in enumerate(ends)]).first()
     inside = []
     for k, (q, (low, high)) in enumerate(zip(shares, ends, strict=True)):
         rank = q * (found.n - 1) - below[f"b{k}"]
         inside.append(F.percentile(F.when(value.between(low, high), value), min(max(rank / max(below[f"i{k}"] - 1, 1), 0.0), 1.0)).alias(f"q{k}"))
-    return list(df.agg(*inside).first())
+    return list(df.agg(*inside).first()), other
 
 
 def anomalies(df: DataFrame, n: int = 20) -> DataFrame:
     """Expenses above the third quartile by 1.5 interquartile ranges, or more than 2.5 deviations off; the first n by event."""
     rows = df.where("side = 'expense'").withColumn("x", F.col("amount").cast("double"))
-    q1, q3 = quantiles(rows, "x", (0.25, 0.75))
-    mean, deviation = rows.agg(F.avg("x"), F.stddev_pop("x")).first()
+    (q1, q3), (mean, deviation) = quantiles_beside(rows, "x", (0.25, 0.75), F.avg("x"), F.stddev_pop("x"))
     z = (F.col("x") - F.lit(mean)) / F.lit(deviation or 1.0)
     odd = (F.col("x") > F.lit(None if q1 is None else q3 + 1.5 * (q3 - q1)).cast("double")) | (F.abs(z) > 2.5)
     return rows.where(odd).select("event_id", F.col("x").alias("amount"), F.col("category"), F.round(z, 4).alias("z")).orderBy("event_id").limit(n)
@@ -102,9 +110,11 @@ def financial_risk(df: DataFrame) -> DataFrame:
 def expense_shares(df: DataFrame) -> DataFrame:
     """Expense categories with their share, rank, and a tenth of the first three as what might be saved."""
     per = df.where("side = 'expense'").groupBy("category").agg(total("amount").alias("total"), F.count("*").alias("n_rows"))
-    everything = Window.partitionBy()
-    nth = F.row_number().over(Window.orderBy(F.desc("total"), "category"))
-    return per.select("category", "total", "n_rows", M.ratio(F.col("total") * 100, F.sum("total").over(everything)).alias("share"), nth.alias("rank"), F.when(nth <= 3, F.round((F.col("total") * 0.1).cast("decimal(28,6)"), 2).cast("double")).otherwise(0.0).alias("savings"))
+    ranked = placed(per, (("total", False), ("category", True)))
+    whole = ranked.agg(F.sum("total").alias("_all"))
+    rank = F.col("place").cast("int")
+    savings = F.when(rank <= 3, F.round((F.col("total") * 0.1).cast("decimal(28,6)"), 2).cast("double")).otherwise(0.0)
+    return ranked.crossJoin(F.broadcast(whole)).select("category", "total", "n_rows", M.ratio(F.col("total") * 100, F.col("_all")).alias("share"), rank.alias("rank"), savings.alias("savings"))  # one row beside each
 
 
 def profit_months(df: DataFrame) -> DataFrame:
