@@ -51,3 +51,8 @@ def drop(df: DataFrame) -> None:
     """Removes one table that ``written`` wrote and nothing reads any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         remove(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all that this driver wrote here, once results that read it have been written or are no longer needed."""
+    remove(spark, shared_folder(spark))
