@@ -2,52 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from ..sources.scratch import clear, drop, shared_folder
+from ..sources.scratch import written as saved
 
-from pyspark.sql import DataFrame, SparkSession
-
-#: Each driver process writes into a folder of its own.
-_OWN = uuid.uuid4().hex
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it.
-
-    Only a session whose tasks all run in this process, as in tests, may leave it unset
-    and gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="tallyspark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tallyspark-{_OWN}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: its lineage ends there, so lost executors don't undo it."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes one table that ``saved`` wrote and nothing reads any more."""
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
-
-
-def clear(spark: SparkSession) -> None:
-    """Removes what this driver's ``saved`` wrote, once results that read it have been written or are no longer needed."""
-    _delete(spark, shared_folder(spark))
+__all__ = ["clear", "drop", "saved", "shared_folder"]
