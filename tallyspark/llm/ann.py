@@ -5,15 +5,15 @@ codebooks are fitted one after the other to the residuals of a bounded sample
 (``sample_rows``), and a vector's codes are found by a beam search over all of them. The
 index holds codes, the norm of the approximation and the norm of what it misses.
 
-Every query block is sent to PARTS parts of the index, whatever the number of rows or
-partitions. A task streams over one part, block by block, and keeps each query's ``k``
+Every query block is sent to all parts of the index: PARTS of them, or as many as the
+cluster's cores need up to MOST_PARTS, whatever the number of rows or partitions. A task streams over one part, block by block, and keeps each query's ``k``
 best so far, so it passes on ``k`` rows a query at most. Lookup tables of query and
 codeword products give all approximate scores of a block; its candidates are all vectors
 whose approximate score is no further below the query's ``k``-th best exact score than
 DEVIATIONS times the error that such a miss usually makes (norms and dimension give it);
 they are reranked by exact products in double precision. Where many vectors are about as
 near, all of them are reranked; their number has no cap. A last step takes the ``k`` best
-of PARTS * ``k``.
+of the parts' ``k`` each.
 
 Vectors that are null, zero, hold null or non-finite components, or differ in length from
 most take no part; rows with null vec_id neither. Ties go to the smaller vec_id. Repeated
@@ -33,8 +33,8 @@ from .arrays import batches, mix
 BOOKS, WORDS, BEAM = 12, 256, 4
 DEVIATIONS = 3.0
 FIRST = 64
-#: Parts of the index, which bound the rows that a query's search passes on.
-PARTS = 8
+#: Parts of the index, at least and at most, which bound the rows that a query's search passes on.
+PARTS, MOST_PARTS = 8, 256
 #: Vectors that are scored at a time, and queries against them.
 INDEX_BLOCK, QUERY_BLOCK = 1 << 12, 1 << 9
 #: Queries that a task holds, about: each such group reads the index once.
@@ -223,12 +223,14 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 81
     model = spark.sparkContext.broadcast(quantiser)
     asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     groups = max(1, -(-n_asked // QUERY_GROUP))
+    # as many parts as the cores need; a task that packs the index holds about as much whatever their number
+    parts = max(PARTS, min(MOST_PARTS, -(-spark.sparkContext.defaultParallelism // groups)))
     # The stated queries against all rows: a query group goes to each part of the index, a block of the index to each query group.
-    queries = _blocks(asked, dim, INDEX_BLOCK, groups, None).withColumnRenamed("part", "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    index = _blocks(vectors, dim, INDEX_BLOCK, PARTS, model).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = _blocks(asked, dim, INDEX_BLOCK, groups, None).withColumnRenamed("part", "group").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    index = _blocks(vectors, dim, INDEX_BLOCK * PARTS // parts, parts, model).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     columns = ["group", "part", "late", "ids", "vectors", "codes", "norms", "missed"]
     met = queries.withColumn("late", F.lit(False)).select(columns).union(index.withColumn("late", F.lit(True)).select(columns))
-    dealt = met.repartition(groups * PARTS, "group", "part").sortWithinPartitions("group", "part", "late")
+    dealt = met.repartition(groups * parts, "group", "part").sortWithinPartitions("group", "part", "late")
 
     def search(iterator):
         key, state = None, None

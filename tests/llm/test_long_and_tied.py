@@ -81,8 +81,10 @@ def test_lines_and_words_of_a_long_text(texts, docs):
     assert all(counted[w] >= n for w, n in want.most_common(20))
 
 
-def test_ties_go_to_the_smaller_id(spark):
-    """Vectors that are equal, or equally near: exactly the smallest ids are found, in their order."""
+@pytest.mark.parametrize("parts", [8, 1])
+def test_ties_go_to_the_smaller_id(spark, monkeypatch, parts):
+    """Vectors that are equal, or equally near: exactly the smallest ids are found, in their order, however many parts there are."""
+    monkeypatch.setattr(ann, "PARTS", parts)
     rng = np.random.default_rng(31)
     base = rng.integers(-3, 4, (12, 16)).astype(float)
     rows = [(int(i), base[k % 12].tolist()) for k, i in enumerate(rng.permutation(600))]
