@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .catalogue import query
 from .functions import money as M
 from .operators import contracts as con
+from .operators import filters as flt
 from .operators import mapping as mp
 from .plans import registry as reg
 from .session import table
+from .sources import files, scratch
 
 
 def _kinds() -> Column:
@@ -86,3 +88,37 @@ def artifact_sources(spark: SparkSession, d: str) -> DataFrame:
     known = [(kind, name, reg.source_report(kind, name)) for kind, of in reg.ARTIFACTS.items() for name in of]
     table_ = F.map_from_entries(F.array(*[F.struct(F.lit(f"{a}|{b}"), F.lit(c)) for a, b, c in known]))
     return rows.select("o_orderkey", "kind", "name", F.element_at(table_, F.concat_ws("|", "kind", "name")).alias("report"))
+
+
+@query("q93c_direction_labels", sql="SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'receivable' WHEN event_id % 3 = 0 THEN 'debt' END AS split, CASE WHEN event_id % 2 = 0 THEN 'receivable' WHEN event_id % 3 = 0 THEN 'debt' END AS flagged, CASE WHEN event_id % 2 = 0 THEN 'receivable' ELSE 'debt' END AS signed FROM events")
+def direction_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labels of a contract of debts, by split columns, by flags and by sign."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(k, F.when(k % 3 == 0, F.lit(5)).alias("borc"), F.when(k % 2 == 0, F.lit(7)).alias("alacak"), F.when(k % 3 == 0, "Evet").alias("b"), F.when(k % 2 == 0, "x").otherwise("hayir").alias("a"), F.when(k % 2 == 0, F.lit(0)).otherwise(F.lit(-1)).alias("tutar"))
+    sides = ("receivable", "debt")
+    return rows.select("event_id", mp.debit_credit_direction(F.col("borc"), F.col("alacak"), *sides).alias("split"), mp.flag_direction(F.col("b"), F.col("a"), *sides).alias("flagged"), mp.signed_direction(F.col("tutar"), *sides).alias("signed"))
+
+
+@query("q113_json_sink", sql="SELECT o_orderkey, o_orderpriority, CAST(o_totalprice AS DOUBLE) AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def json_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written as JSON lines and read back."""
+    folder = scratch.new_folder(spark)
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast(M.MONEY).alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    files.write_json(rows, folder)
+    return spark.read.schema("o_orderkey long, o_orderpriority string, o_totalprice double, day string").json(folder)
+
+
+@query("q113b_blank_rows", sql="SELECT count(*) AS n_rows, count(*) FILTER (o_orderkey % 6 <> 0) AS n_kept, count(*) FILTER (o_orderkey % 6 = 3) AS n_without_note FROM orders")
+def blank_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose cells are all blank go; a blank cell beside a filled one is null."""
+    k = F.col("o_orderkey") % 6
+    rows = table(spark, d, "orders").select(F.when(k == 0, "  ").otherwise(F.col("o_orderdate").cast("string")).alias("Tarih"), F.when(k != 0, F.col("o_totalprice").cast("string")).alias("Tutar"), F.when(k.isin(0, 3), " ").otherwise(F.col("o_orderpriority")).alias("Not"))
+    made = mp.canonical(rows, mp.heuristic_mapping(rows.columns, ["date", "amount", "description"]), ("amount",), ("date",))
+    kept = made.agg(F.count("*").alias("n_kept"), F.count_if(F.col("description").isNull()).alias("n_without_note"))
+    return rows.agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(kept))  # one row each
+
+
+@query("q113c_row_tracking", sql="SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS row FROM events")
+def row_tracking(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of an input numbered from 1 in their order."""
+    return flt.placed(table(spark, d, "events").select("event_id", "ts"), (("ts", True), ("event_id", True))).select("event_id", F.col("place").alias("row"))
