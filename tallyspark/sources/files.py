@@ -9,6 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
+#: Estimated bytes for each core below which a table's rows are dealt out.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the cluster's cores where it is small beside these.
+
+    Its files may then be fewer row groups than cores, so that a few tasks would do all the
+    work on its texts. What this shuffles is at most SPREAD_BYTES a core; larger tables are
+    read as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < cores * SPREAD_BYTES else df
+
+
 def read_all(spark: SparkSession, paths: list[str], kind: str = "csv", **options: str) -> tuple[DataFrame | None, list[str]]:
     """All inputs by column name, each row with its source; inputs that can't be read are named, not raised."""
     frames, failed = [], []
