@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import LETTERS, as_lower_bytes, batches, mix, release, small_batches, slices, span_hashes, word_blocks
 from .logfreq import held_out
 from .saved import drop, saved
@@ -39,6 +40,8 @@ INNER = 4
 #: Words of each label that are learned from.
 TRAIN_WORDS = 2_000_000
 EPOCHS = 7
+#: Epochs after which all windows are scored again, to find the highest ones.
+LOOKED_EVERY = 2
 THRESHOLD = 0.7
 
 
@@ -157,7 +160,7 @@ class Network:
         for k, d in enumerate("fb"):
             u, w = self.p[f"u_{d}"], self.p[f"in_{d}"]
             du, d_now = np.zeros_like(u), np.zeros((len(ids), h), np.float32)
-            d_table = np.zeros((len(x), 3 * h), np.float32)
+            seen, taken = [], []
             for t, m in reversed(self._steps(ids, length, d)):
                 before, gates, new, b = keep[d, t]
                 z, r = gates[:, :h], gates[:, h:]
@@ -169,7 +172,9 @@ class Network:
                 db = np.concatenate([d_z, d_r, d_new * r], axis=1)
                 du += before.T @ db
                 d_now[:m] = dh * z + db @ u.T
-                np.add.at(d_table, ids[:m, t], da)
+                seen.append(ids[:m, t])
+                taken.append(da)
+            d_table = _sums_of(np.concatenate(seen), np.concatenate(taken), len(x)) if seen else np.zeros((len(x), 3 * h), np.float32)
             g |= {f"u_{d}": du, f"b_{d}": d_table.sum(axis=0), f"in_{d}": x.T @ d_table}
             dx += d_table @ w.T
         return g, dx
@@ -208,8 +213,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
     balance = np.where(labels == 1, 0.5 / max((labels == 1).sum(), 1), 0.5 / max((labels == 0).sum(), 1)).astype(np.float32)
-    for _ in range(EPOCHS):
-        logits, begin, length, of = net.window_logits(words)
+    for epoch in range(EPOCHS):
+        if epoch % LOOKED_EVERY == 0:
+            logits, begin, length, of = net.window_logits(words)
         shaken = np.lexsort((logits + rng.standard_normal(len(logits)) * 0.01, of))
         highest = shaken[np.append(np.flatnonzero(np.diff(of[shaken])), len(of) - 1)]
         clean = np.flatnonzero(labels[of] == 0)
@@ -236,6 +242,17 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
     return net
 
 
+def _sums_of(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, width) sums of the rows of ``values`` by their number in ``at``."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def _subset(words: Words, own: np.ndarray) -> Words:
     out = object.__new__(Words)
     out.word, out.prefix, out.inner_n = words.word[own], words.prefix[own], words.inner_n[own]
@@ -247,8 +264,7 @@ def _subset(words: Words, own: np.ndarray) -> Words:
 def _step_rows(table: np.ndarray, squares: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
     """Adagrad on the rows that a batch used."""
     rows, back = np.unique(at, return_inverse=True)
-    total = np.zeros((len(rows), table.shape[1]), np.float32)
-    np.add.at(total, back, grad)
+    total = _sums_of(back, grad, len(rows))
     squares[rows] += total * total
     table[rows] -= 0.1 * total / (np.sqrt(squares[rows]) + 1e-7)
 
@@ -321,5 +337,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, of: int = 3, remainder:
     """doc_id, held_out, score, predicted for every row of (doc_id, text)."""
     small_batches(docs.sparkSession)
     score = toxicity_column(train(docs, labels, of, remainder, sample_rows), docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), of, remainder).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), of, remainder).alias("held_out"), score(F.col("text").cast("string")).alias("score"))
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
