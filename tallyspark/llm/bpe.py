@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import batches, mix, release, slices, small_batches
 
 NO_RANK = np.int32(2**31 - 1)
@@ -254,5 +255,5 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 )
                 release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

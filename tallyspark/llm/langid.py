@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import LETTERS, as_lower_bytes, batches, mix, release, small_batches, slices, text_blocks
 from .logfreq import held_out
 
@@ -216,5 +217,5 @@ def language_column(model: Model, spark):
 def predict_languages(docs: DataFrame, of: int = 4, remainder: int = 2, sample_rows: int = 2000) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row; learns from rows outside the held-out part."""
     predict = language_column(train(docs, of, remainder, sample_rows), docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), of, remainder).alias("held_out"), predict(F.col("text").cast("string")).alias("found"))
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), of, remainder).alias("held_out"), predict(F.col("text").cast("string")).alias("found"))
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")

@@ -25,6 +25,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import fresh
 from .saved import saved
 
@@ -78,14 +79,14 @@ def between(lines: Column, gone: Column) -> Column:
 def drop_shared_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """All columns of ``docs`` with ``kept_text``, ``n_lines`` (before) and ``n_dropped``."""
     named = {c: fresh(docs, c) for c in ("kept_text", "n_lines", "n_dropped")}
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = spread(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     lines = long_lines(texts, least_chars)
     shared = saved(shared_lines(lines, least_docs))
     lost = lines.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     gone = saved(lost.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("pos")).alias("gone")))
 
     text, r1, r2, held = (fresh(docs, c) for c in ("whole_text", "row_hash_1", "row_hash_2", "gone_lines"))
-    rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = spread(docs).withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = rows.withColumns(dict(zip((r1, r2), hashed(F.col("doc_id"), F.col(text)), strict=True)))
     rows = rows.join(gone.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("gone").alias(held)), [r1, r2], "left")
     split = F.split(text, "\n")

@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import as_bytes, batches, mix, release, small_batches, slices, word_hashes
 from .saved import drop, saved
 
@@ -495,7 +496,7 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), of, remainder).alias("held_out"))
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id"), of, remainder).alias("held_out"))
     train = rows.where(~F.col("held_out"))
 
     gathered = saved(ngram_counts(train, classes=CLASSES).groupBy("kind", "h").agg(F.sum("n").alias("n")))

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import PLAIN, SPACE, as_bytes, batches, mix, release, small_batches, slices, span_hashes, word_blocks
 
 #: Fixed set of the symbols that count.
@@ -226,4 +227,4 @@ def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, statistic
                 release()
 
     kinds = "doc_id long, kept boolean, rejected_by string" + "".join(f", {c} long" for c in STATS if statistics)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(judge, kinds)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(judge, kinds)

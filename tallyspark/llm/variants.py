@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import batches, mix
 from .lines import lowered
 from .saved import saved
@@ -56,7 +57,7 @@ def counted_words(docs: DataFrame, least_chars: int = LEAST_CHARS, least_count:
     With ``planted_every`` a word loses one letter where that number divides the crc32 of
     ``<doc_id>:<word>``; the crc32 modulo the word's length says which.
     """
-    runs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
+    runs = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), F.lit(0))).alias("run"))
     words = runs.where(F.length("run") >= least_chars).select("doc_id", lowered(F.col("run")).alias("word"))
     if planted_every:
         words = words.withColumn("h", F.crc32(F.concat(F.coalesce("doc_id", F.lit("")), F.lit(":"), F.col("word"))))

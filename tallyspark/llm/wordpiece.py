@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from .arrays import as_bytes, batches, mix, release, slices, small_batches
 
 DEAD = -1
@@ -187,5 +188,5 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b["doc_id"][s], *(pa.array(found[:, k]) for k in range(3))], schema=_COUNTS)
                 release()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
