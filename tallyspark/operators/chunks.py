@@ -197,7 +197,7 @@ def document_chunks(lines: DataFrame, metadata: DataFrame, target: int = docs.TA
     lists it.
     """
     body = docs.body_lines(lines)
-    found = docs.articles(docs.article_lines(body))
+    found = written(docs.articles(docs.article_lines(body)))
     many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= ARTICLES_NEEDED).select("doc_id")
     named = found.join(many, "doc_id", "left_semi").join(metadata, "doc_id")
     return article_chunks(named, target, model).unionByName(fallback_chunks(body.join(many, "doc_id", "left_anti"), metadata, target))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources.files import spread
 from . import packing as pk
 
 PAGE_LINES = 40
@@ -29,7 +30,7 @@ def lines(docs: DataFrame) -> DataFrame:
     A text is cleaned whole: no cleaning step reaches over a line's end, and the one space
     that it may leave at either end of a line goes with the split.
     """
-    out = docs.select("doc_id", F.posexplode(F.split(X.clean_line(F.col("text")), " ?\n ?")).alias("pos", "text"))
+    out = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split(X.clean_line(F.col("text")), " ?\n ?")).alias("pos", "text"))
     return out.select("doc_id", (F.col("pos") + 1).alias("line_no"), (F.floor(F.col("pos") / PAGE_LINES) + 1).cast("int").alias("page"), "text")
 
 
@@ -203,7 +204,7 @@ def overlapping_parts(rows: DataFrame, overlap: int) -> DataFrame:
 
 def overlap_chunks(docs: DataFrame, limit: int = TARGET_TOKENS, overlap: int = LINE_OVERLAP) -> DataFrame:
     """(doc_id, chunk, text, n_tokens): documents without articles, in overlapping parts of their lines that hold anything."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(F.col("text").rlike(r"(?U)\S"))
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where(F.col("text").rlike(r"(?U)\S"))
     parts = overlapping_parts(rows.select("doc_id", F.lit(1).alias("page"), "line_no", "text", F.lit(limit).alias("limit")), overlap)
     return parts.select("doc_id", "chunk", F.col("body").alias("text"), "n_tokens")
 
