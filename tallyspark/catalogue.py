@@ -729,6 +729,26 @@ def long_articles(spark: SparkSession, d: str) -> DataFrame:
     return chk.split_parts(rows, _PART_OVERLAP).select("doc_id", "part", "parts", "body")
 
 
+_ROOM = _PART_LIMIT - _PART_OVERLAP
+
+
+@query("q76f_paragraph_parts", sql=rf"""WITH RECURSIVE u AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, trim(s[k], ' ') AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) d, unnest(range(1, len(s) + 1)) AS u(k) WHERE trim(s[k], ' ' || chr(9) || chr(13)) <> ''),
+  x AS MATERIALIZED (SELECT doc_id, k, concat('(', k, ') ', line) AS said, regexp_extract_all(concat('(', k, ') ', line), {_TOK_TEXT}) AS t FROM u),
+  p AS MATERIALIZED (SELECT doc_id, said, len(t) AS n, alone, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM (SELECT doc_id, k, 0 AS j, said, t, false AS alone FROM x WHERE len(t) <= {_ROOM} UNION ALL SELECT doc_id, k, j, array_to_string(t[j + 1 : j + {_ROOM}], ' '), t[j + 1 : j + {_ROOM}], true FROM x, unnest(range(0, len(t), {_ROOM})) AS y(j) WHERE len(t) > {_ROOM}) z),
+  r AS (SELECT doc_id, i, 1 AS part, CASE WHEN alone THEN {_ROOM + 1} ELSE n END AS held FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN NOT alone AND held + n <= {_ROOM} THEN part ELSE part + 1 END, CASE WHEN alone THEN {_ROOM + 1} WHEN held + n <= {_ROOM} THEN held + n ELSE n END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1),
+  g AS MATERIALIZED (SELECT doc_id, part, string_agg(said, chr(10) || chr(10) ORDER BY i) AS raw FROM r JOIN p USING (doc_id, i) GROUP BY 1, 2),
+  h AS (SELECT *, regexp_extract_all(lag(raw) OVER (PARTITION BY doc_id ORDER BY part), {_TOK_TEXT}) AS t, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS parts FROM g)
+  SELECT doc_id, part, parts, CASE WHEN part = 1 THEN raw ELSE concat(array_to_string(t[greatest(len(t) - {_PART_OVERLAP}, 0) + 1 :], ' '), chr(10), chr(10), raw) END AS body FROM h""")
+def paragraph_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as long articles whose lines are numbered paragraphs."""
+    from pyspark.sql import Window
+
+    said = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"(?U)\S"))
+    said = said.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("k"), F.trim("line").alias("line"))
+    rows = said.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: F.concat(F.lit("("), x["k"], F.lit(") "), x["line"])), "\n").alias("text"))
+    return chk.split_parts(rows.select("doc_id", F.lit(1).alias("ordinal"), "text", F.lit(_PART_LIMIT).alias("limit")), _PART_OVERLAP).select("doc_id", "part", "parts", "body")
+
+
 @query("q77_quality_report", sql=f"""SELECT count(*) AS n_chunks, count(*) FILTER (WHERE kind = 'single_article') AS n_single, count(*) FILTER (WHERE kind = 'multi_article') AS n_multi, count(*) FILTER (WHERE kind = 'single_article_long') AS n_long,
   max(n_tokens) AS max_tokens, round(avg(n_tokens), 4) AS avg_tokens FROM ({ORACLE_SQL['q75_chunks_greedy']}) x""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:

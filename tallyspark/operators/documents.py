@@ -76,7 +76,7 @@ def article_lines(rows: DataFrame, article: str = ARTICLE, chapter: str = CHAPTE
 
     A title line belongs to the article below it, not to the one above. Lines before the
     first article have ordinal 0 and no number; an article keeps the chapter and section that
-    it began in. A cleaned line longer than ``heading_chars`` is no heading of a chapter or section.
+    it began in. doc_id, page and line_no together name one line. A cleaned line longer than ``heading_chars`` is no heading of a chapter or section.
 
     A scan in segments: lines are sorted within blocks (a page, or BLOCK_LINES of it), which
     say what they last saw; these few rows are scanned along their document, and what comes
@@ -153,7 +153,8 @@ def quality_report(chunks: DataFrame) -> DataFrame:
 def overlapping_parts(rows: DataFrame, overlap: int) -> DataFrame:
     """(doc_id, chunk, body, n_tokens, page_start, page_end): lines packed to a limit, each part beginning with the end of the one before.
 
-    ``rows`` are (doc_id, page, line_no, text, limit); ``limit`` is one number for a document.
+    ``rows`` are (doc_id, page, line_no, text, limit); ``limit`` is one number for a document,
+    and doc_id, page and line_no together name one line.
     A part begins with the last tokens that came before it, ``overlap`` at most, and takes
     lines while they fit, one at least. A line beyond the limit is cut by tokens into pieces
     that overlap likewise; after it only the last piece is carried on, and is a part of its

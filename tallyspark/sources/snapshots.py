@@ -12,6 +12,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -82,8 +83,10 @@ class Store:
 
     def history(self) -> DataFrame:
         """(number, made_by, n_parts) of all snapshots."""
-        rows = [(m["number"], m["made_by"], len(m["parts"])) for m in (self.manifest(k) for k in sorted(self._manifests()))]
-        return self.spark.createDataFrame(rows, "number int, made_by string, n_parts int")
+        made = [self.manifest(k) for k in sorted(self._manifests())]
+        rows = [F.struct(F.lit(m["number"]).alias("number"), F.lit(m["made_by"]).alias("made_by"), F.lit(len(m["parts"])).alias("n_parts")) for m in made]
+        kind = "array<struct<number: int, made_by: string, n_parts: int>>"
+        return self.spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
 
     def vacuum(self, keep: int = 1) -> int:
         """Forgets all but the ``keep`` latest snapshots and removes the folders that none of these names; returns how many folders went."""

@@ -17,7 +17,7 @@ def plan(df) -> str:
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_on_the_main_path(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
-    assert not re.search("EvalPython|MapInPandas|MapInArrow|FlatMapGroupsIn|CartesianProduct", text)
+    assert not re.search("EvalPython|MapInPandas|MapInArrow|FlatMapGroupsIn|CartesianProduct|ExistingRDD", text)
 
 
 def test_only_needed_columns_are_read(spark, sf_dir):
