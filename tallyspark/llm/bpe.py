@@ -50,6 +50,7 @@ class Codec:
         self.byte_rank = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         self._build_pairs()
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.said: dict[str, tuple[int, str, bytes]] = {}
 
     def _build_pairs(self) -> None:
         """Open-addressing table from a pair of ids to the id of both joined."""
@@ -174,17 +175,39 @@ class Codec:
                     out[k] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text."""
-        split = [self.pattern.findall(t) if t else [] for t in texts]
+    def split(self, texts: list[str | None]) -> list[list[str]]:
+        """The pieces of each text, whose ids are in ``pieces`` afterwards."""
+        found = [self.pattern.findall(t) if t else [] for t in texts]
         known = self.pieces
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
+            self.said.clear()
+        new = list(set().union(*found) - known.keys())
         known.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
-        return [[i for p in pieces for i in known[p]] for pieces in split]
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
+        known = self.pieces
+        return [[i for p in pieces for i in known[p]] for pieces in self.split(texts)]
+
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Of each text the number of ids, the hash of these in decimal, and the hash of what they decode to.
+
+        Ids are written out, and decoded, once for each distinct piece: texts are their pieces' one after the other.
+        """
+        split, known, said = self.split(texts), self.pieces, self.said
+        for p in set().union(*split) - said.keys():
+            ids = known[p]
+            said[p] = len(ids), " ".join([self.decimal[i] for i in ids]), self.decode(ids)
+        out = []
+        for pieces in split:
+            of = [said[p] for p in pieces]
+            n, decimal, data = zip(*of, strict=True) if of else ((), (), ())
+            out.append((sum(n), hashlib.sha256(" ".join(decimal).encode()).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()))
+        return out
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
         token = self.tokens
         return b"".join([token[i] for i in ids])
 
@@ -243,16 +266,8 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for b in batches(iterator, ["doc_id", "text"]):
             texts = b["text"].to_pylist()
             for s in slices(texts, 2 << 20):
-                ids = own.encode(texts[s])
-                decimal = own.decimal
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b["doc_id"][s], pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(" ".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(own.decode(x)).hexdigest() for x in ids]),
-                    ],
-                    schema=_DIGESTS,
-                )
+                columns = list(zip(*own.digests(texts[s]), strict=True))
+                yield pa.RecordBatch.from_arrays([b["doc_id"][s], *(pa.array(c, f.type) for c, f in zip(columns, list(_DIGESTS)[1:], strict=True))], schema=_DIGESTS)
                 release()
 
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
