@@ -33,6 +33,8 @@ from .logfreq import held_out
 from .saved import drop, saved
 
 WINDOW, STRIDE = 48, 24
+#: Windows scored at a time.
+WINDOWS = 1 << 12
 HIDDEN, EMBED = 8, 8
 WORDS, GRAMS = 1 << 15, 1 << 15
 PREFIXES = (3, 4, 5, 6)
@@ -185,8 +187,8 @@ class Network:
         x = self.inputs(words)
         logits = np.empty(len(begin), np.float32)
         order = np.argsort(-length, kind="stable")
-        for at in range(0, len(order), 8192):
-            part = order[at : at + 8192]
+        for at in range(0, len(order), WINDOWS):
+            part = order[at : at + WINDOWS]
             logits[part] = self.run(x, *_rows(words, begin[part], length[part]))
         return logits, begin, length, of
 
@@ -312,6 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, s
     last = sampled.select("label", "coin", "n", upto.alias("upto")).where(F.col("upto") <= TRAIN_WORDS).groupBy("label").agg(F.max("coin").alias("last"))
     found = sorted({(bytes(r.text), r.label) for r in sampled.join(F.broadcast(last), "label").where(F.col("coin") <= F.col("last")).select("text", "label").collect()})
     drop(sampled)
+    release()
     if len({label for _, label in found}) < 2:
         return None
     return fit([text for text, _ in found], np.array([label for _, label in found]))
