@@ -15,7 +15,8 @@ most 40% of the bits are set and an item not held is found in at most 2.5% of th
 (scores hence change a little with ``filter_bytes``, within that rate). The items are
 foretold from all n-grams of a hash class (one of CLASSES) and counted when the filter is
 built; where they are more than foretold, it is built again. It consists of groups of shards
-with ``filter_bytes`` each, which bounds what a task holds. One group is broadcast and looked
+with ``filter_bytes`` each, which bounds what a task holds; a small corpus has one smaller
+group of about ROOMY_BITS an item. One group is broadcast and looked
 up while scoring. With more, texts are packed and written, the distinct n-grams of each pack
 go to the tasks that hold their group, and levels come back to the pack: a fixed number of
 shuffles, whatever the number of groups. The fill is logged.
@@ -57,6 +58,8 @@ SHARDS = 256
 PROBES = 4
 #: Bits of the filter for each (n-gram, level) held.
 BITS_EACH = 8
+#: The bits for each where one group has room for them, and the least that a group takes.
+ROOMY_BITS, LEAST_BYTES = 32, 1 << 20
 #: Counts that have a level of their own, and levels for each doubling beyond.
 EXACT, STEPS = 48, 32
 #: The count that stands for a level.
@@ -506,7 +509,9 @@ def lm_scores(docs: DataFrame, of: int = 5, remainder: int = 1, filter_bytes: in
     order = np.argsort(known_h := known.column("h").to_numpy().view(np.uint64))
     floor = total + 0.5 * (distinct + 1)
     scorer = _Scorer(known_h[order], known.column("n").to_numpy()[order], quantised_mass(counts) + 0.5 * (distinct + 1), floor, prior)
-    made, groups = sized_slices(ngram_counts(train), filter_bytes, foretold_items(gathered))
+    items = foretold_items(gathered)
+    filter_bytes = min(filter_bytes, max(LEAST_BYTES, 1 << max(0, items * ROOMY_BITS // 8 - 1).bit_length()))
+    made, groups = sized_slices(ngram_counts(train), filter_bytes, items)
     numbered = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text", "held_out")
     found = scored_by_broadcast(numbered, scorer, group_filter(made, 0, filter_bytes), filter_bytes) if groups == 1 else scored_by_packs(numbered, scorer, made, groups, filter_bytes)
     scored = saved(found)
