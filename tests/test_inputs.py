@@ -12,6 +12,7 @@ from tallyspark.functions import fingerprint as fp
 from tallyspark.operators import normalise as nm
 from tallyspark.operators import validate as val
 from tallyspark.session import Settings
+from tallyspark.sources import files
 from tallyspark.sources.snapshots import Store
 
 COLUMNS = nm.Columns(("note", "missing"), ("amount",), ("day", "due"), "currency", "zone")
@@ -140,3 +141,13 @@ def test_two_writers_of_one_snapshot(spark, tmp_path):
     with pytest.raises(RuntimeError):
         two._commit([part], "append", 0)
     assert one.read().count() == 1 and two.append(spark.range(5)) == 2 and one.read().count() == 6
+
+
+def test_small_tables_are_dealt_over_the_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    dealt = files.spread(table)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > table.rdd.getNumPartitions()
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    monkeypatch.setattr(files, "SPREAD_BYTES", 1)
+    assert files.spread(table) is table
