@@ -10,7 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 
 #: Estimated bytes for each core below which a table's rows are dealt out.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 2 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
