@@ -93,20 +93,32 @@ def split_parts(long_: DataFrame, overlap: int = docs.SPLIT_OVERLAP) -> DataFram
     room = F.greatest(F.lit(LEAST_PACK), F.col("limit") - overlap)
     units = long_.select("doc_id", "ordinal", "limit", room.alias("room"), F.posexplode(paragraphs(F.col("text"))).alias("unit", "said"))
     units = units.select("*", X.tokens(F.col("said")).alias("t")).select("*", F.size("t").alias("n"))
-    cuts = F.when(F.col("n") > F.col("room"), F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("room")).cast("int")), lambda k: F.array_join(F.slice("t", k * F.col("room") + 1, F.col("room")), " "))).otherwise(F.array("said"))
-    pieces = units.select("doc_id", "ordinal", "limit", "room", "unit", (F.col("n") > F.col("room")).alias("alone"), F.posexplode(cuts).alias("cut", "said"))
+    alone, n = F.col("n") > F.col("room"), F.size("t")
+    # a piece and its tokens
+    cut = lambda k: F.struct(F.array_join(F.slice("t", k * F.col("room") + 1, F.col("room")), " ").alias("said"), F.least(F.col("room"), n - k * F.col("room")).alias("n"))
+    cuts = F.when(alone, F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / F.col("room")).cast("int")), cut)).otherwise(F.array(F.struct(F.col("said").alias("said"), n.alias("n"))))
+    pieces = units.select("doc_id", "ordinal", "limit", "room", "unit", alone.alias("alone"), F.posexplode(cuts).alias("cut", "p"))
+    # written, since the packing reads its numbers and the parts its texts
+    pieces = written(pieces.select("doc_id", "ordinal", "limit", "room", "unit", "alone", "cut", "p.said", "p.n"))
     key = F.struct("doc_id", "ordinal").alias("key")
-    size = F.when(F.col("alone"), F.col("room") + 1).otherwise(X.token_count(F.col("said")))
+    size = F.when(F.col("alone"), F.col("room") + 1).otherwise(F.col("n"))
     sizes = pk.placed(pieces.select(key, "unit", "cut", "room", size.cast("long").alias("n")), "unit", "cut", key="key")
     sizes = pk.first_beyond(sizes, F.col("upto") - F.col("n") + F.col("room"), "found", key="key")
-    dealt = pk.members(pk.packs(sizes.withColumn("nxt", pk.next_border(F.col("found"))), key="key"), key="key")
-    dealt = dealt.join(sizes.select("key", "at", "unit", "cut"), ["key", "at"]).select("key.doc_id", "key.ordinal", "unit", "cut", "at", F.col("pack").alias("part"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n\n")
-    raw = pieces.join(dealt, ["doc_id", "ordinal", "unit", "cut"]).groupBy("doc_id", "ordinal", "part").agg(F.first("limit").alias("limit"), F.trim(body).alias("raw"))
-    before = F.lag("raw").over(Window.partitionBy("doc_id", "ordinal").orderBy("part"))
-    tail = F.array_join(F.when(F.size(X.tokens(before)) > overlap, F.slice(X.tokens(before), -overlap, overlap)).otherwise(X.tokens(before)), " ")
-    whole = raw.select("doc_id", "ordinal", "part", "limit", F.count("*").over(Window.partitionBy("doc_id", "ordinal")).cast("int").alias("parts"), F.when(before.isNotNull(), F.concat(tail, F.lit("\n\n"), "raw")).otherwise(F.col("raw")).alias("body"))
-    return whole.select("doc_id", "ordinal", "part", "parts", head(F.col("body"), F.col("limit")).alias("body"))
+    packs_ = pk.packs(sizes.select("key", "at", "m", "unit", "cut", pk.next_border(F.col("found")).alias("nxt")), "unit", "cut", key="key")
+    # a part's first piece begins it; the pieces after it follow in the order of units and cuts
+    first = packs_.select("key.doc_id", "key.ordinal", "first.unit", "first.cut", F.col("pack").alias("part"))
+    upto = Window.partitionBy("doc_id", "ordinal").orderBy("unit", "cut").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = pieces.join(first, ["doc_id", "ordinal", "unit", "cut"], "left").select("doc_id", "ordinal", "limit", "unit", "cut", "said", "n", F.max("part").over(upto).alias("part"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "cut", "said"))), lambda x: x["said"]), "\n\n")
+    raw = dealt.groupBy("doc_id", "ordinal", "part").agg(F.first("limit").alias("limit"), F.sum("n").alias("n"), F.trim(body).alias("raw"))
+    raw = raw.select("*", X.tokens(F.col("raw")).alias("t")).select("doc_id", "ordinal", "part", "limit", "n", "raw", F.when(F.size("t") > overlap, F.slice("t", -overlap, overlap)).otherwise(F.col("t")).alias("t"))
+    raw = raw.select("doc_id", "ordinal", "part", "limit", "n", "raw", F.size("t").alias("n_tail"), F.array_join("t", " ").alias("tail"))
+    article = Window.partitionBy("doc_id", "ordinal").orderBy("part")
+    whole = raw.select("*", F.count("*").over(Window.partitionBy("doc_id", "ordinal")).cast("int").alias("parts"), F.lag("tail").over(article).alias("before"), F.lag("n_tail").over(article).alias("n_before"))
+    text = F.when(F.col("before").isNotNull(), F.concat("before", F.lit("\n\n"), "raw")).otherwise(F.col("raw"))
+    # white space divides the two, so that their tokens add up
+    over = F.col("n") + F.coalesce("n_before", F.lit(0)) > F.col("limit")
+    return whole.select("doc_id", "ordinal", "part", "parts", F.when(over, head(text, F.col("limit"))).otherwise(text).alias("body"))
 
 
 def head(text: Column, limit: Column) -> Column:
@@ -138,7 +150,7 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     beyond ``model`` is split. Numbers run through a document.
     """
     sizes = written(measured(described(articles), target, model))
-    placed = sizes.join(packed(sizes, target), ["doc_id", "ordinal"])
+    placed = sizes.join(written(packed(sizes, target)), ["doc_id", "ordinal"])
     whole = placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True)))
     ordered = lambda *names: F.array_sort(F.collect_list(F.struct("ordinal", *names)))
     grouped = whole.groupBy("doc_id", "pack").agg(
@@ -178,14 +190,17 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
 def fallback_chunks(rows: DataFrame, metadata: DataFrame, target: int = docs.TARGET_TOKENS, overlap: int = docs.LINE_OVERLAP) -> DataFrame:
     """Chunk rows of documents without articles, from their body lines: overlapping parts below a source header."""
     header = F.concat_ws("\n", F.concat(F.lit(f"{SOURCE}: "), F.coalesce("official_name", "document_id")), _line(LAW_NO, F.col("law_no")))
-    met = described(metadata).select("doc_id", *_ABOUT, header.alias("header")).select("*", F.greatest(F.lit(LEAST_FALLBACK), target - X.token_count(F.col("header")) - FREE_FALLBACK).alias("limit"))
-    body = rows.where(F.col("text").rlike(r"(?U)\S")).join(met.select("doc_id", "limit"), "doc_id").select("doc_id", "page", "line_no", "text", "limit")
-    parts = docs.overlapping_parts(body, overlap).withColumnRenamed("chunk", "chunk_index")
-    out = parts.join(met.drop("limit"), "doc_id").select("*", F.trim(F.concat("header", F.lit("\n\n"), "body")).alias("text"))
+    met = described(metadata).select("doc_id", *_ABOUT, header.alias("header"), X.token_count(header).alias("n_header"))
+    limit = F.greatest(F.lit(LEAST_FALLBACK), target - F.col("n_header") - FREE_FALLBACK)
+    # a row a document is small to send but not to hold at once, so it is never broadcast
+    body = rows.where(F.col("text").rlike(r"(?U)\S")).join(met.hint("merge"), "doc_id").select("doc_id", "page", "line_no", "text", limit.alias("limit"), F.struct(*_ABOUT, "header", "n_header").alias("met"))
+    # written, since the packing reads its numbers and the parts its texts; parts keep their document's row, since there may be very many
+    parts = docs.overlapping_parts(written(body), overlap, "met")
+    out = parts.select("doc_id", F.col("chunk").alias("chunk_index"), "page_start", "page_end", "met.*", (F.col("met.n_header") + F.col("n_tokens")).alias("token_count"), F.trim(F.concat("met.header", F.lit("\n\n"), "body")).alias("text"))
     kind = F.when(X.blank_to_null(F.col("law_no")).isNull(), NOTE_TYPE).otherwise(F.col("document_type"))
     none = {c: F.lit(None).cast("string") for c in ("article_no", "article_title", "start_article", "end_article", "chapter_name", "section_name")}
     said = {"id": F.concat("document_id", F.lit("_fallback_chunk_"), "chunk_index"), "document_type": kind, "chunk_type": F.lit("fallback_text_chunk"), "included_articles": F.lit(""), "included_articles_padded": F.lit("")}
-    said |= {"is_article_split": F.lit(False), "article_part": F.lit(None).cast("int"), "article_part_total": F.lit(None).cast("int"), "token_count": X.token_count(F.col("text"))}
+    said |= {"is_article_split": F.lit(False), "article_part": F.lit(None).cast("int"), "article_part_total": F.lit(None).cast("int")}
     return out.withColumns(none | said).select(*_COLUMNS)
 
 
@@ -199,8 +214,9 @@ def document_chunks(lines: DataFrame, metadata: DataFrame, target: int = docs.TA
     body = docs.body_lines(lines)
     found = written(docs.articles(docs.article_lines(body)))
     many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= ARTICLES_NEEDED).select("doc_id")
-    named = found.join(many, "doc_id", "left_semi").join(metadata, "doc_id")
-    return article_chunks(named, target, model).unionByName(fallback_chunks(body.join(many, "doc_id", "left_anti"), metadata, target))
+    # a row a document is small to send but not to hold at once, so none of these is broadcast
+    named = found.join(metadata.join(many.hint("merge"), "doc_id").hint("merge"), "doc_id")
+    return article_chunks(named, target, model).unionByName(fallback_chunks(body.join(many.hint("merge"), "doc_id", "left_anti"), metadata, target))
 
 
 def document_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -208,4 +224,4 @@ def document_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     kinds = ("multi_article", "single_article", "single_article_long", "article_part", "fallback_text_chunk")
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), *[F.count_if(F.col("chunk_type") == k).alias(f"n_{k}") for k in kinds], F.max("token_count").alias("max_tokens"), F.round(F.avg("token_count"), 2).alias("avg_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return documents.select("doc_id").join(per, "doc_id", "left").select("doc_id", *[zero(c) for c in per.columns[1:]], F.col("n_chunks").isNull().alias("failed"))
+    return documents.select("doc_id").join(per.hint("merge"), "doc_id", "left").select("doc_id", *[zero(c) for c in per.columns[1:]], F.col("n_chunks").isNull().alias("failed"))

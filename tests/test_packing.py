@@ -142,3 +142,15 @@ def test_a_document_of_a_million_lines(spark):
     units = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("unit"), (F.col("id") % 7 + 1).alias("n"))
     got = docs.greedy_chunks(units, 1024).agg(F.count("*").alias("k"), F.sum("n_units").alias("u"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("most"), F.min("n_tokens").alias("least"), F.max("last_unit").alias("end")).first()
     assert (got.u, got.t, got.end) == (n, sum(k % 7 + 1 for k in range(n)), n - 1) and got.most <= 1024 and got.k <= got.t // (1024 - 7) + 1
+
+
+def test_a_long_line_of_very_many_pieces_meets_its_text_once(spark):
+    """With an overlap beyond the limit a line has a piece for each token; its text isn't repeated for each."""
+    words = [f"w{k}" for k in range(20_000)]
+    table = spark.createDataFrame([(1, 1, 1, "before", 30, "x"), (1, 1, 2, " ".join(words), 30, "x"), (1, 1, 3, "after", 30, "x")], "doc_id long, page int, line_no int, text string, limit int, about string")
+    got = docs.overlapping_parts(table, 40, "about").orderBy("chunk").collect()
+    assert [r.chunk for r in got] == list(range(1, len(got) + 1)) and {r.about for r in got} == {"x"}
+    pieces = [r for r in got if r.body.startswith("w")]
+    assert got[0].body == "before" and len([r for r in pieces if "\n" not in r.body]) >= 20_000
+    assert [r.body for r in got[1:20_001]] == [" ".join(words[k : k + 30]) for k in range(20_000)]
+    assert all(r.n_tokens == len(r.body.split()) for r in got)
