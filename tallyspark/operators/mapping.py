@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,7 +180,9 @@ def canonical(df: DataFrame, mapping: dict[str, Rule], numbers: tuple[str, ...]
             c = F.lower(c) if f in enums else c
         out.append(c.alias(f))
     made = df.select(*keep, *out)
-    return made.where(F.coalesce(*[F.col(f).cast("string") for f in mapping]).isNotNull())
+    # any field will do; texts first, since a filter below the parsing parses again what it looks at
+    plain_first = sorted(mapping, key=lambda f: (f in dates, f in numbers))
+    return made.where(reduce(or_, [F.col(f).isNotNull() for f in plain_first]))
 
 
 def legacy_category(description: Column, direction: Column) -> Column:
