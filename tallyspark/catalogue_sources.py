@@ -45,5 +45,12 @@ def workbook_cells(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'Siparişler', 'Tutar', count(*), count(*), 'number' FROM orders UNION ALL SELECT 'Siparişler', 'Açıklama', count(*), count(*), 'text' FROM orders UNION ALL SELECT 'Siparişler', 'Yön', count(*), count(*), 'text' FROM orders
   UNION ALL SELECT 'Siparişler', 'Durum', count(*), count(*) FILTER (o_orderstatus = 'P'), 'text' FROM orders) x""")
 def workbook_profile(spark: SparkSession, d: str) -> DataFrame:
-    per = xlsx.sheet_profiles(spark, _order_books(spark, d))
-    return per.groupBy("sheet", "column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_filled").alias("n_filled"), F.min("kind").alias("kind"))
+    return _profile_of_books(scratch.written(xlsx.sheet_profiles(spark, _order_books(spark, d))))
+
+
+def _profile_of_books(per: DataFrame) -> DataFrame:
+    """Profiles of many files as one: a file's rows count for a column that is blank all through it, and sheets that go on as ``_2`` count with the first."""
+    first = F.regexp_replace("sheet", r"_\d+$", "").alias("sheet")
+    rows = per.select("file", "sheet", "n_rows").distinct().groupBy(first).agg(F.sum("n_rows").alias("n_rows"))
+    columns = per.groupBy(first, "column_name").agg(F.sum("n_filled").alias("n_filled"), F.min("kind").alias("kind"))
+    return columns.join(rows, "sheet").select("sheet", "column_name", "n_rows", "n_filled", "kind")

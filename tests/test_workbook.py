@@ -178,3 +178,12 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
         xlsx.write(bad, f"{tmp_path}/out")
     # a task that outlives the job may still leave its part below _temporary, where nothing reads
     assert not list(Path(tmp_path).glob("out/*.xlsx"))
+
+
+def test_profiles_of_many_files_count_all_rows(spark):
+    """A column that is blank all through one file, and a sheet that goes on, keep the rows of all files."""
+    from tallyspark.catalogue_sources import _profile_of_books
+
+    per = [("f1", "S", "id", 5, 5, "number"), ("f1", "S", "x", 5, 2, "text"), ("f2", "S", "id", 3, 3, "number"), ("f3", "S", "id", 10, 10, "number"), ("f3", "S_2", "id", 1, 1, "number")]
+    got = _profile_of_books(spark.createDataFrame(per, "file string, sheet string, column_name string, n_rows long, n_filled long, kind string"))
+    assert sorted(map(tuple, got.collect())) == [("S", "id", 19, 19, "number"), ("S", "x", 19, 2, "text")]
