@@ -59,7 +59,7 @@ def packed(sizes: DataFrame, target: int) -> DataFrame:
     fixed = F.col("n_law") + label(ARTICLES) - 1
     rows = pk.first_beyond(rows, F.col("upto") - F.col("n") + target - fixed, "found").withColumn("reach", pk.next_border(F.col("found")))
     begun = rows.where("reach > at + 1").select("doc_id", F.col("at").alias("begin"), (F.col("upto") - F.col("n")).alias("until"), fixed.alias("fixed"), F.explode(F.sequence("at", F.col("reach") - 1)).alias("at"))
-    pairs = begun.join(rows.select("doc_id", "at", "upto", "chapter_before", "n_chapter", "section_before", "n_section"), ["doc_id", "at"])
+    pairs = begun.join(rows.select("doc_id", "at", "upto", "chapter_before", "n_chapter", "section_before", "n_section").hint("merge"), ["doc_id", "at"])
     grown = Window.partitionBy("doc_id", "begin").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
 
     def named(name: str, title: str) -> Column:
@@ -71,9 +71,9 @@ def packed(sizes: DataFrame, target: int) -> DataFrame:
     size = F.col("fixed") + F.col("upto") - F.col("until") + named("chapter", CHAPTER) + named("section", SECTION)
     over = pairs.select("doc_id", "begin", "at", size.alias("size")).where((F.col("at") > F.col("begin")) & (F.col("size") > target))
     ends = over.groupBy("doc_id", F.col("begin").alias("at")).agg(F.min("at").alias("end"))
-    steps = rows.join(ends, ["doc_id", "at"], "left").withColumn("nxt", F.coalesce("end", "reach"))
+    steps = rows.join(ends.hint("merge"), ["doc_id", "at"], "left").withColumn("nxt", F.coalesce("end", "reach"))
     found = pk.members(pk.packs(steps))
-    return found.join(rows.select("doc_id", "at", "ordinal"), ["doc_id", "at"]).select("doc_id", "ordinal", "pack")
+    return found.join(rows.select("doc_id", "at", "ordinal").hint("merge"), ["doc_id", "at"]).select("doc_id", "ordinal", "pack")
 
 
 def paragraphs(text: Column) -> Column:
@@ -108,7 +108,7 @@ def split_parts(long_: DataFrame, overlap: int = docs.SPLIT_OVERLAP) -> DataFram
     # a part's first piece begins it; the pieces after it follow in the order of units and cuts
     first = packs_.select("key.doc_id", "key.ordinal", "first.unit", "first.cut", F.col("pack").alias("part"))
     upto = Window.partitionBy("doc_id", "ordinal").orderBy("unit", "cut").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = pieces.join(first, ["doc_id", "ordinal", "unit", "cut"], "left").select("doc_id", "ordinal", "limit", "unit", "cut", "said", "n", F.max("part").over(upto).alias("part"))
+    dealt = pieces.join(first.hint("merge"), ["doc_id", "ordinal", "unit", "cut"], "left").select("doc_id", "ordinal", "limit", "unit", "cut", "said", "n", F.max("part").over(upto).alias("part"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "cut", "said"))), lambda x: x["said"]), "\n\n")
     raw = dealt.groupBy("doc_id", "ordinal", "part").agg(F.first("limit").alias("limit"), F.sum("n").alias("n"), F.trim(body).alias("raw"))
     raw = raw.select("*", X.tokens(F.col("raw")).alias("t")).select("doc_id", "ordinal", "part", "limit", "n", "raw", F.when(F.size("t") > overlap, F.slice("t", -overlap, overlap)).otherwise(F.col("t")).alias("t"))
@@ -150,7 +150,7 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     beyond ``model`` is split. Numbers run through a document.
     """
     sizes = written(measured(described(articles), target, model))
-    placed = sizes.join(written(packed(sizes, target)), ["doc_id", "ordinal"])
+    placed = sizes.join(written(packed(sizes, target)).hint("merge"), ["doc_id", "ordinal"])
     whole = placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True)))
     ordered = lambda *names: F.array_sort(F.collect_list(F.struct("ordinal", *names)))
     grouped = whole.groupBy("doc_id", "pack").agg(
@@ -173,7 +173,7 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
     part_header = F.concat_ws("\n", *_law_lines(), _line(CHAPTER, F.col("chapter_name")), _line(SECTION, F.col("section_name")), F.concat(F.lit(f"{ARTICLE}: "), "article_no"), _line(TITLE, F.col("article_title")))
     n_header = F.col("n_header") + X.token_count(F.lit(f"{PART}: 1/1"))
     long_ = placed.where(F.col("own_kind") == "article_part").select("*", part_header.alias("header"), n_header.alias("n_part_header"), F.greatest(F.lit(LEAST_BODY), model - n_header - FREE).alias("limit"))
-    split = long_.join(split_parts(long_, overlap), ["doc_id", "ordinal"])
+    split = long_.join(split_parts(long_, overlap).hint("merge"), ["doc_id", "ordinal"])
     over = F.col("n_part_header") + X.token_count(F.col("body")) - model
     trimmed = F.when(over > 0, head(F.col("body"), F.greatest(F.lit(LEAST_PACK), F.col("limit") - over - FREE_FALLBACK))).otherwise(F.col("body"))
     part_text = F.concat("header", F.lit(f"\n{PART}: "), "part", F.lit("/"), "parts", F.lit("\n\n"), trimmed)

@@ -110,7 +110,7 @@ def article_lines(rows: DataFrame, article: str = ARTICLE, chapter: str = CHAPTE
 
     # a line's article began in its block, or came into it
     whole = F.when(F.col("_article").isNotNull(), _whole(F.col("_article"))).otherwise(F.col("_article_in"))
-    placed = out.join(edges.select(*_BLOCK, "_chapter_in", "_section_in", "_n_in", "_said_in", "_starts_out", "_article_in"), list(_BLOCK)).withColumn("_own", whole)
+    placed = out.join(edges.select(*_BLOCK, "_chapter_in", "_section_in", "_n_in", "_said_in", "_starts_out", "_article_in").hint("merge"), list(_BLOCK)).withColumn("_own", whole)
     above = F.coalesce("_before_start", "_starts_out", F.lit(False)) & F.col("_said").isNotNull()
     placed = placed.where(~F.col("_heading") & ~above)
     ordinal = F.col("_n_in") + F.col("_n")
@@ -203,7 +203,7 @@ def overlapping_parts(rows: DataFrame, overlap: int, *keep: str) -> DataFrame:
         F.when(tail, own["page_before"]).otherwise(own["page"]).alias("page_start"), F.when(only, own["page_before"]).otherwise(F.col("last.page")).alias("page_end"), F.explode(taken).alias("at"),
     )
     line_keys = ["doc_id", "page", "line_no"]
-    texts = held.join(places, ["doc_id", "at"]).join(rows.select(*line_keys, "text", *keep), line_keys)
+    texts = held.join(places.hint("merge"), ["doc_id", "at"]).join(rows.select(*line_keys, "text", *keep).hint("merge"), line_keys)
     before_it = F.col("at") < F.col("first_at")
     line = F.struct("at", F.when(before_it, X.tokens(F.col("text"))).alias("tokens"), F.when(~before_it, F.col("text")).alias("text"))
     same = ("carried", "n_tokens", "page_start", "page_end", *keep)
@@ -216,7 +216,7 @@ def overlapping_parts(rows: DataFrame, overlap: int, *keep: str) -> DataFrame:
     runs_ = whole.withColumn("body", body).select(*out)
 
     cut = parts.where(n_pieces.isNotNull()).select("doc_id", F.col("first_at").alias("at"), (F.col("earlier") + F.col("n_alone")).alias("earlier"), own["n"].alias("n"), own["limit"].alias("limit"), n_pieces.alias("pieces"), F.greatest(F.lit(1), own["limit"] - overlap).alias("step"))
-    cut = cut.join(places, ["doc_id", "at"]).join(rows.select(*line_keys, "text", *keep), line_keys).select("*", X.tokens(F.col("text")).alias("t"))
+    cut = cut.join(places.hint("merge"), ["doc_id", "at"]).join(rows.select(*line_keys, "text", *keep).hint("merge"), line_keys).select("*", X.tokens(F.col("text")).alias("t"))
     # the tokens of a block of pieces, then its pieces, so that no row holds all of a line's
     begins = F.sequence(F.lit(0).cast("long"), F.floor((F.col("pieces") - 1) / BLOCK_PIECES))
     block = F.transform(begins, lambda b: F.struct((b * BLOCK_PIECES).alias("k"), F.slice("t", (b * BLOCK_PIECES * F.col("step") + 1).cast("int"), ((BLOCK_PIECES - 1) * F.col("step") + F.col("limit")).cast("int")).alias("t")))

@@ -3,7 +3,8 @@
 Where a pack that began at a unit would end depends on that unit alone, so every unit gets
 the place of the next border from running sums of sizes (``first_beyond``), and a document's
 borders are those reached from its first unit (``packs``). Places and sizes are numbers;
-texts are joined to them afterwards. The borders of a document of up to LOCAL units are
+texts are joined to them afterwards, by merge joins: numbers are so small when written that
+Spark would broadcast millions of rows of them through the driver. The borders of a document of up to LOCAL units are
 followed inside one row; a longer one has its pointers doubled by joins, which spread its
 units over tasks and take as many rounds as the logarithm of its packs.
 """
@@ -66,16 +67,16 @@ def _doubled(steps: DataFrame, key: str) -> DataFrame:
     jumps = written(steps.where("nxt <= m").select(key, "at", "nxt"))
     reached = written(steps.where("at = 1").select(key, "at"))
     while not jumps.isEmpty():
-        more = reached.join(jumps, [key, "at"]).select(key, F.col("nxt").alias("at"))
-        far = jumps.join(jumps.select(key, F.col("at").alias("nxt"), F.col("nxt").alias("further")), [key, "nxt"]).select(key, "at", F.col("further").alias("nxt"))
+        more = reached.join(jumps.hint("merge"), [key, "at"]).select(key, F.col("nxt").alias("at"))
+        far = jumps.join(jumps.select(key, F.col("at").alias("nxt"), F.col("nxt").alias("further")).hint("merge"), [key, "nxt"]).select(key, "at", F.col("further").alias("nxt"))
         old = reached, jumps
         reached, jumps = written(reached.union(more)), written(far)
         for table in old:
             drop(table)
     doc = Window.partitionBy(key).orderBy("at")
-    first = reached.join(steps.select(key, "at", "m", F.col("own").alias("first")), [key, "at"])
+    first = reached.join(steps.select(key, "at", "m", F.col("own").alias("first")).hint("merge"), [key, "at"])
     packs_ = first.select(key, F.row_number().over(doc).alias("pack"), F.col("at").alias("first_at"), (F.coalesce(F.lead("at").over(doc), F.col("m") + 1) - 1).alias("last_at"), "first")
-    return packs_.join(steps.select(key, F.col("at").alias("last_at"), F.col("own").alias("last")), [key, "last_at"]).select(key, "pack", "first_at", "last_at", "first", "last")
+    return packs_.join(steps.select(key, F.col("at").alias("last_at"), F.col("own").alias("last")).hint("merge"), [key, "last_at"]).select(key, "pack", "first_at", "last_at", "first", "last")
 
 
 def packs(steps: DataFrame, *payload: str, key: str = "doc_id", local: int | None = None) -> DataFrame:
