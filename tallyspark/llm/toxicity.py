@@ -35,6 +35,8 @@ from .saved import drop, saved
 WINDOW, STRIDE = 48, 24
 #: Windows scored at a time.
 WINDOWS = 1 << 12
+#: Words whose n-grams are looked up at a time.
+WORD_BLOCK = 1 << 14
 HIDDEN, EMBED = 8, 8
 WORDS, GRAMS = 1 << 15, 1 << 15
 PREFIXES = (3, 4, 5, 6)
@@ -56,24 +58,24 @@ class Words:
 
     def __init__(self, texts: list[bytes | None]):
         hashes, ids, owners = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
-        prefix = [np.empty((0, len(PREFIXES)), np.int64)]
-        inner, inner_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        prefix = [np.empty((0, len(PREFIXES)), np.int32)]
+        inner, inner_n = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for data, starts, ends, of in word_blocks(texts, LETTERS):
             h = span_hashes(data, starts, ends)
             distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-            ids.append(back + sum(map(len, hashes)))
+            ids.append((back + sum(map(len, hashes))).astype(np.int32))
             owners.append(of)
             hashes.append(distinct)
             s, e = starts[first], ends[first]
             begin = [mix(span_hashes(data, s, np.minimum(s + n, e)) + np.uint64(n)) % np.uint64(GRAMS) for n in PREFIXES]
-            prefix.append(np.stack(begin, axis=1).astype(np.int64) if len(s) else prefix[0])
+            prefix.append(np.stack(begin, axis=1).astype(np.int32) if len(s) else prefix[0])
             many = np.maximum(e - s - INNER + 1, 0)
             at = np.repeat(s - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            inner.append((span_hashes(data, at, at + INNER) % np.uint64(GRAMS)).astype(np.int64))
+            inner.append((span_hashes(data, at, at + INNER) % np.uint64(GRAMS)).astype(np.int32))
             inner_n.append(many)
         self.word = (np.concatenate(hashes) % np.uint64(WORDS)).astype(np.int64)
         self.prefix, self.inner, self.inner_n = np.concatenate(prefix), np.concatenate(inner), np.concatenate(inner_n)
-        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
         self.counts = np.bincount(np.concatenate(owners).astype(np.int64), minlength=len(texts))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,13 +88,16 @@ class Words:
 
 
 def _mean_rows(table: np.ndarray, words: Words) -> np.ndarray:
+    """The mean of each word's n-gram rows, for a block of words at a time."""
     total = np.zeros((len(words.word), table.shape[1]), np.float32)
-    for k in range(len(PREFIXES)):
-        total += table[words.prefix[:, k]]
-    some = words.inner_n > 0
-    if some.any():
-        edges = (np.cumsum(words.inner_n) - words.inner_n)[some]
-        total[some] += np.add.reduceat(table[words.inner], edges, axis=0)
+    edges = np.append(0, np.cumsum(words.inner_n, dtype=np.int64))
+    for at in range(0, len(total), WORD_BLOCK):
+        end = min(at + WORD_BLOCK, len(total))
+        block, some = total[at:end], words.inner_n[at:end] > 0
+        for k in range(len(PREFIXES)):
+            block += table[words.prefix[at:end, k]]
+        if some.any():
+            block[some] += np.add.reduceat(table[words.inner[edges[at] : edges[end]]], (edges[at:end] - edges[at])[some], axis=0)
     return total / (len(PREFIXES) + words.inner_n)[:, None].astype(np.float32)
 
 
@@ -182,14 +187,15 @@ class Network:
         return g, dx
 
     def window_logits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Logit, first word, length and text number of every window."""
+        """Logit, first word, length and text number of every window; inputs are held for the words of WINDOWS windows."""
         begin, length, of = words.windows()
-        x = self.inputs(words)
         logits = np.empty(len(begin), np.float32)
         order = np.argsort(-length, kind="stable")
         for at in range(0, len(order), WINDOWS):
             part = order[at : at + WINDOWS]
-            logits[part] = self.run(x, *_rows(words, begin[part], length[part]))
+            ids, n = _rows(words, begin[part], length[part])
+            own, local = np.unique(ids, return_inverse=True)
+            logits[part] = self.run(self.inputs(_subset(words, own)), local.reshape(ids.shape), n)
         return logits, begin, length, of
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
@@ -211,6 +217,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
     net = Network(seed)
     texts, labels = [*texts, b""], np.append(labels, 0)
     words, rng = Words(texts), np.random.default_rng(seed)
+    release()
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -317,7 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, of: int = 3, remainder: int = 1, s
     release()
     if len({label for _, label in found}) < 2:
         return None
-    return fit([text for text, _ in found], np.array([label for _, label in found]))
+    net = fit([text for text, _ in found], np.array([label for _, label in found]))
+    release()
+    return net
 
 
 def toxicity_column(net: Network | None, spark):
