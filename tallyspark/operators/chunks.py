@@ -31,10 +31,10 @@ def _law_lines() -> list[Column]:
 
 
 def measured(articles: DataFrame, target: int, model: int) -> DataFrame:
-    """Articles with the token counts that packing needs: of their parts, and of the chunk that one alone makes."""
+    """Articles (with their text, or n_body, its tokens) with the token counts that packing needs: of their parts, and of the chunk that one alone makes."""
     n = lambda c: X.token_count(F.coalesce(F.col(c), F.lit("")))
     label = lambda text: X.token_count(F.lit(f"{text}:"))
-    out = articles.select("*", X.token_count(F.concat_ws("\n", *_law_lines())).alias("n_law"), n("article_no").alias("n_no"), n("article_title").alias("n_title"), n("chapter_name").alias("n_chapter"), n("section_name").alias("n_section"), n("text").alias("n_body"))
+    out = articles.select("*", X.token_count(F.concat_ws("\n", *_law_lines())).alias("n_law"), n("article_no").alias("n_no"), n("article_title").alias("n_title"), n("chapter_name").alias("n_chapter"), n("section_name").alias("n_section"), *([] if "n_body" in articles.columns else [n("text").alias("n_body")]))
     optional = [F.when(F.col(c) > 0, label(x) + F.col(c)).otherwise(0) for x, c in ((CHAPTER, "n_chapter"), (SECTION, "n_section"), (TITLE, "n_title"))]
     header = sum(optional, F.col("n_law") + label(ARTICLE) + F.col("n_no"))
     out = out.select("*", header.alias("n_header"))
@@ -143,15 +143,25 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.withColumn("document_type", F.coalesce("document_type", F.when(F.col("law_no").isNotNull(), LAW_TYPE).otherwise(UNKNOWN_TYPE)))
 
 
-def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model: int = docs.MODEL_TOKENS, overlap: int = docs.SPLIT_OVERLAP) -> DataFrame:
+def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model: int = docs.MODEL_TOKENS, overlap: int = docs.SPLIT_OVERLAP, metadata: DataFrame | None = None) -> DataFrame:
     """Chunk rows of ``articles`` (documents.articles with document_id, law_no and official_name, and what else metadata says): text with header, id and metadata.
 
+    ``metadata`` (with doc_id) is joined where it is given, and names the documents that are taken.
+
     Articles go together while they fit ``target``; a longer one stands alone, and one
-    beyond ``model`` is split. Numbers run through a document.
+    beyond ``model`` is split. Numbers run through a document. Texts are left aside until
+    their packs are known, so that they are dealt twice only: to their pack's row, and into it.
     """
-    sizes = written(measured(described(articles), target, model))
-    placed = sizes.join(written(packed(sizes, target)).hint("merge"), ["doc_id", "ordinal"])
-    whole = placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True)))
+    # counted before the metadata is joined, which then takes no text along
+    articles = articles if "n_body" in articles.columns else articles.withColumn("n_body", X.token_count(F.coalesce("text", F.lit(""))))
+    texts, counted = articles.select("doc_id", "ordinal", "n_body", "text"), articles.drop("text")
+    if metadata is not None:
+        counted = counted.join(metadata.hint("merge"), "doc_id")
+    sizes = written(measured(described(counted), target, model))
+    packed_ = written(packed(sizes, target))
+    placed = sizes.join(packed_.hint("merge"), ["doc_id", "ordinal"])
+    met = lambda some, own: some.join(own.drop("n_body").hint("merge"), ["doc_id", "ordinal"])
+    whole = met(placed.where(F.coalesce(F.col("own_kind") != "article_part", F.lit(True))), texts)
     ordered = lambda *names: F.array_sort(F.collect_list(F.struct("ordinal", *names)))
     grouped = whole.groupBy("doc_id", "pack").agg(
         *[F.min_by(c, "ordinal").alias(c) for c in (*_ABOUT, "article_title", "own_kind")],
@@ -172,15 +182,24 @@ def article_chunks(articles: DataFrame, target: int = docs.TARGET_TOKENS, model:
 
     part_header = F.concat_ws("\n", *_law_lines(), _line(CHAPTER, F.col("chapter_name")), _line(SECTION, F.col("section_name")), F.concat(F.lit(f"{ARTICLE}: "), "article_no"), _line(TITLE, F.col("article_title")))
     n_header = F.col("n_header") + X.token_count(F.lit(f"{PART}: 1/1"))
-    long_ = placed.where(F.col("own_kind") == "article_part").select("*", part_header.alias("header"), n_header.alias("n_part_header"), F.greatest(F.lit(LEAST_BODY), model - n_header - FREE).alias("limit"))
-    split = long_.join(split_parts(long_, overlap).hint("merge"), ["doc_id", "ordinal"])
+    # with the longest header that there is, no shorter text is split
+    longest = sizes.agg(F.max("n_header")).first()[0] or 0
+    long_ = met(placed.where(F.col("own_kind") == "article_part"), texts.where(F.col("n_body") > model - longest)).select("*", part_header.alias("header"), n_header.alias("n_part_header"), F.greatest(F.lit(LEAST_BODY), model - n_header - FREE).alias("limit"))
+    # written, since numbers of chunks follow from how many parts there are, and the rows hold the parts
+    made = written(split_parts(long_, overlap))
+    split = long_.drop("text").join(made.hint("merge"), ["doc_id", "ordinal"])
     over = F.col("n_part_header") + X.token_count(F.col("body")) - model
     trimmed = F.when(over > 0, head(F.col("body"), F.greatest(F.lit(LEAST_PACK), F.col("limit") - over - FREE_FALLBACK))).otherwise(F.col("body"))
     part_text = F.concat("header", F.lit(f"\n{PART}: "), "part", F.lit("/"), "parts", F.lit("\n\n"), trimmed)
     parts = split.select("doc_id", *_ABOUT, "pack", F.lit("article_part").alias("chunk_type"), F.array("article_no").alias("numbers"), "article_title", F.lit(True).alias("is_article_split"), F.col("part").alias("article_part"), F.col("parts").alias("article_part_total"), "chapter_name", "section_name", "page_start", "page_end", F.trim(part_text).alias("text"))
 
-    every = chunks.unionByName(parts)
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("pack", F.coalesce("article_part", F.lit(0))))
+    # a pack is one chunk but for the parts of a long article
+    more = packed_.join(made.where("part = 1").select("doc_id", "ordinal", "parts").hint("merge"), ["doc_id", "ordinal"], "left").groupBy("doc_id", "pack").agg((F.coalesce(F.max("parts"), F.lit(1)) - 1).alias("more"))
+    earlier = F.sum("more").over(Window.partitionBy("doc_id").orderBy("pack").rowsBetween(Window.unboundedPreceding, -1))
+    numbers_ = more.select("doc_id", "pack", (F.col("pack") + F.coalesce(earlier, F.lit(0))).alias("first_index"))
+    # before the union, since packs' rows lie by pack already
+    every = chunks.join(numbers_.hint("merge"), ["doc_id", "pack"]).unionByName(parts.join(numbers_.hint("merge"), ["doc_id", "pack"]))
+    index = (F.col("first_index") + F.coalesce(F.col("article_part") - 1, F.lit(0))).cast("int")
     every = every.select("*", index.alias("chunk_index"), F.element_at("numbers", 1).alias("start_article"), F.element_at("numbers", -1).alias("end_article"))
     middle = F.when(F.col("article_part").isNotNull(), F.concat(F.lit("_article_"), "start_article", F.lit("_part_"), "article_part")).when(F.size("numbers") == 1, F.concat(F.lit("_article_"), "start_article")).otherwise(F.concat(F.lit("_articles_"), "start_article", F.lit("_"), "end_article"))
     article_no = F.when(F.size("numbers") == 1, F.col("start_article")).alias("article_no")
@@ -212,11 +231,10 @@ def document_chunks(lines: DataFrame, metadata: DataFrame, target: int = docs.TA
     lists it.
     """
     body = docs.body_lines(lines)
-    found = written(docs.articles(docs.article_lines(body)))
+    found = docs.written_articles(body)
     many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= ARTICLES_NEEDED).select("doc_id")
     # a row a document is small to send but not to hold at once, so none of these is broadcast
-    named = found.join(metadata.join(many.hint("merge"), "doc_id").hint("merge"), "doc_id")
-    return article_chunks(named, target, model).unionByName(fallback_chunks(body.join(many.hint("merge"), "doc_id", "left_anti"), metadata, target))
+    return article_chunks(found, target, model, metadata=metadata.join(many.hint("merge"), "doc_id")).unionByName(fallback_chunks(body.join(many.hint("merge"), "doc_id", "left_anti"), metadata, target))
 
 
 def document_report(documents: DataFrame, chunks: DataFrame) -> DataFrame:

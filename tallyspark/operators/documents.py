@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..sources.files import spread
-from ..sources.scratch import written
+from ..sources.scratch import drop, written
 from . import packing as pk
 
 PAGE_LINES = 40
@@ -136,6 +136,14 @@ def articles(placed: DataFrame) -> DataFrame:
     return grouped.where("text <> ''")
 
 
+def written_articles(body: DataFrame) -> DataFrame:
+    """``articles`` of body lines as a written table, with the tokens of their texts (n_body); what was written of the lines on the way is removed."""
+    placed = article_lines(body)
+    found = written(articles(placed).withColumn("n_body", X.token_count(F.col("text"))))
+    drop(placed)
+    return found
+
+
 def greedy_chunks(units: DataFrame, target: int = TARGET_TOKENS) -> DataFrame:
     """(doc_id, chunk, n_units, n_tokens, first_unit, last_unit): units (doc_id, unit, n) packed in order while they fit."""
     rows = pk.placed(units.select("doc_id", F.col("unit").cast("int").alias("unit"), F.col("n").cast("long").alias("n")), "unit")
@@ -205,10 +213,12 @@ def overlapping_parts(rows: DataFrame, overlap: int, *keep: str) -> DataFrame:
     line_keys = ["doc_id", "page", "line_no"]
     texts = held.join(places.hint("merge"), ["doc_id", "at"]).join(rows.select(*line_keys, "text", *keep).hint("merge"), line_keys)
     before_it = F.col("at") < F.col("first_at")
-    line = F.struct("at", F.when(before_it, X.tokens(F.col("text"))).alias("tokens"), F.when(~before_it, F.col("text")).alias("text"))
+    # of a line before the part no more than can be carried
+    end = F.when(X.token_count(F.col("text")) > overlap, F.array_join(F.slice(X.tokens(F.col("text")), -overlap, overlap), " ")).otherwise(F.col("text"))
+    line = F.struct("at", F.when(before_it, end).alias("end"), F.when(~before_it, F.col("text")).alias("text"))
     same = ("carried", "n_tokens", "page_start", "page_end", *keep)
     whole = texts.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(line)).alias("u"), *[F.first(c).alias(c) for c in same])
-    carried = F.flatten(F.filter(F.col("u.tokens"), lambda t: t.isNotNull()))
+    carried = F.flatten(F.transform(F.array_compact(F.col("u.end")), lambda x: X.tokens(x)))
     whole = whole.select("*", carried.alias("t"))
     carried = F.when(F.size("t") > 0, F.array_join(F.slice("t", (-F.col("carried")).cast("int"), F.col("carried").cast("int")), " "))
     body = F.concat_ws("\n", carried, F.nullif(F.array_join(F.col("u.text"), "\n"), F.lit("")))
